@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, url_filters
+from . import line_dedup, mixing, packing, simhash, substring_dedup, url_filters
 from .common import table
 
 QUERIES: dict = {}
@@ -140,3 +140,29 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round("__p", 6).alias("p"),
         F.col("__sampled").alias("sampled"),
     )
+
+
+# --- 7: SimHash near-duplicates over documents ----------------------------------
+
+
+@query("op7_simhash_near_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+# --- 9: substring dedup over documents ------------------------------------------
+
+
+@query("op9_substring_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+# --- 10: packing over documents -------------------------------------------------
+
+
+@query("op10_packing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
