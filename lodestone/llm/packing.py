@@ -31,7 +31,7 @@ from array import array
 from collections.abc import Iterator
 from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -171,19 +171,19 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, min_piece:
         tokens, held, now = Tokens(vocabulary), [], None
         columns = [c.split()[0] for c in SCHEMA.split(", ")]
 
-        def frame():
-            out = pd.DataFrame(list(pack_group(held, now, capacity, min_piece)), columns=columns)
-            return out.astype({"doc_id": "Int64"})
+        def pieces():
+            made = zip(*pack_group(held, now, capacity, min_piece))
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in made], names=columns)
 
         end = END_ID.to_bytes(4, "little")
         for batch in batches:
-            for doc_id, text, group in zip(batch["doc_id"].astype("Int64"), batch["text"], batch["group"]):
+            for doc_id, text, group in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "text", "group")]):
                 if group != now and held:
-                    yield frame()
+                    yield pieces()
                     held = []
                 now = group
                 held.append((doc_id, tokens.ids(text) + end))
         if held:
-            yield frame()
+            yield pieces()
 
-    return rows.select("doc_id", "text", "group").mapInPandas(packed, SCHEMA)
+    return rows.select("doc_id", "text", "group").mapInArrow(packed, SCHEMA)
