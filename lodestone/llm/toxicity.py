@@ -34,10 +34,10 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-SAMPLE, LEXICON, LEAST_ODDS, LEAST_ROWS, LEAST_SHARE = 20_000, 4000, 3.0, 5, 0.004
+SAMPLE, LEXICON, LEAST_ODDS, LEAST_ROWS, LEAST_SHARE = 20_000, 4000, 2.0, 5, 0.004
 NEGATION_SCOPE, TARGET_SCOPE = 3, 6
 NEGATED, REPORTED, TARGETED = 0.5, 0.7, 1.2
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
 CACHE = 500_000
 
 # Word lists of the grammar.
