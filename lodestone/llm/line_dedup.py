@@ -2,7 +2,8 @@
 
 Pages are grouped by host; a line's frequency is the number of the host's pages that
 contain it divided by the host's pages. Lines above ``ratio`` that stand on at least
-``min_pages`` pages of the host are dropped from every page of that host.
+``min_pages`` pages of the host are dropped from every page of that host. A page that has
+no other line keeps them: it is a copied page, not the frame around one.
 
 Plan: each page's distinct lines are hashed to 128 bits in place, so what is shuffled
 is (host, hash) and never the text. Counts combine before the shuffle and are keyed
@@ -59,4 +60,5 @@ def drop_boilerplate(pages: DataFrame, host: Column, lines: Column, ratio: float
     hashes = F.transform("__lines", lambda x: F.xxhash64(x))
     joined = joined.withColumn("__hit", F.array_intersect(F.coalesce("__drop", F.array().cast("array<bigint>")), hashes))
     kept = F.when(F.size("__hit") == 0, F.col("__lines")).otherwise(F.filter("__lines", lambda x: ~F.array_contains("__hit", F.xxhash64(x)) | (F.trim(x) == "")))
+    kept = F.when(F.exists(kept, lambda x: F.trim(x) != ""), kept).otherwise(F.col("__lines"))
     return joined.withColumn("__kept", kept).drop("__site", "__drop", "__hit")

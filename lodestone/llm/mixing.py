@@ -26,9 +26,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Target shares; ``*`` stands for all other values.
-SOURCES = {"src0": 0.25, "*": 0.75}
-LANGS = {"en": 0.5, "de": 0.18, "fr": 0.18, "es": 0.14, "*": 0.0}
-TOPICS = {"web": 0.035, "list": 0.005, "prose": 0.96, "*": 0.0}
+SOURCES = {"src0": 0.3, "*": 0.7}
+LANGS = {"en": 0.55, "de": 0.17, "fr": 0.16, "es": 0.12, "*": 0.0}
+TOPICS = {"prose": 0.965, "*": 0.035}
 ROUNDS = 40
 
 

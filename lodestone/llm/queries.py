@@ -37,8 +37,9 @@ b AS (
   GROUP BY l.host, l.line, t.total HAVING count(*) >= {line_dedup.MIN_PAGES} AND count(*) > t.total * {line_dedup.RATIO!r}::DOUBLE),
 k AS (SELECT host, list(line) AS dropped FROM b GROUP BY host),
 r AS (
-  SELECT p.page_id, p.host, p.lines, list_filter(p.lines, lambda x: NOT list_contains(coalesce(k.dropped, []), x)) AS kept
-  FROM p LEFT JOIN k ON p.host = k.host)
+  SELECT page_id, host, lines, CASE WHEN len(kept) > 0 THEN kept ELSE lines END AS kept FROM (
+    SELECT p.page_id, p.host, p.lines, list_filter(p.lines, lambda x: NOT list_contains(coalesce(k.dropped, []), x)) AS kept
+    FROM p LEFT JOIN k ON p.host = k.host))
 SELECT page_id, host, len(lines)::BIGINT AS n_lines, (len(lines) - len(kept))::BIGINT AS n_dropped,
        md5(coalesce(array_to_string(kept, chr(10)), '')) AS kept_md5
 FROM r
@@ -147,7 +148,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_simhash_near_dedup")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "fingerprint", "component_id")
 
 
 # --- 9: substring dedup over documents ------------------------------------------

@@ -29,10 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, key128
 from .components import components
 
 RADIUS, SHINGLE, SEED, BUCKET = 3, 3, 42, 2048
+#: Row keys (16 bytes each) up to which they are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def covering_masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
@@ -72,14 +74,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, fp (the fingerprint as a signed long)."""
+    """docs (doc_id, text) -> doc_id, fp (the fingerprint as a signed long), a and b (which tell rows apart)."""
 
     def run(batches):
         for batch in batches:
             fps = np.array([fingerprint(t, shingle, seed) for t in batch.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps), batch.column("a"), batch.column("b")], names=["doc_id", "fp", "a", "b"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    a, b = key128(F.col("doc_id"), F.col("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", a.alias("a"), b.alias("b")).mapInArrow(run, "doc_id long, fp long, a long, b long")
 
 
 def forest(values: np.ndarray, radius: int) -> np.ndarray:
@@ -155,11 +158,30 @@ def link(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFram
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, bucket: int = BUCKET) -> DataFrame:
-    """docs (doc_id, text, ...) -> doc_id, fingerprint (16 hex digits), component_id."""
+    """docs (doc_id, text, ...) -> doc_id, fingerprint (16 hex digits), component_id, a, b."""
     marked = cut(fingerprints(docs, shingle, seed))
     classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(link(classes.select("fp"), radius, bucket))
     labelled = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     named = labelled.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "a", "b")
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """docs without the rows whose class has a row with a smaller doc_id (equal rows: one stays)."""
+    classes = cut(near_duplicates(docs, **options))
+    stay = classes.groupBy("component_id").agg(F.min(F.struct("doc_id", "a", "b")).alias("s")).select("s.a", "s.b")
+    gone = cut(classes.select("a", "b").distinct().join(stay, ["a", "b"], "left_anti"))
+    again = cut(classes.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b").join(stay, ["a", "b"], "left_semi"))
+    a, b = key128(F.col("doc_id"), F.col("text"))
+    rows = docs.withColumns({"__a": a, "__b": b})
+
+    def keyed(keys):
+        keys = keys.select(F.col("a").alias("__a"), F.col("b").alias("__b"))
+        return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+    left = rows.join(keyed(gone), ["__a", "__b"], "left_anti")
+    if not again.isEmpty():
+        left = left.join(keyed(again), ["__a", "__b"], "left_anti").unionByName(left.join(keyed(again), ["__a", "__b"], "left_semi").dropDuplicates(["__a", "__b"]))
+    return left.select(*docs.columns)
