@@ -1,6 +1,8 @@
-"""Registry of the engine's own queries (see the modules under ``plans``)."""
+"""All queries of the engine, from the modules under ``plans``."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import retrieval, scoring  # noqa: F401
+from .plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
