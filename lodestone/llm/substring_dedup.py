@@ -12,9 +12,9 @@ grouping of the blocks by anchor and content.
 
 Factors. A block whose whole content stands elsewhere in the reference is covered by a
 factor: all its windows are duplicates, and runs of such blocks are one long
-factor. Where a greedy factor ends, the block is unique though its anchor may be shared:
-only these boundary blocks are compared window by window, against each distinct
-block of the same anchor. Windows of a block whose anchor is unique occur nowhere else.
+factor. Where a greedy factor ends, the anchor is shared but the content differs: these
+boundary blocks are compared window by window with each distinct block of the same
+anchor. Windows of a block whose anchor is unique occur nowhere else.
 
 Only what is unique is reported back to a document, as a grouped count of one carries its
 place along (the least place of a group is *the* place if the count is one). So no group
@@ -41,6 +41,8 @@ from pyspark.sql import functions as F
 from .common import cut, key128
 
 WINDOW, SEED_WORDS = 35, 8
+#: Anchors (8 bytes each) up to which they are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -194,44 +196,47 @@ def _kept(window: int):
     return run
 
 
+def _exploded(df: DataFrame, *lists: str) -> DataFrame:
+    return df.select("a", "b", F.explode(F.arrays_zip(*lists)).alias("x")).select("a", "b", "x.*")
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, n_words, n_removed, kept_sha256."""
     a, b = key128(F.col("text"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", a.alias("a"), b.alias("b"))
-    blocks = (
-        rows.select("a", "b", "text")
-        .mapInArrow(_blocks(window, seed), "a long, b long, anchor array<long>, content array<long>, first array<int>, last array<int>")
-        .select("a", "b", F.explode(F.arrays_zip("anchor", "content", "first", "last")).alias("x"))
-        .select("a", "b", "x.*")
-    )
-    contents = blocks.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("a", "b", "first", "last")).alias("place"))
-    shared = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1").select("anchor", F.lit(True).alias("shared"))
-    told = (
-        contents.join(shared, "anchor", "left")
-        .select("place.*", F.least("n", F.lit(2)).cast("int").alias("n"), F.coalesce("shared", F.lit(False)).alias("shared"))
-        .where("n = 1 OR shared")
+    blocks = _exploded(
+        rows.select("a", "b", "text").mapInArrow(_blocks(window, seed), "a long, b long, anchor array<long>, content array<long>, first array<int>, last array<int>"),
+        "anchor",
+        "content",
+        "first",
+        "last",
     )
-    # lists are bounded by a text's own blocks
-    lists = cut(
-        told.groupBy("a", "b").agg(
-            F.collect_list(F.when(~F.col("shared"), F.struct("first", "last"))).alias("unique"),
-            F.collect_list(F.when(F.col("shared"), F.struct("first", "last", "n"))).alias("check"),
-        )
+    # Of a group of one, each maximum is the value itself: the place of a unique anchor.
+    # An anchor with several contents goes along in ``open``, under whatever key.
+    of_anchor = blocks.groupBy("anchor").agg(
+        F.count(F.lit(1)).alias("n"), F.min("content").alias("least"), F.max("content").alias("most"), *[F.max(c).alias(c) for c in ("a", "b", "first", "last")]
     )
-    # one text for each content that has a block to compare
-    checked = lists.where(F.size("check") > 0).select("a", "b", "check")
-    texts = rows.join(checked, ["a", "b"]).select("a", "b", "text", "check")
-    windows = (
-        texts.mapInArrow(_windows(window), "a long, b long, at array<int>, h array<long>, g array<long>, n array<int>")
-        .select("a", "b", F.explode(F.arrays_zip("at", "h", "g", "n")).alias("x"))
-        .select("a", "b", "x.*")
+    told = cut(
+        of_anchor.where("n = 1 OR least <> most")
+        .groupBy("a", "b")
+        .agg(F.collect_list(F.when(F.col("n") == 1, F.struct("first", "last"))).alias("unique"), F.collect_list(F.when(F.col("n") > 1, F.col("anchor"))).alias("open"))
     )
+    open_anchors = told.select(F.explode("open").alias("anchor"))
+    if open_anchors.count() <= BROADCAST_ROWS:
+        open_anchors = F.broadcast(open_anchors)
+    # One text for each content of such an anchor; its blocks are compared window by window.
+    contents = blocks.join(open_anchors, "anchor").groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("a", "b", "first", "last")).alias("place"))
+    checks = contents.select("place.*", F.least("n", F.lit(2)).cast("int").alias("n")).groupBy("a", "b").agg(F.collect_list(F.struct("first", "last", "n")).alias("check"))
+    # doc_id is not needed here, but with it the texts' exchange is the same as below and is reused
+    texts = rows.join(cut(checks), ["a", "b"]).select("a", "b", "doc_id", "text", "check")
+    windows = _exploded(texts.mapInArrow(_windows(window), "a long, b long, at array<int>, h array<long>, g array<long>, n array<int>"), "at", "h", "g", "n")
     lone = (
         windows.groupBy("h", "g")
-        .agg(F.sum("n").alias("n"), F.min(F.struct("a", "b", "at")).alias("place"))
+        .agg(F.sum("n").alias("n"), *[F.max(c).alias(c) for c in ("a", "b", "at")])
         .where("n = 1")
-        .groupBy("place.a", "place.b")
-        .agg(F.collect_list("place.at").alias("lone"))
+        .groupBy("a", "b")
+        .agg(F.collect_list("at").alias("lone"))
     )
-    told = lists.join(lone, ["a", "b"], "left").select("a", "b", "unique", "lone")
-    return rows.join(told, ["a", "b"], "left").select("doc_id", "text", "unique", "lone").mapInArrow(_kept(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    unique = told.where(F.size("unique") > 0).select("a", "b", "unique")
+    whole = rows.join(unique, ["a", "b"], "left").join(lone, ["a", "b"], "left")
+    return whole.select("doc_id", "text", "unique", "lone").mapInArrow(_kept(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
