@@ -145,7 +145,7 @@ def first_line(text: Column, prefixes: tuple[str, ...] = ("rewritten query:", "e
     out = F.regexp_replace(F.trim(text), r"^[\"']+|[\"']+$", "")
     for prefix in prefixes:
         out = F.trim(F.regexp_replace(F.trim(out), "(?i)^" + prefix, ""))
-    lines = F.filter(F.transform(F.split(out, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(out, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return F.coalesce(F.get(lines, F.lit(0)), F.lit(""))
 
 
