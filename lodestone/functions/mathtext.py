@@ -37,7 +37,7 @@ def argument(text: str, at: int) -> tuple[str, int]:
 
 
 def wrap(text: str) -> str:
-    return text if SIMPLE.fullmatch(text) else f"({text})"
+    return text if not text or SIMPLE.fullmatch(text) else f"({text})"
 
 
 def plain(text: str) -> str:
