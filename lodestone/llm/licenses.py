@@ -4,8 +4,8 @@ All templates (licence texts, notices and the base phrases) go into one suffix
 automaton over words. A text is streamed through it once and gives its matching
 statistics: at each word the longest match ending there. Matches that cannot be extended
 are the maximal common passages; long ones are chained, in order in both the text and
-the template, to covered template spans. A template whose covered share reaches
-``COVERAGE`` adds its label. Base phrases are found at each place where the automaton's state,
+the template, to covered template spans. A template of which a chain covers the share
+``COVERAGE``, or ``CERTAIN`` words, adds its label. Base phrases are found at each place where the automaton's state,
 or a state on its chain of suffix links, is the end of a whole phrase.
 
 Plan: one pass over the documents without a shuffle; the automaton has at most two
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LONG, COVERAGE, GAP = 4, 0.6, 12
+LONG, COVERAGE, GAP, CERTAIN = 4, 0.6, 12, 10
 
 #: Base phrases and their labels.
 BASE = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
@@ -177,15 +177,16 @@ class Scanner:
                 share = min(1.0, now[2] / self.size[t])
                 if share > best.get(t, (0,))[0]:
                     best[t] = (share, now[0], last)
-        return [(self.templates[t - len(self.base)][0], first, last, share) for t, (share, first, last) in sorted(best.items())]
+        named = [(self.templates[t - len(self.base)][0], first, last, share, share * self.size[t]) for t, (share, first, last) in sorted(best.items())]
+        return [(*s[:4], s[3] >= self.coverage or s[4] > CERTAIN - 0.5) for s in named]
 
     def row(self, text: str | None):
         n, places, spans = self.scan(text)
         base = sorted({self.base[k][1] for _, k in places})
-        found = sorted({*base, *(s[0] for s in spans if s[3] >= self.coverage)})
+        found = sorted({*base, *(s[0] for s in spans if s[4])})
         starts = [p for p, _ in places]
         score = 1.0 if places else max((s[3] for s in spans), default=0.0)
-        return n, len(places), min(starts, default=None), max(starts, default=None), ",".join(base), ",".join(found), score, [dict(zip(("label", "first", "last", "share"), s)) for s in spans if s[3] >= self.coverage]
+        return n, len(places), min(starts, default=None), max(starts, default=None), ",".join(base), ",".join(found), score, [dict(zip(("label", "first", "last", "share"), s)) for s in spans if s[4]]
 
 
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, base=BASE, long: int = LONG, coverage: float = COVERAGE, gap: int = GAP) -> DataFrame:

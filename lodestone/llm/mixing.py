@@ -104,7 +104,8 @@ def mix(docs: DataFrame, sources: dict = SOURCES, langs: dict = LANGS, topics: d
     ).withColumn("__t", _group(F.col("__topic"), topics))
     cells = marked.groupBy(F.col("__s").alias("s"), F.col("__l").alias("l"), F.col("__t").alias("t")).agg(F.sum("__tokens").alias("tokens"))
     chances = rake(cells, sources, langs, topics, rounds)  # at most (S+1)(L+1)(T+1) rows
-    joined = marked.join(F.broadcast(chances), [F.col("__s") == F.col("s"), F.col("__l") == F.col("l"), F.col("__t") == F.col("t")], "left")
-    return joined.withColumns(
-        {"__weight": F.coalesce("weight", F.lit(0.0)), "__p": F.coalesce("p", F.lit(0.0)), "__sampled": draw(F.coalesce(F.col("doc_id"), F.lit(-1))) < F.coalesce("p", F.lit(0.0))}
-    ).drop("__s", "__l", "__t", "s", "l", "t", "weight", "p")
+    chances = chances.select(*[F.col(c).alias(f"__c_{c}") for c in chances.columns])
+    joined = marked.join(F.broadcast(chances), [F.col(f"__{d}") == F.col(f"__c_{d}") for d in "slt"], "left")
+    p = F.coalesce("__c_p", F.lit(0.0))
+    told = {"__weight": F.coalesce("__c_weight", F.lit(0.0)), "__p": p, "__sampled": draw(F.coalesce(F.col("doc_id"), F.lit(-1))) < p}
+    return joined.withColumns(told).drop("__s", "__l", "__t", *chances.columns)

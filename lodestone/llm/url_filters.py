@@ -77,7 +77,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
         .where(F.sha2("expression", 256) == F.col("digest"))
         .groupBy("__host", "__head")
         .agg(F.max(F.struct(F.length("rule").alias("n"), F.col("rule_verdict"), F.col("rule"))).alias("best"))
-        .select(F.col("__host").alias("hit_host"), F.col("__head").alias("hit_head"), F.col("best.rule").alias("rule"), F.col("best.rule_verdict").alias("rule_verdict"))
+        .select(F.col("__host").alias("__hit_host"), F.col("__head").alias("__hit_head"), F.col("best.rule").alias("__rule"), F.col("best.rule_verdict").alias("__verdict"))
     )
-    joined = parts.join(hits, (F.col("__host") == F.col("hit_host")) & (F.col("__head") == F.col("hit_head")), "left")
-    return joined.withColumns({"verdict": F.coalesce("rule_verdict", F.lit(default)), "host": F.col("__host"), "path": F.col("__path")}).drop("__host", "__path", "__head", "hit_host", "hit_head", "rule_verdict")
+    joined = parts.join(hits, (F.col("__host") == F.col("__hit_host")) & (F.col("__head") == F.col("__hit_head")), "left")
+    told = {"host": F.col("__host"), "path": F.col("__path"), "rule": F.col("__rule"), "verdict": F.coalesce("__verdict", F.lit(default))}
+    return joined.withColumns(told).drop("__host", "__path", "__head", "__hit_host", "__hit_head", "__rule", "__verdict")
