@@ -9,9 +9,10 @@ Plan: each page's distinct lines are hashed to 128 bits in place, so what is shu
 is (host, hash) and never the text. Counts combine before the shuffle and are keyed
 by (host, line), so a hot host is spread over its lines. Only the boilerplate hashes
 come back, as one list a site. A line of the list stands on more than ``ratio`` of the
-site's pages, so the list is shorter than (mean lines a page) / ratio. The join on the
-site has one row a site on its small side: Spark broadcasts it if its measured size
-allows, and else splits the hot site's partition (skew join).
+site's pages, so the list is shorter than (mean lines a page) / ratio. The lists are
+written to the checkpoint folder and measured: up to ``BROADCAST_HASHES`` they are broadcast
+and pages never move; beyond, the join is shuffled and the hot site's partition is
+split (skew join).
 
 Edge cases: null text counts as empty text (one empty line); blank lines are never
 boilerplate and are kept; a null host is a site of its own; repeated rows count as
@@ -23,7 +24,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 RATIO, MIN_PAGES = 0.1, 5
+#: Hashes (8 bytes each, and as much as 8 of them for a site) up to which the lists are broadcast.
+BROADCAST_HASHES = 2_000_000
 
 BREAKS = r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|</?(?:p|br|div|li|ul|ol|h[1-6]|tr|td|table|nav|article|section|title|head|body|html|footer|header)\b[^>]*>|\n"
 TAGS = r"<[^>]*>"
@@ -55,8 +60,9 @@ def drop_boilerplate(pages: DataFrame, host: Column, lines: Column, ratio: float
         .where(F.col("n") > F.col("total") * F.lit(float(ratio)))
     )
     # A site has fewer such lines than its mean number of lines a page, over the ratio.
-    per_site = boiler.groupBy("__site").agg(F.collect_set("key.a").alias("__drop"))
-    joined = base.join(per_site, "__site", "left")
+    per_site = cut(boiler.groupBy("__site").agg(F.collect_set("key.a").alias("__drop")))
+    hashes = per_site.agg(F.sum(F.size("__drop") + 8)).first()[0] or 0
+    joined = base.join(F.broadcast(per_site) if hashes <= BROADCAST_HASHES else per_site, "__site", "left")
     hashes = F.transform("__lines", lambda x: F.xxhash64(x))
     joined = joined.withColumn("__hit", F.array_intersect(F.coalesce("__drop", F.array().cast("array<bigint>")), hashes))
     kept = F.when(F.size("__hit") == 0, F.col("__lines")).otherwise(F.filter("__lines", lambda x: ~F.array_contains("__hit", F.xxhash64(x)) | (F.trim(x) == "")))
