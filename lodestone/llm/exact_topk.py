@@ -160,7 +160,7 @@ def meet(queries: DataFrame, candidates: DataFrame, query_bytes: int, slots: int
     c = candidates.select("size", "ids", "whole")
     if query_bytes <= BROADCAST_BYTES:
         return c.join(F.broadcast(q), "size")
-    c = c.withColumn("slot", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(slots)).cast("int"))
+    c = c.withColumn("slot", F.pmod(F.xxhash64("ids"), F.lit(slots)).cast("int"))
     q = q.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
     return q.join(c, ["size", "slot"])
 
