@@ -8,17 +8,20 @@ against brute force over the sample, reach ``RECALL``; visiting all leaves is ex
 the target can always be reached.
 
 Plan: the sample and the tree are bounded by parameters (the tree goes to the tasks in
-their closure). Rows are packed by leaf in place, queries by the leaves they visit, and
-both meet in an equi-join on the leaf. A leaf is many blocks, so a crowded leaf is split
-by blocks; of equal vectors in a block only the k+1 smallest ids can matter and only they
-are kept. Each task merges its finds to the k best a query before they are shuffled.
+their closure). Rows are packed with their leaves in place, queries with a bit for each leaf
+they visit; only rows of visited leaves are candidates. If the queries' measured size is
+under ``BROADCAST_BYTES`` they are broadcast and rows never move. Else rows are dealt to slots
+of neighbouring leaves, each query block goes to the slots it visits, and both meet in
+an equi-join on the slot. A crowded leaf is many blocks, so it can be split; of
+equal vectors in a block only the k+1 smallest ids can matter and only they are kept. Each
+task merges its finds to the k best a query before they are shuffled.
 
 Scores are inner products in double precision of the original vectors, summed in the same
 order for equal vectors, so ties are exact and go to the smaller id.
 
 Edge cases: null, zero and empty vectors and those with null or non-finite components take
-no part, nor do null ids; vectors of another length than the most common in the sample are
-all put in one leaf a length that every query of that length visits; a query's own id
+no part, nor do null ids; vectors only meet others of their length, and those of another
+length than the most common in the sample are searched whole; a query's own id
 is no candidate; an empty table gives an empty result.
 """
 
@@ -32,13 +35,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exact_topk import best, least_copies, pack_blocks, valid
+from .exact_topk import BROADCAST_BYTES, best, least_copies, pack_blocks, valid
 
-K, SAMPLE, BRANCH, LEAF_SAMPLE, RECALL, TRIALS, BLOCK = 20, 16384, 16, 64, 0.95, 200, 4096
+K, SAMPLE, BRANCH, LEAF_SAMPLE, RECALL, TRIALS, BLOCK, QUERY_BLOCK = 20, 16384, 16, 64, 0.95, 200, 16384, 1024
 MERGE_ROWS = 400_000
 
-PACKED = "leaf int, ids binary, whole binary, size int"
-
 
 def kmeans(rows: np.ndarray, k: int, rng, rounds: int = 8):
     """(centres, label of each row), empty clusters dropped."""
@@ -127,41 +128,58 @@ class Tree:
         return int(min(self.leaves, np.searchsorted(reached, recall) + 1))
 
 
-def _by_leaf(ids, rows, leaves, size, block, copies):
-    """Rows of PACKED, for ids and rows that are repeated for each of their leaves."""
-    order = np.argsort(leaves, kind="stable")
-    for part in np.split(order, np.flatnonzero(np.diff(leaves[order])) + 1):
-        if len(part):
-            n, x = ids[part], rows[part]
-            if copies:
-                n, x = least_copies(n, x, copies)
-            for at in range(0, len(n), block):
-                yield int(leaves[part[0]]), n[at : at + block].astype("<i8").tobytes(), np.ascontiguousarray(x[at : at + block], "<f8").tobytes(), size
+def _vectors(ids: bytes, whole: bytes, size: int):
+    ids = np.frombuffer(ids, "<i8")
+    rows = np.frombuffer(whole, "<f8").reshape(len(ids), size)
+    some = (rows != 0).any(axis=1)
+    return ids[some], rows[some]
+
+
+def _batch(rows: list[tuple], schema: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(zip(*rows), schema)], names=[n for n, _ in schema])
+
 
+_PLACED = [("size", pa.int32()), ("slot", pa.int32()), ("leaves", pa.binary()), ("ids", pa.binary()), ("whole", pa.binary())]
+_ASKED = [("size", pa.int32()), ("slots", pa.list_(pa.int32())), ("q_ids", pa.binary()), ("q_whole", pa.binary()), ("visits", pa.binary())]
 
-def _placed(tree: Tree, visits: int | None, block: int, copies: int | None):
-    """Blocks by leaf: of rows (visits None) or of queries, once for each leaf they visit."""
+
+def _placed(tree: Tree, slots: int, copies: int):
+    """Blocks of rows with their leaves, split by slot: neighbouring leaves share one."""
 
     def run(batches):
         for batch in batches:
-            for size, raw_ids, whole in zip(*[batch.column(c).to_pylist() for c in ("size", "ids", "whole")]):
-                ids = np.frombuffer(raw_ids, "<i8")
-                rows = np.frombuffer(whole, "<f8").reshape(len(ids), size)
-                some = (rows != 0).any(axis=1)
-                ids, rows = ids[some], rows[some]
-                if size != tree.size:  # one leaf for each other length
-                    leaves = np.full(len(ids), -1 - size)
-                elif visits is None:
-                    leaves = tree.assign(rows)
-                else:
-                    lists = [tree.visit(x, visits) for x in rows]
-                    n = [len(x) for x in lists]
-                    ids, rows = np.repeat(ids, n), np.repeat(rows, n, axis=0)
-                    leaves = np.concatenate(lists) if lists else np.empty(0, int)
-                out = list(_by_leaf(ids, rows, leaves, size, block, copies))
+            for size, raw, whole in zip(*[batch.column(c).to_pylist() for c in ("size", "ids", "whole")]):
+                ids, rows = least_copies(*_vectors(raw, whole, size), copies)
+                leaves = tree.assign(rows) if size == tree.size else np.zeros(len(ids), np.int32)
+                slot = leaves.astype(np.int64) * slots // max(1, tree.leaves)
+                order = np.lexsort((ids, leaves))
+                out = []
+                for part in np.split(order, np.flatnonzero(np.diff(slot[order])) + 1):
+                    if len(part):
+                        out.append((size, int(slot[part[0]]), leaves[part].astype("<i4").tobytes(), ids[part].astype("<i8").tobytes(), np.ascontiguousarray(rows[part], "<f8").tobytes()))
                 if out:
-                    leaf, n, x, s = zip(*out)
-                    yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), pa.array(n, pa.binary()), pa.array(x, pa.binary()), pa.array(s, pa.int32())], names=["leaf", "ids", "whole", "size"])
+                    yield _batch(out, _PLACED)
+
+    return run
+
+
+def _asked(tree: Tree, visits: int, slots: int):
+    """Blocks of queries with the leaves each one visits, as bits, and the slots that holds any."""
+
+    def run(batches):
+        for batch in batches:
+            for size, raw, whole in zip(*[batch.column(c).to_pylist() for c in ("size", "ids", "whole")]):
+                ids, rows = _vectors(raw, whole, size)
+                if not len(ids):
+                    continue
+                visited = np.zeros((len(ids), max(1, tree.leaves)), dtype=bool)
+                if size == tree.size:
+                    for q, row in enumerate(rows):
+                        visited[q, tree.visit(row, visits)] = True
+                else:
+                    visited[:] = True
+                held = sorted({int(x) * slots // max(1, tree.leaves) for x in np.flatnonzero(visited.any(axis=0))})
+                yield _batch([(size, held, ids.astype("<i8").tobytes(), np.ascontiguousarray(rows, "<f8").tobytes(), np.packbits(visited, axis=1).tobytes())], _ASKED)
 
     return run
 
@@ -174,45 +192,60 @@ def keep_best(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int):
     return query[order], vec[order], score[order]
 
 
-def _scored(k: int):
-    def near(q, q_rows, ids, rows):
-        """Of each query: the k best of the block, with scores summed alike for equal rows."""
+def _scored(k: int, leaves: int):
+    leaves = max(1, leaves)
+
+    def near(q, q_rows, visited, ids, rows, leaf):
+        """Of each query: the k best rows in the leaves it visits, with scores summed alike for equal rows."""
+        some = visited.any(axis=0)[leaf]  # rows that any of these queries reads
+        ids, rows, leaf = ids[some], rows[some], leaf[some]
+        if not len(ids):
+            return None
         scores = q_rows @ rows.T
-        scores[q[:, None] == ids[None, :]] = -np.inf
+        scores[~visited[:, leaf] | (q[:, None] == ids[None, :])] = -np.inf
         n = min(k + 4, len(ids))  # some more, as the last bits of a product may differ
         top = np.argpartition(-scores, n - 1, axis=1)[:, :n]
-        exact = (q_rows[:, None, :] * rows[top]).sum(axis=2)
-        fine = np.isfinite(np.take_along_axis(scores, top, axis=1)) & (ids[top] != q[:, None])
-        return np.repeat(q, n)[fine.ravel()], ids[top].ravel()[fine.ravel()], exact.ravel()[fine.ravel()]
+        fine = np.isfinite(np.take_along_axis(scores, top, axis=1)).ravel()
+        exact = (q_rows[:, None, :] * rows[top]).sum(axis=2).ravel()
+        return np.repeat(q, n)[fine], ids[top].ravel()[fine], exact[fine]
 
     def run(batches):
         held, rows_held = [], 0
 
+        def merged():
+            return keep_best(*[np.concatenate(x) for x in zip(*held)], k)
+
         def out():
             return pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], names=["query_id", "vec_id", "score"])
 
+        columns = ("size", "q_ids", "q_whole", "visits", "leaves", "ids", "whole")
         for batch in batches:
-            for size, q_ids, q_whole, ids, whole in zip(*[batch.column(c).to_pylist() for c in ("size", "q_ids", "q_whole", "ids", "whole")]):
-                q, n = np.frombuffer(q_ids, "<i8"), np.frombuffer(ids, "<i8")
-                q_rows, rows = np.frombuffer(q_whole, "<f8").reshape(len(q), size), np.frombuffer(whole, "<f8").reshape(len(n), size)
-                for at in range(0, len(q), 256):
-                    held.append(near(q[at : at + 256], q_rows[at : at + 256], n, rows))
-                    rows_held += len(held[-1][0])
+            for at in range(batch.num_rows):
+                size, q_ids, q_whole, bits, leaf, ids, whole = (batch.column(c)[at].as_py() for c in columns)
+                q, ids, leaf = np.frombuffer(q_ids, "<i8"), np.frombuffer(ids, "<i8"), np.frombuffer(leaf, "<i4")
+                q_rows, rows = np.frombuffer(q_whole, "<f8").reshape(len(q), size), np.frombuffer(whole, "<f8").reshape(len(ids), size)
+                visited = np.unpackbits(np.frombuffer(bits, np.uint8).reshape(len(q), -1), axis=1, count=leaves).astype(bool)
+                for first in range(0, len(q), 64):
+                    part = slice(first, first + 64)
+                    found = near(q[part], q_rows[part], visited[part], ids, rows, leaf)
+                    if found:
+                        held.append(found)
+                        rows_held += len(found[0])
                 if rows_held > MERGE_ROWS:
-                    held = [keep_best(*[np.concatenate(x) for x in zip(*held)], k)]
+                    held = [merged()]
                     rows_held = len(held[0][0])
                     if rows_held > MERGE_ROWS // 2:
                         yield out()
                         held, rows_held = [], 0
         if rows_held:
-            held = [keep_best(*[np.concatenate(x) for x in zip(*held)], k)]
+            held = [merged()]
             yield out()
 
     return run
 
 
 def fit(vectors: DataFrame, k: int, sample: int, branch: int, leaf_rows: int, recall: float, trials: int):
-    """(tree, visits) from about ``sample`` rows."""
+    """(tree, visits, rows in all) from about ``sample`` rows."""
     n = vectors.count()
     share = min(1.0, sample / max(1, n))
     picked = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).limit(2 * sample)
@@ -229,7 +262,7 @@ def fit(vectors: DataFrame, k: int, sample: int, branch: int, leaf_rows: int, re
     rows = rows[order]
     rows = rows[(rows != 0).any(axis=1)]
     tree = Tree(rows, branch, leaf_rows)
-    return tree, tree.calibrate(rows, k, recall, trials)
+    return tree, tree.calibrate(rows, k, recall, trials), n
 
 
 def nearest_neighbours(
@@ -237,8 +270,16 @@ def nearest_neighbours(
 ) -> DataFrame:
     """vectors, queries (vec_id, embedding, ...) -> query_id, rank, vec_id, score."""
     vectors, queries = valid(vectors), valid(queries)
-    tree, visits = fit(vectors, k, sample, branch, leaf_rows, recall, trials)
-    placed = pack_blocks(vectors, 4 * block, None).mapInArrow(_placed(tree, None, block, k + 1), PACKED)
-    asked = pack_blocks(queries, 1024, None).mapInArrow(_placed(tree, visits, 1024, None), PACKED)
-    pairs = asked.select("leaf", F.col("ids").alias("q_ids"), F.col("whole").alias("q_whole")).join(placed, "leaf")
-    return best(pairs.mapInArrow(_scored(k), "query_id long, vec_id long, score double"), k)
+    tree, visits, n = fit(vectors, k, sample, branch, leaf_rows, recall, trials)
+    query_bytes = queries.agg(F.sum(8 * F.size("embedding") + 8 + tree.leaves // 8)).first()[0] or 0
+    small = query_bytes <= BROADCAST_BYTES
+    slots = 1 if small else max(queries.sparkSession.sparkContext.defaultParallelism, -(-n // block))
+    schema = "size int, slot int, leaves binary, ids binary, whole binary"
+    placed = pack_blocks(vectors, block, None).mapInArrow(_placed(tree, slots, k + 1), schema)
+    schema = "size int, slots array<int>, q_ids binary, q_whole binary, visits binary"
+    asked = pack_blocks(queries, QUERY_BLOCK, None).mapInArrow(_asked(tree, visits, slots), schema)
+    if small:
+        pairs = placed.drop("slot").join(F.broadcast(asked.drop("slots")), "size")
+    else:
+        pairs = asked.withColumn("slot", F.explode("slots")).drop("slots").join(placed, ["size", "slot"])
+    return best(pairs.mapInArrow(_scored(k, tree.leaves), "query_id long, vec_id long, score double"), k)

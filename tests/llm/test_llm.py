@@ -294,6 +294,14 @@ def test_tree_search(spark):
     assert {i for i, _ in got[2600]} == {2700}  # the other length meets its own kind
 
 
+def test_tree_search_by_slots(spark, monkeypatch):
+    df = spark.createDataFrame(vectors(), "vec_id long, embedding array<float>")
+    queries = df.where("vec_id % 20 = 0")
+    want = Counter(map(tuple, ann.nearest_neighbours(df, queries, k=5, leaf_rows=16).collect()))
+    monkeypatch.setattr(ann, "BROADCAST_BYTES", 0)
+    assert Counter(map(tuple, ann.nearest_neighbours(df, queries, k=5, leaf_rows=16, block=32).collect())) == want
+
+
 # --- 5 -------------------------------------------------------------------------
 
 
