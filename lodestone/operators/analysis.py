@@ -50,8 +50,11 @@ def _any_substring(text: Column, parts: list[str]) -> Column:
 
 def marker_hits(text: Column, markers: list[str]) -> Column:
     """Distinct marker words in a text."""
-    found = F.filter(F.array_distinct(F.split(F.lower(text), r"(?U)[^\w]+")), lambda w: w.isin(markers))
-    return F.size(found)
+    return _shared(F.split(F.lower(text), r"(?U)[^\w]+"), markers)
+
+
+def _shared(words: Column, markers: list[str]) -> Column:
+    return F.size(F.array_intersect(words, F.array(*[F.lit(m) for m in dict.fromkeys(markers)])))
 
 
 def neutral(text: Column) -> Column:
@@ -62,14 +65,21 @@ def neutral(text: Column) -> Column:
 def language(text: Column, detector: Column | None = None) -> Column:
     """struct(language, confidence). ``detector``: struct(language, confidence) of a statistical
     detector, asked only where the markers are even; without one the markers decide alone."""
-    plain = neutral(F.coalesce(text, F.lit("")))
-    local, english = marker_hits(plain, ID_MARKERS), marker_hits(plain, EN_MARKERS)
     made = lambda name, sure: F.struct(F.lit(name).alias("language"), F.lit(sure).cast("double").alias("confidence"))
-    rest = F.when(local > 0, made("id", 0.0)).otherwise(made("en", 0.0))
-    if detector is not None:
-        trusted = detector["language"].isin("en", "id") & (detector["confidence"] >= 0.7)
-        rest = F.when(trusted, detector).otherwise(F.when(local > 0, F.struct(F.lit("id").alias("language"), detector["confidence"].alias("confidence"))).otherwise(F.struct(F.lit("en").alias("language"), detector["confidence"].alias("confidence"))))
-    return F.when(F.trim(F.coalesce(text, F.lit(""))) == "", made("other", 0.0)).when(local > english, made("id", 1.0)).when(english > local, made("en", 1.0)).otherwise(rest)
+
+    def decide(n):
+        local, english = n["local"], n["english"]
+        rest = F.when(local > 0, made("id", 0.0)).otherwise(made("en", 0.0))
+        if detector is not None:
+            sure = lambda name: F.struct(F.lit(name).alias("language"), detector["confidence"].alias("confidence"))
+            trusted = detector["language"].isin("en", "id") & (detector["confidence"] >= 0.7)
+            rest = F.when(trusted, detector).when(local > 0, sure("id")).otherwise(sure("en"))
+        return F.when(local > english, made("id", 1.0)).when(english > local, made("en", 1.0)).otherwise(rest)
+
+    count = lambda words: F.struct(_shared(words, ID_MARKERS).alias("local"), _shared(words, EN_MARKERS).alias("english"))
+    words = F.split(F.lower(neutral(F.coalesce(text, F.lit("")))), r"(?U)[^\w]+")
+    blank = F.trim(F.coalesce(text, F.lit(""))) == ""
+    return F.when(blank, made("other", 0.0)).otherwise(bind(bind(words, count), decide))
 
 
 def intent(text: Column) -> Column:

@@ -109,17 +109,20 @@ def assignments(query: Column) -> Column:
         zipped = F.arrays_zip(F.regexp_extract_all(query, p, F.lit(1)).alias("v"), F.regexp_extract_all(query, p, F.lit(2)).alias("u"))
         return F.transform(zipped, lambda x: F.struct(F.lit("@" + alias).alias("name"), _number(x["v"]).alias("value"), x["u"].alias("unit")))
 
-    parts = [phrase(alias) for alias, _ in ALIASES]
-    rest = query
+    some = query.rlike("(?i)" + "|".join(rf"\Q{a}\E" for a, _ in ALIASES))  # most texts hold none of the phrases
+    none = F.array().cast("array<struct<name:string,value:double,unit:string>>")
+    phrases = F.when(some, F.concat(*[phrase(alias) for alias, _ in ALIASES])).otherwise(none)
+    cut = query
     for alias, _ in ALIASES:
-        rest = F.regexp_replace(rest, _alias_pattern(alias), " ")
+        cut = F.regexp_replace(cut, _alias_pattern(alias), " ")
+    rest = F.when(some, cut).otherwise(query)
 
     def named(text):
         p = F.lit(_ASSIGNED)
         zipped = F.arrays_zip(*[F.regexp_extract_all(text, p, F.lit(g)).alias(n) for g, n in ((1, "n"), (2, "v"), (3, "u"))])
         return F.transform(zipped, lambda x: F.struct(x["n"].alias("name"), _number(x["v"]).alias("value"), x["u"].alias("unit")))
 
-    return F.concat(*parts, bind(rest, named))
+    return F.concat(phrases, bind(rest, named))
 
 
 def stated(found: Column, query: Column, formula: Formula) -> dict[str, Column]:
