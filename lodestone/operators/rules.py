@@ -9,8 +9,7 @@ tokens are tables of their own, (topic, term) rows, so users append to them:
 * tokens (topic, parameter, term): topics with several parameters; each hit adds ``BONUS``.
 
 Every term becomes a plain substring test of a text that is padded with spaces, so terms are
-matched without regexes. Terms are tested once per (query, term), and the rules meet the
-queries only through terms that hit: an equi-join on the topic, not a cross product.
+matched without regexes, all tables' terms in one pass over the texts.
 """
 
 from __future__ import annotations
@@ -49,20 +48,33 @@ def texts(queries: DataFrame) -> DataFrame:
 
 
 def hits(queries: DataFrame, terms: DataFrame, column: str, keys: list[str]) -> DataFrame:
-    """(query_id, keys, needle, in) of the terms that occur in each query's text.
+    """(query_id, keys) of the terms (keys, term) that occur in each query's text, a row a term."""
+    found = all_hits(queries, {"terms": (terms, column, keys)})["terms"]
+    return found
 
-    ``terms`` is a rule dictionary; it is packed to one array a key group and sent to the
-    queries, where a filter keeps what occurs. Nothing is emitted for terms that don't.
+
+def all_hits(queries: DataFrame, gates: dict[str, tuple[DataFrame, str, list[str]]]) -> dict[str, DataFrame]:
+    """name -> (query_id, keys), of several term tables (terms, text column, keys) in one pass over the texts.
+
+    Term tables are configuration, as the rules are: they are read to the driver once, become
+    one literal dictionary, and a filter over it keeps what occurs in a text. Nothing is
+    emitted for terms that don't, and no query meets a rule that it has no term of.
     """
-    packed = terms.select(F.struct(*keys, needle(F.col("term")).alias("needle")).alias("t")).where("t.needle IS NOT NULL").agg(F.collect_set("t").alias("terms"))
-    dictionary = [r for r in packed.first()["terms"]]
     spark = queries.sparkSession
-    if not dictionary:
-        return queries.select("query_id", *[F.lit(None).cast(terms.schema[k].dataType).alias(k) for k in keys], F.lit("").alias("needle")).where(F.lit(False))
-    schema = packed.schema["terms"].dataType.elementType
-    one = F.broadcast(spark.createDataFrame([([tuple(r) for r in dictionary],)], "terms array<" + schema.simpleString() + ">").withColumn("__one", F.lit(1)))
-    joined = queries.withColumn("__one", F.lit(1)).join(one, "__one")
-    return joined.select("query_id", F.explode(F.filter("terms", lambda t: F.col(column).contains(t["needle"]))).alias("t")).select("query_id", "t.*")
+    tagged = None
+    for name, (terms, column, keys) in gates.items():
+        part = terms.select(F.lit(name).alias("gate"), F.lit(column == "original").alias("own"), F.to_json(F.struct(*keys)).alias("key"), needle(F.col("term")).alias("needle")).where("needle IS NOT NULL")
+        tagged = part if tagged is None else tagged.unionByName(part)
+    dictionary = [tuple(r) for r in tagged.collect()]
+    kind = "array<struct<gate:string,own:boolean,key:string,needle:string>>"
+    one = spark.createDataFrame([(1, dictionary)], f"one int, terms {kind}")
+    occurs = F.filter("terms", lambda t: F.when(t["own"], F.col("original")).otherwise(F.col("combined")).contains(t["needle"]))
+    found = queries.withColumn("one", F.lit(1)).join(F.broadcast(one), "one").select("query_id", F.explode(occurs).alias("t")).select("query_id", "t.gate", "t.key").cache()
+    out = {}
+    for name, (terms, _, keys) in gates.items():
+        schema = ", ".join(f"`{k}` {terms.schema[k].dataType.simpleString()}" for k in keys)
+        out[name] = found.where(F.col("gate") == name).select("query_id", F.from_json("key", schema).alias("k")).select("query_id", "k.*")
+    return out
 
 
 def match_rules(queries: DataFrame, rules: DataFrame, gates: Gates, least: int = LEAST) -> DataFrame:
@@ -71,15 +83,23 @@ def match_rules(queries: DataFrame, rules: DataFrame, gates: Gates, least: int =
     Queries whose best total is shared, or whose best rule lacks the parameter token it
     needs, get no row.
     """
-    text = texts(queries).cache()
-    triggers = rules.select("rule_id", "topic", "parameter", F.posexplode("trigger_terms").alias("at", "term"))
-    fired = hits(text, triggers, "combined", ["rule_id", "topic", "at"]).groupBy("query_id", "rule_id", "topic").agg(F.array_sort(F.collect_list("at")).alias("matched"))
+    triggers = rules.select("rule_id", "topic", F.posexplode("trigger_terms").alias("at", "term"))
     # parameter tokens: a rule without a parameter takes those of all parameters of its topic
     multi = gates.tokens.select("topic").distinct()
     own = rules.select("rule_id", "topic", "parameter")
     wanted = own.join(gates.tokens.withColumnRenamed("parameter", "of"), "topic").where(F.col("parameter").isNull() | (F.col("parameter") == F.col("of")))
-    wanted = wanted.select("rule_id", "topic", F.monotonically_increasing_id().alias("token"), "term")
-    bonus = hits(text, wanted, "combined", ["rule_id", "topic", "token"]).groupBy("query_id", "rule_id", "topic").agg((F.count(F.lit(1)) * BONUS).alias("bonus"))
+    found = all_hits(
+        texts(queries),
+        {
+            "trigger": (triggers, "combined", ["rule_id", "topic", "at"]),
+            "token": (wanted, "combined", ["rule_id", "topic"]),
+            "context": (gates.context, "original", ["topic"]),
+            "anchor": (gates.anchors, "combined", ["topic"]),
+            "exclude": (gates.excludes, "combined", ["topic"]),
+        },
+    )
+    fired = found["trigger"].groupBy("query_id", "rule_id", "topic").agg(F.array_sort(F.collect_list("at")).alias("matched"))
+    bonus = found["token"].groupBy("query_id", "rule_id", "topic").agg((F.count(F.lit(1)) * BONUS).alias("bonus"))
     scored = (
         fired.join(bonus, ["query_id", "rule_id", "topic"], "full_outer")
         .withColumns({"base": F.coalesce(F.size("matched"), F.lit(0)), "bonus": F.coalesce("bonus", F.lit(0))})
@@ -88,16 +108,15 @@ def match_rules(queries: DataFrame, rules: DataFrame, gates: Gates, least: int =
         .where(F.col("total") >= least)
     )
 
-    def need(gate: DataFrame, column: str) -> DataFrame:
-        """(query_id, topic) that pass a gate that topics listed in it must pass."""
-        passed = hits(text, gate, column, ["topic"]).select("query_id", "topic").distinct()
-        listed = gate.select("topic").distinct()
-        free = scored.join(listed, "topic", "left_anti")
-        return free.unionByName(scored.join(passed, ["query_id", "topic"], "left_semi"))
+    def need(gate: DataFrame, name: str) -> DataFrame:
+        """Rows that pass a gate that topics listed in it must pass."""
+        passed = found[name].select("query_id", "topic").distinct().withColumn("passed", F.lit(True))
+        listed = F.broadcast(gate.select("topic").distinct().withColumn("listed", F.lit(True)))
+        return scored.join(listed, "topic", "left").join(passed, ["query_id", "topic"], "left").where("listed IS NULL OR passed").drop("listed", "passed")
 
-    scored = need(gates.context, "original")
-    scored = need(gates.anchors, "combined")
-    scored = scored.join(hits(text, gates.excludes, "combined", ["topic"]).select("query_id", "topic").distinct(), ["query_id", "topic"], "left_anti")
+    scored = need(gates.context, "context")
+    scored = need(gates.anchors, "anchor")
+    scored = scored.join(found["exclude"].select("query_id", "topic").distinct(), ["query_id", "topic"], "left_anti")
 
     named = scored.join(rules.select("rule_id", "parameter", "rule_pos"), "rule_id").join(multi.withColumn("multi", F.lit(True)), "topic", "left")
     by_query = Window.partitionBy("query_id")
