@@ -7,7 +7,9 @@ short prefix, the full digest confirms, and the longest rule wins.
 The verdict depends only on the host and on the first ``max rule path`` characters
 of the path, so expressions are made once per distinct (host, path head) and not
 once per row: a hot host or page is one row there. Prefix lengths are limited to
-those that occur among the rules.
+those that occur among the rules. The judged pairs are written to the checkpoint folder and
+counted: up to ``BROADCAST_ROWS`` they are broadcast and pages never move; beyond, the join
+is shuffled and skewed keys are split.
 
 Edge cases: a null url or one without ``://`` has an empty host and path and matches
 nothing; an empty host label or port is kept as written; equal-length rules that both
@@ -21,7 +23,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, cut
+
+#: Judged (host, path head) pairs up to which they are broadcast; beyond, the join is shuffled.
+BROADCAST_ROWS = 500_000
 
 HOST = r"^(?s:.*?)://([^/?#]*)"
 PATH = r"^(?s:.*?)://[^/?#]*([^?#]*)"
@@ -79,6 +84,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
         .agg(F.max(F.struct(F.length("rule").alias("n"), F.col("rule_verdict"), F.col("rule"))).alias("best"))
         .select(F.col("__host").alias("__hit_host"), F.col("__head").alias("__hit_head"), F.col("best.rule").alias("__rule"), F.col("best.rule_verdict").alias("__verdict"))
     )
+    hits = cut(hits)
+    if hits.count() <= BROADCAST_ROWS:
+        hits = F.broadcast(hits)
     joined = parts.join(hits, (F.col("__host") == F.col("__hit_host")) & (F.col("__head") == F.col("__hit_head")), "left")
     told = {"host": F.col("__host"), "path": F.col("__path"), "rule": F.col("__rule"), "verdict": F.coalesce("__verdict", F.lit(default))}
     return joined.withColumns(told).drop("__host", "__path", "__head", "__hit_host", "__hit_head", "__rule", "__verdict")
