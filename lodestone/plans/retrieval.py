@@ -74,27 +74,32 @@ def vector_topk(spark, sf_dir):
     return R.vector_topk(table(spark, sf_dir, "embeddings"), query_vector(spark, sf_dir), 40)
 
 
+_MEANS = """SELECT label, list(x ORDER BY place) AS mean FROM (
+         SELECT label, place, round(avg(x), 6) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(1, len(embedding) + 1)) AS place FROM embeddings) GROUP BY label, place)
+       GROUP BY label"""
+
+
+def mean_of_labels(spark, sf_dir):
+    out = vectors.mean_vectors(table(spark, sf_dir, "embeddings"), "label", "embedding")
+    return out.select("label", F.transform("mean", lambda x: F.round(x, 6)).alias("mean"))
+
+
 @query(
     "vector_topk_batch",
-    f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {DISTANCE} AS distance
-          FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0 AND e.embedding IS NOT NULL)
-        SELECT query_id, rank, id, distance FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY distance, id))::INTEGER AS rank FROM s) WHERE rank <= 10""",
+    f"""WITH m AS ({_MEANS}),
+        s AS (SELECT label AS query_id, vec_id AS id, round(1.0 - list_cosine_similarity(embedding::DOUBLE[], mean), 6) AS distance
+          FROM (SELECT vec_id, embedding FROM embeddings), m WHERE embedding IS NOT NULL)
+        SELECT query_id, rank, id, distance FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY distance, id))::INTEGER AS rank FROM s) WHERE rank <= 40""",
 )
 def vector_topk_batch(spark, sf_dir):
-    vecs = table(spark, sf_dir, "embeddings")
-    queries = vecs.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    return R.vector_topk_batch(vecs.select(F.col("vec_id").alias("id"), "embedding"), queries, 10).select("query_id", "rank", "id", "distance")
+    vecs = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    queries = mean_of_labels(spark, sf_dir).select(F.col("label").alias("query_id"), F.col("mean").alias("query_vector"))
+    return R.vector_topk_batch(vecs, queries, 40).select("query_id", "rank", "id", "distance")
 
 
-@query(
-    "mean_vector",
-    """SELECT label, list(x ORDER BY place) AS mean FROM (
-         SELECT label, place, round(avg(x), 6) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(1, len(embedding) + 1)) AS place FROM embeddings) GROUP BY label, place)
-       GROUP BY label""",
-)
+@query("mean_vector", _MEANS)
 def mean_vector(spark, sf_dir):
-    out = vectors.mean_vectors(table(spark, sf_dir, "embeddings"), "label", "embedding")
-    return out.select("label", F.transform("mean", lambda x: F.round(x, 6)).alias("mean"))
+    return mean_of_labels(spark, sf_dir)
 
 
 @query("fulltext_match_rank", _text_sql(40))
