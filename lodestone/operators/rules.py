@@ -14,6 +14,7 @@ matched without regexes, all tables' terms in one pass over the texts.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -60,16 +61,14 @@ def all_hits(queries: DataFrame, gates: dict[str, tuple[DataFrame, str, list[str
     one literal dictionary, and a filter over it keeps what occurs in a text. Nothing is
     emitted for terms that don't, and no query meets a rule that it has no term of.
     """
-    spark = queries.sparkSession
     tagged = None
     for name, (terms, column, keys) in gates.items():
         part = terms.select(F.lit(name).alias("gate"), F.lit(column == "original").alias("own"), F.to_json(F.struct(*keys)).alias("key"), needle(F.col("term")).alias("needle")).where("needle IS NOT NULL")
         tagged = part if tagged is None else tagged.unionByName(part)
-    dictionary = [tuple(r) for r in tagged.collect()]
     kind = "array<struct<gate:string,own:boolean,key:string,needle:string>>"
-    one = spark.createDataFrame([(1, dictionary)], f"one int, terms {kind}")
-    occurs = F.filter("terms", lambda t: F.when(t["own"], F.col("original")).otherwise(F.col("combined")).contains(t["needle"]))
-    found = queries.withColumn("one", F.lit(1)).join(F.broadcast(one), "one").select("query_id", F.explode(occurs).alias("t")).select("query_id", "t.gate", "t.key").cache()
+    dictionary = F.from_json(F.lit(json.dumps([r.asDict() for r in tagged.collect()])), kind)  # folded to a literal
+    occurs = F.filter(dictionary, lambda t: F.when(t["own"], F.col("original")).otherwise(F.col("combined")).contains(t["needle"]))
+    found = queries.select("query_id", F.explode(occurs).alias("t")).select("query_id", "t.gate", "t.key").cache()
     out = {}
     for name, (terms, _, keys) in gates.items():
         schema = ", ".join(f"`{k}` {terms.schema[k].dataType.simpleString()}" for k in keys)
