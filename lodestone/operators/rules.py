@@ -66,7 +66,7 @@ def all_hits(queries: DataFrame, gates: dict[str, tuple[DataFrame, str, list[str
         part = terms.select(F.lit(name).alias("gate"), F.lit(column == "original").alias("own"), F.to_json(F.struct(*keys)).alias("key"), needle(F.col("term")).alias("needle")).where("needle IS NOT NULL")
         tagged = part if tagged is None else tagged.unionByName(part)
     kind = "array<struct<gate:string,own:boolean,key:string,needle:string>>"
-    dictionary = F.from_json(F.lit(json.dumps([r.asDict() for r in tagged.collect()])), kind)  # folded to a literal
+    dictionary = F.from_json(F.lit(json.dumps([r.asDict() for r in tagged.coalesce(1).collect()])), kind)  # folded to a literal
     occurs = F.filter(dictionary, lambda t: F.when(t["own"], F.col("original")).otherwise(F.col("combined")).contains(t["needle"]))
     found = queries.select("query_id", F.explode(occurs).alias("t")).select("query_id", "t.gate", "t.key").cache()
     out = {}
