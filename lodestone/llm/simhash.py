@@ -19,7 +19,7 @@ emits a spanning forest and not the pairs.
 
 Edge cases: null or blank text has fingerprint zero, linked like any other; fewer than three
 words: one shingle of them all; repeated rows each come back; a null doc_id takes its
-class's least id; an empty table gives an empty result; other columns are ignored.
+class's least id, which is null if no row has one (``root`` tells such classes apart); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -158,20 +158,20 @@ def link(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFram
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, bucket: int = BUCKET) -> DataFrame:
-    """docs (doc_id, text, ...) -> doc_id, fingerprint (16 hex digits), component_id, a, b."""
+    """docs (doc_id, text, ...) -> doc_id, fingerprint (16 hex digits), component_id, a, b, root (of the class)."""
     marked = cut(fingerprints(docs, shingle, seed))
     classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(link(classes.select("fp"), radius, bucket))
     labelled = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = labelled.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "a", "b")
+    named = labelled.select("fp", "root").join(least, "root")
+    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "a", "b", "root")
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """docs without the rows whose class has a row with a smaller doc_id (equal rows: one stays)."""
     classes = cut(near_duplicates(docs, **options))
-    stay = classes.groupBy("component_id").agg(F.min(F.struct("doc_id", "a", "b")).alias("s")).select("s.a", "s.b")
+    stay = classes.groupBy("root").agg(F.min(F.struct("doc_id", "a", "b")).alias("s")).select("s.a", "s.b")
     gone = cut(classes.select("a", "b").distinct().join(stay, ["a", "b"], "left_anti"))
     again = cut(classes.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b").join(stay, ["a", "b"], "left_semi"))
     a, b = key128(F.col("doc_id"), F.col("text"))

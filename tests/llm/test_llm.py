@@ -126,6 +126,12 @@ def test_one_of_each(spark):
     assert len(kept) == len(classes) and {r.doc_id for r in kept} >= {1, 7}
 
 
+def test_one_of_each_keeps_other_texts_without_ids(spark):
+    rows = [(None, long_text(21, 80)), (None, long_text(22, 80)), (None, long_text(22, 80)), (3, long_text(23, 80)), (None, long_text(23, 80))]
+    kept = simhash.one_of_each(frame(spark, rows)).collect()
+    assert Counter(r.text for r in kept) == Counter({t for _, t in rows})
+
+
 # --- 9 -------------------------------------------------------------------------
 
 
