@@ -39,6 +39,8 @@ from .exact_topk import BROADCAST_BYTES, best, least_copies, pack_blocks, valid
 
 K, SAMPLE, BRANCH, LEAF_SAMPLE, RECALL, TRIALS, BLOCK, QUERY_BLOCK = 20, 16384, 16, 64, 0.95, 200, 16384, 1024
 MERGE_ROWS = 400_000
+#: Numbers that are multiplied at once when finds are scored exactly.
+PAIR_VALUES = 1 << 22
 
 
 def kmeans(rows: np.ndarray, k: int, rng, rounds: int = 8):
@@ -184,12 +186,13 @@ def _asked(tree: Tree, visits: int, slots: int):
     return run
 
 
-def keep_best(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int):
+def keep_best(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int, names: np.ndarray | None = None):
+    """The k best of each query by (score, vec_id); names: the queries' ids, if ``query`` has their places."""
     order = np.lexsort((vec, -score, query))
     starts = np.flatnonzero(np.concatenate(([True], np.diff(query[order]) != 0)))
     place = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
     order = order[place < k]
-    return query[order], vec[order], score[order]
+    return query[order] if names is None else names[query[order]], vec[order], score[order]
 
 
 def _scored(k: int, leaves: int):
@@ -203,11 +206,17 @@ def _scored(k: int, leaves: int):
             return None
         scores = q_rows @ rows.T
         scores[~visited[:, leaf] | (q[:, None] == ids[None, :])] = -np.inf
-        n = min(k + 4, len(ids))  # some more, as the last bits of a product may differ
-        top = np.argpartition(-scores, n - 1, axis=1)[:, :n]
-        fine = np.isfinite(np.take_along_axis(scores, top, axis=1)).ravel()
-        exact = (q_rows[:, None, :] * rows[top]).sum(axis=2).ravel()
-        return np.repeat(q, n)[fine], ids[top].ravel()[fine], exact[fine]
+        # Products differ from the exact scores in their last bits: all rows that rounding could lift to the k-th place.
+        n = min(k, len(ids))
+        least = np.partition(scores, len(ids) - n, axis=1)[:, len(ids) - n]
+        norms = np.linalg.norm(q_rows, axis=1) * np.linalg.norm(rows, axis=1).max()
+        margin = 4 * (rows.shape[1] + 2) * np.finfo(float).eps * norms
+        at, row = np.nonzero((scores >= (least - margin)[:, None]) & np.isfinite(scores))
+        if not len(at):
+            return None
+        step = max(1, PAIR_VALUES // rows.shape[1])
+        exact = np.concatenate([(q_rows[at[x : x + step]] * rows[row[x : x + step]]).sum(axis=1) for x in range(0, len(at), step)])
+        return keep_best(at, ids[row], exact, k, q)
 
     def run(batches):
         held, rows_held = [], 0

@@ -308,6 +308,17 @@ def test_tree_search_by_slots(spark, monkeypatch):
     assert Counter(map(tuple, ann.nearest_neighbours(df, queries, k=5, leaf_rows=16, block=32).collect())) == want
 
 
+@pytest.mark.parametrize("better", [0, 4, 10, 19])
+def test_tied_copies_at_the_cut_go_to_the_smaller_ids(spark, better):
+    rng = np.random.default_rng(better)
+    query = rng.normal(size=8)
+    rows = [(0, query)] + [(5000 - i, query * (3 + i)) for i in range(better)] + [(int(i), query * 2) for i in rng.permutation(np.arange(100, 160))]
+    rows += [(200 + i, -x * np.sign(x @ query)) for i, x in enumerate(rng.normal(size=(200, 8)))]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>").coalesce(1)
+    got = [r.vec_id for r in ann.nearest_neighbours(df, df.where("vec_id = 0")).orderBy("rank").collect()]
+    assert got == [5000 - i for i in reversed(range(better))] + list(range(100, 120 - better))
+
+
 # --- 5 -------------------------------------------------------------------------
 
 
