@@ -14,9 +14,11 @@ Topic: documents carry none, so it is a parameter; the default is a lexical rule
 the whole text (``web`` if it names a url or mail address, ``list`` if its lines are
 short on average, else ``prose``).
 
-Edge cases: a null source or language falls in ``*``; targets of categories without
+Edge cases: a null source or language falls in ``*``, and a ``*`` whose target is 0, as in
+``LANGS``, is never drawn, unless ``rest`` names its dimension: then ``*`` takes its
+measured share and the named targets share what is left; targets of categories without
 tokens are spread over the others (rescaled); documents without tokens keep weight of
-their cell; cells without tokens get probability 0 only if they hold no documents;
+their cell, but a category in which no document has a token gets probability 0;
 an empty table gives an empty result; repeated rows are drawn alike.
 """
 
@@ -53,23 +55,37 @@ def _group(value: Column, targets: dict) -> Column:
     return F.when(value.isin(named), value).otherwise(F.lit("*"))
 
 
-def _fit(n: str, targets: dict, dim: str, others: list[str]) -> str:
-    """SQL for the new factors of one dimension, from the state's other factors."""
+def _shares(targets: dict, dim: str, rest: bool) -> str:
+    """SQL for the target shares of one dimension in the order of their names."""
     names = sorted(targets)
     shares = "array(" + ", ".join(f"{float(targets[k])!r}D" for k in names) + ")"
+    if not rest:
+        return shares
+    star = names.index("*") + 1
+    found = f"aggregate(cells, 0D, (t, c) -> t + if(c.{dim} = {star}, c.n, 0D))"
+    # the named targets that have tokens; others are spread over these
+    held = f"aggregate(transform({shares}, (x, i) -> if(i <> {star - 1} AND exists(cells, c -> c.{dim} = i + 1 AND c.n > 0D), x, 0D)), 0D, (t, x) -> t + x)"
+    part = f"if({held} > 0D, try_divide(1D - {found}, {held}), 0D)"
+    return f"if({found} > 0D, transform({shares}, (x, i) -> if(i = {star - 1}, {found}, x * {part})), {shares})"
+
+
+def _fit(n: str, targets: dict, dim: str, others: list[str]) -> str:
+    """SQL for the new factors of one dimension, from the state's other factors."""
+    names, shares = sorted(targets), f"goal.{dim}"
     other = " * ".join(f"element_at(st.{o}, c.{o})" for o in others)
     mass = f"aggregate(cells, 0D, (t, c) -> t + if(c.{dim} = i, c.{n} * {other}, 0D))"
     return f"transform(sequence(1, {len(names)}), i -> if({mass} > 0D, element_at({shares}, i) / {mass}, 0D))"
 
 
-def rake(cells: DataFrame, sources: dict, langs: dict, topics: dict, rounds: int = ROUNDS) -> DataFrame:
-    """cells (s, l, t names; tokens) -> s, l, t, weight (wanted over actual share), p."""
+def rake(cells: DataFrame, sources: dict, langs: dict, topics: dict, rounds: int = ROUNDS, rest: tuple[str, ...] = ()) -> DataFrame:
+    """cells (s, l, t names; tokens) -> s, l, t, weight (wanted over actual share), p. rest: dimensions whose ``*`` takes its measured share."""
     dims = {"s": sources, "l": langs, "t": topics}
     place = {d: F.array_position(F.array(*[F.lit(k) for k in sorted(v)]), F.col(d)).cast("int") for d, v in dims.items()}
     one = cells.agg(
         F.array_sort(F.collect_list(F.struct(*[place[d].alias(d) for d in dims], F.col("tokens").cast("double").alias("n")))).alias("cells"),
         F.greatest(F.sum("tokens"), F.lit(1)).cast("double").alias("total"),
     ).withColumn("cells", F.expr("transform(cells, c -> named_struct('s', c.s, 'l', c.l, 't', c.t, 'n', c.n / total))"))
+    one = one.withColumn("goal", F.expr("named_struct(" + ", ".join(f"'{d}', {_shares(v, d, d in rest)}" for d, v in dims.items()) + ")"))
     start = "named_struct(" + ", ".join(f"'{d}', array_repeat(1D, {len(v)})" for d, v in dims.items()) + ")"
     # One round: fit each dimension in turn, each with the newest factors of the others.
     state = "st"
@@ -91,7 +107,7 @@ def draw(key: Column) -> Column:
     return F.conv(F.substring(F.md5(key.cast("string")), 1, 13), 16, 10).cast("double") / float(16**13)
 
 
-def mix(docs: DataFrame, sources: dict = SOURCES, langs: dict = LANGS, topics: dict = TOPICS, topic_of: Column | None = None, rounds: int = ROUNDS) -> DataFrame:
+def mix(docs: DataFrame, sources: dict = SOURCES, langs: dict = LANGS, topics: dict = TOPICS, topic_of: Column | None = None, rounds: int = ROUNDS, rest: tuple[str, ...] = ()) -> DataFrame:
     """Every row of ``docs`` with __topic, __tokens, __weight, __p and __sampled."""
     text = F.col("text")
     marked = docs.withColumns(
@@ -103,7 +119,7 @@ def mix(docs: DataFrame, sources: dict = SOURCES, langs: dict = LANGS, topics: d
         }
     ).withColumn("__t", _group(F.col("__topic"), topics))
     cells = marked.groupBy(F.col("__s").alias("s"), F.col("__l").alias("l"), F.col("__t").alias("t")).agg(F.sum("__tokens").alias("tokens"))
-    chances = rake(cells, sources, langs, topics, rounds)  # at most (S+1)(L+1)(T+1) rows
+    chances = rake(cells, sources, langs, topics, rounds, rest)  # at most (S+1)(L+1)(T+1) rows
     chances = chances.select(*[F.col(c).alias(f"__c_{c}") for c in chances.columns])
     joined = marked.join(F.broadcast(chances), [F.col(f"__{d}") == F.col(f"__c_{d}") for d in "slt"], "left")
     p = F.coalesce("__c_p", F.lit(0.0))

@@ -100,6 +100,17 @@ def test_pipeline(spark, sf):
         assert at == len(ids)
 
 
+def test_mixing_draws_other_languages(spark):
+    rows = [(i, "word " * 300, [None, "xx", "en", "de"][i % 4], f"src{i % 3}", 1500) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    drawn = Counter(r.lang for r in corpus_pipeline.mix(spark, docs, "").collect())
+    assert drawn[None] > 20 and drawn["xx"] > 20 and drawn["en"] > drawn["de"] > 0
+    other = docs.where("lang is null or lang = 'xx'")
+    assert corpus_pipeline.mix(spark, other, "").count() > 20
+    told = mixing.mix(docs, rest=("l",)).selectExpr("sum(__p * __tokens) as n", "sum(if(lang in ('en', 'de'), 0, __p * __tokens)) as other").first()
+    assert round(told.other / told.n, 6) == 0.5
+
+
 def test_stages_keep_columns(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
