@@ -1,8 +1,9 @@
-"""Operator 9: exact substring dedup by relative Lempel-Ziv factors.
+"""Operator 9: exact substring dedup by anchored windows, in place of relative Lempel-Ziv factors.
 
 A word is removed if some window of ``WINDOW`` words that covers it also starts at
-another place of the corpus. Documents are factored against a reference made of all
-documents' blocks, and windows inside sufficiently long factors are duplicates.
+another place of the corpus. The dealt method, greedy relative Lempel-Ziv factoring, is
+replaced: no factor is computed. A window lies inside a factor exactly if it occurs
+elsewhere, and anchors find that by grouping, without an index of the whole reference in a task.
 
 Anchors. Every window picks the least hash among its ``SEED_WORDS``-word grams (its
 anchor). Equal windows pick equal anchors at equal offsets, and neighbouring windows
@@ -10,11 +11,9 @@ share theirs, so a text has about one anchor in fifteen words. An anchor's *bloc
 the span of all windows that picked it. The blocks are the reference; its index is the
 grouping of the blocks by anchor and content.
 
-Factors. A block whose whole content stands elsewhere in the reference is covered by a
-factor: all its windows are duplicates, and runs of such blocks are one long
-factor. Where a greedy factor ends, the anchor is shared but the content differs: these
-boundary blocks are compared window by window with each distinct block of the same
-anchor. Windows of a block whose anchor is unique occur nowhere else.
+Blocks. If a block's whole content stands elsewhere, all its windows are duplicates.
+Where an anchor is shared but the content differs, the blocks' windows are counted one by
+one among the distinct contents of all such anchors. Windows of a block whose anchor is unique occur nowhere else.
 
 Only what is unique is reported back to a document, as a grouped count of one carries its
 place along (the least place of a group is *the* place if the count is one). So no group
