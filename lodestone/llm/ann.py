@@ -13,7 +13,7 @@ they visit; only rows of visited leaves are candidates. If the queries' measured
 under ``BROADCAST_BYTES`` they are broadcast and rows never move. Else rows are dealt to slots
 of neighbouring leaves, each query block goes to the slots it visits, and both meet in
 an equi-join on the slot. A crowded leaf is many blocks, so it can be split; of
-equal vectors in a block only the k+1 smallest ids can matter and only they are kept. Each
+equal vectors in a block only the k+1 smallest different ids can matter and only they are kept. Each
 task merges its finds to the k best a query before they are shuffled.
 
 Scores are inner products in double precision of the original vectors, summed in the same
@@ -22,7 +22,7 @@ order for equal vectors, so ties are exact and go to the smaller id.
 Edge cases: null, zero and empty vectors and those with null or non-finite components take
 no part, nor do null ids; vectors only meet others of their length, and those of another
 length than the most common in the sample are searched whole; a query's own id
-is no candidate; an empty table gives an empty result.
+is no candidate; a repeated query row (same id and vector) is asked once; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -278,7 +278,7 @@ def nearest_neighbours(
     vectors: DataFrame, queries: DataFrame, k: int = K, sample: int = SAMPLE, branch: int = BRANCH, leaf_rows: int = LEAF_SAMPLE, recall: float = RECALL, trials: int = TRIALS, block: int = BLOCK
 ) -> DataFrame:
     """vectors, queries (vec_id, embedding, ...) -> query_id, rank, vec_id, score."""
-    vectors, queries = valid(vectors), valid(queries)
+    vectors, queries = valid(vectors), valid(queries).dropDuplicates(["vec_id", "embedding"])
     tree, visits, n = fit(vectors, k, sample, branch, leaf_rows, recall, trials)
     query_bytes = queries.agg(F.sum(8 * F.size("embedding") + 8 + tree.leaves // 8)).first()[0] or 0
     small = query_bytes <= BROADCAST_BYTES

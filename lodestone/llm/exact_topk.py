@@ -20,7 +20,8 @@ Python integers else; a score outside 64 bits raises.
 Edge cases: null vectors and vectors with null or non-finite components take no part; an
 empty vector scores 0; vectors only meet others of their length; ties go to the
 smaller id; a query's own id is no candidate, also when rows repeat (repeated ids
-are ranked each); null ids take no part; an empty table gives an empty result.
+are ranked each); a repeated query row is a query each time, ranked in one window as in the
+SQL, so each neighbour stands that often among its k; null ids take no part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -89,15 +90,17 @@ def _matrix(ids: bytes, whole: bytes, size: int):
 
 
 def least_copies(ids: np.ndarray, rows: np.ndarray, copies: int):
-    """Leave of equal rows those with the ``copies`` smallest ids."""
-    if not rows.shape[1]:
-        order = np.argsort(ids, kind="stable")[:copies]
-        return ids[order], rows[order]
-    _, kind = np.unique(rows.view([("", rows.dtype)] * rows.shape[1]).ravel(), return_inverse=True)
+    """Leave of equal rows those with the ``copies`` smallest different ids, each at most ``copies`` times."""
+    kind = np.zeros(len(ids), dtype=np.int64)
+    if rows.shape[1]:
+        _, kind = np.unique(rows.view([("", rows.dtype)] * rows.shape[1]).ravel(), return_inverse=True)
     order = np.lexsort((ids, kind))
-    starts = np.flatnonzero(np.concatenate(([True], np.diff(kind[order]) > 0)))
-    place = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
-    stay = np.sort(order[place < copies])
+    other = np.concatenate(([True], np.diff(kind[order]) != 0))[: len(order)]
+    fresh = other | np.concatenate(([True], np.diff(ids[order]) != 0))[: len(order)]
+    run = np.cumsum(fresh)
+    nth = run - np.maximum.accumulate(np.where(other, run, 0))  # of the different ids of equal rows
+    again = np.arange(len(order)) - np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
+    stay = np.sort(order[(nth < copies) & (again < copies)])
     return ids[stay], rows[stay]
 
 

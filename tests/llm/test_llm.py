@@ -308,6 +308,28 @@ def test_tree_search_by_slots(spark, monkeypatch):
     assert Counter(map(tuple, ann.nearest_neighbours(df, queries, k=5, leaf_rows=16, block=32).collect())) == want
 
 
+def test_repeated_query_rows(spark):
+    """Asked once by the tree; each row ranked in one window by the exact search, as in its SQL."""
+    rows = vectors()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    queries = df.where("vec_id = 20")
+    got = [r.vec_id for r in ann.nearest_neighbours(df, queries, k=5, leaf_rows=16, recall=1.0).orderBy("rank").collect()]
+    good = [(i, v) for i, v in usable(rows, False) if i != 20 and len(v) == 8]
+    assert got == [i for _, i in sorted((-float(np.sum(np.multiply(rows[20][1], w))), i) for i, w in good)[:5]]
+    whole = [[int(np.floor(1024 * x)) for x in v] for v in (rows[20][1], *[w for i, w in usable(rows, True) if i != 20 and len(w) == 8])]
+    ids = [i for i, w in usable(rows, True) if i != 20 and len(w) == 8]
+    want = sorted((-sum(x * y for x, y in zip(whole[0], w)), i) for i, w in zip(ids, whole[1:]) for _ in range(2))[:10]
+    assert [(r.vec_id, r.score) for r in exact_topk.exact_topk(df, queries).orderBy("rank").collect()] == [(i, -s) for s, i in want]
+
+
+def test_least_copies_counts_different_ids():
+    ids = np.array([20, 20, *range(1000, 1012), 7])
+    stay, _ = exact_topk.least_copies(ids, np.array([[1.0, 2.0]] * 14 + [[3.0, 4.0]]), 6)
+    assert stay.tolist() == [20, 20, 1000, 1001, 1002, 1003, 1004, 7]
+    assert exact_topk.least_copies(ids, np.empty((15, 0)), 2)[0].tolist() == [20, 20, 7]
+    assert len(exact_topk.least_copies(ids[:0], np.empty((0, 2)), 2)[0]) == 0
+
+
 @pytest.mark.parametrize("better", [0, 4, 10, 19])
 def test_tied_copies_at_the_cut_go_to_the_smaller_ids(spark, better):
     rng = np.random.default_rng(better)
