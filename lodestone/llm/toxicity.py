@@ -1,12 +1,13 @@
 """Operator 3: toxicity by a weighted finite-state pattern grammar over clauses.
 
 Words become symbols: insult (with a weight), threat, target, negation, reported speech,
-clause end, other. Four small transducers read them: negation and target carry a scope
+clause end, other. One loop reads them with the states of four small transducers: negation and target carry a scope
 that shrinks with each word, reported speech holds until the clause ends, and the match
-transducer emits each insult or threat with the other three's states. Composed, they
+transducer emits each insult, and each threat with a target, with the other three's states. They
 give each clause a score: the sum of its matches' weights, more if a target is in scope,
 less if negated or reported. A logistic function of the document's clause scores gives
-the document's score. Single words outside a matched clause add nothing.
+the document's score. A deviation from the dealt method: a lone insult is a match by itself, with
+its full weight, so the learnt lexicon scores isolated words too.
 
 Learning. The insult transducer's lexicon (words and word beginnings, with log-odds as
 weights) and the logistic weights are fitted on at most about ``SAMPLE`` labelled rows whose
