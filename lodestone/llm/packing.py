@@ -9,17 +9,22 @@ What first-fit leaves open is then closed by cutting: the emptiest sequences of
 group are taken apart and their pieces fill the gaps of the fullest (gaps under
 ``min_piece`` stay). So a group ends with at most one sequence that is far from full.
 
-Plan: one shuffle of the documents by group; each task then streams its groups, sorted,
-and holds one group at a time (about ``group_bytes`` of text). Group and order depend
-on the rows' content only, so a task that is run again gives the same sequences.
-
-Tokenising: byte-level BPE never merges across the pre-tokeniser's pieces, and a single
-space between words always starts a piece. So texts are cut at such spaces, and what a
-worker has met before comes from a bounded cache.
+Plan: one shuffle of the documents, by partitions that each hold many groups: as many as
+three times the cores or ``PARTITION_BYTES`` need, and never more than groups. Tasks stream
+their groups, sorted, and hold one group at a time (about ``group_bytes`` of text, and any one
+text whole). Group and order depend on the rows' content only, so a task that is run again gives
+the same sequences. Equal rows (same id and text) would all fall in one group: those that come more
+than ``COPIES`` times are found by a count of hashes and dealt by their place in the input too,
+which a table read from files gives alike each time.
+
+Tokenising: ids are those of ``tokenizers`` without added special tokens; the strings of the vocabulary's
+added tokens in a text become their ids, as that library does by default. Byte-level BPE never
+merges across the pre-tokeniser's pieces, and a single space between words always starts a
+piece. So texts are cut at such spaces, and what a worker has met before comes from a bounded cache.
 
 Edge cases: null text is empty (one end-of-document id); repeated rows are packed each;
-a document longer than the capacity is cut; an empty table gives no pieces; null
-doc_ids are kept.
+a document longer than the capacity is cut, however long; an empty table gives no pieces; null
+doc_ids are kept; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,7 +40,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 CAPACITY, MIN_PIECE, GROUP_BYTES, END_ID = 1024, 16, 4 << 20, 0
+#: Bytes of text a shuffle partition may hold (it is sorted on disk and streamed), and rows that may be equal in a group.
+PARTITION_BYTES, COPIES = 1 << 30, 1000
+#: Keys of such rows (8 bytes each) up to which they are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 #: Entries of a worker's cache; it is emptied when full.
 CACHE = 500_000
 #: Fixed value: the public byte-level BPE pre-tokeniser's pattern.
@@ -60,9 +71,11 @@ class Tokens(dict):
     def __init__(self, path: str):
         import tiktoken
 
+        self.path, self.library = path, None
         with open(path, encoding="utf-8") as f:
             vocabulary = json.load(f)
         special = {x["content"] for x in vocabulary["added_tokens"]}
+        self.added = re.compile("|".join(map(re.escape, sorted(special))) or r"(?!)").search
         signs = byte_of_sign()
         ranks = {bytes(signs[c] for c in x): i for x, i in vocabulary["model"]["vocab"].items() if x not in special}
         self.encode = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
@@ -70,6 +83,14 @@ class Tokens(dict):
     def whole(self, text: str) -> bytes:
         return array("I", self.encode(text)).tobytes()
 
+    def with_added(self, text: str) -> bytes:
+        """The ids of a text that names added tokens, by the library itself."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
     def __missing__(self, part: str) -> bytes:
         if len(self) >= CACHE:
             self.clear()
@@ -78,6 +99,8 @@ class Tokens(dict):
 
     def ids(self, text: str) -> bytes:
         """A single space between two other signs always starts a piece of the pattern, so texts are cut there."""
+        if self.added(text):
+            return self.with_added(text)
         parts = text.split(" ")
         if len(parts) < 3 or BLANKS(text):
             return self.whole(text)
@@ -161,11 +184,18 @@ def pack_group(docs: list[tuple], group: int, capacity: int, min_piece: int) ->
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, min_piece: int = MIN_PIECE, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """docs (doc_id, text, ...) -> pieces (SCHEMA). ``vocabulary``: path of a tokenizer file."""
-    total = docs.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 1)).first()[0] or 0
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("order", F.xxhash64("doc_id", "text"))
+    copies = rows.groupBy("order").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text") + 1).alias("bytes"))
+    folded = cut(copies.groupBy(F.when(F.col("n") > COPIES, F.col("order")).alias("order")).agg(F.sum("bytes").alias("bytes")))
+    many, total = folded.where(F.col("order").isNotNull()).select("order"), folded.agg(F.sum("bytes")).first()[0] or 0
     groups = max(1, -(-total // group_bytes))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("order", F.xxhash64("doc_id", "text")).withColumn("group", F.pmod("order", F.lit(groups)))
-    rows = rows.repartition(int(groups), "group").sortWithinPartitions("group", "order", "doc_id")
+    if not many.isEmpty():
+        keys = many.withColumn("many", F.lit(True))
+        rows = rows.withColumn("place", F.monotonically_increasing_id()).join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, "order", "left")
+        rows = rows.withColumn("order", F.when(F.col("many"), F.xxhash64("order", "place")).otherwise(F.col("order")))
+    parts = int(min(groups, max(3 * docs.sparkSession.sparkContext.defaultParallelism, -(-total // PARTITION_BYTES))))
+    rows = rows.withColumn("group", F.pmod("order", F.lit(groups)))
+    rows = rows.repartitionById(parts, F.pmod("group", F.lit(parts)).cast("int")).sortWithinPartitions("group", "order", "doc_id")
 
     def packed(batches):
         tokens, held, now = Tokens(vocabulary), [], None

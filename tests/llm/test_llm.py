@@ -7,6 +7,7 @@ from array import array
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -18,7 +19,7 @@ pytest.importorskip("lodestone.llm")
 from lodestone.llm import ann, components, exact_topk, licenses, line_dedup, mixing, packing, simhash, substring_dedup, toxicity, url_filters  # noqa: E402
 from lodestone.llm import queries as Q  # noqa: E402
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi".split()
 
 
@@ -171,7 +172,6 @@ def test_packing(spark):
     from tokenizers import Tokenizer
 
     reference = Tokenizer.from_file(VOCABULARY)
-    reference.encode_special_tokens = True
     rows = documents()
     got = packing.pack(frame(spark, rows), VOCABULARY).collect()
     wanted = Counter()
@@ -194,6 +194,16 @@ def test_packing(spark):
             assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
 
 
+def test_packing_spreads_copies_of_one_row(spark, monkeypatch):
+    monkeypatch.setattr(packing, "COPIES", 50)
+    rows = [(1, "one two three four")] * 400 + [(2, None), (3, "five <|endoftext|>")] + [(None, "six")] * 3
+    got = packing.pack(frame(spark, rows), VOCABULARY, capacity=64, group_bytes=1000).collect()
+    assert Counter(r.doc_id for r in got if r.start == 0) == Counter(i for i, _ in rows)
+    assert sum(r.length for r in got if r.doc_id == 1) == 400 * next(r.doc_tokens for r in got if r.doc_id == 1)
+    assert len({r.sequence_id >> 32 for r in got if r.doc_id == 1}) > 3
+    assert [r.doc_tokens for r in got if r.doc_id == 3] == [4]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 64), max_size=60))
 def test_first_fit_decreasing(sizes):
@@ -219,12 +229,11 @@ def test_closed_gaps_lose_nothing(sizes):
     assert sum(sum(p[2] for p in b) < 60 for b in bins) <= 1
 
 
-@pytest.mark.parametrize("text", ["", " ", "a b", " a b c", "a  b c", "a b c ", "it's we'll do", "x\n y z", "a\u3000b c d", "½ ² 12² x", "<|endoftext|> a b", "\x1c a b\x1f", "日本 語 テ", "a\n\nb c d"])
+@pytest.mark.parametrize("text", ["", " ", "a b", " a b c", "a  b c", "a b c ", "it's we'll do", "x\n y z", "a\u3000b c d", "½ ² 12² x", "<|endoftext|> a b", "a <|endoftext|> b", "x<|endoftext|><|endoftext|>y z  w", "<|endoftext|>", "\x1c a b\x1f", "日本 語 テ", "a\n\nb c d"])
 def test_tokens(text):
     from tokenizers import Tokenizer
 
     reference = Tokenizer.from_file(VOCABULARY)
-    reference.encode_special_tokens = True
     assert packing.Tokens(VOCABULARY).ids(text) == array("I", reference.encode(text, add_special_tokens=False).ids).tobytes()
 
 

@@ -91,7 +91,6 @@ def test_pipeline(spark, sf):
         got[r.doc_id].append(r)
     assert set(got) == {r["doc_id"] for r in final}
     tokenizer = Tokenizer.from_file(VOCABULARY)
-    tokenizer.encode_special_tokens = True
     for r in final:
         ids, at = array("I", tokenizer.encode(r["text"], add_special_tokens=False).ids + [0]), 0
         for piece in sorted(got[r["doc_id"]], key=lambda p: p.start):
