@@ -158,11 +158,43 @@ def test_repeats(spark):
     assert repeats(frame(spark, documents())) == brute_repeats(documents(), 35)
 
 
-@settings(max_examples=8, deadline=None)
+@pytest.mark.parametrize("factored", [1, 2, 32])
+@settings(max_examples=6, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("abc"), max_size=40), min_size=1, max_size=8))
-def test_short_windows_over_few_words(spark, texts):
+def test_short_windows_over_few_words(spark, factored, texts):
     rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
-    assert repeats(frame(spark, rows, False), window=6, seed=3) == brute_repeats(rows, 6)
+    assert repeats(frame(spark, rows, False), window=6, seed=3, factored=factored) == brute_repeats(rows, 6)
+
+
+def test_words_that_polynomials_confuse_are_told_apart(spark):
+    """Thue-Morse words of 1,024 letters have equal polynomial hashes modulo 2**64 for every odd base."""
+    morse = "".join("ab"[k.bit_count() & 1] for k in range(1024))
+    other = morse.translate(str.maketrans("ab", "ba"))
+    shared = [f"w{k}" for k in range(34)]
+    rows = [(1, " ".join([*shared, morse])), (2, " ".join([*shared, other])), (3, " ".join([morse, *shared])), (4, " ".join([other, *shared[:33], "x", "y"]))]
+    assert {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(frame(spark, rows)).collect()} == {1: 0, 2: 0, 3: 0, 4: 0}
+
+
+def test_near_copies_and_crowds_of_blocks(spark):
+    """Many texts that share a passage and differ at one word: factored in small groups, counted in large ones."""
+    base = long_text(31, 120).split()
+    rows = [(i, " ".join(base[: 10 + i] + [f"own{i}"] + base[11 + i :])) for i in range(60)] + [(100 + i, " ".join([f"a{i}"] + base[20:58] + [f"b{i}"])) for i in range(40)]
+    rows += [(200 + i, " ".join(long_text(32, 70).split()[: 36 + i])) for i in range(5)] * 2
+    for factored in (2, 32, 200):
+        assert repeats(frame(spark, rows, False), factored=factored) == brute_repeats(rows, 35)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 9), st.lists(st.integers(0, 1), min_size=10, max_size=16)), min_size=2, max_size=6))
+def test_factors_are_the_windows_that_occur_elsewhere_at_the_anchor(blocks):
+    blocks = [(min(at, len(words) - 1), np.array(words)) for at, words in blocks]
+    for k, ((at, words), lone) in enumerate(zip(blocks, substring_dedup.factor(blocks, 5))):
+        want = []
+        for x in range(len(words) - 4):
+            there = [w[x - at + a : x - at + a + 5] for j, (a, w) in enumerate(blocks) if j != k and x - at + a >= 0]
+            if not any(list(w) == list(words[x : x + 5]) for w in there):
+                want.append(x)
+        assert lone.tolist() == want
 
 
 # --- 10 ------------------------------------------------------------------------
