@@ -44,12 +44,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
 from .common import cut, key128
 
 WINDOW, SEED_WORDS, FACTORED = 35, 8, 32
-#: Different words whose hashes a worker keeps; they are forgotten between texts when there are more.
-CACHE = 1_000_000
 #: Anchors (8 bytes each) up to which they are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 
@@ -93,30 +92,9 @@ def _spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.ui
     return (sums[ends] - sums[starts]) * down[starts]
 
 
-class Words(dict):
-    """Word -> its number; ``hashes`` are the two halves of the words' 128-bit hashes, by number."""
-
-    def __init__(self):
-        self.halves = np.empty((2, 1024), dtype=np.uint64)
-
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh3_128_intdigest
-
-        n = len(self)
-        if n == self.halves.shape[1]:
-            self.halves = np.concatenate((self.halves, np.empty_like(self.halves)), axis=1)
-        h = xxh3_128_intdigest(word)
-        self.halves[0, n], self.halves[1, n] = h >> 64, h & (1 << 64) - 1
-        self[word] = n
-        return n
-
-    def hashes(self, raw: bytes) -> np.ndarray:
-        """Both hashes of each word of a text, as two rows."""
-        if len(self) > CACHE:
-            self.clear()
-        words = raw.split()
-        numbers = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
-        return self.halves[:, numbers]
+def word_hashes(raw: bytes) -> np.ndarray:
+    """Both halves of the 128-bit hash of each word of a text, as two rows."""
+    return np.frombuffer(b"".join(map(xxh3_128_digest, raw.split())), dtype="<u8").reshape(-1, 2).T.copy()
 
 
 def anchors(words: np.ndarray, window: int, seed: int):
@@ -126,7 +104,11 @@ def anchors(words: np.ndarray, window: int, seed: int):
         return None
     starts = np.arange(n - seed + 1)
     grams = _mix(_spans(words, starts, starts + seed, _WORD))
-    picked = np.lib.stride_tricks.sliding_window_view(grams, window - seed + 1).argmin(axis=1) + np.arange(n - window + 1)
+    # Least of each window by doubling; the place stands in the low half, so that of ties the first is picked.
+    least, size, span = grams & np.uint64(0xFFFFFFFF << 32) | starts.astype(np.uint64), 1, window - seed + 1
+    while 2 * size <= span:
+        least, size = np.minimum(least[:-size], least[size:]), 2 * size
+    picked = (np.minimum(least[: n - window + 1], least[span - size :]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     change = np.flatnonzero(picked[1:] != picked[:-1]) + 1
     first = np.concatenate(([0], change))
     last = np.concatenate((change, [len(picked)])) - 1
@@ -193,9 +175,8 @@ def _blocks(window: int, seed: int):
     none = (np.empty(0, np.uint64), np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3)
 
     def run(batches):
-        words = Words()
         for batch in batches:
-            found = [blocks_of(words.hashes(x), window, seed) or none for x in _raw(batch.column("text"))]
+            found = [blocks_of(word_hashes(x), window, seed) or none for x in _raw(batch.column("text"))]
             lists = [_as_lists([f[k] for f in found], np.int64 if k < 2 else np.int32) for k in range(5)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *lists], names=["a", "b", "anchor", "content", "first", "last", "at"])
 
@@ -223,10 +204,9 @@ def _windows(window: int):
     """Places and hashes of the windows of each wanted block."""
 
     def run(batches):
-        known = Words()
         for batch in batches:
             checks = batch.column("check").to_pylist()
-            found = [windows_of(known.hashes(x), window, [(c["first"], c["last"]) for c in check]) for x, check in zip(_raw(batch.column("text")), checks)]
+            found = [windows_of(word_hashes(x), window, [(c["first"], c["last"]) for c in check]) for x, check in zip(_raw(batch.column("text")), checks)]
             counts = [np.repeat([c["n"] for c in check], [c["last"] - c["first"] + 1 for c in check]) for check in checks]
             lists = [_as_lists([f[0] for f in found], np.int32), _as_lists([f[1] for f in found], np.int64), _as_lists([f[2] for f in found], np.int64), _as_lists(counts, np.int32)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *lists], names=["a", "b", "place", "h", "g", "n"])
