@@ -424,14 +424,56 @@ def test_matching_statistics(texts, stream):
 # --- 3 -------------------------------------------------------------------------
 
 
-def test_grammar():
-    g = toxicity.Grammar({"=zork": 4.0, "^blar": 4.0})
-    most = lambda t: g.features(t)[0]
-    assert most("a zork there") == 4.0 and most("blarghs!") == 4.0 and most("fine words") == 0.0 and most(None) == 0.0 and most("") == 0.0
-    assert most("not a zork") < most("a zork") < most("you are a zork")
-    assert most('he said "zork"') < most("he is a zork")
-    assert most("kill the time") == 0.0 and most("i will hurt you") == 0.0 and most("you i will hurt") > 0
-    assert most("zork zork") > most("zork. zork")
+def matched(g, text):
+    return [[toxicity.PATTERNS[p] + " negated" * n + " reported" * r for p, n, r in clause] for clause in g.clauses(text)]
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        (None, []), ("", []), ("fine words", []), ("zork", []), ("stupid", []), ("the weather was stupid", []), ("kill the time", []), ("blarghs. fine", []),
+        ("you are a zork", [["insult with target"]]), ("zork that you are", [["insult with target"]]), ("blarghs, all of them", [["insult with target"]]),
+        ("i will kill you", [["threat with target"]]), ("you i will hurt", [["threat with target"]]), ("du wirst sehen, wir kill", [["threat with target"]]),
+        ("you are not a zork", [["insult with target negated"]]), ("no zork are you", [["insult with target negated"]]),
+        ('it was said you are a zork', [["insult with target reported"]]), ('"zork" you', [["insult with target reported"]]), ("i never said kill him", [["threat with target negated reported"]]),
+        ("zork and a blargh", [["insults in a clause"]]), ("a zork. a blargh", [["harangue"]]), ("zork\nfine words\nzork! zork zork", [["harangue"], ["harangue", "insults in a clause"]]),
+        ("zork a b c d e you", [["insult with target"]]), ("zork a b c d e f you", []), ("you a b c d e zork", [["insult with target"]]), ("you a b c d e f zork", []), ("you. zork", []), ("zork. you", []),
+    ],
+)
+def test_matched_clauses(text, want):
+    assert matched(toxicity.Grammar({"=zork", "^blar"}), text) == want
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from([*range(7), toxicity.OTHER, toxicity.OTHER]), max_size=60))
+def test_the_composed_machine_equals_the_transducers_in_sequence(kinds):
+    machine, got, others = toxicity.Composed(), [], 0
+    state = machine.start
+    skipped, skipping = machine.start, []
+    for kind in kinds:
+        state, matches = machine.step(state, kind)
+        got.append(matches)
+        if kind == toxicity.OTHER:
+            others += 1
+        else:
+            skipped, matches = machine.step(machine.skip(skipped, others), kind)
+            skipping.append(matches)
+            others = 0
+    assert got == toxicity.in_sequence(kinds)
+    assert skipping == [m for m, k in zip(got, kinds) if k != toxicity.OTHER]
+
+
+def test_weights_stay_above_zero_and_near_their_prior_unseen():
+    rng = np.random.default_rng(4)
+    x = np.column_stack([rng.integers(0, 3, 400), rng.integers(0, 3, 400), np.zeros(400)]).astype(float)
+    y = (x[:, 0] + rng.normal(size=400) > 1.5).astype(float)
+    x[:, 1] -= y  # speaks against
+    w = toxicity.logistic(x, y, np.array([-3.0, 1.0, 1.0, 2.0]))
+    assert w[1] > 0.5 and w[2] == 0 and w[3] == pytest.approx(2.0)
+
+
+def test_beginnings_stand_for_the_words_they_begin():
+    assert toxicity.fewest({"^abcd", "^abcde", "=abcdef", "=abc", "^xyzab", "=xyzab", "=xyza"}) == {"^abcd", "=abc", "^xyzab", "=xyza"}
 
 
 def test_learning(spark):
@@ -440,7 +482,8 @@ def test_learning(spark):
     for i in range(600):
         words = [f"w{x}" for x in rng.integers(0, 300, 40)]
         if i % 6 == 0:
-            words[int(rng.integers(40))] = f"grum{'abcdefgh'[int(rng.integers(8))]}ly"
+            for at in rng.choice(40, 3, replace=False):
+                words[at] = f"grum{'abcdefgh'[int(rng.integers(8))]}ly"
         rows.append((i, " ".join(words)))
         labels.append((i, int(i % 6 == 0)))
     rows += [(5000, None), (5001, ""), (1, rows[1][1])]
@@ -452,7 +495,7 @@ def test_learning(spark):
     held = [(r["__score"] >= 0.5) == (r.doc_id % 6 == 0) for r in got if r.held and r.doc_id < 600]
     assert sum(held) >= 0.95 * len(held) > 50
     assert {r.held for r in got if r.doc_id == 8} == {zlib.crc32(b"8") % 5 == 0}
-    assert toxicity.learn(docs, table.limit(0)).lexicon == {}
+    assert toxicity.learn(docs, table.limit(0)).lexicon == set()
 
 
 # --- 1, 4 and 8: SQL is checked by the driver; edge cases here --------------------
