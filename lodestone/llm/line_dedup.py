@@ -1,9 +1,10 @@
 """Operator 1 [native]: site-relative boilerplate line removal.
 
 Pages are grouped by host; a line's frequency is the number of the host's pages that
-contain it divided by the host's pages. Lines above ``ratio`` that stand on at least
-``min_pages`` pages of the host are dropped from every page of that host. A page that has
-no other line keeps them: it is a copied page, not the frame around one.
+contain it divided by the host's pages. Lines above ``ratio`` are dropped from every page of that host.
+A line must stand on ``min_pages`` pages, two at least: on a host of fewer than 1 / ratio pages any page's own
+line is above the ratio. With ``spare_whole`` a page that has no other line keeps its lines, being a
+copied page and not the frame around one; this is off unless asked for.
 
 Plan: each page's distinct lines are hashed to 128 bits in place, so what is shuffled
 is (host, hash) and never the text. Counts combine before the shuffle and are keyed
@@ -12,11 +13,13 @@ come back, as one list a site. A line of the list stands on more than ``ratio``
 site's pages, so the list is shorter than (mean lines a page) / ratio. The lists are
 written to the checkpoint folder and measured: up to ``BROADCAST_HASHES`` they are broadcast
 and pages never move; beyond, the join is shuffled and the hot site's partition is
-split (skew join).
+split (skew join). A line goes if all 128 bits are in its site's list; the first 64 only
+tell which lines need the second hash.
 
 Edge cases: null text counts as empty text (one empty line); blank lines are never
 boilerplate and are kept; a null host is a site of its own; repeated rows count as
-pages of their own; an empty table gives an empty result; other columns pass through.
+pages of their own; very long texts and lines are read whole; an empty table gives an empty result; other columns pass
+through, and names that begin with two underscores are the operator's own.
 """
 
 from __future__ import annotations
@@ -26,9 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-RATIO, MIN_PAGES = 0.1, 5
-#: Hashes (8 bytes each, and as much as 8 of them for a site) up to which the lists are broadcast.
-BROADCAST_HASHES = 2_000_000
+RATIO, MIN_PAGES = 0.1, 2
+#: Lines (16 bytes each, and as much as 4 of them for a site) up to which the lists are broadcast.
+BROADCAST_HASHES = 1_000_000
 
 BREAKS = r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|</?(?:p|br|div|li|ul|ol|h[1-6]|tr|td|table|nav|article|section|title|head|body|html|footer|header)\b[^>]*>|\n"
 TAGS = r"<[^>]*>"
@@ -44,7 +47,7 @@ def text_lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def drop_boilerplate(pages: DataFrame, host: Column, lines: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, host: Column, lines: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES, spare_whole: bool = False) -> DataFrame:
     """All rows of ``pages`` plus __lines (all lines) and __kept (the lines that stay)."""
     site = F.coalesce(F.concat(F.lit("="), host), F.lit(""))
     base = pages.withColumns({"__site": site, "__lines": lines})
@@ -55,16 +58,19 @@ def drop_boilerplate(pages: DataFrame, host: Column, lines: Column, ratio: float
         own.select("__site", F.explode("keys").alias("key"))
         .groupBy("__site", "key")
         .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") >= min_pages)
+        .where(F.col("n") >= max(2, min_pages))
         .join(totals, "__site")
         .where(F.col("n") > F.col("total") * F.lit(float(ratio)))
     )
     # A site has fewer such lines than its mean number of lines a page, over the ratio.
-    per_site = cut(boiler.groupBy("__site").agg(F.collect_set("key.a").alias("__drop")))
-    hashes = per_site.agg(F.sum(F.size("__drop") + 8)).first()[0] or 0
-    joined = base.join(F.broadcast(per_site) if hashes <= BROADCAST_HASHES else per_site, "__site", "left")
+    per_site = cut(boiler.groupBy("__site").agg(F.collect_list("key").alias("__drop")))
+    listed = per_site.agg(F.sum(F.size("__drop") + 4)).first()[0] or 0
+    per_site = per_site.select("__site", "__drop", F.col("__drop.a").alias("__first"))
+    joined = base.join(F.broadcast(per_site) if listed <= BROADCAST_HASHES else per_site, "__site", "left")
     hashes = F.transform("__lines", lambda x: F.xxhash64(x))
-    joined = joined.withColumn("__hit", F.array_intersect(F.coalesce("__drop", F.array().cast("array<bigint>")), hashes))
-    kept = F.when(F.size("__hit") == 0, F.col("__lines")).otherwise(F.filter("__lines", lambda x: ~F.array_contains("__hit", F.xxhash64(x)) | (F.trim(x) == "")))
-    kept = F.when(F.exists(kept, lambda x: F.trim(x) != ""), kept).otherwise(F.col("__lines"))
-    return joined.withColumn("__kept", kept).drop("__site", "__drop", "__hit")
+    joined = joined.withColumn("__hit", F.array_intersect(F.coalesce("__first", F.array().cast("array<bigint>")), hashes))
+    stays = lambda x: ~F.array_contains("__hit", F.xxhash64(x)) | (F.trim(x) == "") | ~F.array_contains("__drop", key(x))
+    kept = F.when(F.size("__hit") == 0, F.col("__lines")).otherwise(F.filter("__lines", stays))
+    if spare_whole:
+        kept = F.when(F.exists(kept, lambda x: F.trim(x) != ""), kept).otherwise(F.col("__lines"))
+    return joined.withColumn("__kept", kept).drop("__site", "__drop", "__first", "__hit")

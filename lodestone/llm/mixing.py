@@ -1,25 +1,34 @@
 """Operator 8 [native]: raking token weights to source, language and topic marginals.
 
 Documents are summed to cells (source, language, topic). Iterative proportional
-fitting finds one factor a source, language and topic so that the cells' weighted
-token shares meet all three target marginals. A document's chance is its cell's
-weight divided by the largest weight: the expected token shares of the sample then
-are the targets. The draw is a hash of the document's id, so it repeats.
-
-Every dimension's categories are the targets' names plus ``*`` (all others), so the
-cells are at most (S+1)(L+1)(T+1), a number fixed by the parameters and not by the
-data. They are aggregated into one row and raked there with higher-order functions.
+fitting scales the cells' weights to the target share of each source, then language, then topic, and
+again, until the weighted token shares meet all three marginals. A document's chance is its
+cell's weight, calibrated so that ``keep`` of all tokens are drawn. The draw is a hash of the
+document's id, so it repeats.
+
+Targets are parameters: a table of shares for a dimension, or None for *tempered* shares: the measured share of
+each category to the power ``temper``, rescaled. This takes from large categories and gives to
+small ones by the same rule on any corpus. No chance can be above 1, so each round ends with
+cutting weights there: a category that is to give more tokens than it has is kept whole, and what it lacks is
+spread over the cells that have room. ``residuals`` reports target and reached share of every category;
+``strict`` raises where a target names a category that has no tokens.
+
+Categories are the ``named`` largest values of a dimension by tokens (or the names in its targets) and ``*``, all
+others, null among them. So the cells are at most (named + 1) ** 3, a number fixed by
+the parameters and not by the data. They are aggregated into one row and raked there with higher-order functions.
 
 Topic: documents carry none, so it is a parameter; the default is a lexical rule on
 the whole text (``web`` if it names a url or mail address, ``list`` if its lines are
 short on average, else ``prose``).
 
-Edge cases: a null source or language falls in ``*``, and a ``*`` whose target is 0, as in
-``LANGS``, is never drawn, unless ``rest`` names its dimension: then ``*`` takes its
-measured share and the named targets share what is left; targets of categories without
-tokens are spread over the others (rescaled); documents without tokens keep weight of
-their cell, but a category in which no document has a token gets probability 0;
-an empty table gives an empty result; repeated rows are drawn alike.
+Plan: one pass over the texts (``measure``) gives topic and tokens; all else runs on the narrow
+columns, without a shuffle of documents. Two small aggregations follow, of (source, language, topic) sums.
+
+Edge cases: a null source or language falls in ``*``; a category with target 0, or with no entry and no ``*`` in the
+targets, is never drawn; targets of categories without tokens are left out and the others rescaled; documents
+without tokens take their cell's chance, or 1 in a cell without any; a null doc_id is drawn as the id -1, so such rows
+are drawn alike, and so are repeated rows; very long texts are read whole; an empty table gives an empty result; other columns pass
+through, and names that begin with two underscores are the operator's own.
 """
 
 from __future__ import annotations
@@ -27,11 +36,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Target shares; ``*`` stands for all other values.
-SOURCES = {"src0": 0.3, "*": 0.7}
-LANGS = {"en": 0.55, "de": 0.17, "fr": 0.16, "es": 0.12, "*": 0.0}
-TOPICS = {"prose": 0.965, "*": 0.035}
-ROUNDS = 40
+from .common import cut
+
+#: Power of the measured shares, share of all tokens that is drawn, categories by name in a dimension, rounds of fitting.
+TEMPER, KEEP, NAMED, ROUNDS = 0.7, 0.5, 32, 40
+DIMS = ("s", "l", "t")
 
 
 def n_tokens(text: Column) -> Column:
@@ -50,56 +59,72 @@ def topic(text: Column) -> Column:
     )
 
 
+def measure(docs: DataFrame, topic_of: Column | None = None) -> DataFrame:
+    """``docs`` with __topic and __tokens."""
+    text = F.col("text")
+    return docs.withColumns({"__topic": topic(text) if topic_of is None else topic_of, "__tokens": n_tokens(text)})
+
+
+def targets_of(sums: DataFrame, dim: str, given: dict[str, float] | None, temper: float = TEMPER, named: int = NAMED) -> dict[str, float]:
+    """Shares of the categories of a dimension, that of ``*`` among them. sums: s, l, t, tokens; at most ``named`` + 1 rows are read."""
+    if given is not None:
+        if any(x < 0 for x in given.values()) or not sum(given.values()) > 0:
+            raise ValueError("target shares must be 0 or more, and one above 0")
+        return {"*": 0.0} | {k: v / sum(given.values()) for k, v in given.items()}
+    by = sums.groupBy(F.col(dim).alias("k")).agg(F.sum("tokens").alias("n"))
+    total = by.agg(F.sum("n")).first()[0] or 0
+    largest = by.where("k is not null and k <> '*' and n > 0").orderBy(F.desc("n"), "k").limit(named).collect()
+    tokens = {r["k"]: r["n"] for r in largest}
+    tokens["*"] = total - sum(tokens.values())
+    powers = {k: (n / total) ** temper if n else 0.0 for k, n in tokens.items()}
+    return {k: x / (sum(powers.values()) or 1.0) for k, x in powers.items()}
+
+
 def _group(value: Column, targets: dict) -> Column:
     named = sorted(k for k in targets if k != "*")
-    return F.when(value.isin(named), value).otherwise(F.lit("*"))
-
-
-def _shares(targets: dict, dim: str, rest: bool) -> str:
-    """SQL for the target shares of one dimension in the order of their names."""
-    names = sorted(targets)
-    shares = "array(" + ", ".join(f"{float(targets[k])!r}D" for k in names) + ")"
-    if not rest:
-        return shares
-    star = names.index("*") + 1
-    found = f"aggregate(cells, 0D, (t, c) -> t + if(c.{dim} = {star}, c.n, 0D))"
-    # the named targets that have tokens; others are spread over these
-    held = f"aggregate(transform({shares}, (x, i) -> if(i <> {star - 1} AND exists(cells, c -> c.{dim} = i + 1 AND c.n > 0D), x, 0D)), 0D, (t, x) -> t + x)"
-    part = f"if({held} > 0D, try_divide(1D - {found}, {held}), 0D)"
-    return f"if({found} > 0D, transform({shares}, (x, i) -> if(i = {star - 1}, {found}, x * {part})), {shares})"
-
-
-def _fit(n: str, targets: dict, dim: str, others: list[str]) -> str:
-    """SQL for the new factors of one dimension, from the state's other factors."""
-    names, shares = sorted(targets), f"goal.{dim}"
-    other = " * ".join(f"element_at(st.{o}, c.{o})" for o in others)
-    mass = f"aggregate(cells, 0D, (t, c) -> t + if(c.{dim} = i, c.{n} * {other}, 0D))"
-    return f"transform(sequence(1, {len(names)}), i -> if({mass} > 0D, element_at({shares}, i) / {mass}, 0D))"
-
-
-def rake(cells: DataFrame, sources: dict, langs: dict, topics: dict, rounds: int = ROUNDS, rest: tuple[str, ...] = ()) -> DataFrame:
-    """cells (s, l, t names; tokens) -> s, l, t, weight (wanted over actual share), p. rest: dimensions whose ``*`` takes its measured share."""
-    dims = {"s": sources, "l": langs, "t": topics}
-    place = {d: F.array_position(F.array(*[F.lit(k) for k in sorted(v)]), F.col(d)).cast("int") for d, v in dims.items()}
+    return F.when(value.isin(named), value).otherwise(F.lit("*")) if named else F.lit("*")
+
+
+def _array(items) -> str:
+    return "array(" + ", ".join(items) + ")"
+
+
+def _name(k: str) -> str:
+    return "'" + k.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _scaled(dim: str, size: int, keep: float) -> str:
+    """SQL for the cells after one dimension's weights are scaled to its targets."""
+    mass = f"transform(sequence(1, {size}), i -> aggregate(st, 0D, (m, c) -> m + if(c.{dim} = i, c.n * c.w, 0D)))"
+    factor = f"transform({mass}, (m, i) -> if(m > 0D, element_at(goal.{dim}, i + 1) * {keep!r}D / m, 0D))"
+    fields = "'s', c.s, 'l', c.l, 't', c.t, 'n', c.n"
+    return f"element_at(transform(array({factor}), f -> transform(st, c -> named_struct({fields}, 'w', c.w * element_at(f, c.{dim})))), 1)"
+
+
+def rake(cells: DataFrame, targets: dict[str, dict[str, float]], keep: float = KEEP, rounds: int = ROUNDS, strict: bool = False) -> DataFrame:
+    """cells (s, l, t names; tokens) -> s, l, t, n (share of tokens), p (chance). targets: shares by dimension, with ``*``."""
+    names = {d: sorted(targets[d]) for d in DIMS}
+    place = {d: F.array_position(F.expr(_array(map(_name, names[d]))), F.col(d)).cast("int") for d in DIMS}
     one = cells.agg(
-        F.array_sort(F.collect_list(F.struct(*[place[d].alias(d) for d in dims], F.col("tokens").cast("double").alias("n")))).alias("cells"),
+        F.array_sort(F.collect_list(F.struct(*[place[d].alias(d) for d in DIMS], F.col("tokens").cast("double").alias("n")))).alias("cells"),
         F.greatest(F.sum("tokens"), F.lit(1)).cast("double").alias("total"),
-    ).withColumn("cells", F.expr("transform(cells, c -> named_struct('s', c.s, 'l', c.l, 't', c.t, 'n', c.n / total))"))
-    one = one.withColumn("goal", F.expr("named_struct(" + ", ".join(f"'{d}', {_shares(v, d, d in rest)}" for d, v in dims.items()) + ")"))
-    start = "named_struct(" + ", ".join(f"'{d}', array_repeat(1D, {len(v)})" for d, v in dims.items()) + ")"
-    # One round: fit each dimension in turn, each with the newest factors of the others.
-    state = "st"
+    ).withColumn("cells", F.expr("transform(cells, c -> named_struct('s', c.s, 'l', c.l, 't', c.t, 'n', c.n / total, 'w', 1D))"))
+    for d in DIMS:
+        shares = _array(f"{float(targets[d][k])!r}D" for k in names[d])
+        held = f"transform({shares}, (x, i) -> if(exists(cells, c -> c.{d} = i + 1 AND c.n > 0D), x, 0D))"
+        if strict:
+            held = f"if(exists(zip_with({shares}, {held}, (x, y) -> x > 0D AND y = 0D), x -> x), raise_error('a target names a category without tokens'), {held})"
+        one = one.withColumn(f"h_{d}", F.expr(held))
+        one = one.withColumn(f"h_{d}", F.expr(f"transform(h_{d}, x -> x / greatest(aggregate(h_{d}, 0D, (t, y) -> t + y), 1e-300D))"))
+    one = one.withColumn("goal", F.expr("named_struct('s', h_s, 'l', h_l, 't', h_t)"))
+    # One round: each dimension in turn, on the weights the one before has left; then weights are cut at 1.
     body = "st"
-    for d, targets in dims.items():
-        others = [o for o in dims if o != d]
-        fields = ", ".join(f"'{o}', " + (_fit("n", targets, d, others) if o == d else f"st.{o}") for o in dims)
-        body = f"element_at(transform(array({body}), {state} -> named_struct({fields})), 1)"
-    fitted = one.withColumn("f", F.expr(f"aggregate(sequence(1, {int(rounds)}), {start}, (st, round_no) -> {body})"))
-    names = {d: "array(" + ", ".join(f"'{k}'" for k in sorted(v)) + ")" for d, v in dims.items()}
-    weighed = fitted.withColumn("cells", F.expr("transform(cells, c -> struct(c.s, c.l, c.t, element_at(f.s, c.s) * element_at(f.l, c.l) * element_at(f.t, c.t) AS weight))"))
-    return weighed.withColumn("top", F.expr("array_max(transform(cells, c -> c.weight))")).select(F.explode("cells").alias("c"), "top").select(
-        *[F.expr(f"element_at({names[d]}, c.{d})").alias(d) for d in dims], "c.weight", F.expr("if(top > 0D, c.weight / top, 0D)").alias("p")
-    )
+    for d in DIMS:
+        body = f"element_at(transform(array({body}), st -> {_scaled(d, len(names[d]), float(keep))}), 1)"
+    body = f"transform({body}, c -> named_struct('s', c.s, 'l', c.l, 't', c.t, 'n', c.n, 'w', least(c.w, 1D)))"
+    fitted = one.select(F.explode(F.expr(f"aggregate(sequence(1, {int(rounds)}), cells, (st, round_no) -> {body})")).alias("c"))
+    named = [F.expr(f"element_at({_array(map(_name, names[d]))}, c.{d})").alias(d) for d in DIMS]
+    return fitted.select(*named, F.col("c.n").alias("n"), F.when(F.col("c.n") > 0, F.col("c.w")).otherwise(F.lit(1.0)).alias("p"))
 
 
 def draw(key: Column) -> Column:
@@ -107,21 +132,39 @@ def draw(key: Column) -> Column:
     return F.conv(F.substring(F.md5(key.cast("string")), 1, 13), 16, 10).cast("double") / float(16**13)
 
 
-def mix(docs: DataFrame, sources: dict = SOURCES, langs: dict = LANGS, topics: dict = TOPICS, topic_of: Column | None = None, rounds: int = ROUNDS, rest: tuple[str, ...] = ()) -> DataFrame:
-    """Every row of ``docs`` with __topic, __tokens, __weight, __p and __sampled."""
-    text = F.col("text")
-    marked = docs.withColumns(
-        {
-            "__s": _group(F.col("source"), sources),
-            "__l": _group(F.col("lang"), langs),
-            "__topic": topic(text) if topic_of is None else topic_of,
-            "__tokens": n_tokens(text),
-        }
-    ).withColumn("__t", _group(F.col("__topic"), topics))
-    cells = marked.groupBy(F.col("__s").alias("s"), F.col("__l").alias("l"), F.col("__t").alias("t")).agg(F.sum("__tokens").alias("tokens"))
-    chances = rake(cells, sources, langs, topics, rounds, rest)  # at most (S+1)(L+1)(T+1) rows
-    chances = chances.select(*[F.col(c).alias(f"__c_{c}") for c in chances.columns])
-    joined = marked.join(F.broadcast(chances), [F.col(f"__{d}") == F.col(f"__c_{d}") for d in "slt"], "left")
-    p = F.coalesce("__c_p", F.lit(0.0))
-    told = {"__weight": F.coalesce("__c_weight", F.lit(0.0)), "__p": p, "__sampled": draw(F.coalesce(F.col("doc_id"), F.lit(-1))) < p}
-    return joined.withColumns(told).drop("__s", "__l", "__t", *chances.columns)
+def _chances(measured: DataFrame, sources, langs, topics, temper: float, keep: float, named: int, rounds: int, strict: bool):
+    """(measured with __s, __l and __t; the chances of their cells; the targets)."""
+    sums = cut(measured.groupBy(F.col("source").alias("s"), F.col("lang").alias("l"), F.col("__topic").alias("t")).agg(F.sum("__tokens").alias("tokens")))
+    targets = {d: targets_of(sums, d, given, temper, named) for d, given in zip(DIMS, (sources, langs, topics))}
+    cells = sums.groupBy(*[_group(F.col(d), targets[d]).alias(d) for d in DIMS]).agg(F.sum("tokens").alias("tokens"))
+    marked = measured.withColumns({f"__{d}": _group(F.col(c), targets[d]) for d, c in zip(DIMS, ("source", "lang", "__topic"))})
+    return marked, cut(rake(cells, targets, keep, rounds, strict)), targets
+
+
+def mix_measured(
+    measured: DataFrame, sources: dict | None = None, langs: dict | None = None, topics: dict | None = None, temper: float = TEMPER, keep: float = KEEP, named: int = NAMED, rounds: int = ROUNDS, strict: bool = False
+) -> DataFrame:
+    """Every row of ``measured`` with __weight (its share of the draw over that of the input), __p and __sampled."""
+    marked, chances, _ = _chances(measured, sources, langs, topics, temper, keep, named, rounds, strict)
+    chances = chances.select(*[F.col(d).alias(f"__c_{d}") for d in DIMS], F.col("p").alias("__p"))  # at most (named + 1) ** 3 rows
+    joined = marked.join(F.broadcast(chances), [F.col(f"__{d}") == F.col(f"__c_{d}") for d in DIMS], "left")
+    drawn = draw(F.coalesce(F.col("doc_id"), F.lit(-1))) < F.col("__p")
+    return joined.withColumns({"__weight": F.col("__p") / float(keep), "__sampled": drawn}).drop(*[f"__{d}" for d in DIMS], *[f"__c_{d}" for d in DIMS])
+
+
+def mix(docs: DataFrame, sources: dict | None = None, langs: dict | None = None, topics: dict | None = None, topic_of: Column | None = None, **options) -> DataFrame:
+    """Every row of ``docs`` with __topic, __tokens, __weight, __p and __sampled. None: tempered targets; options: those of ``mix_measured``."""
+    return mix_measured(measure(docs, topic_of), sources, langs, topics, **options)
+
+
+def residuals(docs: DataFrame, sources: dict | None = None, langs: dict | None = None, topics: dict | None = None, topic_of: Column | None = None, temper: float = TEMPER, keep: float = KEEP, named: int = NAMED, rounds: int = ROUNDS) -> DataFrame:
+    """dimension, category, share (of all tokens), target, reached (expected share of the draw), drawn (expected share of the category's tokens)."""
+    _, chances, targets = _chances(measure(docs, topic_of), sources, langs, topics, temper, keep, named, rounds, False)
+    out = None
+    for d, name in zip(DIMS, ("source", "lang", "topic")):
+        found = chances.groupBy(F.col(d).alias("category")).agg(F.sum("n").alias("share"), F.sum(F.expr("n * p")).alias("got"))
+        goal = chances.sparkSession.createDataFrame(sorted(targets[d].items()), "category string, target double")
+        found = goal.join(found, "category", "left").select(F.lit(name).alias("dimension"), "category", F.coalesce("share", F.lit(0.0)).alias("share"), "target", F.coalesce("got", F.lit(0.0)).alias("got"))
+        out = found if out is None else out.unionByName(found)
+    total = F.lit(chances.agg(F.sum(F.expr("n * p"))).first()[0] or 0.0)
+    return out.select("dimension", "category", "share", "target", F.try_divide("got", total).alias("reached"), F.try_divide("got", "share").alias("drawn"))

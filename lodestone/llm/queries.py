@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, exact_topk, licenses, line_dedup, mixing, packing, simhash, substring_dedup, toxicity, url_filters
-from .common import table
+from .common import cut, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -37,9 +37,8 @@ b AS (
   GROUP BY l.host, l.line, t.total HAVING count(*) >= {line_dedup.MIN_PAGES} AND count(*) > t.total * {line_dedup.RATIO!r}::DOUBLE),
 k AS (SELECT host, list(line) AS dropped FROM b GROUP BY host),
 r AS (
-  SELECT page_id, host, lines, CASE WHEN len(kept) > 0 THEN kept ELSE lines END AS kept FROM (
-    SELECT p.page_id, p.host, p.lines, list_filter(p.lines, lambda x: NOT list_contains(coalesce(k.dropped, []), x)) AS kept
-    FROM p LEFT JOIN k ON p.host = k.host))
+  SELECT p.page_id, p.host, p.lines, list_filter(p.lines, lambda x: NOT list_contains(coalesce(k.dropped, []), x)) AS kept
+  FROM p LEFT JOIN k ON p.host = k.host)
 SELECT page_id, host, len(lines)::BIGINT AS n_lines, (len(lines) - len(kept))::BIGINT AS n_dropped,
        md5(coalesce(array_to_string(kept, chr(10)), '')) AS kept_md5
 FROM r
@@ -95,43 +94,49 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- 8: mixing over documents -------------------------------------------------
 
 
-def _case(column: str, targets: dict) -> str:
-    names = ", ".join(f"'{k}'" for k in sorted(targets) if k != "*")
-    return f"CASE WHEN {column} IN ({names}) THEN {column} ELSE '*' END"
+def _named(source: str, column: str) -> str:
+    """The largest categories of a column by tokens."""
+    return f"(SELECT k FROM (SELECT {column} AS k, sum(tokens) AS m FROM {source} WHERE {column} IS NOT NULL AND {column} <> '*' GROUP BY 1 HAVING sum(tokens) > 0 ORDER BY m DESC, k LIMIT {mixing.NAMED}))"
 
 
-def _target(column: str, targets: dict) -> str:
-    return "CASE " + column + " ".join([""] + [f"WHEN '{k}' THEN {float(v)!r}::DOUBLE" for k, v in sorted(targets.items())]) + " END"
-
-
-def _fit(inner: str, column: str, targets: dict) -> str:
+def _fit(inner: str, column: str) -> str:
     mass = f"sum(n * w) OVER (PARTITION BY {column})"
-    return f"(SELECT k, s, l, t, n, CASE WHEN {mass} > 0 THEN w * {_target(column, targets)} / {mass} ELSE 0 END AS w FROM {inner})"
+    return f"(SELECT k, s, l, t, n, gs, gl, gt, CASE WHEN {mass} > 0 THEN w * g{column} * {mixing.KEEP!r}::DOUBLE / {mass} ELSE 0 END AS w FROM {inner})"
 
 
 OP8_SQL = rf"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, lang, source, {_case("source", mixing.SOURCES)} AS s, {_case("lang", mixing.LANGS)} AS l,
+  SELECT doc_id, lang, source,
     CASE WHEN contains(x, '://') OR contains(x, '@') THEN 'web'
          WHEN length(x) < 120 * (length(x) - length(replace(x, chr(10), '')) + 1) THEN 'list' ELSE 'prose' END AS topic,
     len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))::BIGINT AS tokens
   FROM (SELECT *, coalesce(text, '') AS x FROM documents)),
-c AS (SELECT s, l, {_case("topic", mixing.TOPICS)} AS t, sum(tokens)::DOUBLE AS n FROM d GROUP BY ALL),
+e AS (
+  SELECT *, CASE WHEN source IN {_named("d", "source")} THEN source ELSE '*' END AS s,
+            CASE WHEN lang IN {_named("d", "lang")} THEN lang ELSE '*' END AS l,
+            CASE WHEN topic IN {_named("d", "topic")} THEN topic ELSE '*' END AS t FROM d),
+c AS (SELECT s, l, t, sum(tokens)::DOUBLE / (SELECT greatest(sum(tokens), 1) FROM e) AS n FROM e GROUP BY ALL),
+g AS (
+  SELECT 's' AS dim, s AS k, pow(sum(n), {mixing.TEMPER!r}::DOUBLE) AS x FROM c GROUP BY s HAVING sum(n) > 0
+  UNION ALL SELECT 'l', l, pow(sum(n), {mixing.TEMPER!r}::DOUBLE) FROM c GROUP BY l HAVING sum(n) > 0
+  UNION ALL SELECT 't', t, pow(sum(n), {mixing.TEMPER!r}::DOUBLE) FROM c GROUP BY t HAVING sum(n) > 0),
+h AS (SELECT dim, k, x / sum(x) OVER (PARTITION BY dim) AS share FROM g),
 r AS (
-  SELECT 0 AS k, s, l, t, n / (SELECT greatest(sum(n), 1) FROM c) AS n, 1.0::DOUBLE AS w FROM c
+  SELECT 0 AS k, s, l, t, n, 1.0::DOUBLE AS w, coalesce(hs.share, 0) AS gs, coalesce(hl.share, 0) AS gl, coalesce(ht.share, 0) AS gt
+  FROM c LEFT JOIN h AS hs ON hs.dim = 's' AND hs.k = s LEFT JOIN h AS hl ON hl.dim = 'l' AND hl.k = l LEFT JOIN h AS ht ON ht.dim = 't' AND ht.k = t
   UNION ALL
-  SELECT k + 1, s, l, t, n, w FROM {_fit(_fit(_fit("r", "s", mixing.SOURCES), "l", mixing.LANGS), "t", mixing.TOPICS)} WHERE k < {mixing.ROUNDS}),
-f AS (SELECT s, l, t, w, CASE WHEN max(w) OVER () > 0 THEN w / max(w) OVER () ELSE 0 END AS p FROM r WHERE k = {mixing.ROUNDS})
-SELECT doc_id, lang, source, topic, tokens, round(w, 6) AS weight, round(p, 6) AS p,
-       (('0x' || substr(md5(doc_id::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE) < p AS sampled
-FROM d JOIN f ON d.s = f.s AND d.l = f.l AND {_case("d.topic", mixing.TOPICS)} = f.t
+  SELECT k + 1, s, l, t, n, least(w, 1), gs, gl, gt FROM {_fit(_fit(_fit("r", "s"), "l"), "t")} WHERE k < {mixing.ROUNDS}),
+f AS (SELECT s, l, t, CASE WHEN n > 0 THEN w ELSE 1 END AS p FROM r WHERE k = {mixing.ROUNDS})
+SELECT doc_id, lang, source, topic, tokens, round(p / {mixing.KEEP!r}::DOUBLE, 6) AS weight, round(p, 6) AS p,
+       (('0x' || substr(md5(coalesce(doc_id, -1)::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE) < p AS sampled
+FROM e JOIN f ON e.s = f.s AND e.l = f.l AND e.t = f.t
 """
 
 
 @query("op8_mixing", OP8_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
-    return mixing.mix(docs).select(
+    return mixing.mix_measured(cut(mixing.measure(docs).drop("text"))).select(
         "doc_id",
         "lang",
         "source",

@@ -6,13 +6,14 @@ short prefix, the full digest confirms, and the longest rule wins.
 
 The verdict depends only on the host and on the first ``max rule path`` characters
 of the path, so expressions are made once per distinct (host, path head) and not
-once per row: a hot host or page is one row there. Prefix lengths are limited to
-those that occur among the rules. The judged pairs are written to the checkpoint folder and
+once per row: a hot host or page is one row there. Only suffixes of as many labels, and prefixes of as many
+characters, as some rule has are made, so a host of very many labels costs no more than
+its length. The judged pairs are written to the checkpoint folder and
 counted: up to ``BROADCAST_ROWS`` they are broadcast and pages never move; beyond, the join
 is shuffled and skewed keys are split.
 
 Edge cases: a null url or one without ``://`` has an empty host and path and matches
-nothing; an empty host label or port is kept as written; equal-length rules that both
+nothing; an empty host label or port is kept as written; hosts of any number of labels and very long urls are read whole; equal-length rules that both
 fit the same url (only possible by repeating a rule with the other verdict): block
 wins; null or empty rule hosts fit nothing; empty tables give an empty result; other
 columns of the input are ignored.
@@ -48,10 +49,10 @@ def prepare_rules(rules: DataFrame) -> DataFrame:
     path = F.coalesce(F.col("path"), F.lit(""))
     return (
         rules.where((F.length("host") > 0) & F.col("verdict").isin("allow", "block"))
-        .select(F.concat(host, path).alias("rule"), F.concat_ws("\n", host, path).alias("expression"), F.length(path).alias("path_len"), "verdict")
-        .groupBy("rule", "expression", "path_len")
+        .select(F.concat(host, path).alias("rule"), F.concat_ws("\n", host, path).alias("expression"), F.length(path).alias("path_len"), F.size(F.split(host, "[.]")).alias("labels"), "verdict")
+        .groupBy("rule", "expression", "path_len", "labels")
         .agg(F.max("verdict").alias("rule_verdict"))  # 'block' > 'allow'
-        .select("rule", "rule_verdict", "path_len", _short("expression").alias("short"), F.sha2("expression", 256).alias("digest"))
+        .select("rule", "rule_verdict", "path_len", "labels", _short("expression").alias("short"), F.sha2("expression", 256).alias("digest"))
     )
 
 
@@ -59,8 +60,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     """pages (url, ...) -> all its rows with host, path, rule and verdict."""
     host, path = host_and_path(F.col("url"))
     ruled = prepare_rules(rules)
-    # one short list: the distinct lengths of the rules' paths
-    lengths = sorted(ruled.agg(F.collect_set("path_len")).first()[0]) or [0]
+    # two short lists: the distinct lengths of the rules' paths and numbers of the labels of their hosts
+    sizes = ruled.agg(F.collect_set("path_len"), F.collect_set("labels")).first()
+    lengths, labels = sorted(sizes[0]) or [0], sorted(sizes[1]) or [1]
     drop = [c for c in ("host", "path", "rule", "verdict") if c in pages.columns]
     parts = pages.withColumns({"__host": host, "__path": path}).drop(*drop)
     parts = parts.withColumn("__head", F.substring("__path", 1, lengths[-1]))
@@ -71,9 +73,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
         "__head",
         F.explode(
             F.expr(
-                f"""flatten(transform(sequence(0, size(split(__host, '[.]')) - 1), i ->
+                f"""flatten(transform(filter(array({", ".join(map(str, labels))}), k -> k <= size(split(__host, '[.]'))), k ->
                      transform(filter(array({", ".join(map(str, lengths))}), n -> n <= length(__head)), n ->
-                       concat(array_join(slice(split(__host, '[.]'), i + 1, size(split(__host, '[.]'))), '.'), '\\n', substring(__head, 1, n)))))"""
+                       concat(substring_index(__host, '.', -k), '\\n', substring(__head, 1, n)))))"""
             )
         ).alias("expression"),
     ).withColumn("short", _short("expression"))

@@ -507,10 +507,19 @@ def test_line_dedup_edges(spark):
     got = [(r.site, r["__kept"]) for r in line_dedup.drop_boilerplate(df, F.col("site"), line_dedup.text_lines(F.col("text")), 0.5, 3).collect()]
     assert len(got) == len(rows)
     assert sum(k == [" ", f"own {i}"] for i in range(8) for _, k in got) == 8
-    assert ("h", ["menu"]) in got and (None, ["menu", "x"]) in got and ("g", ["menu", "y"]) in got and got.count(("h", [""])) == 2
+    assert ("h", []) in got and (None, ["menu", "x"]) in got and ("g", ["menu", "y"]) in got and got.count(("h", [""])) == 2
     assert line_dedup.drop_boilerplate(df.limit(0), F.col("site"), line_dedup.text_lines(F.col("text"))).count() == 0
 
 
+def test_line_dedup_of_small_sites_and_copied_pages(spark):
+    rows = [("h", "frame\nown 1"), ("h", "frame\nown 2"), ("h", "own 3"), ("h", "copy\ncopy 2"), ("h", "copy\ncopy 2")]
+    df = spark.createDataFrame(rows, "site string, text string")
+    kept = lambda **o: sorted(r["__kept"] for r in line_dedup.drop_boilerplate(df, F.col("site"), line_dedup.text_lines(F.col("text")), **o).collect())
+    assert kept() == [[], [], ["own 1"], ["own 2"], ["own 3"]]
+    assert kept(spare_whole=True) == [["copy", "copy 2"], ["copy", "copy 2"], ["own 1"], ["own 2"], ["own 3"]]
+    assert kept(ratio=0.5) == kept(min_pages=3) == sorted(r[1].split("\n") for r in rows)
+
+
 @pytest.mark.parametrize(
     "url, host, path, rule, verdict",
     [
@@ -528,6 +537,14 @@ def test_urls(spark, url, host, path, rule, verdict):
     assert [(r.host, r.path, r.rule, r.verdict) for r in got] == [(host, path, rule, verdict)] * 2
 
 
+def test_hosts_of_many_labels(spark):
+    rules = spark.createDataFrame([*Q.RULES, ("a.b.c.d", "", "block")], "host string, path string, verdict string")
+    urls = ["http://" + "x." * 200_000 + "com/en/1", "http://" + "y." * 100_000 + "a.b.c.d", "http://b.c.d", "http://com", "http://.."]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id int, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filters.judge_urls(pages, rules).collect()}
+    assert got == {0: ("com/en/", "block"), 1: ("a.b.c.d", "block"), 2: (None, "allow"), 3: (None, "allow"), 4: (None, "allow")}
+
+
 def test_urls_without_rows_or_rules(spark):
     rules = spark.createDataFrame(Q.RULES, "host string, path string, verdict string")
     pages = spark.createDataFrame([(1, "http://com/en/")], "page_id int, url string")
@@ -535,21 +552,51 @@ def test_urls_without_rows_or_rules(spark):
     assert [r.verdict for r in url_filters.judge_urls(pages, rules.limit(0)).collect()] == ["allow"]
 
 
-def test_raking_meets_the_targets(spark):
+def mixed_documents(spark, n=3000):
     rng = np.random.default_rng(2)
-    rows = [(i, "en" if rng.random() < 0.8 else "de", "src0" if rng.random() < 0.6 else "other", "word " * int(rng.integers(1, 400)), ["prose", "web"][int(rng.random() < 0.2)]) for i in range(3000)]
+    rows = [(i, "en" if rng.random() < 0.8 else "de", "src0" if rng.random() < 0.6 else "other's", "word " * int(rng.integers(1, 400)), ["prose", "web"][int(rng.random() < 0.2)]) for i in range(n)]
     rows += [(None, None, None, None, None), (1, "xx", "src0", "", "prose")]
-    df = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string, kind string").withColumns({"s": F.lit(0), "l": F.lit(0), "t": F.lit(0), "p": F.lit(0), "weight": F.lit(0)})
+    return rows, spark.createDataFrame(rows, "doc_id long, lang string, source string, text string, kind string").withColumns({"s": F.lit(0), "l": F.lit(0), "t": F.lit(0), "p": F.lit(0), "weight": F.lit(0)})
+
+
+def test_raking_meets_given_targets(spark):
+    rows, df = mixed_documents(spark)
     targets = ({"src0": 0.3, "*": 0.7}, {"en": 0.5, "de": 0.5, "*": 0.0}, {"prose": 0.6, "*": 0.4})
-    out = mixing.mix(df, *targets, topic_of=F.col("kind")).cache()
+    out = mixing.mix(df, *targets, topic_of=F.col("kind"), keep=0.2).cache()
     assert out.count() == len(rows)
-    expected = out.where("lang in ('en', 'de')").select(F.sum(F.col("__p") * F.col("__tokens")).alias("all"), *[F.sum(F.when(c, F.col("__p") * F.col("__tokens"))).alias(n) for n, c in (("s", F.col("source") == "src0"), ("l", F.col("lang") == "en"), ("t", F.col("kind") == "prose"))]).first()
+    expected = out.select(F.sum(F.col("__p") * F.col("__tokens")).alias("all"), F.sum("__tokens").alias("n"), *[F.sum(F.when(c, F.col("__p") * F.col("__tokens"))).alias(n) for n, c in (("s", F.col("source") == "src0"), ("l", F.col("lang") == "en"), ("t", F.col("kind") == "prose"))]).first()
     assert [round(expected[c] / expected["all"], 3) for c in "slt"] == [0.3, 0.5, 0.6]
+    assert round(expected["all"] / expected["n"], 3) == 0.2
     taken = out.where("__sampled").agg(F.sum("__tokens")).first()[0]
     assert abs(taken / expected["all"] - 1) < 0.1
+    told = {(r.dimension, r.category): r for r in mixing.residuals(df, *targets, topic_of=F.col("kind"), keep=0.2).collect()}
+    assert all(abs(r.reached - r.target) < 1e-3 for r in told.values()) and told["source", "src0"].target == 0.3
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_tempered_targets_follow_the_input(spark):
+    rows, df = mixed_documents(spark)
+    told = {(r.dimension, r.category): r for r in mixing.residuals(df, topic_of=F.col("kind"), keep=0.4).collect()}
+    for dim, names in (("lang", ("en", "de")), ("source", ("src0", "other's")), ("topic", ("prose", "web"))):
+        shares = {k: told[dim, k].share ** 0.7 for k in names}
+        assert all(abs(told[dim, k].target - x / sum(shares.values())) < 1e-9 and abs(told[dim, k].reached - told[dim, k].target) < 1e-3 for k, x in shares.items())
+    whole = {(r.dimension, r.category): r for r in mixing.residuals(df, topic_of=F.col("kind"), keep=0.95).collect()}
+    assert all(r.drawn is None or 0.5 < r.drawn <= 1 for r in whole.values()) and whole["topic", "web"].reached < whole["topic", "web"].target
+    few = {(r.dimension, r.category) for r in mixing.residuals(df, topic_of=F.col("kind"), named=1).collect()}
+    assert {("source", "src0"), ("source", "*"), ("lang", "en"), ("lang", "*")} <= few and len(few) == 6
+
+
+def test_targets_that_cannot_be_met(spark):
+    _, df = mixed_documents(spark, 50)
+    with pytest.raises(ValueError):
+        mixing.mix(df, {"src0": -1.0, "*": 2.0})
+    absent = {"nowhere": 0.5, "src0": 0.5}
+    told = {r.category: r for r in mixing.residuals(df, absent, topic_of=F.col("kind")).where("dimension = 'source'").collect()}
+    assert told["nowhere"].reached == 0 and abs(told["src0"].reached - 1) < 1e-9
+    with pytest.raises(Exception, match="without tokens"):
+        mixing.mix(df, absent, strict=True).count()
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     assert simhash.near_duplicates(none).count() == 0 and simhash.one_of_each(none).count() == 0

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("lodestone.llm")
 
@@ -33,11 +34,12 @@ def test_sql(name, spark, sf):
     assert Counter(tuple(map(str, r)) for r in df.select(*columns).collect()) == Counter(tuple(str(r[names.index(c)]) for c in columns) for r in con.fetchall())
 
 
-def drop_lines(rows, ratio, least):
+def drop_lines(rows, ratio):
+    """A page that has no other line keeps its lines."""
     pages, seen = Counter(r["source"] for r in rows), Counter()
     for r in rows:
         seen.update((r["source"], x) for x in {x for x in r["text"].split("\n") if x.strip(" ")})
-    bad = {k for k, n in seen.items() if n >= least and n > ratio * pages[k[0]]}
+    bad = {k for k, n in seen.items() if n >= 2 and n > ratio * pages[k[0]]}
     out = []
     for r in rows:
         kept = [x for x in r["text"].split("\n") if (r["source"], x) not in bad]
@@ -58,22 +60,29 @@ def sample(rows):
     def kind(t):
         return "web" if "://" in t or "@" in t else "list" if len(t) < 120 * (t.count("\n") + 1) else "prose"
 
-    targets = (mixing.SOURCES, mixing.LANGS, mixing.TOPICS)
-    cell = lambda r: tuple(v if v in t and v != "*" else "*" for v, t in zip((r["source"], r["lang"], kind(r["text"])), targets))
+    cell = lambda r: (r["source"], r["lang"], kind(r["text"]))
     mass = defaultdict(float)
     for r in rows:
         mass[cell(r)] += len(re.findall(r"[^\x20\x09-\x0D]+", r["text"]))
     total = sum(mass.values())
+    goals = []
+    for d in range(3):
+        sums = defaultdict(float)
+        for c, n in mass.items():
+            sums[c[d]] += n / total
+        powers = {k: x**mixing.TEMPER for k, x in sums.items() if x}
+        assert len(powers) <= mixing.NAMED
+        goals.append({k: x / sum(powers.values()) for k, x in powers.items()})
     weight = dict.fromkeys(mass, 1.0)
     for _ in range(mixing.ROUNDS):
-        for d, t in enumerate(targets):
+        for d, goal in enumerate(goals):
             sums = defaultdict(float)
             for c, n in mass.items():
                 sums[c[d]] += n / total * weight[c]
-            weight = {c: w * t[c[d]] / sums[c[d]] if sums[c[d]] else 0.0 for c, w in weight.items()}
-    top = max(weight.values())
+            weight = {c: w * goal.get(c[d], 0) * mixing.KEEP / sums[c[d]] if sums[c[d]] else 0.0 for c, w in weight.items()}
+        weight = {c: min(w, 1.0) for c, w in weight.items()}
     draw = lambda i: int(hashlib.md5(str(i).encode()).hexdigest()[:13], 16) / 16**13
-    return [r for r in rows if draw(r["doc_id"]) < weight[cell(r)] / top]
+    return [r for r in rows if draw(r["doc_id"]) < (weight[cell(r)] if mass[cell(r)] else 1.0)]
 
 
 def test_pipeline(spark, sf):
@@ -85,7 +94,7 @@ def test_pipeline(spark, sf):
     rows = [r.asDict() for r in docs.collect()]
     clean = [r for r in rows if model.scores(np.array([grammar.features(r["text"])]))[0] < 0.5]
     assert 0 < len(clean) <= len(rows)
-    final = sample(one_of_each(drop_lines(clean, 0.1, 5)))
+    final = sample(one_of_each(drop_lines(clean, 0.1)))
     got = defaultdict(list)
     for r in corpus_pipeline.run(spark, sf).collect():
         got[r.doc_id].append(r)
@@ -103,11 +112,34 @@ def test_mixing_draws_other_languages(spark):
     rows = [(i, "word " * 300, [None, "xx", "en", "de"][i % 4], f"src{i % 3}", 1500) for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     drawn = Counter(r.lang for r in corpus_pipeline.mix(spark, docs, "").collect())
-    assert drawn[None] > 20 and drawn["xx"] > 20 and drawn["en"] > drawn["de"] > 0
-    other = docs.where("lang is null or lang = 'xx'")
-    assert corpus_pipeline.mix(spark, other, "").count() > 20
-    told = mixing.mix(docs, rest=("l",)).selectExpr("sum(__p * __tokens) as n", "sum(if(lang in ('en', 'de'), 0, __p * __tokens)) as other").first()
-    assert round(told.other / told.n, 6) == 0.5
+    assert all(30 < drawn[k] < 70 for k in (None, "xx", "en", "de"))
+    other = docs.where("lang is null")
+    assert 30 < corpus_pipeline.mix(spark, other, "").count() < 70
+    one = docs.where("lang = 'xx' and source = 'src1'").limit(1)
+    assert corpus_pipeline.mix(spark, one, "").count() <= 1
+
+
+ODD = [(1, None, "en", "s", None), (2, "", "en", "s", 0), (3, "a b c d", None, None, 7), (3, "a b c d", None, None, 7), (None, "x y z", "de", "t", 5), (None, "other words here", "de", "t", 16), (4, "word " * 60_000, "en", "s", 300_000), (5, " \n\n", "en", "s", 3)]
+
+
+@pytest.mark.parametrize("rows", [ODD, []])
+def test_stages_take_odd_rows_and_none(spark, sf, rows, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows, an empty table, columns with clashing names."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    clash = ["a", "b", "fp", "score", "p", "s", "l", "t", "n", "order", "group", "root"]
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs.withColumns({c: F.lit(c) for c in clash}), sf)
+        got = out.collect()
+        if name == "packing":
+            assert {r.doc_id for r in got} == {r[0] for r in rows} and sum(r.start == 0 for r in got) == len(rows)
+            continue
+        assert out.columns == docs.columns
+        if name in ("toxicity", "line dedup"):
+            assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
+        elif name == "mixing":
+            assert set(r.doc_id for r in got) <= {r[0] for r in rows}
+        else:  # texts without words are one class; a repeated row stays once
+            assert Counter(r.doc_id for r in got) == Counter({1: 1, 3: 1, 4: 1, None: 2} if rows else {})
 
 
 def test_stages_keep_columns(spark, sf):
