@@ -8,8 +8,10 @@ against brute force over the sample, reach ``RECALL``; visiting all leaves is ex
 the target can always be reached.
 
 Plan: the sample and the tree are bounded by parameters (the tree goes to the tasks in
-their closure). Rows are packed with their leaves in place, queries with a bit for each leaf
-they visit; only rows of visited leaves are candidates. If the queries' measured size is
+their closure). Between ``SAMPLE`` and ``SAMPLE_MOST`` the sample grows with the root of the rows, and with it the number of leaves, so
+a leaf of a larger table is a smaller share of it. Rows are packed with their leaves in place, queries with a bit for each leaf
+they visit. A task turns these bits round, to the queries of each leaf (inverted lists), and multiplies a leaf's
+rows by these queries only; ``scored`` counts such pairs. If the queries' measured size is
 under ``BROADCAST_BYTES`` they are broadcast and rows never move. Else rows are dealt to slots
 of neighbouring leaves, each query block goes to the slots it visits, and both meet in
 an equi-join on the slot. A crowded leaf is many blocks, so it can be split; of
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .exact_topk import BROADCAST_BYTES, best, least_copies, pack_blocks, valid
 
-K, SAMPLE, BRANCH, LEAF_SAMPLE, RECALL, TRIALS, BLOCK, QUERY_BLOCK = 20, 16384, 16, 64, 0.95, 200, 16384, 1024
+K, SAMPLE, SAMPLE_MOST, BRANCH, LEAF_SAMPLE, RECALL, TRIALS, BLOCK, QUERY_BLOCK = 20, 16384, 262_144, 16, 64, 0.95, 200, 16384, 1024
 MERGE_ROWS = 400_000
 #: Numbers that are multiplied at once when finds are scored exactly.
 PAIR_VALUES = 1 << 22
@@ -200,23 +202,40 @@ def _scored(k: int, leaves: int):
 
     def near(q, q_rows, visited, ids, rows, leaf):
         """Of each query: the k best rows in the leaves it visits, with scores summed alike for equal rows."""
-        some = visited.any(axis=0)[leaf]  # rows that any of these queries reads
-        ids, rows, leaf = ids[some], rows[some], leaf[some]
-        if not len(ids):
-            return None
-        scores = q_rows @ rows.T
-        scores[~visited[:, leaf] | (q[:, None] == ids[None, :])] = -np.inf
-        # Products differ from the exact scores in their last bits: all rows that rounding could lift to the k-th place.
-        n = min(k, len(ids))
-        least = np.partition(scores, len(ids) - n, axis=1)[:, len(ids) - n]
-        norms = np.linalg.norm(q_rows, axis=1) * np.linalg.norm(rows, axis=1).max()
-        margin = 4 * (rows.shape[1] + 2) * np.finfo(float).eps * norms
-        at, row = np.nonzero((scores >= (least - margin)[:, None]) & np.isfinite(scores))
-        if not len(at):
+        starts = np.flatnonzero(np.concatenate(([True], np.diff(leaf) != 0)))  # rows are in order of their leaves
+        norms, widest = np.linalg.norm(q_rows, axis=1), np.linalg.norm(rows, axis=1).max()
+        margin = 4 * (rows.shape[1] + 2) * np.finfo(float).eps * norms * widest
+        floor = np.full(len(q), -np.inf)  # the k-th best product of each query in any leaf so far
+        places, at, products = [], [], []
+        for first, last in zip(starts, np.append(starts[1:], len(leaf))):
+            asks = np.flatnonzero(visited[:, leaf[first]])
+            if not len(asks):
+                continue
+            scores = q_rows[asks] @ rows[first:last].T
+            scores[q[asks, None] == ids[None, first:last]] = -np.inf
+            n = last - first
+            # Products differ from the exact scores in their last bits: all rows that rounding could lift to the k-th place.
+            if n > k:
+                floor[asks] = np.maximum(floor[asks], np.partition(scores, n - k, axis=1)[:, n - k])
+            row, col = np.nonzero((scores >= (floor[asks] - margin[asks])[:, None]) & np.isfinite(scores))
+            at.append(asks[row])
+            places.append(first + col)
+            products.append(scores[row, col])
+        if not at:
             return None
+        at, places, products = np.concatenate(at), np.concatenate(places), np.concatenate(products)
+        # the k-th best product over all leaves, then the rows that could still be among the k best
+        order = np.lexsort((-products, at))
+        edges = np.flatnonzero(np.concatenate(([True], np.diff(at[order]) != 0)))
+        sizes = np.diff(np.append(edges, len(order)))
+        kth = np.full(len(q), -np.inf)
+        enough = sizes >= k
+        kth[at[order[edges[enough]]]] = products[order[edges[enough] + k - 1]]
+        stay = products >= (kth - margin)[at]
+        at, places = at[stay], places[stay]
         step = max(1, PAIR_VALUES // rows.shape[1])
-        exact = np.concatenate([(q_rows[at[x : x + step]] * rows[row[x : x + step]]).sum(axis=1) for x in range(0, len(at), step)])
-        return keep_best(at, ids[row], exact, k, q)
+        exact = np.concatenate([(q_rows[at[x : x + step]] * rows[places[x : x + step]]).sum(axis=1) for x in range(0, len(at), step)])
+        return keep_best(at, ids[places], exact, k, q)
 
     def run(batches):
         held, rows_held = [], 0
@@ -234,12 +253,10 @@ def _scored(k: int, leaves: int):
                 q, ids, leaf = np.frombuffer(q_ids, "<i8"), np.frombuffer(ids, "<i8"), np.frombuffer(leaf, "<i4")
                 q_rows, rows = np.frombuffer(q_whole, "<f8").reshape(len(q), size), np.frombuffer(whole, "<f8").reshape(len(ids), size)
                 visited = np.unpackbits(np.frombuffer(bits, np.uint8).reshape(len(q), -1), axis=1, count=leaves).astype(bool)
-                for first in range(0, len(q), 64):
-                    part = slice(first, first + 64)
-                    found = near(q[part], q_rows[part], visited[part], ids, rows, leaf)
-                    if found:
-                        held.append(found)
-                        rows_held += len(found[0])
+                found = near(q, q_rows, visited, ids, rows, leaf) if len(q) and len(ids) else None
+                if found:
+                    held.append(found)
+                    rows_held += len(found[0])
                 if rows_held > MERGE_ROWS:
                     held = [merged()]
                     rows_held = len(held[0][0])
@@ -254,8 +271,9 @@ def _scored(k: int, leaves: int):
 
 
 def fit(vectors: DataFrame, k: int, sample: int, branch: int, leaf_rows: int, recall: float, trials: int):
-    """(tree, visits, rows in all) from about ``sample`` rows."""
+    """(tree, visits, rows in all) from about ``sample`` rows, or up to ``SAMPLE_MOST`` as the table grows."""
     n = vectors.count()
+    sample = max(sample, min(SAMPLE_MOST, int(16 * n**0.5)))
     share = min(1.0, sample / max(1, n))
     picked = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).limit(2 * sample)
     blocks = pack_blocks(picked, 1 << 20, None).collect()
@@ -274,6 +292,35 @@ def fit(vectors: DataFrame, k: int, sample: int, branch: int, leaf_rows: int, re
     return tree, tree.calibrate(rows, k, recall, trials), n
 
 
+def scored(vectors: DataFrame, queries: DataFrame, **options) -> tuple[int, int]:
+    """(pairs of query and row that the search multiplies, all pairs), to stand beside its recall."""
+    vectors, queries = valid(vectors), valid(queries).dropDuplicates(["vec_id", "embedding"])
+    settings = {"k": K, "sample": SAMPLE, "branch": BRANCH, "leaf_rows": LEAF_SAMPLE, "recall": RECALL, "trials": TRIALS} | options
+    tree, visits, n = fit(vectors, *[settings[x] for x in ("k", "sample", "branch", "leaf_rows", "recall", "trials")])
+    leaves = max(1, tree.leaves)
+
+    def per_leaf(counted):
+        def run(batches):
+            for batch in batches:
+                sizes, lists = batch.column("size").to_pylist(), batch.column("leaves" if counted else "visits").to_pylist()
+                queries_of = batch.column("q_ids").to_pylist() if not counted else None
+                for i, (size, raw) in enumerate(zip(sizes, lists)):
+                    if counted:
+                        found = np.bincount(np.frombuffer(raw, "<i4"), minlength=leaves)
+                    else:
+                        found = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(len(queries_of[i]) // 8, -1), axis=1, count=leaves).sum(axis=0)
+                    at = np.flatnonzero(found)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), size), pa.int32()), pa.array(at, pa.int32()), pa.array(found[at].astype(np.int64))], names=["size", "leaf", "n"])
+
+        return run
+
+    placed = pack_blocks(vectors, BLOCK, None).mapInArrow(_placed(tree, 1, settings["k"] + 1), "size int, slot int, leaves binary, ids binary, whole binary")
+    asked = pack_blocks(queries, QUERY_BLOCK, None).mapInArrow(_asked(tree, visits, 1), "size int, slots array<int>, q_ids binary, q_whole binary, visits binary")
+    rows, asks = [df.mapInArrow(per_leaf(c), "size int, leaf int, n long").groupBy("size", "leaf").agg(F.sum("n").alias(name)) for df, c, name in ((placed, True, "rows"), (asked, False, "asks"))]
+    pairs = rows.join(asks, ["size", "leaf"]).agg(F.sum(F.col("rows") * F.col("asks"))).first()[0] or 0
+    return pairs, n * queries.count()
+
+
 def nearest_neighbours(
     vectors: DataFrame, queries: DataFrame, k: int = K, sample: int = SAMPLE, branch: int = BRANCH, leaf_rows: int = LEAF_SAMPLE, recall: float = RECALL, trials: int = TRIALS, block: int = BLOCK
 ) -> DataFrame:

@@ -1,10 +1,10 @@
 """Operator 2: exact top-k by inner product with vector-approximation files.
 
-Vectors become integers, floor(scale * x). A block of candidates keeps them twice: as
-an approximation file of one signed byte a component (the cell it falls in) and exactly.
-A query scans the cells for an upper and a lower bound of each inner product, then reads
+Vectors become integers, floor(scale * x). A block of candidates keeps them twice, in columns of their own: as
+an approximation file of one signed byte a component (the cell it falls in), made once when the block is packed,
+and exactly. A query scans the cells, in single precision where that is exact, for an upper and a lower bound of each inner product, then reads
 exact vectors in order of their bounds until the k-th best exact score is certain: no
-vector left has an upper bound that reaches it.
+vector left has an upper bound that reaches it. Of the exact column only these rows are touched.
 
 Plan: candidates and queries are packed to blocks of bounded size in place, and every
 query block meets every candidate block (the stated query set against all rows, in
@@ -19,9 +19,9 @@ Python integers else; a score outside 64 bits raises.
 
 Edge cases: null vectors and vectors with null or non-finite components take no part; an
 empty vector scores 0; vectors only meet others of their length; ties go to the
-smaller id; a query's own id is no candidate, also when rows repeat (repeated ids
-are ranked each); a repeated query row is a query each time, ranked in one window as in the
-SQL, so each neighbour stands that often among its k; null ids take no part; an empty table gives an empty result.
+smaller id; a query's own id is no candidate, also when rows repeat (repeated candidate rows
+are ranked each); a repeated query row (same id and vector) is asked once; null ids take no part; an empty table gives an
+empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 K, SCALE, BLOCK, QUERY_BLOCK, BROADCAST_BYTES = 10, 1024, 16384, 1024, 32 << 20
 
 PACKED = "size int, n long, ids binary, whole binary"
+#: Sums of integers up to here are exact in single and in double precision.
+SINGLE, DOUBLE = 2**24, 2**53
 
 
 def valid(df: DataFrame, column: str = "embedding") -> DataFrame:
@@ -107,21 +109,30 @@ def least_copies(ids: np.ndarray, rows: np.ndarray, copies: int):
 class ApproximationFile:
     """Integer vectors as one byte a component, with bounds of inner products."""
 
-    def __init__(self, rows: np.ndarray):
-        self.rows = rows
+    def __init__(self, rows: np.ndarray, cells: np.ndarray, width: float):
+        self.rows, self.cells, self.width = rows, cells, width
+        self.most = width * (np.abs(cells.astype(np.float64)).max(initial=0) + 1)
+
+    @classmethod
+    def of(cls, rows: np.ndarray) -> ApproximationFile:
         most = np.abs(rows).max(initial=0)
-        self.width = 2.0 ** max(0, int(np.ceil(np.log2(most + 1))) - 7) if most else 1.0
-        self.cells = np.floor(rows / self.width).astype(np.int8 if most / self.width <= 127 else np.int16)
+        width = 2.0 ** max(0, int(np.ceil(np.log2(most + 1))) - 7) if most else 1.0
+        return cls(rows, np.clip(np.floor(rows / width), -128, 127).astype(np.int8), width)
+
+    def exact(self, query: np.ndarray) -> bool:
+        """Whether double precision holds every sum."""
+        return np.abs(query).max(initial=0) * self.most * max(1, query.shape[-1]) < DOUBLE
 
     def bounds(self, queries: np.ndarray):
         """(lower, upper) of queries x rows. A row lies in [cell, cell + 1) * width, so at most width - 1 above."""
-        least = queries @ (self.cells.T.astype(np.float64) * self.width)
+        kind = np.float32 if np.abs(queries).max(initial=0) * 128 * max(1, queries.shape[1]) < SINGLE else np.float64
+        least = (queries.astype(kind) @ self.cells.T.astype(kind)).astype(np.float64) * self.width
         slack = self.width - 1
         return least + slack * np.minimum(queries, 0).sum(axis=1)[:, None], least + slack * np.maximum(queries, 0).sum(axis=1)[:, None]
 
 
 def _exact(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    if np.abs(query).max(initial=0) * np.abs(rows).max(initial=0) * max(1, len(query)) < 2**53:
+    if np.abs(query).max(initial=0) * np.abs(rows).max(initial=0) * max(1, len(query)) < DOUBLE:
         return (rows @ query).astype(np.int64)
     wide = [sum(int(a) * int(b) for a, b in zip(query, row)) for row in rows]
     return np.array(wide, dtype=np.int64)  # raises if a score needs more than 64 bits
@@ -131,12 +142,12 @@ def search(file: ApproximationFile, ids: np.ndarray, query_ids: np.ndarray, quer
     """(query_id, vec_id, score) of each query's k best in the file, some more on ties of bounds."""
     out = []
     # rounding of sums beyond 2**53 is far below this share of their size
-    exact_bounds = np.abs(queries).max(initial=0) * np.abs(file.rows).max(initial=0) * max(1, queries.shape[1]) < 2**53
+    exact_bounds = file.exact(queries)
     for at in range(0, len(queries), 128):
         some = queries[at : at + 128]
         lower, upper = file.bounds(some)
         if not exact_bounds:
-            slip = 1e-9 * (np.abs(some) @ np.abs(file.rows).T + 1)
+            slip = 1e-9 * (np.abs(some).sum(axis=1)[:, None] * file.most + 1)
             lower, upper = lower - slip, upper + slip
         own = query_ids[at : at + 128, None] == ids[None, :]
         lower[own], upper[own] = -np.inf, -np.inf
@@ -157,10 +168,22 @@ def search(file: ApproximationFile, ids: np.ndarray, query_ids: np.ndarray, quer
     return [np.concatenate(x) for x in zip(*out)] if out else [np.empty(0, np.int64)] * 3
 
 
+def with_cells(blocks: DataFrame) -> DataFrame:
+    """Blocks with their approximation file: the columns cells and width."""
+
+    def run(batches):
+        for batch in batches:
+            found = [ApproximationFile.of(_matrix(ids, whole, size)[1]) for size, ids, whole in zip(*[batch.column(c).to_pylist() for c in ("size", "ids", "whole")])]
+            columns = [pa.array([f.cells.tobytes() for f in found], pa.binary()), pa.array([f.width for f in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "cells", "width"])
+
+    return blocks.mapInArrow(run, PACKED + ", cells binary, width double")
+
+
 def meet(queries: DataFrame, candidates: DataFrame, query_bytes: int, slots: int) -> DataFrame:
     """Each query block beside each candidate block of the same vector length."""
     q = queries.select("size", F.col("ids").alias("q_ids"), F.col("whole").alias("q_whole"))
-    c = candidates.select("size", "ids", "whole")
+    c = candidates.select("size", "ids", "whole", "cells", "width")
     if query_bytes <= BROADCAST_BYTES:
         return c.join(F.broadcast(q), "size")
     c = c.withColumn("slot", F.pmod(F.xxhash64("ids"), F.lit(slots)).cast("int"))
@@ -173,17 +196,18 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int =
 
     def run(batches):
         for batch in batches:
-            for size, q_ids, q_whole, ids, whole in zip(*[batch.column(c).to_pylist() for c in ("size", "q_ids", "q_whole", "ids", "whole")]):
+            for size, q_ids, q_whole, ids, whole, cells, width in zip(*[batch.column(c).to_pylist() for c in ("size", "q_ids", "q_whole", "ids", "whole", "cells", "width")]):
                 n, rows = _matrix(ids, whole, size)
-                found = search(ApproximationFile(rows), n, *_matrix(q_ids, q_whole, size), k)
+                file = ApproximationFile(rows, np.frombuffer(cells, np.int8).reshape(len(n), size), width)
+                found = search(file, n, *_matrix(q_ids, q_whole, size), k)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["query_id", "vec_id", "score"])
 
-    queries, vectors = valid(queries), valid(vectors)
+    queries, vectors = valid(queries).dropDuplicates(["vec_id", "embedding"]), valid(vectors)
     query_bytes = 8 * (queries.agg(F.sum(F.size("embedding") + 1)).first()[0] or 0)
     slots = 1
     if query_bytes > BROADCAST_BYTES:
         slots = max(queries.sparkSession.sparkContext.defaultParallelism, -(-vectors.count() // block))
-    pairs = meet(pack_blocks(queries, query_block, scale), pack_blocks(vectors, block, scale, k + 1), query_bytes, slots)
+    pairs = meet(pack_blocks(queries, query_block, scale), with_cells(pack_blocks(vectors, block, scale, k + 1)), query_bytes, slots)
     return best(pairs.mapInArrow(run, "query_id long, vec_id long, score long"), k)
 
 

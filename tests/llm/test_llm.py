@@ -285,8 +285,9 @@ def usable(rows, zero):
 
 
 def brute_top(rows, k, modulo, score):
+    """A repeated query row is asked once."""
     out = Counter()
-    for q, v in rows:
+    for q, v in dict.fromkeys((q, tuple(v)) for q, v in rows):
         if q % modulo == 0:
             found = sorted((-score(v, w), i) for i, w in rows if i != q and len(w) == len(v))[:k]
             out.update((q, i, -s) for s, i in found)
@@ -298,10 +299,9 @@ def test_exact_topk(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"score": F.lit(1), "size": F.lit(2), "rank": F.lit(3)})
     whole = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in usable(rows, True)]
     queries = df.where("vec_id % 10 = 0")
-    dedup = [(i, v) for i, v in whole if i != 20] + [whole[20]]
     got = exact_topk.exact_topk(df, queries).collect()
     want = brute_top(whole, 10, 10, lambda a, b: sum(x * y for x, y in zip(a, b)))
-    assert dedup and Counter((r.query_id, r.vec_id, r.score) for r in got if r.query_id != 20) == Counter({k: n for k, n in want.items() if k[0] != 20})
+    assert Counter((r.query_id, r.vec_id, r.score) for r in got) == want
     small = exact_topk.exact_topk(df, queries, block=16, query_block=7)
     assert Counter(map(tuple, small.collect())) == Counter(map(tuple, got))
 
@@ -330,7 +330,7 @@ def test_tree_search(spark):
     good = usable(rows, False)
     hit = total = 0
     for q, v in good:
-        if q % 20 == 0 and q != 20:
+        if q % 20 == 0:
             true = sorted((-float(np.dot(v, w)), i) for i, w in good if i != q and len(w) == len(v))[:5]
             hit += len({i for _, i in true} & {i for i, _ in got[q]})
             total += len(true)
@@ -350,17 +350,74 @@ def test_tree_search_by_slots(spark, monkeypatch):
 
 
 def test_repeated_query_rows(spark):
-    """Asked once by the tree; each row ranked in one window by the exact search, as in its SQL."""
+    """Asked once by both searches."""
     rows = vectors()
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     queries = df.where("vec_id = 20")
+    assert queries.count() == 2
     got = [r.vec_id for r in ann.nearest_neighbours(df, queries, k=5, leaf_rows=16, recall=1.0).orderBy("rank").collect()]
     good = [(i, v) for i, v in usable(rows, False) if i != 20 and len(v) == 8]
     assert got == [i for _, i in sorted((-float(np.sum(np.multiply(rows[20][1], w))), i) for i, w in good)[:5]]
-    whole = [[int(np.floor(1024 * x)) for x in v] for v in (rows[20][1], *[w for i, w in usable(rows, True) if i != 20 and len(w) == 8])]
-    ids = [i for i, w in usable(rows, True) if i != 20 and len(w) == 8]
-    want = sorted((-sum(x * y for x, y in zip(whole[0], w)), i) for i, w in zip(ids, whole[1:]) for _ in range(2))[:10]
-    assert [(r.vec_id, r.score) for r in exact_topk.exact_topk(df, queries).orderBy("rank").collect()] == [(i, -s) for s, i in want]
+    found = exact_topk.exact_topk(df, queries).orderBy("rank").collect()
+    assert [r["rank"] for r in found] == list(range(1, 11)) and [r.vec_id for r in found] == list(range(1000, 1010))
+
+
+def brute_nearest(rows, k, modulo):
+    ids, whole = np.array([i for i, _ in rows]), np.array([v for _, v in rows], dtype=float)
+    out = {}
+    for q, v in zip(ids, whole):
+        if q % modulo == 0:
+            scores = (whole * v).sum(axis=1)
+            order = [p for p in np.lexsort((ids, -scores)) if ids[p] != q][:k]
+            out[int(q)] = [(int(ids[p]), float(scores[p])) for p in order]
+    return out
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
+def test_tree_query_against_brute_force(spark, sf, size):
+    """k = 20 on the embeddings: recall, scores, ranks, and fewer pairs than all."""
+    folder = sf.replace("sf0.001", size)
+    df = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding")
+    want = brute_nearest([(r.vec_id, r.embedding) for r in df.collect()], 20, 20)
+    got = defaultdict(list)
+    for r in Q.QUERIES["op6_ann_tree"](spark, folder).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    hit = 0
+    assert set(got) == set(want)
+    for q, found in got.items():
+        found.sort()
+        assert [x[0] for x in found] == list(range(1, 21)) and [x[1:] for x in found] == sorted((x[1:] for x in found), key=lambda x: (-x[1], x[0]))
+        hit += len({x[1] for x in found} & {i for i, _ in want[q]})
+    assert hit >= 0.9 * 20 * len(want)
+    pairs, every = ann.scored(df, df.where("vec_id % 20 = 0"))
+    assert 0 < pairs <= every
+    print(size, "recall", hit / 20 / len(want), "pairs scored", pairs / every)
+
+
+def test_ties_among_different_vectors_of_one_leaf(spark):
+    """Vectors with small whole components, so that many different ones tie, all in one leaf."""
+    rng = np.random.default_rng(6)
+    rows = [(int(i) * 20, [float(x) for x in rng.integers(-1, 2, 6)]) for i in rng.permutation(60)]
+    rows = [(i, v) for i, v in rows if any(v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want = brute_nearest(rows, 20, 20)
+    got = defaultdict(list)
+    for r in ann.nearest_neighbours(df, df, recall=1.0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert got == want
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 10**6), st.sampled_from([1, 10, 300, 40_000, 10**7]), st.integers(1, 6))
+def test_bounds_hold_and_spare_rows(seed, most, size):
+    rng = np.random.default_rng(seed)
+    rows, queries = rng.integers(-most, most + 1, (50, size)).astype(float), rng.integers(-most, most + 1, (4, size)).astype(float)
+    file = exact_topk.ApproximationFile.of(rows)
+    low, high = file.bounds(queries)
+    true = queries @ rows.T
+    assert (low <= true).all() and (true <= high).all()
+    got = exact_topk.search(file, np.arange(50), np.full(4, -1), queries, 5)
+    assert sorted(got[2].tolist()) == sorted(x for q in true for x in sorted(q.astype(int), reverse=True)[:5])
 
 
 def test_least_copies_counts_different_ids():
