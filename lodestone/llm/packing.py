@@ -10,7 +10,7 @@ group are taken apart and their pieces fill the gaps of the fullest (gaps under
 ``min_piece`` stay). So a group ends with at most one sequence that is far from full.
 
 Plan: one shuffle of the documents, by partitions that each hold many groups: as many as
-three times the cores or ``PARTITION_BYTES`` need, and never more than groups. Tasks stream
+three times the cores or ``PARTITION_BYTES`` need, and at most ``PARTITIONS``. Tasks stream
 their groups, sorted, and hold one group at a time (about ``group_bytes`` of text, and any one
 text whole). Group and order depend on the rows' content only, so a task that is run again gives
 the same sequences. Equal rows (same id and text) would all fall in one group: those that come more
@@ -43,8 +43,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 CAPACITY, MIN_PIECE, GROUP_BYTES, END_ID = 1024, 16, 4 << 20, 0
-#: Bytes of text a shuffle partition may hold (it is sorted on disk and streamed), and rows that may be equal in a group.
-PARTITION_BYTES, COPIES = 1 << 30, 1000
+#: Bytes of text for a shuffle partition (sorted, on disk if need be, and streamed), most partitions, and rows that may be equal in a group.
+PARTITION_BYTES, PARTITIONS, COPIES = 256 << 20, 65_536, 1000
 #: Keys of such rows (8 bytes each) up to which they are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Entries of a worker's cache; it is emptied when full.
@@ -193,7 +193,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, min_piece:
         keys = many.withColumn("many", F.lit(True))
         rows = rows.withColumn("place", F.monotonically_increasing_id()).join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, "order", "left")
         rows = rows.withColumn("order", F.when(F.col("many"), F.xxhash64("order", "place")).otherwise(F.col("order")))
-    parts = int(min(groups, max(3 * docs.sparkSession.sparkContext.defaultParallelism, -(-total // PARTITION_BYTES))))
+    parts = int(min(groups, PARTITIONS, max(3 * docs.sparkSession.sparkContext.defaultParallelism, -(-total // PARTITION_BYTES))))
     rows = rows.withColumn("group", F.pmod("order", F.lit(groups)))
     rows = rows.repartitionById(parts, F.pmod("group", F.lit(parts)).cast("int")).sortWithinPartitions("group", "order", "doc_id")
 
