@@ -463,6 +463,65 @@ def test_licenses(spark):
     assert all(set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1 for r in got)
 
 
+def brute_scan(text, templates, base, long, coverage, gap):
+    """Labels, spans and score by looking for every common passage of text and templates."""
+    words, named = licenses.words_of(text), [(label, licenses.words_of(t)) for label, t in templates]
+    phrases = [licenses.words_of(p) for p, _ in base]
+    known = [t for _, t in named] + phrases
+    inside = lambda piece: any(t[i : i + len(piece)] == piece for t in known for i in range(len(t) - len(piece) + 1))
+    reach = []  # the longest common passage that ends at each word
+    for k in range(len(words)):
+        n = reach[-1] + 1 if reach else 1
+        while n and not inside(words[k + 1 - n : k + 1]):
+            n -= 1
+        reach.append(n)
+    maximal = [(k, n) for k, n in enumerate(reach) if n >= long and not (k + 1 < len(words) and reach[k + 1] == n + 1)]
+    best = {}
+    for j, (_, t) in enumerate(named):
+        chain = None
+        for last, n in maximal:
+            piece = words[last + 1 - n : last + 1]
+            for end in range(n - 1, len(t)):
+                if t[end + 1 - n : end + 1] == piece:
+                    if chain and last - n + 1 - chain[1] <= gap and end - n + 1 > chain[3]:
+                        chain = [chain[0], last, chain[2] + n, end]
+                    else:
+                        chain = [last - n + 1, last, n, end]
+                    share = min(1.0, chain[2] / len(t))
+                    if share > best.get(j, (0,))[0]:
+                        best[j] = (share, chain[0], chain[1])
+    found = [(named[j][0], a, b, s) for j, (s, a, b) in sorted(best.items())]
+    sure = [f for f in found if f[3] >= coverage or f[3] * len(named[[x for x in sorted(best)][found.index(f)]][1]) > licenses.CERTAIN - 0.5]
+    places = [label for p, (_, label) in zip(phrases, base) for k in range(len(words)) if words[k : k + len(p)] == p]
+    return ",".join(sorted({*places, *(f[0] for f in sure)})), 1.0 if places else max((f[3] for f in found), default=0.0), sure
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abc"), min_size=3, max_size=9), min_size=1, max_size=3), st.lists(st.sampled_from("abcx"), max_size=30))
+def test_chains_and_labels(texts, stream):
+    templates = [(f"t{i}", " ".join(t)) for i, t in enumerate(texts)]
+    scanner = licenses.Scanner(templates, [("a b", "base")], 2, 0.6, 3)
+    row = scanner.row(" ".join(stream))
+    labels, score, spans = brute_scan(" ".join(stream), templates, [("a b", "base")], 2, 0.6, 3)
+    assert (row[5], row[6]) == (labels, score)
+    assert [(x["label"], x["first"], x["last"], x["share"]) for x in row[7]] == spans
+
+
+def test_whole_licences_are_found_as_spans(spark):
+    """A licence text with a few changed words, inside other text, is one span that covers its template."""
+    rows = []
+    for i, (label, text) in enumerate(licenses.TEXTS):
+        words = text.split()
+        words[len(words) // 3] = words[2 * len(words) // 3] = "changed"
+        rows.append((i, " ".join([long_text(i, 40), *words, long_text(i + 50, 40)])))
+    for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        label, text = licenses.TEXTS[r.doc_id]
+        span = max((x for x in r.spans if x.label == label), key=lambda x: x.last - x.first)
+        assert label in r.labels.split(",") and span.share > 0.9 and 40 <= span.first <= 45 and abs(span.last - span.first + 1 - len(licenses.words_of(text))) < 8
+    benchmark = [(i, long_text(i, 400)) for i in range(20)]
+    assert all(r.labels == "" and r.score < 0.5 for r in licenses.scan_licenses(spark.createDataFrame(benchmark, "doc_id long, text string")).collect())
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.lists(st.integers(1, 3), min_size=1, max_size=8), min_size=1, max_size=4), st.lists(st.integers(1, 4), max_size=20))
 def test_matching_statistics(texts, stream):
