@@ -8,12 +8,12 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Commands and their signs.
-SIGNS = {
-    "times": "×", "cdot": "·", "div": "÷", "pm": "±", "leq": "≤", "le": "≤", "geq": "≥", "ge": "≥", "neq": "≠", "approx": "≈", "alpha": "α", "beta": "β", "gamma": "γ",
-    "delta": "δ", "lambda": "λ", "mu": "μ", "pi": "π", "rho": "ρ", "sigma": "σ", "phi": "φ", "ell": "l", "circ": "°", "infty": "∞", "sum": "Σ", "Delta": "Δ",
-}
-SIMPLE = re.compile(r"[\w.°αβγδλμπρσφΔ]+")
+# Commands and their signs. Other commands, Greek letters among them, become their names.
+SIGNS = {"times": "×", "div": "÷", "cdot": "·", "pm": "±", "geq": "≥", "ge": "≥", "leq": "≤", "le": "≤", "neq": "≠", "approx": "≈"}
+KNOWN = {*SIGNS, "frac", "dfrac", "tfrac", "sqrt", "text", "mathrm", "textbf", "mathbf", "operatorname", "left", "right", "quad", "qquad"}
+#: Contents that need no brackets in a fraction.
+SIMPLE = re.compile(r"[\w.°]+")
+COMMAND = re.compile(r"\\([A-Za-z]+|.)", re.S)
 
 
 def group(text: str, at: int) -> tuple[str, int]:
@@ -45,15 +45,19 @@ def plain(text: str) -> str:
     while i < len(text):
         c = text[i]
         if c == "\\" and i + 1 < len(text):
-            m = re.compile(r"\\([A-Za-z]+|.)", re.S).match(text, i)
+            m = COMMAND.match(text, i)
+            if m[1].isalpha() and m[1] not in KNOWN and i and (text[i - 1].isalpha() or text[i - 1] == ":"):
+                out.append(m[0])  # a folder's name, not a command
+                i = m.end()
+                continue
             name, i = m[1], m.end()
             if name in ("frac", "dfrac", "tfrac"):
                 top, i = argument(text, i)
                 bottom, i = argument(text, i)
-                out.append(f"{wrap(top)}/{wrap(bottom)}")
+                out.append(f"{wrap(top.strip())}/{wrap(bottom.strip())}")
             elif name == "sqrt":
                 inner, i = argument(text, i)
-                out.append(f"√({inner})")
+                out.append(f"sqrt({inner.strip()})")
             elif name in ("text", "mathrm", "textbf", "mathbf", "operatorname"):
                 inner, i = argument(text, i)
                 out.append(inner)
@@ -62,14 +66,14 @@ def plain(text: str) -> str:
             elif name in "()[]":
                 pass  # delimiters of a formula
             elif name in ("left", "right", "quad", "qquad", ",", ";", ":", "!", " "):
-                out.append(" " if name in ("quad", "qquad", " ") else "")
+                out.append("" if name in ("left", "right") else " ")
             elif name in "{}%&_#$":
                 out.append(name)
             else:
-                out.append(name if name.isalpha() and not out else "")
+                out.append(name if name.isalpha() else "")
         elif c in "^_":
             inner, i = argument(text, i + 1)
-            out.append(c + wrap(inner) if c == "^" else "_" + inner)
+            out.append(c + inner.strip())
         elif c == "{":
             inner, i = group(text, i)
             out.append(plain(inner))
@@ -84,7 +88,8 @@ def plain(text: str) -> str:
 def format_math(text: str | None) -> str | None:
     if text is None or not any(c in text for c in "\\$^_{}"):
         return text
-    return re.sub(r"[ \t]{2,}", " ", plain(text)).strip()
+    spaced = re.sub(r"[ \t]+", " ", plain(text))
+    return re.sub(r"\s+\)", ")", re.sub(r"\(\s+", "(", spaced)).strip(" ")
 
 
 @F.pandas_udf(T.StringType())

@@ -9,7 +9,7 @@ from ..operators import answers as A
 from ..providers import OverlapReranker, rerank
 from ..streaming.queries import analysed
 from .analysis import GLOSSARY
-from .base import query, table
+from .base import query, table, values
 from .scoring import HITS, hits, questions
 
 _W = lambda c: f"list_distinct(list_filter(regexp_split_to_array(lower({c}), '[^a-z0-9]+'), lambda x: x <> ''))"
@@ -43,10 +43,19 @@ def answer_prompt(spark, sf_dir):
     return rows.select("conv_id", "turn", prompt.alias("prompt"))
 
 
-@query("math_format", "SELECT p_partkey AS id, 't = ' || p_size || '/(' || p_size || ' + 1) · √(x_k) ≤ ' || p_size || ' mm^2 ' || p_name AS text FROM part")
+#: Markup and the plain text that the reference's behaviour asks for, each for a part.
+MATH = [
+    (r"\[ tp \geq 600 \times 100 = 60000 \text{ mm} \]", "tp ≥ 600 × 100 = 60000 mm"), ("$x = 5$", "x = 5"), (r"\frac{600}{100}", "600/100"), (r"\frac{a + b}{c}", "(a + b)/c"),
+    (r"\(\alpha + \beta\)", "alpha + beta"), ("$$a$$", "a"), (r"\sqrt{25}", "sqrt(25)"), ("x^{2}", "x^2"), ("x_{max}", "x_max"), (r"E:\Project\some-folder", r"E:\Project\some-folder"), (r"C:\Users\x", r"C:\Users\x"),
+    ("", ""), (r"\left( \frac{1}{2} \right)", "(1/2)"), (r"\alpha test", "alpha test"), ("a_b^{c}", "a_b^c"), ("plain text, 6 mm.", "plain text, 6 mm."), (r"4 \mathrm{kN} \cdot 2 \pm 1", "4 kN · 2 ± 1"),
+]
+
+
+@query("math_format", f"WITH m(k, text) AS (VALUES {values([(k, t) for k, (_, t) in enumerate(MATH)])}) SELECT p_partkey AS id, text || ' ' || p_size AS text FROM part JOIN m ON p_partkey % {len(MATH)} = k WHERE text <> ''")
 def math_format(spark, sf_dir):
-    text = F.format_string(r"$t = \frac{%d}{%d + 1} \cdot \sqrt{x_{k}} \leq %d \text{ mm}^{2}$ %s", F.col("p_size"), F.col("p_size"), F.col("p_size"), F.col("p_name"))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), format_math_column(text).alias("text"))
+    markup = F.array(*[F.lit(x) for x, _ in MATH])
+    rows = table(spark, sf_dir, "part").withColumn("markup", F.get(markup, F.col("p_partkey") % len(MATH))).where("markup <> ''")
+    return rows.select(F.col("p_partkey").alias("id"), format_math_column(F.concat("markup", F.lit(" "), F.col("p_size").cast("string"))).alias("text"))
 
 
 @query("analyse_batch")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import expressions, mathtext, text
 from lodestone.operators import analysis, answers, formulas, ingest, retrieval, scoring, tables
 from lodestone.providers import EchoChat, HashEmbedder, OverlapReranker, embed_column
+from lodestone.plans.answers import MATH
 from lodestone.sources import tables as sources
 
 
@@ -61,36 +62,58 @@ def test_expression_names_are_never_constants(spark):
 
 @settings(max_examples=20, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["≤", "<", ">", "≥", "=", "x <"]), st.integers(0, 99)), min_size=1, max_size=5))
-def test_predicates_agree(spark, cells):
+def test_predicates(spark, cells):
     rows = [f"{op} {n}" for op, n in cells]
     found = spark.createDataFrame([(i, c) for i, c in enumerate(rows)], "i int, c string").select("i", tables.row_predicate(F.col("c")).alias("p")).orderBy("i").collect()
-    for cell, r in zip(rows, found):
-        assert tuple(r.p) == tables.cell_predicate(cell)
+    for (op, n), r in zip(cells, found):
+        want = {"=": (None, False, None, False, n), "≤": (None, False, n, True, None), "<": (None, False, n, False, None), "x <": (None, False, n, False, None), ">": (n, False, None, False, None), "≥": (n, True, None, False, None)}
+        assert tuple(r.p) == want[op]
 
 
 PLATES = "Plate thickness | Leg length\n[mm] | [mm]\n≤ 4 | 2.5\n≤ 8 | 3.5\n> 8 | 5.0"
 
 
-@pytest.mark.parametrize(
-    "table, query, expected",
-    [
-        (PLATES, "leg length for plate thickness 6 mm", "3.5"),
-        (PLATES, "leg length for plate thickness 4 mm", "2.5"),
-        (PLATES, "leg length for plate thickness 0.6 cm", "3.5"),
-        (PLATES, "leg length for plate thickness 30 mm", "5.0"),
-        (PLATES, "leg length for plate thickness 6 firkins", None),
-        (PLATES, "leg length for plate thickness 6", None),
-        (PLATES, "leg length for plate thickness 30%", None),
-        (PLATES, "speed of a winch 6 mm", None),
-        ("A | B\n≤ 4 | 1\n≤ 4 | 2", "b for a 3", None),
-        ("one line", "1", None),
-        ("", "1", None),
-        (None, None, None),
-    ],
-)
-def test_choose_row(spark, table, query, expected):
-    got = tables.choose_row(table, query, "en")
-    assert (got[1] if got else None) == expected
+WIDE = "Frame | Steel grade | Weld\nspacing [mm] | A | B | throat [mm]\n≤ 600 | 5 | 6 | 7\n≤ 800 | 8 | 9 | 10"
+SHARES = "Share [%] | Factor beta\n40 or less | 0.2\n75 or more | 0.9"
+
+CASES = [
+    (PLATES, "leg length for plate thickness 6 mm", "3.5"), (PLATES, "leg length for plate thickness 4 mm", "2.5"), (PLATES, "leg length for plate thickness 0.6 cm", "3.5"),
+    (PLATES, "leg length for plate thickness 0.006 m", "3.5"), (PLATES, "leg length for plate thickness 30 mm", "5.0"), (PLATES, "leg length for plate thickness 6 firkins", None),
+    (PLATES, "leg length for plate thickness 6", None), (PLATES, "leg length for plate thickness 30%", None), (PLATES, "speed of a winch 6 mm", None),
+    (PLATES, "leg length of nothing", None), ("A | B\n≤ 4 | 1\n≤ 4 | 2", "b for a 3", None), ("one line", "1", None), ("", "1", None), (None, None, None), (None, "1", None), (PLATES, None, None),
+    (SHARES, "beta for a share of 80 %", "0.9"), (SHARES, "beta for a share of 30 percent", "0.2"), (SHARES, "beta for a share of 50 %", None),
+    ("[Table 3]\nGap [mm] | Spring rate\n10 < x ≤ 20 | 1\n20 < x ≤ 30 | 2", "spring rate for gap 25 mm", "2"), ("Gap [mm] | Spring rate\n10 < x ≤ 20 | 1\n20 < x ≤ 30 | 2", "spring rate for gap 35 mm", None),
+    ("Gap [mm] | Spring rate\n≤ 20 | 1\n10 < x ≤ 30 | 2", "spring rate for gap 15 mm", None), ("Gap [mm] | Spring rate\n5 | 1\n6 | 2", "spring rate for gap 6 mm", "2"),
+    ("Gap [mm] | Spring rate\n5 | 1\n≤ 6 | 2", "spring rate for gap 5 mm", None), ("Gap [mm] | Load [kN]\n≤ 5 | < 3\n≤ 6 | < 4", "load for gap 4 mm", None),
+    ("Gap | Spring rate\n≤ 5 | 1\n≤ 6 | 2", "spring rate for gap 4", "1"), ("Type | Spring rate\nwide | soft\nnarrow | hard", "spring rate for wide 4 mm", None),
+    (WIDE, "weld throat for frame spacing 700 mm", None), ("Frame | Weld | Bolt\nspacing [mm] | throat [mm] | size [mm]\n≤ 600 | 5 | 6\n≤ 800 | 8 | 9", "bolt size for frame spacing 700 mm", "9"),
+    ("Frame | Weld | Bolt\nspacing [mm] | size [mm] | size [mm]\n≤ 600 | 5 | 6\n≤ 800 | 8 | 9", "size for frame spacing 700 mm", None),
+]
+
+
+def test_selected_rows(spark):
+    pairs = spark.createDataFrame([(i, t, q, "en") for i, (t, q, _) in enumerate(CASES)] + [(100, PLATES, "panjang kaki untuk tebal", "id"), (101, PLATES, "leg length untuk plate thickness kurang dari 6 mm", "id")], "id int, table_text string, query string, language string")
+    got = {r.id: r for r in tables.select_rows(pairs.withColumns({"cells": F.lit(1), "at": F.lit(2), "split": F.lit(3)})).collect()}
+    assert len(got) == len(CASES) + 2
+    for i, (table, query, want) in enumerate(CASES):
+        assert (got[i].value_text if got[i].selected else None) == want, (table, query, got[i])
+    assert got[0].reason == "matched: ≤ 8 [(-inf, 8.0]] contains = 6.0 -> col 1" and got[5].reason == "fallback" and got[5].row_text == ""
+    assert not got[100].selected and got[101].row_text == "≤ 8" and got[101].reason.endswith("contains < 6.0 -> col 1")
+    assert tables.select_rows(pairs.limit(0)).count() == 0
+
+
+def test_headers_in_several_rows(spark):
+    """Leaf, parents, words and unit of each column."""
+    heads = tables.parse_tables(spark.createDataFrame([(PLATES,), ("Frame | Weld α\nspacing [mm] | throat\n[cm] | [-]\n≤ 600 | 5",)], "table_text string")).select("table_text", "split", "at", "heads").collect()
+    got = {r.table_text[:5]: r for r in heads}
+    assert got["Plate"].split == 2 and got["Plate"].at == 0 and [(h.leaf, h.parents, h.unit) for h in got["Plate"].heads] == [("[mm]", ["Plate thickness"], "mm"), ("[mm]", ["Leg length"], "mm")]
+    assert got["Frame"].split == 3 and [(h.leaf, h.parents, h.unit, sorted(h.words)) for h in got["Frame"].heads] == [("[cm]", ["Frame", "spacing [mm]"], "cm", ["frame", "spacing"]), ("[-]", ["Weld α", "throat"], None, ["alpha", "throat", "weld"])]
+
+
+def test_single_bounds(spark):
+    cells = ["≤ 4", "> 5", "10 < x <= 20", "7", "≥ 3", "< 2", "word"]
+    got = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, c string").select("i", tables.single_bound(tables.row_predicate(F.col("c"))).alias("b")).orderBy("i").collect()
+    assert [r.b and tuple(r.b) for r in got] == [("<=", 4.0), (">", 5.0), ("<=", 20.0), ("=", 7.0), (">=", 3.0), ("<", 2.0), None]
 
 
 @pytest.mark.parametrize(
@@ -155,9 +178,9 @@ def test_chunker_splits_at_headings_only(spark):
     assert got[0].content.startswith("[Sec 5 Title | A.1.1]\nA.\n1.1")
 
 
-@pytest.mark.parametrize("given, expected", [(r"\frac{a}{b+c}", "a/(b+c)"), (r"\sqrt{x^{2}}", "√(x^2)"), (r"$a \cdot b$", "a · b"), (r"\frac{\frac{1}{2}}{3}", "(1/2)/3"), ("plain", "plain"), (r"\text{mm}", "mm"), (r"\frac{1", "1/"), (None, None)])
+@pytest.mark.parametrize("given, expected", [(r"\frac{a}{b+c}", "a/(b+c)"), (r"\sqrt{x^{2}}", "sqrt(x^2)"), (r"$a \cdot b$", "a · b"), (r"\frac{\frac{1}{2}}{3}", "(1/2)/3"), ("plain", "plain"), (r"\text{mm}", "mm"), (r"\frac{1", "1/"), (None, None), (r"a \unknown b", "a unknown b"), *MATH])
 def test_math(given, expected):
-    assert mathtext.format_math(given) == expected
+    assert mathtext.format_math(given) == expected and mathtext.format_math(expected) == expected
 
 
 def test_events():
