@@ -42,16 +42,29 @@ def vector_topk(chunks: DataFrame, query_vector, k: int, id_column: str = "vec_i
     return scored.orderBy("distance", "id").limit(k)
 
 
+#: Measured bytes of packed queries up to which they are broadcast; beyond, rows and query blocks are dealt to slots.
+BROADCAST_BYTES = 32 << 20
+
+
 def in_blocks(queries: DataFrame, rows: DataFrame, block: int = 256) -> DataFrame:
-    """Each row beside each query, query blocks at a time: an equi-join on the block's number.
+    """Each row beside each query, query blocks at a time.
 
-    A block is one row that holds at most about ``block`` queries as an array, so the rows are
-    replicated once a block and not once a query before the join.
+    A block is one row that holds about ``block`` queries as an array. Up to ``BROADCAST_BYTES`` the blocks are broadcast and rows
+    stay where they are. Beyond, rows are dealt by a hash to as many slots as there are shuffle partitions, or blocks if
+    these are more, each block goes to every slot, and both meet in an equi-join on the slot: a row moves once.
     """
-    blocks = max(1, -(-queries.count() // block))
-    packed = queries.select(F.struct(*queries.columns).alias("q")).withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int")).groupBy("block").agg(F.collect_list("q").alias("qs"))
-    spread = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return spread.join(packed, "block").select(*rows.columns, F.explode("qs").alias("q")).select(*rows.columns, "q.*")
+    packed = queries.select(F.struct(*queries.columns).alias("q"))
+    n, size = packed.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.to_json("q")))).first()
+    blocks = max(1, -(-n // block))
+    packed = packed.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int")).groupBy("block").agg(F.collect_list("q").alias("qs"))
+    if (size or 0) <= BROADCAST_BYTES:
+        pairs = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(F.broadcast(packed), "block")
+    else:
+        slots = max(blocks, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        slot = F.pmod(F.xxhash64(*rows.columns), F.lit(slots)).cast("int")
+        everywhere = packed.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+        pairs = rows.withColumn("slot", slot).join(everywhere, "slot")
+    return pairs.select(*rows.columns, F.explode("qs").alias("q")).select(*rows.columns, "q.*")
 
 
 def vector_topk_batch(chunks: DataFrame, queries: DataFrame, k: int, block: int = 256) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone import catalog
-from lodestone.operators import ingest
+from lodestone.operators import ingest, retrieval
 from lodestone.plans.ingest import pages
 
 
@@ -58,3 +58,15 @@ def test_chunker_on_the_documents(spark, sf):
     assert any(len(r.chunks) > 1 for r in rows)
     for r in rows:
         assert [tuple(c) for c in r.chunks] == fold(r.text, 60)
+
+
+def test_query_blocks_without_a_broadcast_use_every_slot(spark, monkeypatch):
+    """With queries beyond the limit no join key is constant, and the rows are the same."""
+    rows = spark.range(300).select(F.col("id"), F.array(F.sin("id"), F.cos("id"), F.lit(0.5)).alias("embedding"))
+    queries = rows.where("id % 30 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    want = sorted(map(tuple, retrieval.vector_topk_batch(rows, queries, 5).collect()))
+    monkeypatch.setattr(retrieval, "BROADCAST_BYTES", 0)
+    found = retrieval.vector_topk_batch(rows, queries, 5, block=4)
+    assert sorted(map(tuple, found.collect())) == want and len(want) == 50
+    slots = retrieval.in_blocks(queries, rows, 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "slot" in slots and "block = block" not in slots
