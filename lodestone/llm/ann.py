@@ -43,6 +43,8 @@ K, SAMPLE, SAMPLE_MOST, BRANCH, LEAF_SAMPLE, RECALL, TRIALS, BLOCK, QUERY_BLOCK
 MERGE_ROWS = 400_000
 #: Numbers that are multiplied at once when finds are scored exactly.
 PAIR_VALUES = 1 << 22
+#: One of so many rows of a block gives a query's first floor.
+FLOOR_STEP = 16
 
 
 def kmeans(rows: np.ndarray, k: int, rng, rounds: int = 8):
@@ -204,24 +206,28 @@ def _scored(k: int, leaves: int):
         """Of each query: the k best rows in the leaves it visits, with scores summed alike for equal rows."""
         starts = np.flatnonzero(np.concatenate(([True], np.diff(leaf) != 0)))  # rows are in order of their leaves
         norms, widest = np.linalg.norm(q_rows, axis=1), np.linalg.norm(rows, axis=1).max()
+        # Products differ from the exact scores in their last bits: all rows that rounding could lift to the k-th place stay.
         margin = 4 * (rows.shape[1] + 2) * np.finfo(float).eps * norms * widest
-        floor = np.full(len(q), -np.inf)  # the k-th best product of each query in any leaf so far
+        # The k-th best product among some rows is a floor for that among all, and spares most pairs the sorting below.
+        floor, some = np.full(len(q), -np.inf), slice(None, None, FLOOR_STEP)
+        if len(ids[some]) > k:
+            first = q_rows @ rows[some].T
+            first[~visited[:, leaf[some]] | (q[:, None] == ids[None, some])] = -np.inf
+            floor = np.partition(first, first.shape[1] - k, axis=1)[:, first.shape[1] - k]
+        least = floor - margin
         places, at, products = [], [], []
         for first, last in zip(starts, np.append(starts[1:], len(leaf))):
             asks = np.flatnonzero(visited[:, leaf[first]])
             if not len(asks):
                 continue
             scores = q_rows[asks] @ rows[first:last].T
-            scores[q[asks, None] == ids[None, first:last]] = -np.inf
-            n = last - first
-            # Products differ from the exact scores in their last bits: all rows that rounding could lift to the k-th place.
-            if n > k:
-                floor[asks] = np.maximum(floor[asks], np.partition(scores, n - k, axis=1)[:, n - k])
-            row, col = np.nonzero((scores >= (floor[asks] - margin[asks])[:, None]) & np.isfinite(scores))
+            row, col = np.nonzero(scores >= least[asks][:, None])
+            other = q[asks[row]] != ids[first + col]
+            row, col = row[other], col[other]
             at.append(asks[row])
             places.append(first + col)
             products.append(scores[row, col])
-        if not at:
+        if not sum(map(len, at)):
             return None
         at, places, products = np.concatenate(at), np.concatenate(places), np.concatenate(products)
         # the k-th best product over all leaves, then the rows that could still be among the k best
