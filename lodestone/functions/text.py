@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -155,9 +159,33 @@ def cache_key(text: Column, language: Column, mode: Column, version: int = 4) ->
     return F.sha2(F.concat_ws("|", F.lit(str(version)), language, mode, plain), 256)
 
 
+@cache
+def _compatibility() -> tuple[str, str, dict[str, str], str]:
+    """NFKC of single characters of the basic plane: one-to-one pairs, those that become several, and a
+    character class of the Latin ones that stay as they are."""
+    one, several = {}, {}
+    for c in map(chr, [*range(0xA0, 0x3400), *range(0xF900, 0xFB50), *range(0xFE10, 0xFFF0)]):
+        n = unicodedata.normalize("NFKC", c)
+        if n != c:
+            (one if len(n) == 1 else several)[c] = n
+    same = "".join(c for c in map(chr, range(0xA0, 0x180)) if c not in one and c not in several)
+    return "".join(one), "".join(one.values()), several, rf"\x00-\x9F{same}"
+
+
+def compatible(text: Column) -> Column:
+    """NFKC character by character: widths, signs, fractions, ligatures, units. Combining marks aren't composed."""
+    one, to, several, same = _compatibility()
+    table = F.from_json(F.lit(json.dumps(several)), "map<string,string>")  # folded to a literal
+    folded = F.translate(text, one, to)
+    spelt = F.array_join(F.transform(F.split(folded, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    return F.when(text.rlike(rf"\A[{same}]*+\z"), text).when(folded.rlike(f"[{''.join(several)}]"), spelt).otherwise(folded)
+
+
 def comparable_answer(text: Column) -> Column:
-    """For grading: lower case, decimal points, plain signs, no white space."""
-    out = F.lower(text)
-    for a, b in ((",", "."), ("persen", "%"), ("percent", "%"), ("×", "x"), ("·", "x"), ("ℓ", "l"), ("√", "sqrt")):
+    """For grading: compatible characters, lower case, decimal points, percent and roots spelt out, no white space."""
+    out = F.replace(F.lower(compatible(text)), F.lit(","), F.lit("."))
+    out = F.regexp_replace(out, r"([0-9])\s*%", "$1 percent")
+    out = F.regexp_replace(out, r"(?U)\bsqrt\b", "square root")
+    for a, b in (("√", "square root"), ("×", "x"), ("·", "x"), ("ℓ", "l")):
         out = F.replace(out, F.lit(a), F.lit(b))
     return F.regexp_replace(out, r"\s+", "")

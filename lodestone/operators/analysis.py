@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import cache_key, first_line
 from .scoring import SHIP_TYPES, first_keyword
 
 # Marker words of the two languages.
@@ -104,6 +105,32 @@ def intent(text: Column) -> Column:
     )
 
 
+def intent_with_model(text: Column, mode: Column, ask) -> Column:
+    """``intent``; where it is unsure in the default mode, ``ask`` decides: text column -> answer column, null for rows that it is not asked about."""
+
+    def settle(first):
+        unsure = (first["confidence"] == "low") & F.coalesce(mode == "default", F.lit(False))
+        answer = ask(F.when(unsure, text))
+        kind = F.when(F.lower(F.trim(answer)).contains("calculation"), "calculation").otherwise("rules_qa")
+        asked = F.struct(kind.alias("kind"), F.lit("high").alias("confidence"), F.lit("llm").alias("source"))
+        return F.when(unsure, asked).otherwise(first)
+
+    return settle(intent(text))
+
+
+#: What a question outside the scope is answered, by language; every other language gets the English text.
+REJECTIONS = {
+    "id": "Pertanyaan ini di luar cakupan %s. Silakan merujuk ke dokumen yang sesuai.",
+    "en": "This question is outside the scope of %s. Please refer to the document that covers it.",
+}
+
+
+def rejection(text: Column, language: Column, document: str, subjects: list[str] | None = None) -> Column:
+    """The localised rejection of a text that names a subject outside the document; null if it is in scope. Runs before any calculation."""
+    said = F.when(language == "id", REJECTIONS["id"] % document).otherwise(REJECTIONS["en"] % document)
+    return F.when(out_of_scope(text, subjects or OUT_OF_SCOPE).isNotNull(), said)
+
+
 def out_of_scope(text: Column, subjects: list[str] = OUT_OF_SCOPE) -> Column:
     """The first listed subject that the text names; null if it is in scope."""
     return F.get(F.filter(F.array(*[F.lit(s) for s in subjects]), lambda s: F.lower(F.coalesce(text, F.lit(""))).contains(s)), F.lit(0))
@@ -217,6 +244,48 @@ def ship_type_of(query: Column, latest: Column, everything: Column, glossary: li
     return F.coalesce(first_keyword(apply_glossary(query, glossary), names), first_keyword(apply_glossary(latest, glossary), names), first_keyword(everything, names))
 
 
+def history_prefix(turns: DataFrame, queries: DataFrame, glossary: list[tuple[str, str]]) -> DataFrame:
+    """(conv_id, prefix): the facts of ``history_facts`` and the ship type, comma-joined; conversations without turns have no row."""
+    in_order = lambda pairs, field: F.transform(F.array_sort(F.collect_list(pairs)), lambda x: x[field])
+    facts = history_facts(turns, queries).groupBy("conv_id").agg(in_order(F.struct("place", "fact"), "fact").alias("facts"))
+    said = turns.groupBy("conv_id").agg(
+        F.array_join(in_order(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")), "text"), " ").alias("said"), F.max_by(F.when(F.col("role") == "user", F.col("text")), F.when(F.col("role") == "user", F.col("turn"))).alias("latest")
+    )
+    rows = queries.select("conv_id", "query").join(said, "conv_id").join(facts, "conv_id", "left")
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    ship = ship_type_of(text("query"), text("latest"), F.concat_ws(" ", "said", text("query")), glossary)
+    return rows.select("conv_id", F.array_join(F.concat(F.coalesce("facts", F.array().cast("array<string>")), F.filter(F.array(F.concat(F.lit("ship_type="), ship)), lambda x: x.isNotNull())), ", ").alias("prefix"))
+
+
+def translate_condense(queries: DataFrame, turns: DataFrame, cache: DataFrame, ask, glossary: list[tuple[str, str]]) -> DataFrame:
+    """The English stand-alone question of each query: cache, model, clean, validate, store.
+
+    queries (query_id, conv_id, query, language, mode; one a conversation), turns (conv_id, turn, role, text), cache
+    (query_hash, en_query) -> query_id, english, reason, origin (``cache`` or ``model``), query_hash, store (the row belongs in the cache).
+
+    The cache serves questions without history only, and not where its text drifted from the question. ``ask`` maps the
+    user messages (array of strings) to an answer; it gets null where the cache served. Without language or mode nothing is cached or validated.
+    """
+    prior = turns.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == "user", F.struct("turn", "text")))), lambda x: x["text"]).alias("prior"))
+    rows = queries.join(prior, "conv_id", "left").join(history_prefix(turns, queries, glossary), "conv_id", "left")
+    checked = F.col("language").isNotNull() & F.col("mode").isNotNull()
+    alone = F.col("prior").isNull() & checked
+    rows = rows.withColumns({"checked": checked, "alone": alone, "query_hash": F.when(alone, cache_key(F.col("query"), F.col("language"), F.col("mode")))})
+    rows = rows.join(cache.select("query_hash", "en_query"), "query_hash", "left")
+    rows = rows.withColumn("served", F.when(F.col("en_query").isNotNull(), condensed(F.col("query"), F.col("en_query"), glossary)))
+    rows = rows.withColumn("hit", F.coalesce(~F.col("served.reason").startswith("fallback:"), F.lit(False)))
+    plain = apply_glossary(F.col("query"), glossary)
+    subject = F.when(F.coalesce("prefix", F.lit("")) != "", F.concat(F.lit("[From conversation history: "), "prefix", F.lit("] "), plain)).otherwise(plain)
+    rows = rows.withColumn("subject", subject)
+    messages = F.concat(F.coalesce("prior", F.array().cast("array<string>")), F.array("subject"))
+    rows = rows.withColumn("answer", ask(F.when(~F.col("hit"), messages)))
+    rows = rows.withColumn("made", F.coalesce(F.nullif(first_line(F.col("answer")), F.lit("")), F.col("subject")))
+    fresh = F.when(F.col("checked"), condensed(F.col("query"), F.col("made"), glossary)).otherwise(F.struct(F.col("made").alias("query"), F.lit("unchecked").alias("reason")))
+    rows = rows.withColumn("out", F.when(F.col("hit"), F.col("served")).otherwise(fresh))
+    origin = F.when(F.col("hit"), "cache").otherwise("model")
+    return rows.select("query_id", F.col("out.query").alias("english"), "out.reason", origin.alias("origin"), "query_hash", (F.col("alone") & ~F.col("hit")).alias("store"))
+
+
 # Words without meaning for the comparison, and technical hints.
 FIDELITY_STOP = (
     "a an and are as at be by for from how in is it of on or the to what when where which who why with yang dan atau untuk pada dengan dalam dari apa "

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import comparable_answer
+from .analysis import bind
 
 
 def category(entry: dict[str, Column]) -> Column:
@@ -13,29 +14,39 @@ def category(entry: dict[str, Column]) -> Column:
     flag = lambda name: F.coalesce(entry[name], F.lit(False))
     return (
         F.when(flag("has_turns"), "multi_turn")
-        .when(flag("expect_no_lookup"), "lookup_negative")
-        .when(flag("expect_lookup"), "lookup")
-        .when(flag("should_reject"), "guardrail")
+        .when(flag("has_result"), "calc-value")
         .when(flag("expect_error"), "calc-error")
         .when(flag("expect_clarification"), "calc-clarify")
-        .when(flag("has_result"), "calc-value")
+        .when(flag("should_reject"), "guardrail")
+        .when(flag("expect_no_lookup"), "lookup_negative")
+        .when(flag("expect_lookup"), "lookup")
         .otherwise("rules_qa")
     )
 
 
-def includes_all(answer: Column, wanted: Column) -> Column:
-    plain = comparable_answer(answer)
-    return F.forall(F.coalesce(wanted, F.array().cast("array<string>")), lambda w: plain.contains(comparable_answer(w)))
+def _strings(words: Column) -> Column:
+    return F.coalesce(words, F.array().cast("array<string>"))
+
+
+def _groups(groups: Column) -> Column:
+    return F.coalesce(groups, F.array().cast("array<array<string>>"))
 
 
-def includes_any_of_each(answer: Column, groups: Column) -> Column:
-    plain = comparable_answer(answer)
-    return F.forall(F.coalesce(groups, F.array().cast("array<array<string>>")), lambda g: F.exists(g, lambda w: plain.contains(comparable_answer(w))))
+def _holds(plain: Column, word: Column) -> Column:
+    return plain.contains(comparable_answer(word))
 
 
-def includes_none(answer: Column, banned: Column) -> Column:
-    plain = comparable_answer(answer)
-    return ~F.exists(F.coalesce(banned, F.array().cast("array<string>")), lambda w: plain.contains(comparable_answer(w)))
+def includes_all(plain: Column, wanted: Column) -> Column:
+    """Whether a text made by ``comparable_answer`` holds all words."""
+    return F.forall(_strings(wanted), lambda w: _holds(plain, w))
+
+
+def includes_any_of_each(plain: Column, groups: Column) -> Column:
+    return F.forall(_groups(groups), lambda g: F.exists(g, lambda w: _holds(plain, w)))
+
+
+def includes_none(plain: Column, banned: Column) -> Column:
+    return ~F.exists(_strings(banned), lambda w: _holds(plain, w))
 
 
 def grade_answer(rows: DataFrame) -> DataFrame:
@@ -44,14 +55,15 @@ def grade_answer(rows: DataFrame) -> DataFrame:
     none = F.array().cast("array<int>")
     expected = F.coalesce("expected_sections", none)
     section = (F.size(expected) == 0) | F.arrays_overlap(expected, F.coalesce("sections", none))
-    graded = rows.withColumns(
+    # a column of its own, used several times: the optimizer computes it once
+    graded = rows.withColumn("__plain", comparable_answer(F.col("answer"))).withColumns(
         {
             "language_ok": F.coalesce(F.col("language") == F.col("lang"), F.lit(False)),
-            "keywords_ok": includes_all(F.col("answer"), F.col("must_include")) & includes_any_of_each(F.col("answer"), F.col("any_groups")) & includes_none(F.col("answer"), F.col("must_not")),
+            "keywords_ok": includes_all(F.col("__plain"), F.col("must_include")) & includes_any_of_each(F.col("__plain"), F.col("any_groups")) & includes_none(F.col("__plain"), F.col("must_not")),
             "section_ok": section,
         }
     )
-    return graded.withColumn("passed", F.col("language_ok") & F.col("keywords_ok") & F.col("section_ok"))
+    return graded.drop("__plain").withColumn("passed", F.col("language_ok") & F.col("keywords_ok") & F.col("section_ok"))
 
 
 def grade_number(value: Column, unit: Column, expected: Column, expected_unit: Column, tolerance: Column) -> Column:
@@ -65,9 +77,88 @@ def stated_number(answer: Column) -> Column:
     return F.struct(F.replace(F.regexp_extract(answer, pattern, 1), F.lit(","), F.lit(".")).try_cast("double").alias("value"), F.nullif(F.regexp_extract(answer, pattern, 2), F.lit("")).alias("unit"))
 
 
+def grade_guardrail(rejected: Column) -> Column:
+    """A guardrail entry passes if it was rejected; null counts as not rejected."""
+    return F.coalesce(rejected, F.lit(False))
+
+
+def _missing(answer: Column, wanted: Column, label: str) -> Column:
+    """``label:word`` of the wanted words that the answer lacks."""
+    lacking = bind(comparable_answer(F.coalesce(answer, F.lit(""))), lambda plain: F.filter(_strings(wanted), lambda w: ~_holds(plain, w)))
+    return F.transform(lacking, lambda w: F.concat(F.lit(f"{label}:"), w))
+
+
+def _lacking_groups(answer: Column, groups: Column) -> Column:
+    """``none of:a|b`` of the groups of which the answer holds no word."""
+    lacking = bind(comparable_answer(F.coalesce(answer, F.lit(""))), lambda plain: F.filter(_groups(groups), lambda g: ~F.exists(g, lambda w: _holds(plain, w))))
+    return F.transform(lacking, lambda g: F.concat(F.lit("none of:"), F.array_join(g, "|")))
+
+
+def _present(answer: Column, banned: Column) -> Column:
+    found = bind(comparable_answer(F.coalesce(answer, F.lit(""))), lambda plain: F.filter(_strings(banned), lambda w: _holds(plain, w)))
+    return F.transform(found, lambda w: F.concat(F.lit("forbidden:"), w))
+
+
+def _if(condition: Column, label: Column) -> Column:
+    return F.when(condition, F.array(label)).otherwise(F.array().cast("array<string>"))
+
+
+def grade_lookup(rows: DataFrame) -> DataFrame:
+    """rows (answer, language, lang, must_include, any_groups, must_not, lookup_topic) -> failures, passed, fired.
+
+    The answer decides; whether the lookup fired is told apart, for its rate.
+    """
+    failures = F.concat(
+        _if(~F.col("language").eqNullSafe(F.col("lang")), F.lit("language")),
+        _missing(F.col("answer"), F.col("must_include"), "missing"),
+        _lacking_groups(F.col("answer"), F.col("any_groups")),
+        _present(F.col("answer"), F.col("must_not")),
+    )
+    return rows.withColumn("failures", failures).withColumns({"passed": F.size("failures") == 0, "fired": F.col("lookup_topic").isNotNull()})
+
+
+# Openings of answers that refuse for lack of context; the second one in any case.
+REFUSAL_ID, REFUSAL_EN = "Konteks yang tersedia tidak cukup", "context is insufficient"
+
+
+def grade_lookup_negative(rows: DataFrame) -> DataFrame:
+    """rows (answer, lookup_topic, sections, expected_sections, must_include_any, must_not) -> failures, passed.
+
+    No rule may fire. With expected sections (strict) one of them must be retrieved and the answer may not refuse.
+    """
+    answer, no_ints = F.coalesce("answer", F.lit("")), F.array().cast("array<int>")
+    expected, any_of = F.coalesce("expected_sections", no_ints), _strings(F.col("must_include_any"))
+    strict = F.size(expected) > 0
+    refused = answer.contains(REFUSAL_ID) | F.lower(answer).contains(REFUSAL_EN)
+    failures = F.concat(
+        _if(F.col("lookup_topic").isNotNull(), F.concat(F.lit("fired:"), F.coalesce("lookup_topic", F.lit("")))),
+        _if(strict & ~F.arrays_overlap(expected, F.coalesce("sections", no_ints)), F.lit("sections")),
+        _if(strict & refused, F.lit("refused")),
+        _lacking_groups(answer, F.filter(F.array(any_of), lambda g: F.size(g) > 0)),
+        _present(answer, F.col("must_not")),
+    )
+    return rows.withColumn("failures", failures).withColumn("passed", F.size("failures") == 0)
+
+
+def with_history(turns: DataFrame) -> DataFrame:
+    """turns (conv_id, turn, question, answer) with ``history``: the messages of all earlier turns; a missing answer adds none."""
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("text"))
+    said = F.filter(F.array(message("user", F.col("question")), message("assistant", F.nullif(F.col("answer"), F.lit("")))), lambda m: m["text"].isNotNull())
+    return turns.withColumn("__said", said).withColumn("history", F.flatten(F.collect_list("__said").over(before))).drop("__said")
+
+
+def grade_turns(turns: DataFrame) -> DataFrame:
+    """Turns graded as single answers; the condensed question ``en_query`` must hold the words of ``en_query_contains``."""
+    graded = grade_answer(turns)
+    condensed = _missing(F.col("en_query"), F.col("en_query_contains"), "en_query")
+    return graded.withColumn("en_query_ok", F.size(condensed) == 0).withColumn("passed", F.coalesce(F.col("passed"), F.lit(False)) & F.col("en_query_ok"))
+
+
 def multi_turn(graded_turns: DataFrame) -> DataFrame:
-    """A conversation passes if all its turns do."""
-    return graded_turns.groupBy("conv_id").agg(F.bool_and("passed").alias("passed"), F.count(F.lit(1)).alias("turns"))
+    """A conversation passes if all its turns do; ``failed`` lists the turns that don't, in order."""
+    failed = F.sort_array(F.collect_list(F.when(~F.col("passed"), F.col("turn"))))
+    return graded_turns.groupBy("conv_id").agg(F.bool_and("passed").alias("passed"), F.count(F.lit(1)).alias("turns"), failed.alias("failed"))
 
 
 def summary(graded: DataFrame, by: str = "category") -> DataFrame:

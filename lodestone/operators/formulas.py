@@ -348,17 +348,41 @@ def select_formula(queries: DataFrame, formulas=CATALOGUE) -> DataFrame:
     return joined.select("query_id", F.coalesce("forced", "chosen").alias("code"), shown.alias("candidates"))
 
 
+#: What a question still has to say, in the two languages; ``%s`` takes the missing loads.
+HINTS = {
+    "en": ("give the ship length L in m, as in L=120", "give the design load (%s) in kN/m2, as in pB=45", "say whether bottom or side plating is meant"),
+    "id": ("sebutkan panjang kapal L dalam m, misalnya L=120", "sebutkan beban desain (%s) dalam kN/m2, misalnya pB=45", "sebutkan pelat alas atau pelat sisi"),
+}
+OPENINGS = {
+    "en": ("The stiffener spacing is given. Still needed:", "Needed for the calculation:"),
+    "id": ("Jarak penegar sudah ada. Masih diperlukan:", "Diperlukan untuk perhitungan:"),
+}
+DESIGN_LOADS = ("pB", "pS", "pS1")
+
+
 def diagnose(selected: DataFrame, queries: DataFrame, formulas=CATALOGUE) -> DataFrame:
-    """What a question without a chosen formula still has to say: array of hints."""
-    joined = selected.join(queries.select("query_id", "query"), "query_id")
-    needs_length = [f.code for f in formulas if any(v.symbol == "L" and v.required and v.default is None for v in f.variables)]
-    some = lambda codes: F.arrays_overlap("candidates", F.array(*[F.lit(c) for c in codes]))
+    """What a question without a chosen formula still has to say: query_id, hints (array), message (empty without hints).
+
+    queries (query_id, query and, if it has one, lang: ``id`` or else English). The load hint names the loads that the candidates lack.
+    """
+    lang = F.col("lang") if "lang" in queries.columns else F.lit("en")
+    joined = selected.join(queries.select("query_id", "query", (F.coalesce(lang, F.lit("en")) == "id").alias("local")), "query_id").where("code IS NULL")
+    needed = lambda f: [v.symbol for v in f.variables if v.required and v.default is None]
+    some = lambda codes: F.arrays_overlap("candidates", F.array(*[F.lit(c) for c in codes]).cast("array<string>"))
     kind = lambda part: F.exists("candidates", lambda c: c.contains(part))
-    length = some(needs_length) & ~F.col("query").rlike(r"\bL\s*[=:]") & kind("GREATER_90") & kind("LESS_90")
-    load = (kind("BOTTOM") | kind("SIDE")) & ~F.lower("query").rlike("pb|ps")
-    hints = F.filter(F.array(F.when(length, F.lit("give the ship length L")), F.when(load, F.lit("give the design load"))), lambda x: x.isNotNull())
-    both = kind("BOTTOM") & kind("SIDE") & (F.size(hints) == 0)
-    return joined.where("code IS NULL").select("query_id", F.when(both, F.array(F.lit("say bottom or side"))).otherwise(hints).alias("hints"))
+    both = lambda en, local: F.when(F.col("local"), local).otherwise(en)
+    text = lambda k: both(F.lit(HINTS["en"][k]), F.lit(HINTS["id"][k]))
+    query = F.coalesce("query", F.lit(""))
+    length = some([f.code for f in formulas if "l" in {s.lower() for s in needed(f)}]) & ~query.rlike(r"\bL\s*[=:]") & kind("GREATER_90") & kind("LESS_90")
+    loads = F.filter(F.array(*[F.when(some([f.code for f in formulas if p in needed(f)]), F.lit(p)) for p in DESIGN_LOADS]), lambda x: x.isNotNull())
+    load = (kind("BOTTOM") | kind("SIDE")) & (F.size(loads) > 0) & ~F.lower(query).rlike("pb|ps")
+    named = F.replace(text(1), F.lit("%s"), F.array_join(loads, ", "))
+    hints = F.filter(F.array(F.when(length, text(0)), F.when(load, named), F.when(~length & ~load & kind("BOTTOM") & kind("SIDE"), text(2))), lambda x: x.isNotNull())
+    spacing = query.rlike(r"\bb\s*[=:]") | F.array_contains(provided(query), "a")
+    opening = F.when(spacing, both(F.lit(OPENINGS["en"][0]), F.lit(OPENINGS["id"][0]))).otherwise(both(F.lit(OPENINGS["en"][1]), F.lit(OPENINGS["id"][1])))
+    rows = joined.select("query_id", hints.alias("hints"), opening.alias("opening"))
+    lines = F.array_join(F.transform("hints", lambda h: F.concat(F.lit("\n  - "), h)), "")
+    return rows.select("query_id", "hints", F.when(F.size("hints") > 0, F.concat("opening", lines)).otherwise("").alias("message"))
 
 
 def decode_variables(json_text: Column) -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,9 +119,11 @@ def parse_query(text: str, stop_words=STOP_WORDS) -> TextQuery:
     return out
 
 
-def postings(chunks: DataFrame, id_column: str, text_column: str, wanted: list[str] | None = None) -> DataFrame:
-    """(id, word, tf). ``wanted`` prunes the words before the shuffle, which is all a query needs."""
+def postings(chunks: DataFrame, id_column: str, text_column: str, wanted: list[str] | None = None, stem=None) -> DataFrame:
+    """(id, word, tf), the index of ``fulltext_search``. ``wanted`` prunes the words before the shuffle; ``stem`` maps a word column to its stem."""
     each = chunks.select(F.col(id_column).alias("id"), F.explode(words(F.col(text_column))).alias("word"))
+    if stem is not None:
+        each = each.withColumn("word", stem(F.col("word")))
     if wanted is not None:
         each = each.where(F.col("word").isin(wanted))
     return each.groupBy("id", "word").agg(F.count(F.lit(1)).alias("tf"))
@@ -154,6 +157,55 @@ def fulltext_rank(chunks: DataFrame, query: str, k: int, id_column: str = "doc_i
     return rows.where(matched).select("id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
+def _parsed(queries: DataFrame, stop_words, stem) -> DataFrame:
+    """queries (query_id, query) -> query_id, terms (word, groups, scored, banned), n_groups, phrases."""
+    @F.pandas_udf("struct<terms:array<struct<word:string,groups:array<int>,scored:boolean,banned:boolean>>,n_groups:int,phrases:array<string>>")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for text in texts:
+            q = parse_query(text or "", stop_words)
+            groups = [*q.all, *[[w] for p in q.phrases for w in p]]
+            at: dict[str, list[int]] = {w: [] for w in q.none}
+            for i, g in enumerate(groups):
+                for w in g:
+                    at.setdefault(w, []).append(i)
+            terms = [{"word": w, "groups": sorted(set(n)), "scored": bool(n), "banned": w in q.none} for w, n in at.items()]
+            out.append((terms, len(groups), [" ".join(p) for p in q.phrases]))
+        return pd.DataFrame(out, columns=["terms", "n_groups", "phrases"])
+
+    rows = queries.withColumn("p", run("query")).select("query_id", "p.*")
+    if stem is None:
+        return rows
+    return rows.withColumns(
+        {
+            "terms": F.transform("terms", lambda t: t.withField("word", stem(t["word"]))),
+            "phrases": F.transform("phrases", lambda p: F.array_join(F.transform(F.split(p, " "), stem), " ")),
+        }
+    )
+
+
+def fulltext_search(index: DataFrame, chunks: DataFrame, queries: DataFrame, k: int, id_column: str = "doc_id", text_column: str = "text", stop_words=STOP_WORDS, stem=None) -> DataFrame:
+    """query_id, rank, id, score of the k best chunks of each query, from a postings table (id, word, tf).
+
+    Words meet the index by an equi-join, so texts are neither read nor split; only texts that hold all words of a phrase
+    are, to confirm it. ``stem`` (word column -> stem column) must be the one that the index was made with.
+    """
+    parsed = _parsed(queries, stop_words, stem)
+    asked = parsed.where("n_groups > 0").select("query_id", "n_groups", F.explode("terms").alias("t")).select("query_id", "n_groups", "t.*")
+    if stem is not None:  # different words may share a stem
+        asked = asked.groupBy("query_id", "n_groups", "word").agg(F.flatten(F.collect_list("groups")).alias("groups"), F.max("scored").alias("scored"), F.max("banned").alias("banned"))
+    found = index.join(asked, "word").groupBy("query_id", "id", "n_groups").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("groups")))).alias("met"), F.max("banned").alias("banned"), F.round(F.sum(F.when(F.col("scored"), F.log1p(F.col("tf").cast("double")))), 6).alias("score")
+    )
+    matched = found.where((F.col("met") == F.col("n_groups")) & ~F.col("banned")).select("query_id", "id", "score")
+    phrased = parsed.where(F.size("phrases") > 0).select("query_id", "phrases")
+    each = words(F.col(text_column)) if stem is None else F.transform(words(F.col(text_column)), stem)
+    texts = chunks.select(F.col(id_column).alias("id"), F.concat(F.lit(" "), F.array_join(each, " "), F.lit(" ")).alias("__t"))
+    holds = F.forall("phrases", lambda p: F.col("__t").contains(F.concat(F.lit(" "), p, F.lit(" "))))
+    confirmed = texts.join(matched.join(phrased, "query_id"), "id").where(holds).select("query_id", "id", "score")
+    return ranked(matched.join(phrased, "query_id", "left_anti").unionByName(confirmed), "score", k).select("query_id", "rank", "id", "score")
+
+
 def rrf_fuse(vector_ranked: DataFrame, text_ranked: DataFrame, k: float = RRF_K, keys: list[str] | None = None) -> DataFrame:
     """Both (keys, rank) -> keys, vrank, frank, score: the sum of 1 / (k + rank)."""
     keys = keys or ["id"]
@@ -178,6 +230,14 @@ def hybrid_search(chunks: DataFrame, embeddings: DataFrame, query_vector, query_
     return chunks.join(F.broadcast(fused), F.col("doc_id") == F.col("id")).orderBy(F.desc("score"), "id").limit(k)
 
 
+def hybrid_search_batch(index: DataFrame, chunks: DataFrame, embeddings: DataFrame, queries: DataFrame, k: int = 8) -> DataFrame:
+    """queries (query_id, query, query_vector), index of ``postings``, chunks (doc_id, text), embeddings (id, embedding) -> query_id, rank, id, vrank, frank, score."""
+    pool = pool_size(k)
+    v = vector_topk_batch(embeddings, queries.select("query_id", "query_vector"), pool)
+    t = fulltext_search(index, chunks, queries.select("query_id", "query"), pool)
+    return ranked(rrf_fuse(v, t, keys=["query_id", "id"]), "score", k).select("query_id", "rank", "id", "vrank", "frank", "score")
+
+
 def retrieve(chunks: DataFrame, embeddings: DataFrame, query_vector, query_text: str, mode: Mode, rerank=None) -> DataFrame:
     """A mode's retrieval; ``rerank`` maps (chunks) to the same rows with new scores."""
     found = hybrid_search(chunks, embeddings, query_vector, query_text, mode.fetch)

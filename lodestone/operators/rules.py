@@ -141,8 +141,23 @@ def aspects(queries: DataFrame, terms: DataFrame) -> DataFrame:
     return hits(texts(queries), terms, "combined", ["aspect"]).groupBy("query_id").agg(F.sort_array(F.collect_set("aspect")).alias("aspects"))
 
 
-def precision(matches: DataFrame, queries: DataFrame, aspect_terms: DataFrame, expected: DataFrame, excluded: DataFrame) -> DataFrame:
-    """matches (query_id, topic) -> ok and reason. expected, excluded: (topic, aspects array)."""
+#: Topics that only hold for one kind of ship or state, and the terms of which the original question needs one.
+REQUIRED_CONTEXT = {
+    "supply_bulwark_plating_thickness": ["supply vessel", "supply vessels", "kapal suplai"],
+    "dredger_bottom_transverse_spacing_aground": ["aground", "kandas"],
+}
+
+
+def precision(matches: DataFrame, queries: DataFrame, aspect_terms: DataFrame, expected: DataFrame, excluded: DataFrame, required: DataFrame | None = None) -> DataFrame:
+    """matches (query_id, topic) -> ok and reason. expected, excluded: (topic, aspects array); required: (topic, term), ``REQUIRED_CONTEXT`` if not given.
+
+    A required term must stand in the original question; a blank original has none.
+    """
+    if required is None:
+        required = matches.sparkSession.createDataFrame([(t, w) for t, ws in REQUIRED_CONTEXT.items() for w in ws], "topic string, term string")
+    asked = queries.where(F.trim(F.coalesce("query", F.lit(""))) != "")
+    context = hits(texts(asked), required, "original", ["topic"]).distinct().withColumn("context", F.lit(True))
+    matches = matches.join(required.select("topic").distinct().withColumn("bound", F.lit(True)), "topic", "left").join(context, ["query_id", "topic"], "left")
     found = aspects(queries, aspect_terms)
     none = F.array().cast("array<string>")
     joined = (
@@ -153,12 +168,13 @@ def precision(matches: DataFrame, queries: DataFrame, aspect_terms: DataFrame, e
     seen = F.coalesce("aspects", none)
     bad = F.array_intersect(seen, F.coalesce("excluded", none))
     reason = (
-        F.when(F.col("expected").isNull(), "ok")
+        F.when(F.col("bound") & F.col("context").isNull(), F.concat(F.lit("missing_required_context:"), "topic"))
+        .when(F.col("expected").isNull(), "ok")
         .when(F.size(bad) > 0, F.concat(F.lit("excluded_aspect:"), F.array_join(F.sort_array(bad), ",")))
         .when(F.size(F.array_intersect(seen, "expected")) == 0, F.concat(F.lit("missing_aspect:"), F.array_join(F.sort_array("expected"), ",")))
         .otherwise("ok")
     )
-    return joined.withColumn("reason", reason).withColumn("ok", F.col("reason") == "ok").drop("aspects", "expected", "excluded")
+    return joined.withColumn("reason", reason).withColumn("ok", F.col("reason") == "ok").drop("aspects", "expected", "excluded", "bound", "context")
 
 
 def localised(language: Column, en: Column, local: Column, plain: Column) -> Column:

@@ -41,7 +41,21 @@ def section_boost(hits: DataFrame, queries: DataFrame, types=SHIP_TYPES) -> Data
     return resorted(boosted.drop("ship_type", "boost"))
 
 
-def phrase_boost(hits: DataFrame, queries: DataFrame, rules: list[tuple[str, list[str], list[str]]], weight: float = 1.5) -> DataFrame:
+# Name, patterns of a question, patterns of a chunk.
+PHRASE_RULES = [
+    ("indonesian_flag_cofferdam", [r"\bindonesian\s*[- ]?flag(?:ged)?\b", r"\bberbendera\s+indonesia\b", r"\bbendera\s+indonesia\b"], [r"\bindonesian\s+flag\b", r"\bbendera\s+indonesia\b"]),
+    ("circulating_tank_shell", [r"\bcirculating\s+tanks?\b", r"\btangki\s+sirkulasi\b"], [r"\bcirculating\s+tanks\b", r"\b500\s*mm\b"]),
+    ("wheel_house_top_load", [r"\bwheel\s+house\s+tops?\b", r"\batap\s+ruang\s+kemudi\b"], [r"\bwheel\s+house\s+tops\b"]),
+    ("fire_door_gap", [r"\bgap\b.{0,25}\bdoor\b", r"\bdoor\b.{0,25}\bgap\b", r"\bcelah\b.{0,25}\bpintu\b", r"\bpintu\b.{0,25}\bcelah\b"], [r"\bgap\s+under\s+the\s+door\b", r"\b12\s*mm\b"]),
+    (
+        "brittle_crack_thick_plates",
+        [r"\bbrittle\s+crack\b", r"\bretak\s+getas\b", r"\bextremely\s+thick\b", r"\bsangat\s+tebal\b"],
+        [r"\bbrittle\s+crack\b", r"\bextremely\s+thick\b", r"\bover\s+50\s*mm\b", r"\b50\s*mm\b.*\b100\s*mm\b"],
+    ),
+]
+
+
+def phrase_boost(hits: DataFrame, queries: DataFrame, rules: list[tuple[str, list[str], list[str]]] = PHRASE_RULES, weight: float = 1.5) -> DataFrame:
     """Each rule whose query pattern fits adds ``weight`` once to chunks that its content pattern fits."""
     either = lambda patterns: "(?i)" + "|".join(f"(?:{p})" for p in patterns)
     text = F.concat_ws(" ", F.coalesce("query", F.lit("")), F.coalesce("query_en", F.lit("")))

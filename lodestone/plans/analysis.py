@@ -188,17 +188,85 @@ def paraphrase_parse(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", A.paraphrases(F.col("text"), 3).alias("queries"))
 
 
-@query("condense_validated")
+#: Originals and candidates that pin places and directions, state parameters, drift or are blank.
+_CONDENSED = """SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN 'geladak depan ' || text WHEN 1 THEN 'di buritan ' || text || ' L=' || turn WHEN 2 THEN 'haluan pelat alas' WHEN 3 THEN text ELSE ' ' END AS a,
+    CASE conv_id % 5 WHEN 0 THEN 'in front of the deck, stern ' || text WHEN 1 THEN 'at the bow L=' || turn || ' ' || text WHEN 2 THEN 'aft bottom plate 12mm' WHEN 3 THEN coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '') ELSE text END AS b FROM conversations"""
+
+
+def _mend(source: str, original: str, english: str, out: str) -> str:
+    """The place, then the direction, as further columns of the source."""
+    front_forward, front, dock = r"\bin\s+front\s+of\s+(?:the\s+)?forward\s+deck\b", r"\bin\s+front\s+of\s+(?:the\s+)?deck\b", r"\b(?:in\s+front\s+of|on|at|in)\s+(?:the\s+)?[dw]ock\b"
+    deck, matches = "on the forward deck", lambda c, p: f"regexp_matches({c}, '(?i){p}')"
+    place = rf"""CASE WHEN NOT {matches(original, r"\bgeladak\s+depan\b")} THEN {english} WHEN {matches(english, front_forward)} THEN {_sub(english, front_forward, deck)} WHEN {matches(english, front)} THEN {_sub(english, front, deck)}
+        WHEN {matches(english, dock)} AND NOT {matches(english, r"\bforward\s+deck\b")} THEN {_sub(english, dock, deck)} ELSE {english} END"""
+    aft = rf"""CASE WHEN {matches(original, r"\bburitan\b")} THEN {_swap(f"{out}_p", A.FORWARD_PHRASES, "aft")} ELSE {out}_p END"""
+    forward = rf"""CASE WHEN {matches(original, r"\bhaluan\b|geladak\s+depan")} THEN {_swap(f"{out}_a", A.AFT_PHRASES, "forward")} ELSE {out}_a END"""
+    return f"SELECT *, {forward} AS {out} FROM (SELECT *, {aft} AS {out}_a FROM (SELECT *, {place} AS {out}_p FROM ({source})))"
+
+
+_REASON = rf"""CASE WHEN trim(a) = '' OR trim(e) = '' THEN 'validation_skipped' WHEN len(y) = 0 THEN 'empty_condensed_query' WHEN len(x) = 0 THEN 'no_fidelity_tokens'
+      WHEN lower(g) = lower(a) AND NOT regexp_matches(a, '[0-9]') AND NOT list_has_any(x, {A.TECHNICAL!r}) THEN 'generic_query'
+      WHEN len(m) > 0 THEN 'missing_parameters:' || array_to_string(list_sort(m), ',') WHEN NOT list_has_any(x, y) THEN 'topic_drift:overlap=none' ELSE 'ok' END"""
+
+
+@query(
+    "condense_validated",
+    rf"""SELECT conv_id, turn, CASE WHEN kept THEN e ELSE f END AS query, CASE WHEN kept THEN reason ELSE 'fallback:' || reason END AS reason FROM (
+          SELECT *, reason IN ('validation_skipped', 'no_fidelity_tokens', 'generic_query', 'ok') AS kept FROM (SELECT *, {_REASON} AS reason FROM (
+            SELECT *, list_filter(x, lambda t: NOT list_contains(y, t) AND regexp_matches(t, '[0-9]')) AS m FROM (SELECT *, {_tokens("g")} AS x, {_tokens("e")} AS y FROM ({_mend(f"SELECT *, {_glossary('a')} AS g FROM ({_mend(_CONDENSED, 'a', 'b', 'e')})", "a", "g", "f")})))))""",
+)
 def condense_validated(spark, sf_dir):
-    t = table(spark, sf_dir, "conversations")
-    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    rows = t.select("conv_id", "turn", F.col("text").alias("a"), before.alias("b")).where("b IS NOT NULL")
-    return rows.select("conv_id", "turn", A.condensed(F.col("a"), F.col("b"), GLOSSARY).alias("c")).select("conv_id", "turn", "c.query", "c.reason")
+    table(spark, sf_dir, "conversations").createOrReplaceTempView("conversations")
+    return spark.sql(_CONDENSED).select("conv_id", "turn", A.condensed(F.col("a"), F.col("b"), GLOSSARY).alias("c")).select("conv_id", "turn", "c.query", "c.reason")
 
 
-@query("english_fallback")
+@query(
+    "english_fallback",
+    rf"""SELECT conv_id, turn, 'L=' || turn || CASE WHEN len(w) > 0 THEN ' ' || array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), ' ') ELSE '' END AS english FROM (
+          SELECT *, list_filter(list_transform(regexp_extract_all(s, '[A-Za-z]{{4,}}'), lambda x: lower(x)), lambda x: NOT list_contains({A.FALLBACK_DROP!r}, x)) AS w FROM (SELECT conv_id, turn, {_glossary("o")} AS s FROM (
+            SELECT conv_id, turn, trim(concat_ws(' ', first_value(text) OVER (PARTITION BY conv_id ORDER BY turn), text)) AS o FROM conversations WHERE role = 'user')))""",
+)
 def english_fallback(spark, sf_dir):
     t = table(spark, sf_dir, "conversations").where("role = 'user'")
     first = F.first("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     facts = F.array(F.concat(F.lit("L="), F.col("turn").cast("string")))
     return t.select("conv_id", "turn", F.col("text").alias("query"), first.alias("opening")).select("conv_id", "turn", A.fallback_query(F.col("query"), F.col("opening"), facts, GLOSSARY).alias("english"))
+
+
+@query("intent_model", f"SELECT conv_id, turn, CASE WHEN confidence = 'low' AND conv_id % 3 > 0 THEN CASE WHEN turn % 2 = 0 THEN 'calculation' ELSE 'rules_qa' END ELSE kind END AS kind, CASE WHEN conv_id % 3 > 0 THEN 'high' ELSE confidence END AS confidence, CASE WHEN confidence = 'low' AND conv_id % 3 > 0 THEN 'llm' ELSE 'heuristic' END AS source FROM ({_INTENT})")
+def intent_model(spark, sf_dir):
+    """The model stands in as an answer by the turn's number."""
+    ask = lambda text: F.when(text.isNotNull(), F.when(F.col("turn") % 2 == 0, " Calculation.").otherwise("rules"))
+    mode = F.when(F.col("conv_id") % 3 > 0, "default").otherwise("fast")
+    return turns(spark, sf_dir).select("conv_id", "turn", A.intent_with_model(F.col("q"), mode, ask).alias("i")).select("conv_id", "turn", "i.*")
+
+
+@query(
+    "ood_rejection",
+    f"SELECT conv_id, turn, CASE WHEN len(list_filter({_SUBJECTS!r}, lambda s: contains(lower(coalesce(text, '')), s))) > 0 THEN CASE WHEN turn % 2 = 0 THEN '{A.REJECTIONS['id'] % 'the rules'}' ELSE '{A.REJECTIONS['en'] % 'the rules'}' END END AS message FROM conversations",
+)
+def ood_rejection(spark, sf_dir):
+    lang = F.when(F.col("turn") % 2 == 0, "id").otherwise("fr")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", A.rejection(F.col("text"), lang, "the rules", _SUBJECTS).alias("message"))
+
+
+_QUESTION = "'tebal pelat alas L=' || p_partkey || ' m'"
+
+
+@query(
+    "translate_condense",
+    """SELECT p_partkey AS query_id, CASE WHEN k = 1 THEN 'bottom plate thickness, tebal ' || p_partkey || ' m' ELSE CASE WHEN k = 0 THEN '[From conversation history: L=' || p_partkey || 'm, B=20m, H=9m, ship_type=tanker] ' ELSE '' END || 'tebal bottom plate L=' || p_partkey || ' m' END AS english,
+         CASE WHEN k = 3 THEN 'unchecked' ELSE 'ok' END AS reason, CASE WHEN k = 1 THEN 'cache' ELSE 'model' END AS origin,
+         CASE WHEN k NOT IN (0, 3) THEN sha256('4|id|default|tebal pelat alas l=' || p_partkey || ' m') END AS query_hash, k IN (2, 4) AS store FROM (SELECT *, p_partkey % 5 AS k FROM part)""",
+)
+def translate_condense(spark, sf_dir):
+    """Questions with history, with a good and with a stale cached text, without a mode, and new ones; the model repeats its last message."""
+    from ..providers import EchoChat, chat_column
+
+    part = table(spark, sf_dir, "part").withColumn("k", F.col("p_partkey") % 5)
+    asked = part.select(F.col("p_partkey").alias("query_id"), F.col("p_partkey").alias("conv_id"), F.expr(_QUESTION).alias("query"), F.lit("id").alias("language"), F.when(F.col("k") != 3, "default").alias("mode"), "k")
+    said = F.array(*[F.struct(F.lit(n).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(x).alias("text")) for n, r, x in ((1, "user", "tanker, B = 20 m"), (2, "assistant", "H=9 m, B=30 m"))])
+    history = asked.where("k = 0").select("conv_id", F.explode(said).alias("s")).select("conv_id", "s.*")
+    cached = F.when(F.col("k") == 1, F.concat(F.lit("bottom plate thickness, tebal "), F.col("query_id").cast("string"), F.lit(" m"))).otherwise("hatch cover of another topic")
+    cache = asked.where("k IN (1, 2)").select(T.cache_key(F.col("query"), F.lit("id"), F.lit("default")).alias("query_hash"), cached.alias("en_query"))
+    return A.translate_condense(asked.drop("k"), history, cache, lambda m: chat_column(m, EchoChat), GLOSSARY)

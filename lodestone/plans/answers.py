@@ -8,8 +8,10 @@ from ..functions.mathtext import format_math_column
 from ..operators import answers as A
 from ..providers import OverlapReranker, rerank
 from ..streaming.queries import analysed
+from ..operators.analysis import OUT_OF_SCOPE
+from .analysis import _TURN as TURN
 from .analysis import GLOSSARY
-from .base import query, table, values
+from .base import ORACLES, query, table, values
 from .scoring import HITS, hits, questions
 
 _W = lambda c: f"list_distinct(list_filter(regexp_split_to_array(lower({c}), '[^a-z0-9]+'), lambda x: x <> ''))"
@@ -58,7 +60,16 @@ def math_format(spark, sf_dir):
     return rows.select(F.col("p_partkey").alias("id"), format_math_column(F.concat("markup", F.lit(" "), F.col("p_size").cast("string"))).alias("text"))
 
 
-@query("analyse_batch")
+_PARTS = f"""WITH l AS (SELECT conv_id, turn, language FROM ({ORACLES["language_markers"].replace("doc_id", "conv_id, turn").replace("documents", "conversations")})),
+      i AS (SELECT conv_id, turn, kind AS intent FROM ({ORACLES["intent_classify"].replace(TURN, "text")})), o AS (SELECT conv_id, turn, list_filter({OUT_OF_SCOPE!r}, lambda s: contains(lower(coalesce(text, '')), s))[1] AS out_of_scope FROM conversations),
+      g AS (SELECT conv_id, turn, text AS english FROM ({ORACLES["glossary_apply"]}))"""
+
+
+@query(
+    "analyse_batch",
+    rf"""{_PARTS} SELECT c.*, language, intent, out_of_scope, english, sha256('4|' || language || '|default|' || lower(regexp_replace(regexp_replace(text, '^ +| +$', '', 'g'), '\s+', ' ', 'g'))) AS query_hash
+        FROM conversations c JOIN l USING (conv_id, turn) JOIN i USING (conv_id, turn) JOIN o USING (conv_id, turn) JOIN g USING (conv_id, turn)""",
+)
 def analyse_batch(spark, sf_dir):
     return analysed(table(spark, sf_dir, "conversations"), GLOSSARY)
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..operators import formulas as O
-from .base import query, table
+from .base import query, table, values
 
 _DECK = "'plate a=' || (200 + p_size * 10) || ' mm pL=' || p_size || ',5 kN/m2' || CASE WHEN p_size % 3 = 0 THEN ' mild steel' WHEN p_size % 3 = 1 THEN ' k=0.78' ELSE ' high tensile' END"
 
@@ -63,12 +65,38 @@ def questions(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), F.expr(_ASK).alias("query"))
 
 
-@query("formula_rank")
+def _catalogue_words():
+    """(code, place, word), (code, phrase) of the synonyms and (code, name) as the SQL's tables."""
+    text = {f.code: f"{f.code} {f.title} {f.notes}".lower() for f in O.CATALOGUE}
+    in_words = [(f.code, w) for f in O.CATALOGUE for w in sorted(set(re.findall(r"\w+", text[f.code])))]
+    synonyms = [(f.code, a) for f in O.CATALOGUE for a, b in O.SYNONYMS if b in text[f.code]]
+    names = [(f.code, x) for f in O.CATALOGUE for x in sorted({v.symbol.lower() for v in f.variables} | {v.name.lower() for v in f.variables})]
+    return in_words, synonyms, names
+
+
+_WORDS, _SYNONYMS, _NAMES = _catalogue_words()
+_ADDED = ", ".join(f"CASE WHEN contains(clean, '{a}') THEN {(b + (' plating' if a in O._PLATING else '')).split(' ')!r} ELSE [] END" for a, b in O.SYNONYMS)
+_RANK = rf"""f(code, place) AS (VALUES {values([(f.code, k) for k, f in enumerate(O.CATALOGUE)])}), w(code, word) AS (VALUES {values(_WORDS)}), y(code, phrase) AS (VALUES {values(_SYNONYMS)}), v(code, name) AS (VALUES {values(_NAMES)}),
+  a AS (SELECT p_partkey AS query_id, {_ASK} AS query FROM part),
+  c AS (SELECT *, lower(regexp_replace(query, '\w+\s*[=:]\s*[0-9.,]+\s*', '', 'g')) AS clean, list_distinct(regexp_extract_all(query, '(\w+)\s*[=:]\s*[0-9.,]+', 1)) AS names FROM a),
+  d AS (SELECT *, list_distinct(list_filter(flatten([regexp_split_to_array(clean, '\W+'), {_ADDED}]), lambda x: x <> '')) AS words FROM c),
+  p AS (SELECT query_id, query, words, code, place, coalesce((SELECT sum(length(word)) FROM w WHERE w.code = f.code AND list_contains(words, word)), 0) + 15 * (SELECT count(*) FROM y WHERE y.code = f.code AND contains(clean, phrase))
+      + 10 * (SELECT count(*) FROM v WHERE v.code = f.code AND list_contains(names, name)) AS base FROM d, f),
+  r AS (SELECT query_id, code, place, (CASE WHEN code = '{O.SLENDER_CODE}' AND NOT (contains(lower(query), 'slenderness') OR contains(lower(query), 'kelangsingan') OR contains(lower(query), 'net thickness') OR contains(lower(query), 'ketebalan bersih')) THEN 0
+      WHEN base > 0 AND (starts_with(code, 'BOTTOM_PLATING') AND list_has_any(words, ['bottom', 'shell']) OR starts_with(code, 'SIDE_PLATING') AND list_has_any(words, ['side', 'shell'])) THEN base + 30 ELSE base END)::INTEGER AS score FROM p)"""
+
+
+@query("formula_rank", f"WITH {_RANK} SELECT query_id, code, place, score FROM r WHERE score > 0")
 def formula_rank(spark, sf_dir):
     return O.rank_formulas(questions(spark, sf_dir))
 
 
-@query("formula_search")
+@query(
+    "formula_search",
+    f"""WITH {_RANK}, n AS (SELECT *, (row_number() OVER o)::INTEGER AS n, lead(score) OVER o AS next FROM r WHERE score > 0 WINDOW o AS (PARTITION BY query_id ORDER BY score DESC, place)),
+        t AS (SELECT query_id, next IS NULL OR score > next + 25 OR score >= 1.5 * next AS clear FROM n WHERE n = 1)
+        SELECT query_id, code, score, n FROM n JOIN t USING (query_id) WHERE n = 1 OR (NOT clear AND n <= 4)""",
+)
 def formula_search(spark, sf_dir):
     return O.search_formulas(O.rank_formulas(questions(spark, sf_dir)))
 
@@ -82,10 +110,33 @@ def formula_select(spark, sf_dir):
     return O.select_formula(questions(spark, sf_dir)).select("query_id", "code")
 
 
-@query("formula_diagnose")
+#: Candidates, question, language -> hints: which of (length, loads, bottom or side) and the loads; whether the spacing is given.
+_SHELL = ["BOTTOM_PLATING_L_LESS_90", "BOTTOM_PLATING_L_GREATER_90", "SIDE_PLATING_L_LESS_90", "SIDE_PLATING_L_GREATER_90"]
+_STUCK = [
+    (_SHELL, "plate thickness pB=30", "en", (0,), "", False),
+    (_SHELL, "tebal pelat", "id", (0, 1), "pB, pS, pS1", False),
+    (_SHELL[:2], "plate with L = 100 and b=600 mm", "en", (1,), "pB", True),
+    (_SHELL[2:], "side plate, spacing a = 0.6", "xx", (0, 1), "pS, pS1", True),
+    ([_SHELL[0], _SHELL[2]], "L=80 pS=3 b: 7", "id", (2,), "", True),
+    (["WHEEL_LOAD"], "wheel", "en", (), "", False),
+    ([], "", "en", (), "", False),
+]
+
+
+def _stuck_sql():
+    rows = []
+    for k, (_, _, lang, which, loads, spacing) in enumerate(_STUCK):
+        lang = "id" if lang == "id" else "en"
+        hints = [O.HINTS[lang][h].replace("%s", loads) for h in which]
+        rows.append((k, "|".join(hints), "".join([O.OPENINGS[lang][not spacing], *[f"\n  - {h}" for h in hints]]) if hints else ""))
+    return values(rows)
+
+
+@query("formula_diagnose", f"WITH s(k, hints, message) AS (VALUES {_stuck_sql()}) SELECT p_partkey AS query_id, CASE WHEN hints = '' THEN [] ELSE string_split(hints, '|') END AS hints, message FROM part JOIN s ON p_partkey % {len(_STUCK)} = k")
 def formula_diagnose(spark, sf_dir):
-    asked = questions(spark, sf_dir)
-    return O.diagnose(O.select_formula(asked), asked)
+    cases = spark.createDataFrame([(k, *c[:3]) for k, c in enumerate(_STUCK)], "k long, candidates array<string>, query string, lang string")
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), (F.col("p_partkey") % len(_STUCK)).alias("k")).join(F.broadcast(cases), "k")
+    return O.diagnose(rows.select("query_id", F.lit(None).cast("string").alias("code"), "candidates"), rows.select("query_id", "query", "lang"))
 
 
 @query(

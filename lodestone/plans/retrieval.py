@@ -120,3 +120,48 @@ def fulltext_websearch(spark, sf_dir):
 @query("postings", f"SELECT doc_id AS id, word, count(*) AS tf FROM (SELECT doc_id, unnest({_WORDS}) AS word FROM documents) GROUP BY ALL")
 def postings(spark, sf_dir):
     return R.postings(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+#: Searches of the batch: conjunctions, and one with alternatives, a phrase and an exclusion.
+SEARCHES = {0: TEXT, 1: "die und", 2: "que", 3: 'die or les "rights reserved" -apache', 4: "nowhere ing", 5: "the of"}
+_ALL_TERMS = {0: ("ing", "than"), 1: ("die", "und"), 2: ("que",)}
+_PHRASED = f"""SELECT doc_id AS id, round({" + ".join(f"ln(1.0 + len(list_filter(w, lambda x: x = '{t}')))" for t in ("die", "les", "reserved", "rights"))}, 6) AS score
+        FROM (SELECT doc_id, {_WORDS} AS w, ' ' || array_to_string({_WORDS}, ' ') || ' ' AS t FROM documents)
+        WHERE (contains(t, ' die ') OR contains(t, ' les ')) AND contains(t, ' rights reserved ') AND NOT contains(t, ' apache ')"""
+
+
+def _searches_sql(pool: int) -> str:
+    parts = [f"SELECT {q} AS query_id, * FROM ({_text_sql(pool, terms)})" for q, terms in _ALL_TERMS.items()]
+    parts.append(f"SELECT 3 AS query_id, * FROM ({_PHRASED} ORDER BY score DESC, id LIMIT {pool})")
+    return f"SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INTEGER AS rank, id, score FROM ({' UNION ALL '.join(parts)})"
+
+
+def searches(spark):
+    return spark.createDataFrame(list(SEARCHES.items()), "query_id int, query string")
+
+
+def index_of(docs):
+    """Postings of the words that the searches name; a stored index holds all."""
+    parsed = [R.parse_query(x) for x in SEARCHES.values()]
+    return R.postings(docs, "doc_id", "text", sorted({w for q in parsed for w in [*q.words, *q.none]}))
+
+
+@query("fulltext_batch", _searches_sql(40))
+def fulltext_batch(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return R.fulltext_search(index_of(docs), docs, searches(spark), 40)
+
+
+@query(
+    "hybrid_batch",
+    f"""WITH q AS (SELECT vec_id::INTEGER AS query_id, embedding FROM embeddings WHERE vec_id < {len(SEARCHES)}),
+        v AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS vrank FROM (SELECT q.query_id, e.vec_id AS id, {DISTANCE} AS distance FROM embeddings e, q WHERE e.embedding IS NOT NULL) QUALIFY vrank <= 40),
+        t AS (SELECT query_id, id, rank AS frank FROM ({_searches_sql(40)})),
+        f AS (SELECT coalesce(v.query_id, t.query_id) AS query_id, coalesce(v.id, t.id) AS id, vrank, frank, coalesce(1.0::DOUBLE / ({R.RRF_K} + vrank), 0) + coalesce(1.0::DOUBLE / ({R.RRF_K} + frank), 0) AS score FROM v FULL OUTER JOIN t ON v.query_id = t.query_id AND v.id = t.id)
+        SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INTEGER AS rank, id, vrank::BIGINT AS vrank, frank::BIGINT AS frank, round(score, 9) AS score FROM f QUALIFY rank <= 8""",
+)
+def hybrid_batch(spark, sf_dir):
+    docs, vecs = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
+    asked = searches(spark).join(vecs.select(F.col("vec_id").cast("int").alias("query_id"), F.col("embedding").alias("query_vector")), "query_id")
+    found = R.hybrid_search_batch(index_of(docs), docs, vecs.select(F.col("vec_id").alias("id"), "embedding"), asked)
+    return found.select("query_id", "rank", "id", F.col("vrank").cast("long").alias("vrank"), F.col("frank").cast("long").alias("frank"), F.round("score", 9).alias("score"))

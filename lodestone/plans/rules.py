@@ -111,6 +111,22 @@ def lookup_precision(spark, sf_dir):
     return found.select("query_id", "topic", "reason", "ok")
 
 
+@query(
+    "lookup_required_context",
+    """SELECT p_partkey AS query_id, CASE WHEN p_size % 4 = 1 THEN 'ok' ELSE 'missing_required_context:dredger_bottom_transverse_spacing_aground' END AS reason FROM (SELECT * FROM part WHERE p_partkey % 3 < 2)
+       UNION ALL SELECT p_partkey, 'ok' FROM part WHERE p_partkey % 3 = 2""",
+)
+def lookup_required_context(spark, sf_dir):
+    """A dredger's rule with the term in the original, in the English text only, or with a blank original; and a topic without such terms."""
+    size = F.col("p_size") % 4
+    part = table(spark, sf_dir, "part").withColumn("query_id", F.col("p_partkey"))
+    asked = part.select("query_id", F.when(size == 0, " ").when(size == 1, "kapal keruk saat Kandas").otherwise("kapal keruk").alias("query"), F.lit("a dredger aground").alias("query_en"))
+    matches = part.select("query_id", F.when(F.col("p_partkey") % 3 == 2, "small_parts").otherwise("dredger_bottom_transverse_spacing_aground").alias("topic"))
+    lists = spark.createDataFrame([], "topic string, aspects array<string>")
+    found = O.precision(matches, asked, spark.createDataFrame(ASPECTS, "aspect string, term string"), lists, lists)
+    return found.select("query_id", "reason")
+
+
 @query(
     "localized_text",
     """SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN coalesce(nullif(en, ''), nullif(lo, ''), p_name) ELSE coalesce(nullif(lo, ''), nullif(en, ''), p_name) END AS body

@@ -68,6 +68,22 @@ def phrase_boost(spark, sf_dir):
     return S.phrase_boost(hits(spark, sf_dir), questions(spark), PHRASES).select("query_id", "id", "score", "pos")
 
 
+#: A question that each shipped rule fires on, and a chunk that it boosts.
+_FIRES = [
+    ("Cofferdams of an Indonesian-flagged ship?", "ships under Indonesian  flag"), ("tebal tangki sirkulasi", "Circulating tanks have walls"), ("load on a wheel house top", "for wheel house tops"),
+    ("celah di bawah pintu", "not more than 12 mm"), ("retak getas pada pelat", "plates over 50 mm"), ("a door, a tank and a flag", "no rule at all"),
+]
+
+
+@query("phrase_rules", f"SELECT p_partkey * 10 + c AS id, CASE WHEN c = p_partkey % {len(_FIRES)} AND c < 5 THEN 1.5::DOUBLE ELSE 0.0 END AS score FROM part, (SELECT unnest(range({len(_FIRES)})) AS c)")
+def phrase_rules(spark, sf_dir):
+    part = table(spark, sf_dir, "part").withColumn("k", F.col("p_partkey") % len(_FIRES))
+    asked = part.select(F.col("p_partkey").alias("query_id"), F.get(F.array(*[F.lit(q) for q, _ in _FIRES]), F.col("k")).alias("query"), F.lit(None).cast("string").alias("query_en"))
+    chunks = part.select(F.col("p_partkey").alias("query_id"), F.posexplode(F.array(*[F.lit(c) for _, c in _FIRES])).alias("pos", "content"))
+    found = S.phrase_boost(chunks.withColumns({"id": F.col("query_id") * 10 + F.col("pos"), "score": F.lit(0.0)}), asked)
+    return found.select("id", "score")
+
+
 @query(
     "table_boost_unique",
     f"""WITH {HITS}, s AS (SELECT *, content LIKE '%MIT License%' AND section_no = 4 AS selected FROM hits),

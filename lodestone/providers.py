@@ -119,3 +119,15 @@ def rerank(hits: DataFrame, provider, keep: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "pos")
     scored = hits.withColumn("score", run("query", "content")).withColumn("__n", F.row_number().over(order))
     return scored.where(F.col("__n") <= keep).withColumn("pos", F.col("__n")).drop("__n")
+
+
+def chat_column(messages, provider):
+    """Answers to user messages (array of strings, in order); null messages are not asked. One model a worker."""
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = provider()
+        for batch in batches:
+            yield pd.Series([None if m is None else model.answer([{"role": "user", "content": x} for x in m]) for m in batch], dtype="object")
+
+    return run(messages)

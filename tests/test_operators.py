@@ -217,3 +217,28 @@ def test_stream(spark, sf, tmp_path):
     spark.read.parquet(f"{sf}/conversations.parquet").write.parquet(str(tmp_path / "in"))
     queries.start(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check"), [("la", "the")]).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == spark.read.parquet(f"{sf}/conversations.parquet").count()
+
+
+def test_stemmed_search(spark):
+    """Index and search share a stemmer; phrases are confirmed on stems; empty searches find nothing."""
+    rows = [(1, "Plates and welded plates"), (2, "plate thickness"), (3, "thick plated decks"), (4, None), (5, "thickness of the plate")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    stem = lambda w: F.regexp_replace(w, "(s|d)$", "")
+    asked = spark.createDataFrame([(1, "plates"), (2, '"plates thickness"'), (3, "plate -deck"), (4, ""), (5, None), (6, "plate plates")], "query_id int, query string")
+    found = retrieval.fulltext_search(retrieval.postings(docs, "doc_id", "text", stem=stem), docs, asked, 10, stem=stem)
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    assert got == {1: [1, 2, 3, 5], 2: [2], 3: [1, 2, 5], 6: [1, 2, 3, 5]}
+
+
+def test_cached_questions_are_not_asked(spark):
+    """The model gets null for a question that the cache serves, and for nothing else."""
+    asked = spark.createDataFrame([(1, 1, "tebal pelat alas 7 mm", "id", "default"), (2, 2, "", "id", "default"), (3, 3, "pelat alas 8 mm", None, None)], "query_id int, conv_id int, query string, language string, mode string")
+    turns = spark.createDataFrame([], "conv_id int, turn int, role string, text string")
+    key = asked.where("query_id = 1").select(text.cache_key(F.col("query"), F.col("language"), F.col("mode")).alias("query_hash"), F.lit("tebal bottom plate 7 mm").alias("en_query"))
+    ask = lambda m: F.when(m.isNotNull(), F.concat(F.lit('English query: "'), F.element_at(m, -1), F.lit(' plating"')))
+    got = {r.query_id: r for r in analysis.translate_condense(asked, turns, key, ask, [("pelat alas", "bottom plate")]).collect()}
+    assert (got[1].english, got[1].origin, got[1].store) == ("tebal bottom plate 7 mm", "cache", False)
+    assert (got[2].reason, got[2].origin) == ("validation_skipped", "model")
+    assert (got[3].english, got[3].reason, got[3].query_hash, got[3].store) == ("bottom plate 8 mm plating", "unchecked", None, False)
