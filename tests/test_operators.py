@@ -237,7 +237,7 @@ def test_cached_questions_are_not_asked(spark):
     asked = spark.createDataFrame([(1, 1, "tebal pelat alas 7 mm", "id", "default"), (2, 2, "", "id", "default"), (3, 3, "pelat alas 8 mm", None, None)], "query_id int, conv_id int, query string, language string, mode string")
     turns = spark.createDataFrame([], "conv_id int, turn int, role string, text string")
     key = asked.where("query_id = 1").select(text.cache_key(F.col("query"), F.col("language"), F.col("mode")).alias("query_hash"), F.lit("tebal bottom plate 7 mm").alias("en_query"))
-    ask = lambda m: F.when(m.isNotNull(), F.concat(F.lit('English query: "'), F.element_at(m, -1), F.lit(' plating"')))
+    ask = lambda m: F.when(m.isNotNull(), F.concat(F.lit('"English query: '), F.element_at(m, -1), F.lit(' plating"')))
     got = {r.query_id: r for r in analysis.translate_condense(asked, turns, key, ask, [("pelat alas", "bottom plate")]).collect()}
     assert (got[1].english, got[1].origin, got[1].store) == ("tebal bottom plate 7 mm", "cache", False)
     assert (got[2].reason, got[2].origin) == ("validation_skipped", "model")
