@@ -144,12 +144,18 @@ def short_title(title: Column, width: int = 18) -> Column:
     return F.when(F.length(title) > width, F.concat(F.left(title, F.lit(width - 1)), F.lit("…"))).otherwise(title)
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
+
+
 def first_line(text: Column, prefixes: tuple[str, ...] = ("rewritten query:", "english query:", "query:", "answer:")) -> Column:
     """First non-empty line after quotes and known prefixes are stripped."""
-    out = F.regexp_replace(F.trim(text), r"^[\"']+|[\"']+$", "")
+    out = F.regexp_replace(stripped(text), r'\A"+|"+\z', "")
+    out = stripped(F.regexp_replace(out, r"\A'+|'+\z", ""))
     for prefix in prefixes:
-        out = F.trim(F.regexp_replace(F.trim(out), "(?i)^" + prefix, ""))
-    lines = F.filter(F.transform(F.split(out, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+        out = stripped(F.regexp_replace(out, "(?i)^" + prefix, ""))
+    lines = F.filter(F.transform(F.split(out, r"\r\n|\n|\r"), stripped), lambda x: x != "")
     return F.coalesce(F.get(lines, F.lit(0)), F.lit(""))
 
 

@@ -49,11 +49,6 @@ def _any_substring(text: Column, parts: list[str]) -> Column:
     return F.exists(F.array(*[F.lit(p) for p in parts]), lambda p: text.contains(p))
 
 
-def marker_hits(text: Column, markers: list[str]) -> Column:
-    """Distinct marker words in a text."""
-    return _shared(F.split(F.lower(text), r"(?U)[^\w]+"), markers)
-
-
 def _shared(words: Column, markers: list[str]) -> Column:
     return F.size(F.array_intersect(words, F.array(*[F.lit(m) for m in dict.fromkeys(markers)])))
 

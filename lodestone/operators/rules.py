@@ -8,13 +8,12 @@ tokens are tables of their own, (topic, term) rows, so users append to them:
 * excludes: any hit drops the topic;
 * tokens (topic, parameter, term): topics with several parameters; each hit adds ``BONUS``.
 
-Every term becomes a plain substring test of a text that is padded with spaces, so terms are
-matched without regexes, all tables' terms in one pass over the texts.
+Every term becomes a plain substring test of a text that is padded with spaces: an equi-join on three
+characters finds the terms to test, all tables' terms in one pass over the texts.
 """
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -48,46 +47,55 @@ def texts(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", padded(combined).alias("combined"), padded(original).alias("original"))
 
 
-def hits(queries: DataFrame, terms: DataFrame, column: str, keys: list[str]) -> DataFrame:
-    """(query_id, keys) of the terms (keys, term) that occur in each query's text, a row a term."""
-    found = all_hits(queries, {"terms": (terms, column, keys)})["terms"]
-    return found
+#: Rows of a table of terms or rules up to which it is broadcast; beyond, the same joins are shuffled.
+BROADCAST_ROWS = 100_000
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
-def all_hits(queries: DataFrame, gates: dict[str, tuple[DataFrame, str, list[str]]]) -> dict[str, DataFrame]:
-    """name -> (query_id, keys), of several term tables (terms, text column, keys) in one pass over the texts.
+def _grams(text: Column) -> Column:
+    """Distinct runs of three characters, and the empty one for shorter needles."""
+    return F.array_distinct(F.concat(F.array(F.lit("")), F.regexp_extract_all(text, F.lit("(?s)(?=(...))"), F.lit(1))))
 
-    Term tables are configuration, as the rules are: they are read to the driver once, become
-    one literal dictionary, and a filter over it keeps what occurs in a text. Nothing is
-    emitted for terms that don't, and no query meets a rule that it has no term of.
+
+def tagged_hits(queries: DataFrame, gates: dict[str, tuple[DataFrame, str, list[str]]]) -> DataFrame:
+    """(query_id, gate, key) of several term tables (terms, text column, keys) in one pass over the texts, a row a term that occurs.
+
+    A term is looked up by its first three characters and then confirmed, so a text meets only terms that
+    share a run with it, however many there are. ``key`` holds the key columns as JSON.
     """
     tagged = None
     for name, (terms, column, keys) in gates.items():
         part = terms.select(F.lit(name).alias("gate"), F.lit(column == "original").alias("own"), F.to_json(F.struct(*keys)).alias("key"), needle(F.col("term")).alias("needle")).where("needle IS NOT NULL")
         tagged = part if tagged is None else tagged.unionByName(part)
-    kind = "array<struct<gate:string,own:boolean,key:string,needle:string>>"
-    dictionary = F.from_json(F.lit(json.dumps([r.asDict() for r in tagged.coalesce(1).collect()])), kind)  # folded to a literal
-    occurs = F.filter(dictionary, lambda t: F.when(t["own"], F.col("original")).otherwise(F.col("combined")).contains(t["needle"]))
-    found = queries.select("query_id", F.explode(occurs).alias("t")).select("query_id", "t.gate", "t.key").cache()
-    out = {}
-    for name, (terms, _, keys) in gates.items():
-        schema = ", ".join(f"`{k}` {terms.schema[k].dataType.simpleString()}" for k in keys)
-        out[name] = found.where(F.col("gate") == name).select("query_id", F.from_json("key", schema).alias("k")).select("query_id", "k.*")
-    return out
+    tagged = tagged.withColumn("gram", F.when(F.length("needle") < 3, "").otherwise(F.left("needle", F.lit(3))))
+    sides = F.array(*[F.struct(F.lit(own).alias("own"), F.col(c).alias("text")) for own, c in ((False, "combined"), (True, "original")) if own in {c == "original" for _, c, _ in gates.values()}])
+    each = queries.select("query_id", F.explode(sides).alias("s")).select("query_id", "s.own", "s.text", F.explode(_grams(F.col("s.text"))).alias("gram"))
+    return each.join(_small(tagged), ["own", "gram"]).where(F.col("text").contains(F.col("needle"))).select("query_id", "gate", "key")
+
+
+def hits(queries: DataFrame, terms: DataFrame, column: str, keys: list[str]) -> DataFrame:
+    """(query_id, keys) of the terms (keys, term) that occur in each query's text, a row a term."""
+    schema = ", ".join(f"`{k}` {terms.schema[k].dataType.simpleString()}" for k in keys)
+    return tagged_hits(queries, {"terms": (terms, column, keys)}).select("query_id", F.from_json("key", schema).alias("k")).select("query_id", "k.*")
 
 
 def match_rules(queries: DataFrame, rules: DataFrame, gates: Gates, least: int = LEAST) -> DataFrame:
     """Best rule of each query: query_id, rule_id, topic, parameter, matched, base, bonus, total.
 
     Queries whose best total is shared, or whose best rule lacks the parameter token it
-    needs, get no row.
+    needs, get no row. All hits of a query come together once; everything after that is grouped within its partition.
     """
     triggers = rules.select("rule_id", "topic", F.posexplode("trigger_terms").alias("at", "term"))
     # parameter tokens: a rule without a parameter takes those of all parameters of its topic
-    multi = gates.tokens.select("topic").distinct()
     own = rules.select("rule_id", "topic", "parameter")
     wanted = own.join(gates.tokens.withColumnRenamed("parameter", "of"), "topic").where(F.col("parameter").isNull() | (F.col("parameter") == F.col("of")))
-    found = all_hits(
+    info = rules.select("rule_id", "topic", "parameter", "rule_pos", "trigger_terms")
+    for name, gate in (("bound", gates.context), ("anchored", gates.anchors), ("multi", gates.tokens)):
+        info = info.join(gate.select("topic").distinct().withColumn(name, F.lit(True)), "topic", "left")
+    found = tagged_hits(
         texts(queries),
         {
             "trigger": (triggers, "combined", ["rule_id", "topic", "at"]),
@@ -97,27 +105,21 @@ def match_rules(queries: DataFrame, rules: DataFrame, gates: Gates, least: int =
             "exclude": (gates.excludes, "combined", ["topic"]),
         },
     )
-    fired = found["trigger"].groupBy("query_id", "rule_id", "topic").agg(F.array_sort(F.collect_list("at")).alias("matched"))
-    bonus = found["token"].groupBy("query_id", "rule_id", "topic").agg((F.count(F.lit(1)) * BONUS).alias("bonus"))
+    key = F.from_json("key", f"rule_id {rules.schema['rule_id'].dataType.simpleString()}, topic string, at int")
+    gate = lambda name: F.collect_set(F.when(F.col("gate") == name, F.col("k.topic"))).alias(name)
+    scores = F.collect_list(F.when(F.col("gate").isin("trigger", "token"), F.struct(F.col("k.rule_id").alias("rule_id"), F.col("k.at").alias("at"))))
+    by_query = found.withColumn("k", key).groupBy("query_id").agg(gate("context"), gate("anchor"), gate("exclude"), scores.alias("hits"))
+    each = by_query.select("query_id", "context", "anchor", "exclude", F.explode("hits").alias("h")).select("query_id", "context", "anchor", "exclude", "h.*")
     scored = (
-        fired.join(bonus, ["query_id", "rule_id", "topic"], "full_outer")
-        .withColumns({"base": F.coalesce(F.size("matched"), F.lit(0)), "bonus": F.coalesce("bonus", F.lit(0))})
-        .withColumn("base", F.greatest("base", F.lit(0)))
+        each.groupBy("query_id", "rule_id")
+        .agg(F.array_sort(F.collect_list("at")).alias("matched"), (F.count(F.when(F.col("at").isNull(), 1)) * BONUS).alias("bonus"), *[F.first(g).alias(g) for g in ("context", "anchor", "exclude")])
+        .withColumn("base", F.size("matched"))
         .withColumn("total", F.col("base") + F.col("bonus"))
         .where(F.col("total") >= least)
+        .join(_small(info), "rule_id")
     )
-
-    def need(gate: DataFrame, name: str) -> DataFrame:
-        """Rows that pass a gate that topics listed in it must pass."""
-        passed = found[name].select("query_id", "topic").distinct().withColumn("passed", F.lit(True))
-        listed = F.broadcast(gate.select("topic").distinct().withColumn("listed", F.lit(True)))
-        return scored.join(listed, "topic", "left").join(passed, ["query_id", "topic"], "left").where("listed IS NULL OR passed").drop("listed", "passed")
-
-    scored = need(gates.context, "context")
-    scored = need(gates.anchors, "anchor")
-    scored = scored.join(found["exclude"].select("query_id", "topic").distinct(), ["query_id", "topic"], "left_anti")
-
-    named = scored.join(rules.select("rule_id", "parameter", "rule_pos"), "rule_id").join(multi.withColumn("multi", F.lit(True)), "topic", "left")
+    passes = lambda needs, gate: F.col(needs).isNull() | F.array_contains(gate, F.col("topic"))
+    named = scored.where(passes("bound", "context") & passes("anchored", "anchor") & ~F.array_contains("exclude", F.col("topic")))
     by_query = Window.partitionBy("query_id")
     first = by_query.orderBy(F.desc("total"), "rule_pos")
     named = named.withColumns({"n": F.row_number().over(first), "first_topic": F.first("topic").over(first), "best": F.max("total").over(by_query), "bonuses": F.sum("bonus").over(by_query)})
@@ -130,10 +132,7 @@ def match_rules(queries: DataFrame, rules: DataFrame, gates: Gates, least: int =
     named = named.withColumn("fallback", F.row_number().over(by_query.orderBy(preferred, F.coalesce("parameter", F.lit("")), "rule_pos")))
     lacks = F.coalesce("multi", F.lit(False)) & (F.col("bonus") == 0) & F.col("parameter").isNotNull()
     chosen = named.where(F.when(F.col("tied"), may & (F.col("bonuses") == 0) & (F.col("fallback") == 1)).otherwise((F.col("n") == 1) & ~lacks))
-    terms = rules.select("rule_id", "trigger_terms")
-    return chosen.join(terms, "rule_id").select(
-        "query_id", "rule_id", "topic", "parameter", F.transform(F.coalesce("matched", F.array().cast("array<int>")), lambda i: F.get("trigger_terms", i)).alias("matched"), "base", "bonus", "total"
-    )
+    return chosen.select("query_id", "rule_id", "topic", "parameter", F.transform("matched", lambda i: F.get("trigger_terms", i)).alias("matched"), "base", "bonus", "total")
 
 
 def aspects(queries: DataFrame, terms: DataFrame) -> DataFrame:
@@ -162,8 +161,8 @@ def precision(matches: DataFrame, queries: DataFrame, aspect_terms: DataFrame, e
     none = F.array().cast("array<string>")
     joined = (
         matches.join(found, "query_id", "left")
-        .join(F.broadcast(expected.withColumnRenamed("aspects", "expected")), "topic", "left")
-        .join(F.broadcast(excluded.withColumnRenamed("aspects", "excluded")), "topic", "left")
+        .join(_small(expected.withColumnRenamed("aspects", "expected")), "topic", "left")
+        .join(_small(excluded.withColumnRenamed("aspects", "excluded")), "topic", "left")
     )
     seen = F.coalesce("aspects", none)
     bad = F.array_intersect(seen, F.coalesce("excluded", none))

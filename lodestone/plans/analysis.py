@@ -122,6 +122,23 @@ def needs_history(spark, sf_dir):
     return t.select("conv_id", "turn", A.needs_history(F.col("q"), F.col("turn") > 0).alias("needed"))
 
 
+@query("first_line", "SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN trim(text) WHEN 1 THEN 'keel plate' WHEN 2 THEN '' ELSE 'the query: stays' END AS line FROM conversations WHERE NOT contains(text, chr(10)) AND NOT regexp_matches(text, '[\"'']')")
+def first_line(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").where(~F.col("text").contains("\n") & ~F.col("text").rlike("[\"']"))
+    given = F.expr("CASE turn % 4 WHEN 0 THEN '\"English query: ' || text || '\"' WHEN 1 THEN '\\n Rewritten query:\\n\\n keel plate \\nmore' WHEN 2 THEN ' \\n' ELSE 'the query: stays\\nx' END")
+    return rows.select("conv_id", "turn", T.first_line(given).alias("line"))
+
+
+@query("ship_type", "SELECT p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN 'tanker' WHEN p_size % 3 = 1 THEN 'bulk carrier' WHEN p_size % 2 = 0 THEN 'dredger' END AS ship FROM part")
+def ship_type(spark, sf_dir):
+    """From the question, through the glossary, else from the latest turn, else from all of them."""
+    rows = table(spark, sf_dir, "part")
+    size, blank = F.col("p_size"), F.lit("deck of a ship")
+    query, latest = F.when(size % 3 == 0, "a Tanker's deck").otherwise(blank), F.when(size % 3 < 2, "kapal curah").otherwise(blank)
+    everything = F.when(size % 2 == 0, "was a dredger").otherwise(blank)
+    return rows.select(F.col("p_partkey").alias("id"), A.ship_type_of(query, latest, everything, [("kapal curah", "bulk carrier")]).alias("ship"))
+
+
 _PAIRS = "SELECT conv_id, turn, text || CASE WHEN turn % 3 = 0 THEN ' L=' || turn ELSE '' END AS a, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) || CASE WHEN turn % 2 = 0 THEN ' l=' || turn ELSE '' END AS b FROM conversations"
 
 

@@ -58,6 +58,21 @@ def chunk_type(spark, sf_dir):
     return rows.select("doc_id", estimated_tokens(F.col("text")).alias("tokens"), I.is_formula(F.col("text")).alias("formula"))
 
 
+@query("figure_caption", "SELECT p_partkey AS id, CASE p_size % 3 WHEN 0 THEN 'Fig. 3.' || p_size || ' ' || p_name WHEN 1 THEN 'FIGURE 2.1' END AS caption FROM part")
+def figure_caption(spark, sf_dir):
+    text = F.expr("CASE p_size % 3 WHEN 0 THEN 'see Fig. 1.1\\n  Fig. 3.' || p_size || ' ' || p_name || '\\nFig. 9.9' WHEN 1 THEN 'x\\nFIGURE 2.1\\n' ELSE 'Figure 3\\n' || p_name END")
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), I.figure_caption(text).alias("caption"))
+
+
+@query("eval_entries", "SELECT p_partkey AS id, 'E-' || k AS entry, k % 2 = 0 AS should_reject FROM part, (SELECT unnest([1, 3]) AS k) WHERE p_partkey % 3 = k % 3")
+def eval_entries(spark, sf_dir):
+    """Entries read from text, some by id, joined to parts."""
+    text = '[{"id": "E-1", "k": 1, "should_reject": false}, {"id": "E-2", "k": 2, "should_reject": true}, {"id": "E-3", "k": 3, "should_reject": false}]'
+    entries = S.entries_from_yaml(spark, text, "id string, k long, should_reject boolean", ["E-1", "E-3"]).withColumnRenamed("id", "entry")
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 3).alias("at"))
+    return part.join(entries.withColumn("at", F.col("k") % 3), "at").select("id", "entry", "should_reject")
+
+
 @query(
     "section_header",
     """SELECT p_partkey AS id, CASE p_size % 3 WHEN 2 THEN NULL ELSE p_size END::INTEGER AS section_no, CASE p_size % 3 WHEN 2 THEN NULL ELSE p_name END AS section_title FROM part""",

@@ -127,6 +127,12 @@ def lookup_required_context(spark, sf_dir):
     return found.select("query_id", "reason")
 
 
+@query("rules_validated", "SELECT p_partkey AS rule_id, p_type AS topic, p_size AS section_no FROM part")
+def rules_validated(spark, sf_dir):
+    rules = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("rule_id"), F.col("p_type").alias("topic"), F.col("p_name").alias("value_text"), F.col("p_size").alias("section_no"), F.split("p_name", " ").alias("trigger_terms"))
+    return O.validated(rules).select("rule_id", "topic", "section_no")
+
+
 @query(
     "localized_text",
     """SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN coalesce(nullif(en, ''), nullif(lo, ''), p_name) ELSE coalesce(nullif(lo, ''), nullif(en, ''), p_name) END AS body
