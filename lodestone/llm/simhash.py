@@ -17,6 +17,10 @@ keyed by that block. This repeats until few free bits are left; a bucket with f
 bits holds at most 2^f fingerprints. In a bucket, members are linked by a search that
 emits a spanning forest and not the pairs.
 
+``prints`` > 1 gives a text further fingerprints, of the same shingles' hashes mixed anew. Their differing bits are
+independent, so more of the near copies lie within the radius in one of them; texts are linked if they do in any. The
+spaces of the fingerprints are searched apart, each by the same tables, and their links carried back to the first one.
+
 Edge cases: null or blank text has fingerprint zero, linked like any other; fewer than three
 words: one shingle of them all; repeated rows each come back; a null doc_id takes its
 class's least id, which is null if no row has one (``root`` tells such classes apart); an empty table gives an empty result; other columns are ignored.
@@ -58,31 +62,49 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+def shingle_hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """XXH64 of every shingle of a text; of the whole sequence if it is shorter than one."""
     from xxhash import xxh64_intdigest as h
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: ASCII only
-    if not words:
-        return 0
     if len(words) <= shingle:
-        return h(b" ".join(words), seed)
+        return np.array([h(b" ".join(words), seed)] if words else [], dtype=np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
     starts = np.concatenate(([0], ends[:-1]))[: len(words) - shingle + 1].tolist()
     joined = b" ".join(words)
     stops = (ends[shingle - 1 :] - 1).tolist()
-    return majority(np.array([h(joined[a:b], seed) for a, b in zip(starts, stops)], dtype=np.uint64))
+    return np.array([h(joined[a:b], seed) for a, b in zip(starts, stops)], dtype=np.uint64)
+
+
+def fingerprint_set(text: str | None, shingle: int = SHINGLE, seed: int = SEED, prints: int = 1) -> list[int]:
+    """The fingerprint of a text and its further ones; all are zero without words."""
+    hashes = shingle_hashes(text, shingle, seed)
+    return [majority(hashes if k == 0 else mixed(hashes, k)) for k in range(prints)]
+
+
+MASK = (1 << 64) - 1
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, fp (the fingerprint as a signed long), a and b (which tell rows apart)."""
+def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """uint64 hashes mixed anew for the k-th further fingerprint (the finaliser of SplitMix64)."""
+    z = hashes + np.uint64(k * 0x9E3779B97F4A7C15 & MASK)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, prints: int = 1) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, fp (the fingerprint as a signed long), more (the further ones), a and b (which tell rows apart)."""
 
     def run(batches):
         for batch in batches:
-            fps = np.array([fingerprint(t, shingle, seed) for t in batch.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps), batch.column("a"), batch.column("b")], names=["doc_id", "fp", "a", "b"])
+            sets = [fingerprint_set(t, shingle, seed, prints) for t in batch.column("text").to_pylist()]
+            flat = np.array(sets, dtype=np.uint64).reshape(len(sets), prints).view(np.int64)
+            more = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * (prints - 1)), pa.array(flat[:, 1:].ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.ascontiguousarray(flat[:, 0])), more, batch.column("a"), batch.column("b")], names=["doc_id", "fp", "more", "a", "b"])
 
     a, b = key128(F.col("doc_id"), F.col("text"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", a.alias("a"), b.alias("b")).mapInArrow(run, "doc_id long, fp long, a long, b long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", a.alias("a"), b.alias("b")).mapInArrow(run, "doc_id long, fp long, more array<long>, a long, b long")
 
 
 def forest(values: np.ndarray, radius: int) -> np.ndarray:
@@ -130,38 +152,58 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _split(members: DataFrame, masks: list[int]) -> DataFrame:
-    """members (fp) -> (table, kept, fp), a row for each mask."""
+def _split(members: DataFrame, masks: list[int], space: list[str]) -> DataFrame:
+    """members (space, fp) -> (space, table, kept, fp), a row for each mask."""
     tables = F.array(*[F.struct(F.lit(_signed(m)).alias("table"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("kept")) for m in masks])
-    return members.select("fp", F.explode(tables).alias("t")).select("t.table", "t.kept", "fp")
+    return members.select(*space, "fp", F.explode(tables).alias("t")).select(*space, "t.table", "t.kept", "fp")
 
 
 def link(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """fps (fp, distinct) -> (u, v): links within the radius that join all that belong together."""
+    """fps (fp, distinct) -> (u, v): links within the radius that join all that belong together.
+
+    With a column ``space`` only fingerprints of the same space are compared.
+    """
+    space = [c for c in fps.columns if c == "space"]
+    keys = [*space, "table", "kept"]
     masks = covering_masks(radius)
-    level, found = _split(fps, masks), None
+    level, found = _split(fps, masks, space), None
     while True:
-        sizes = level.groupBy("table", "kept").agg(F.count(F.lit(1)).alias("n"))
-        large = cut(sizes.where(F.col("n") > bucket).select("table", "kept"))
+        sizes = level.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        large = cut(sizes.where(F.col("n") > bucket).select(*keys))
         hot = not large.isEmpty() and max(64 - (m & (1 << 64) - 1).bit_count() for m in masks) > bucket.bit_length()
-        small = level.join(large, ["table", "kept"], "left_anti") if hot else level
-        lists = small.groupBy("table", "kept").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+        small = level.join(large, keys, "left_anti") if hot else level
+        lists = small.groupBy(*keys).agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
         links = lists.select("fps").mapInArrow(_linked(radius), "u long, v long")
         found = links if found is None else found.unionByName(links)
         if not hot:
             return found
         finer = {m: [m | b for b in _blocks(~m & (1 << 64) - 1, radius + 1)] for m in masks}
-        members = level.join(large, ["table", "kept"], "left_semi")
+        members = level.join(large, keys, "left_semi")
         split = F.create_map(*[x for m, f in finer.items() for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(b)) for b in f]))])
-        level = members.select("fp", F.explode(split[F.col("table")]).alias("table")).select("table", F.col("fp").bitwiseAND(F.col("table")).alias("kept"), "fp").distinct()
+        level = members.select(*space, "fp", F.explode(split[F.col("table")]).alias("table")).select(*space, "table", F.col("fp").bitwiseAND(F.col("table")).alias("kept"), "fp").distinct()
         masks = sorted({b for f in finer.values() for b in f})
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, bucket: int = BUCKET) -> DataFrame:
+def _links(marked: DataFrame, classes: DataFrame, radius: int, bucket: int, prints: int) -> DataFrame:
+    """(u, v): links among first fingerprints, by any of the fingerprints."""
+    if prints == 1:
+        return link(classes.select("fp"), radius, bucket)
+    spaces = F.posexplode(F.concat(F.array("fp"), "more")).alias("space", "value")
+    # a fingerprint of a space stands for the least of the first ones that go with it
+    members = cut(marked.select("fp", "more").distinct().select("fp", spaces))
+    heads = cut(members.groupBy("space", "value").agg(F.min("fp").alias("head"), F.count(F.lit(1)).alias("n")))
+    same = members.join(heads.where("n > 1"), ["space", "value"]).where("fp <> head").select(F.col("fp").alias("u"), F.col("head").alias("v"))
+    found = link(heads.select("space", F.col("value").alias("fp")), radius, bucket)
+    of = lambda end: heads.groupBy(F.col("value").alias(end)).agg(F.min("head").alias(f"{end}_head"))
+    near = found.join(of("u"), "u").join(of("v"), "v").select(F.col("u_head").alias("u"), F.col("v_head").alias("v"))
+    return near.unionByName(same)
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, bucket: int = BUCKET, prints: int = 1) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, fingerprint (16 hex digits), component_id, a, b, root (of the class)."""
-    marked = cut(fingerprints(docs, shingle, seed))
+    marked = cut(fingerprints(docs, shingle, seed, prints))
     classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(link(classes.select("fp"), radius, bucket))
+    roots = components(_links(marked, classes, radius, bucket, prints))
     labelled = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     named = labelled.select("fp", "root").join(least, "root")

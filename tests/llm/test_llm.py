@@ -83,6 +83,50 @@ def test_covering_masks_miss_no_pair(radius):
         assert any(not bits & m for m in masks)
 
 
+def brute_prints(text, n):
+    """The fingerprint and n - 1 further ones, of hashes mixed anew."""
+    words, m, out = re.findall(r"[^\x20\t-\r]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")), (1 << 64) - 1, []
+    hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + 3]).encode("utf-8", "surrogatepass"), 42) for i in range(max(1, len(words) - 2))] if words else []
+    for k in range(n):
+        mix = []
+        for h in hashes:
+            z = h
+            if k:
+                z = h + k * 0x9E3779B97F4A7C15 & m
+                z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 & m
+                z = (z ^ z >> 27) * 0x94D049BB133111EB & m
+                z ^= z >> 31
+            mix.append(z)
+        out.append(sum(1 << b for b in range(64) if 2 * sum(z >> b & 1 for z in mix) > len(mix)))
+    return out
+
+
+def brute_any(prints, radius):
+    """Class of each list of fingerprints; linked within the radius in any place."""
+    label = [None] * len(prints)
+    for i in range(len(prints)):
+        stack = [i] if label[i] is None else []
+        while stack:
+            at = stack.pop()
+            if label[at] is None:
+                label[at] = i
+                stack += [j for j in range(len(prints)) if label[j] is None and any((x ^ y).bit_count() <= radius for x, y in zip(prints[at], prints[j]))]
+    return label
+
+
+def test_several_fingerprints(spark):
+    """Classes by any of six fingerprints equal brute force; the first is the plain one."""
+    base = long_text(5, 260).split()
+    rows = documents() + [(100 + i, " ".join(base[:j] + ["new"] * (1 + i % 4) + base[j + 1 + i % 4 :])) for i, j in enumerate(range(0, 240, 9))]
+    prints = [brute_prints(t, 6) for _, t in rows]
+    assert [p[0] for p in prints] == [brute_fingerprint(t) for _, t in rows]
+    label = brute_any(prints, 3)
+    assert len(set(label)) < len(set(brute_classes([p[0] for p in prints], 3)))
+    got = simhash.near_duplicates(frame(spark, rows), prints=6).collect()
+    want = Counter((d, min((rows[j][0] for j in range(len(rows)) if label[j] == label[i] and rows[j][0] is not None), default=None)) for i, (d, _) in enumerate(rows))
+    assert Counter((r.doc_id, r.component_id) for r in got) == want
+
+
 def test_near_duplicates(spark):
     rows = documents()
     got = simhash.near_duplicates(frame(spark, rows)).collect()

@@ -18,7 +18,7 @@ import corpus_pipeline  # noqa: E402
 from lodestone.llm import mixing, toxicity  # noqa: E402
 from lodestone.llm import queries as Q  # noqa: E402
 
-from .test_llm import VOCABULARY, brute_classes, brute_fingerprint, brute_repeats  # noqa: E402
+from .test_llm import VOCABULARY, brute_any, brute_prints, brute_repeats  # noqa: E402
 
 
 @pytest.mark.parametrize("name", sorted(Q.ORACLES))
@@ -49,7 +49,7 @@ def drop_lines(rows, ratio):
 
 
 def one_of_each(rows):
-    label = brute_classes([brute_fingerprint(r["text"]) for r in rows], 3)
+    label = brute_any([brute_prints(r["text"], 6) for r in rows], 3)
     best = {}
     for r, k in zip(rows, label):
         best[k] = min(best.get(k, r["doc_id"]), r["doc_id"])
