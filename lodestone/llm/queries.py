@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_topk, licenses, line_dedup, mixing, packing, simhash, substring_dedup, toxicity, url_filters
+from . import ann, byte_bpe, exact_topk, importance, lexical, licenses, line_dedup, mixing, packing, simhash, substring_dedup, toxicity, url_filters
 from .common import cut, table
 
 QUERIES: dict = {}
@@ -224,3 +224,88 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_license_scan")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
+# --- 11: byte-level BPE over documents ------------------------------------------
+
+
+@query("op11_byte_bpe")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    tokenizer = byte_bpe.tokenizer_from_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    tokens = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer).drop("text")
+    return byte_bpe.digests(byte_bpe.decode(tokens, tokenizer)).select("doc_id", "n_tokens", "n_split", "ids_sha256", "decoded_sha256")
+
+
+# --- 12: importance resampling of documents towards benchmark --------------------
+
+
+def _words_sql(source: str, id_column: str) -> str:
+    """The words of each row of a table, numbered; DuckDB has no crc32, so different words get theirs by the table's rule."""
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"SELECT row_number() OVER () AS rid, {id_column}, regexp_extract_all({low}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM {source}"
+
+
+OP12_SQL = rf"""
+WITH d AS ({_words_sql("documents", "doc_id")}),
+b AS ({_words_sql("benchmark", "item_id")}),
+signs AS (
+  SELECT list(list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, x) ORDER BY x) AS t
+  FROM (SELECT unnest(range(0, 256)) AS x)),
+every AS (SELECT DISTINCT w FROM (SELECT unnest(ws) AS w FROM d UNION ALL SELECT unnest(ws) FROM b)),
+hashed AS (
+  SELECT w, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(0, length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)),
+    lambda c, y: xor(c >> 8, t[xor(c & 255, y) + 1]))) % {importance.BUCKETS} AS bucket
+  FROM (SELECT w, hex(encode(w)) AS x FROM every), signs),
+df AS (SELECT rid, bucket FROM (SELECT rid, unnest(ws) AS w FROM d) JOIN hashed USING (w)),
+bf AS (SELECT bucket FROM (SELECT unnest(ws) AS w FROM b) JOIN hashed USING (w)),
+total AS (SELECT (SELECT count(*) FROM df) AS s, (SELECT count(*) FROM bf) AS t),
+gain AS (
+  SELECT x.bucket, floor(1000 * ln(((coalesce(y.n, 0) + 1) * (s + {importance.BUCKETS}))::DOUBLE / ((x.n + 1) * (t + {importance.BUCKETS}))::DOUBLE))::BIGINT AS g
+  FROM (SELECT bucket, count(*) AS n FROM df GROUP BY bucket) x LEFT JOIN (SELECT bucket, count(*) AS n FROM bf GROUP BY bucket) y USING (bucket), total),
+w AS (SELECT rid, floor(sum(g)::DOUBLE / count(*))::BIGINT AS weight FROM df JOIN gain USING (bucket) GROUP BY rid),
+r AS (
+  SELECT rid, doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{importance.SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score
+  FROM d LEFT JOIN w USING (rid)),
+k AS (SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM r WHERE n_features >= {importance.LEAST_WORDS}
+      QUALIFY rank <= {importance.PERCENT} * (SELECT count(*) FROM r WHERE n_features >= {importance.LEAST_WORDS}) // 100)
+SELECT doc_id, n_features, weight, score, rank FROM r LEFT JOIN k USING (rid)
+"""
+
+
+@query("op12_importance_resampling", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text"))
+
+
+# --- 13: ranked lexical search for benchmark over documents -----------------------
+
+
+def _terms_sql(source: str, id_column: str) -> str:
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"SELECT row_number() OVER () AS rid, {id_column}, regexp_extract_all({low}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM {source}"
+
+
+OP13_SQL = rf"""
+WITH d AS (SELECT * FROM ({_terms_sql("documents", "doc_id")}) WHERE len(ws) > 0),
+b AS ({_terms_sql("benchmark", "item_id")}),
+s AS (SELECT count(*)::BIGINT AS docs, sum(len(ws))::BIGINT AS terms FROM d),
+asked AS (SELECT DISTINCT rid, item_id, unnest(ws) AS w FROM b),
+p AS (
+  SELECT rid, doc_id, w, count(*)::BIGINT AS tf, any_value(n)::BIGINT AS n FROM (SELECT rid, doc_id, len(ws) AS n, unnest(ws) AS w FROM d)
+  WHERE w IN (SELECT w FROM asked) GROUP BY ALL),
+f AS (SELECT w, count(*) AS df FROM p GROUP BY w),
+i AS (
+  SELECT rid, doc_id, w, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT *
+    ((1000000000 * tf) // (1000 * tf + 8 * ({100 - lexical.LENGTH_SHARE} + ({lexical.LENGTH_SHARE} * n * docs) // terms))) AS part
+  FROM p JOIN f USING (w), s),
+found AS (SELECT a.rid, item_id, doc_id, i.rid AS d, sum(part)::BIGINT AS score FROM asked a JOIN i USING (w) GROUP BY ALL)
+SELECT item_id, (row_number() OVER (PARTITION BY rid ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM found WHERE score > 0 QUALIFY rank <= {lexical.K}
+"""
+
+
+@query("op13_lexical_search", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
