@@ -25,6 +25,7 @@ from __future__ import annotations
 import base64
 import codecs
 import json
+import os
 import re
 from array import array
 from functools import lru_cache
@@ -34,12 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ROWS, CHARS = 2000, 8 << 20
-#: Entries of a worker's cache, and the longest part that it keeps; it is emptied when full.
-CACHE, LONGEST = 500_000, 64
+ROWS, CHARS = 500, 2 << 20
+#: Entries of a worker's cache, the longest part that it keeps (it is emptied when full), and unknown parts encoded at a time.
+CACHE, LONGEST, RUN = 300_000, 64, 500
 #: Fixed value: the public byte-level BPE pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+ENCODED, SPANS = "ids array<int>", ", starts array<int>, ends array<int>"
+DECODED = "decoded binary, decoded_text string, packed binary"
+
 #: A space beside other white space, or at an end of the text.
 _BLANKS = re.compile(r"\s | \s|^ | $").search
 _CUTS = re.compile(r"(?<=\S) (?=\S)").split
@@ -84,32 +88,43 @@ class Encoder:
     """Texts -> little-endian 32-bit ids, as bytes."""
 
     def __init__(self, tokenizer: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.library, self.known = Tokenizer.from_str(tokenizer), {}
+        self.library, self.lengths, self.known = Tokenizer.from_str(tokenizer), decoder(tokenizer).lengths, {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         # parts after the first begin with the space that was cut away
         cuts = [_CUTS(t) if _BLANKS(t) else t.split(" ") for t in texts]
-        head = self._ids(list({c[0] for c in cuts}), "")
+        # a last part that ends in white space would match on into the next one
+        tails = [c.pop() if len(c) > 1 and c[-1][-1].isspace() else None for c in cuts]
+        head, tail = self._alone({c[0] for c in cuts}, ""), self._alone({x for x in tails if x is not None}, " ") | {None: b""}
         parts = {p for c in cuts for p in c[1:]}
         fresh = list(parts.difference(self.known))
         known = self.known if len(self.known) + len(fresh) <= CACHE else {p: self.known[p] for p in parts if p in self.known}
-        known |= self._ids(fresh, " ")
-        out = [head[c[0]] + b"".join(map(known.__getitem__, c[1:])) for c in cuts]
+        for at in range(0, len(fresh), RUN):
+            known |= self._joined(fresh[at : at + RUN])
+        out = [head[c[0]] + b"".join(map(known.__getitem__, c[1:])) + tail[x] for c, x in zip(cuts, tails)]
         for p in fresh:
             if len(p) > LONGEST:
                 del known[p]
         self.known = known if len(known) <= CACHE else {}
         return out
 
-    def _ids(self, parts: list[str], before: str) -> dict[str, bytes]:
+    def _alone(self, parts: set[str], before: str) -> dict[str, bytes]:
+        parts = list(parts)
         made = self.library.encode_batch_fast([before + p for p in parts], add_special_tokens=False)
         return {p: array("I", e.ids).tobytes() for p, e in zip(parts, made)}
 
+    def _joined(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of parts that follow a space, encoded as one text and told apart by their bytes."""
+        text = " " + " ".join(parts)
+        ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.cumsum([1 + len(p.encode()) for p in parts])
+        at = [0, *(4 * (np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1)).tolist()]
+        raw = ids.tobytes()
+        return {p: raw[a:b] for p, a, b in zip(parts, at, at[1:])}
+
 
 class Decoder:
     """Ids -> bytes and characters, by the reversed byte table."""
@@ -174,43 +189,53 @@ def _schema(df: DataFrame, added: str) -> str:
     return ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name not in names], added])
 
 
-def encode(docs: DataFrame, tokenizer: str, offsets: bool = True, text: str = "text") -> DataFrame:
-    """docs with ids and, with ``offsets``, starts and ends (characters of each token)."""
-    added = "ids array<int>" + ", starts array<int>, ends array<int>" * offsets
+def _encoded(batches, tokenizer: str, offsets: bool, text: str):
+    encode_all, of = encoder(tokenizer), decoder(tokenizer)
+    for batch in batches:
+        texts = [t or "" for t in batch.column(text).to_pylist()]
+        for a, b in _portions(texts):
+            ids = [np.frombuffer(x, "<i4") for x in encode_all(texts[a:b])]
+            out = {"ids": _lists(ids)}
+            if offsets:
+                spans = [of.offsets(x, t.encode()) if len(x) else (x, x) for x, t in zip(ids, texts[a:b])]
+                out |= {"starts": _lists([s for s, _ in spans]), "ends": _lists([e for _, e in spans])}
+            yield _add(batch.slice(a, b - a), out)
+
+
+def _decoded(batches, tokenizer: str):
+    of = decoder(tokenizer)
+    for batch in batches:
+        for a in range(0, batch.num_rows, ROWS):
+            part = batch.slice(a, ROWS)
+            ids = [[] if x is None else x for x in part.column("ids").to_numpy(zero_copy_only=False)]
+            raw = [of.bytes_of(x.tolist() if len(x) else x) for x in ids]
+            out = {
+                "decoded": pa.array(raw, pa.binary()),
+                "decoded_text": pa.array([x.decode("utf-8", "replace") for x in raw], pa.string()),
+                "packed": pa.array([np.array(x, dtype="<u4").tobytes() for x in ids], pa.binary()),
+            }
+            yield _add(part, out)
 
-    def run(batches):
-        encode_all, of = encoder(tokenizer), decoder(tokenizer)
-        for batch in batches:
-            texts = [t or "" for t in batch.column(text).to_pylist()]
-            for a, b in _portions(texts):
-                ids = [np.frombuffer(x, "<i4") for x in encode_all(texts[a:b])]
-                out = {"ids": _lists(ids)}
-                if offsets:
-                    spans = [of.offsets(x, t.encode()) if len(x) else (x, x) for x, t in zip(ids, texts[a:b])]
-                    out |= {"starts": _lists([s for s, _ in spans]), "ends": _lists([e for _, e in spans])}
-                yield _add(batch.slice(a, b - a), out)
 
-    return docs.mapInArrow(run, _schema(docs, added))
+def encode(docs: DataFrame, tokenizer: str, offsets: bool = True, text: str = "text") -> DataFrame:
+    """docs with ids and, with ``offsets``, starts and ends (characters of each token)."""
+    return docs.mapInArrow(lambda batches: _encoded(batches, tokenizer, offsets, text), _schema(docs, ENCODED + SPANS * offsets))
 
 
 def decode(tokens: DataFrame, tokenizer: str) -> DataFrame:
     """tokens (ids, ...) with decoded (bytes), decoded_text, and packed (ids as little-endian 32-bit numbers). Null ids are none."""
+    return tokens.mapInArrow(lambda batches: _decoded(batches, tokenizer), _schema(tokens, DECODED))
+
+
+def round_trip(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
+    """``decode`` of ``encode`` in one Python worker, without ``text``."""
+    kept = docs.drop(text)
 
     def run(batches):
-        of = decoder(tokenizer)
-        for batch in batches:
-            for a in range(0, batch.num_rows, ROWS):
-                part = batch.slice(a, ROWS)
-                ids = [x or [] for x in part.column("ids").to_pylist()]
-                raw = [of.bytes_of(x) for x in ids]
-                out = {
-                    "decoded": pa.array(raw, pa.binary()),
-                    "decoded_text": pa.array([x.decode("utf-8", "replace") for x in raw], pa.string()),
-                    "packed": pa.array([np.array(x, dtype="<u4").tobytes() for x in ids], pa.binary()),
-                }
-                yield _add(part, out)
-
-    return tokens.mapInArrow(run, _schema(tokens, "decoded binary, decoded_text string, packed binary"))
+        for batch in _decoded(_encoded(batches, tokenizer, True, text), tokenizer):
+            yield batch.select([c for c in batch.schema.names if c != text])
+
+    return docs.mapInArrow(run, _schema(kept, f"{ENCODED}{SPANS}, {DECODED}"))
 
 
 def digests(tokens: DataFrame) -> DataFrame:

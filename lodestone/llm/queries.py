@@ -234,8 +234,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     tokenizer = byte_bpe.tokenizer_from_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    tokens = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer).drop("text")
-    return byte_bpe.digests(byte_bpe.decode(tokens, tokenizer)).select("doc_id", "n_tokens", "n_split", "ids_sha256", "decoded_sha256")
+    tokens = byte_bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer)
+    return byte_bpe.digests(tokens).select("doc_id", "n_tokens", "n_split", "ids_sha256", "decoded_sha256")
 
 
 # --- 12: importance resampling of documents towards benchmark --------------------

@@ -59,6 +59,7 @@ def byte_bpe_string():
 
 def test_a_full_cache_changes_nothing(tokenizer, monkeypatch):
     monkeypatch.setattr(byte_bpe, "CACHE", 3)
+    monkeypatch.setattr(byte_bpe, "RUN", 2)
     made = byte_bpe.Encoder(tokenizer)
     for texts in (["a b c d e f", "b c d"], ["c d e f g h i j"], HOSTILE):
         assert [np.frombuffer(x, "<u4").tolist() for x in made(texts)] == [PLAIN.encode_ordinary(t) for t in texts]
@@ -96,6 +97,8 @@ def test_encode_and_decode_on_spark(spark, tokenizer):
         ids = PLAIN.encode_ordinary(text)
         want.append((text, doc_id or -1, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), text, "group"))
     assert found == sorted(want)
+    again = byte_bpe.digests(byte_bpe.round_trip(df.drop("decoded"), tokenizer)).collect()
+    assert sorted((r.doc_id or -1, r.ids_sha256, r.decoded_sha256, r.group, r.n_split) for r in again) == sorted((r.doc_id or -1, r.ids_sha256, r.decoded_sha256, r.group, r.n_split) for r in out.collect())
     assert byte_bpe.encode(frame(spark, [])[["doc_id", "text"]], tokenizer).collect() == []
     emoji = next(r for r in out.where(F.col("text").startswith("😀")).collect())
     assert emoji.n_split > 0 and emoji.starts[0] == 0 and max(emoji.ends) == len(emoji.text)
