@@ -10,7 +10,10 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,11 +71,60 @@ def in_blocks(queries: DataFrame, rows: DataFrame, block: int = 256) -> DataFram
     return pairs.select(*rows.columns, F.explode("qs").alias("q")).select(*rows.columns, "q.*")
 
 
+def _nearest(queries: list, k: int):
+    """Batches of (id, embedding) -> the k nearest rows of each query in a task, by a product of blocks; only these are kept while rows stream."""
+    by_length: dict[int, list] = {}
+    for q in queries:
+        if q["query_vector"]:
+            by_length.setdefault(len(q["query_vector"]), []).append(q)
+
+    def run(batches):
+        held = {}
+        for n, some in by_length.items():
+            x = np.array([q["query_vector"] for q in some], dtype=np.float64)
+            held[n] = x, np.sqrt((x**2).sum(axis=1)), [(np.zeros(0), np.zeros(0, dtype=np.int64)) for _ in some]
+        for batch in batches:
+            lists = batch.column("embedding")
+            sizes, ids = pc.list_value_length(lists).to_numpy(zero_copy_only=False), batch.column("id").to_numpy(zero_copy_only=False)
+            for n, (x, norms, best) in held.items():
+                at = np.flatnonzero(sizes == n)
+                if not len(at):
+                    continue
+                rows = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), n)
+                with np.errstate(all="ignore"):
+                    distances = np.round(1.0 - (x @ rows.T) / (norms[:, None] * np.sqrt((rows**2).sum(axis=1))[None, :]), 6)
+                for q, row in enumerate(distances):
+                    d, i = best[q]
+                    near = np.flatnonzero(row <= (d[-1] if len(d) == k else np.inf))  # no NaN of a zero vector
+                    if len(near) > k:
+                        near = near[row[near] <= np.partition(row[near], k - 1)[k - 1]]
+                    d, i = np.concatenate([d, row[near]]), np.concatenate([i, ids[at[near]]])
+                    first = np.lexsort((i, d))[:k]
+                    best[q] = d[first], i[first]
+        for n, (_, _, best) in held.items():
+            for q, (d, i) in zip(by_length[n], best):
+                if len(d):
+                    query_ids = pa.array([q["query_id"]] * len(d))
+                    yield pa.RecordBatch.from_arrays([query_ids, pa.array(i), pa.array(d)], names=["query_id", "id", "distance"])
+
+    return run
+
+
 def vector_topk_batch(chunks: DataFrame, queries: DataFrame, k: int, block: int = 256) -> DataFrame:
-    """queries (query_id, query_vector), chunks (id, embedding) -> query_id, rank, id, distance."""
-    pairs = in_blocks(queries, chunks.where(F.col("embedding").isNotNull()), block)
+    """queries (query_id, query_vector), chunks (id, embedding) -> query_id, rank, id, distance; vectors that are null, zero or of another length than the query's are not found.
+
+    Queries of up to ``BROADCAST_BYTES`` go to the tasks, which keep k rows of each while their rows stream; beyond, rows and query blocks meet in slots.
+    """
+    rows = chunks.where(F.col("embedding").isNotNull() & F.col("id").isNotNull()).select("id", "embedding")
+    size = queries.agg(F.sum(F.octet_length(F.to_json(F.struct("query_id", "query_vector"))))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        kind = lambda df, c: df.schema[c].dataType.simpleString()
+        found = _nearest(queries.select("query_id", "query_vector").collect(), k)
+        scored = rows.select(F.col("id").cast("long").alias("id"), "embedding").mapInArrow(found, f"query_id {kind(queries, 'query_id')}, id long, distance double")
+        return ranked(scored.withColumn("id", F.col("id").cast(kind(chunks, "id"))), "distance", k, ascending=True)
+    pairs = in_blocks(queries, rows, block)
     scored = pairs.select("query_id", "id", F.round(vectors.cosine_distance(F.col("embedding"), F.col("query_vector")), 6).alias("distance"))
-    return ranked(scored, "distance", k, ascending=True)
+    return ranked(scored.where(F.col("distance").isNotNull()), "distance", k, ascending=True)
 
 
 def ranked(scored: DataFrame, column: str, k: int, ascending: bool = False) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..operators import retrieval as R
+from ..operators import vector_index as V
+from ..sources.stored import shared_folder
 from .base import query, table
 
 QUERY_ID, TEXT = 0, "ing than"
@@ -97,6 +99,15 @@ def vector_topk_batch(spark, sf_dir):
     return R.vector_topk_batch(vecs, queries, 40).select("query_id", "rank", "id", "distance")
 
 
+@query("vector_index")
+def vector_index(spark, sf_dir):
+    """All vectors in a stored index; every twentieth asks for its ten nearest."""
+    vecs = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    path = shared_folder(spark, "vectors")
+    V.store(vecs, V.fit(vecs, 10), path)
+    return V.search(path, vecs, vecs.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vector")), 10)
+
+
 @query("mean_vector", _MEANS)
 def mean_vector(spark, sf_dir):
     return mean_of_labels(spark, sf_dir)
