@@ -71,17 +71,18 @@ def in_blocks(queries: DataFrame, rows: DataFrame, block: int = 256) -> DataFram
     return pairs.select(*rows.columns, F.explode("qs").alias("q")).select(*rows.columns, "q.*")
 
 
-def _nearest(queries: list, k: int):
+def _nearest(queries: pa.Table, k: int):
     """Batches of (id, embedding) -> the k nearest rows of each query in a task, by a product of blocks; only these are kept while rows stream."""
-    by_length: dict[int, list] = {}
-    for q in queries:
-        if q["query_vector"]:
-            by_length.setdefault(len(q["query_vector"]), []).append(q)
+    query_ids, asked = queries.column("query_id").combine_chunks(), queries.column("query_vector").to_pylist()
+    by_length: dict[int, list[int]] = {}
+    for q, vector in enumerate(asked):
+        if vector:
+            by_length.setdefault(len(vector), []).append(q)
 
     def run(batches):
         held = {}
         for n, some in by_length.items():
-            x = np.array([q["query_vector"] for q in some], dtype=np.float64)
+            x = np.array([asked[q] for q in some], dtype=np.float64)
             held[n] = x, np.sqrt((x**2).sum(axis=1)), [(np.zeros(0), np.zeros(0, dtype=np.int64)) for _ in some]
         for batch in batches:
             lists = batch.column("embedding")
@@ -104,8 +105,7 @@ def _nearest(queries: list, k: int):
         for n, (_, _, best) in held.items():
             for q, (d, i) in zip(by_length[n], best):
                 if len(d):
-                    query_ids = pa.array([q["query_id"]] * len(d))
-                    yield pa.RecordBatch.from_arrays([query_ids, pa.array(i), pa.array(d)], names=["query_id", "id", "distance"])
+                    yield pa.RecordBatch.from_arrays([query_ids.take(pa.array([q] * len(d))), pa.array(i), pa.array(d)], names=["query_id", "id", "distance"])
 
     return run
 
@@ -119,7 +119,7 @@ def vector_topk_batch(chunks: DataFrame, queries: DataFrame, k: int, block: int
     size = queries.agg(F.sum(F.octet_length(F.to_json(F.struct("query_id", "query_vector"))))).first()[0] or 0
     if size <= BROADCAST_BYTES:
         kind = lambda df, c: df.schema[c].dataType.simpleString()
-        found = _nearest(queries.select("query_id", "query_vector").collect(), k)
+        found = _nearest(queries.select("query_id", "query_vector").toArrow(), k)
         scored = rows.select(F.col("id").cast("long").alias("id"), "embedding").mapInArrow(found, f"query_id {kind(queries, 'query_id')}, id long, distance double")
         return ranked(scored.withColumn("id", F.col("id").cast(kind(chunks, "id"))), "distance", k, ascending=True)
     pairs = in_blocks(queries, rows, block)
