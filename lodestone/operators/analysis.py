@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.phrases import replace_in_order
 from ..functions.text import cache_key, first_line
 from .scoring import SHIP_TYPES, first_keyword
 
@@ -131,13 +132,19 @@ def out_of_scope(text: Column, subjects: list[str] = OUT_OF_SCOPE) -> Column:
     return F.get(F.filter(F.array(*[F.lit(s) for s in subjects]), lambda s: F.lower(F.coalesce(text, F.lit(""))).contains(s)), F.lit(0))
 
 
+#: Entries of a glossary that are tried one by one; a longer one is looked up by a machine.
+SHORT_GLOSSARY = 24
+
+
 def apply_glossary(text: Column, glossary: list[tuple[str, str]]) -> Column:
     """(phrase, term) replacements as whole words, one after another in the list's order.
 
-    A fold over the list as an array: the plan stays small however long the list is.
+    A short list is a fold over an array: the plan stays small. A long one is compiled to one machine, so that texts are not read once an entry.
     """
     if not glossary:
         return text
+    if len(glossary) > SHORT_GLOSSARY:
+        return replace_in_order(text, glossary)
     quoted = [(r"(?iU)\b\Q" + p + r"\E\b", t.replace("\\", r"\\").replace("$", r"\$")) for p, t in glossary]
     pairs = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(t).alias("t")) for p, t in quoted])
     return F.aggregate(pairs, text, lambda out, x: F.regexp_replace(out, x["p"], x["t"]))

@@ -8,17 +8,19 @@ tokens are tables of their own, (topic, term) rows, so users append to them:
 * excludes: any hit drops the topic;
 * tokens (topic, parameter, term): topics with several parameters; each hit adds ``BONUS``.
 
-Every term becomes a plain substring test of a text that is padded with spaces: an equi-join on three
-characters finds the terms to test, all tables' terms in one pass over the texts.
+Every term becomes a plain substring of a text that is padded with spaces; an automaton of all tables' terms finds
+them in one pass over the texts.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.phrases import machine
 from ..functions.text import is_whole_word, normalise, padded
 
 BONUS, LEAST = 2, 2
@@ -55,25 +57,55 @@ def _small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
-def _grams(text: Column) -> Column:
-    """Distinct runs of three characters, and the empty one for shorter needles."""
-    return F.array_distinct(F.concat(F.array(F.lit("")), F.regexp_extract_all(text, F.lit("(?s)(?=(...))"), F.lit(1))))
+#: Terms of one machine; more are dealt to several, each a further pass over the texts.
+MACHINE_TERMS = 100_000
 
 
 def tagged_hits(queries: DataFrame, gates: dict[str, tuple[DataFrame, str, list[str]]]) -> DataFrame:
     """(query_id, gate, key) of several term tables (terms, text column, keys) in one pass over the texts, a row a term that occurs.
 
-    A term is looked up by its first three characters and then confirmed, so a text meets only terms that
-    share a run with it, however many there are. ``key`` holds the key columns as JSON.
+    All terms are one automaton in the tasks: texts stay where they are and are read once. ``key`` holds the key columns as JSON.
     """
     tagged = None
     for name, (terms, column, keys) in gates.items():
         part = terms.select(F.lit(name).alias("gate"), F.lit(column == "original").alias("own"), F.to_json(F.struct(*keys)).alias("key"), needle(F.col("term")).alias("needle")).where("needle IS NOT NULL")
         tagged = part if tagged is None else tagged.unionByName(part)
-    tagged = tagged.withColumn("gram", F.when(F.length("needle") < 3, "").otherwise(F.left("needle", F.lit(3))))
-    sides = F.array(*[F.struct(F.lit(own).alias("own"), F.col(c).alias("text")) for own, c in ((False, "combined"), (True, "original")) if own in {c == "original" for _, c, _ in gates.values()}])
-    each = queries.select("query_id", F.explode(sides).alias("s")).select("query_id", "s.own", "s.text", F.explode(_grams(F.col("s.text"))).alias("gram"))
-    return each.join(_small(tagged), ["own", "gram"]).where(F.col("text").contains(F.col("needle"))).select("query_id", "gate", "key")
+    sides = {c for _, c, _ in gates.values()}
+    texts_of = queries.select("query_id", *[F.col(c) if c in sides else F.lit(None).cast("string").alias(c) for c in ("combined", "original")])
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, gate string, key string"
+    blocks, out = max(1, -(-tagged.count() // MACHINE_TERMS)), None
+    for b in range(blocks):
+        terms = tagged.where(F.pmod(F.xxhash64("needle"), F.lit(blocks)) == b).collect()  # about MACHINE_TERMS rows
+        part = texts_of.mapInArrow(_scan([tuple(t) for t in terms]), schema)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _scan(terms: list[tuple[str, bool, str, str]]):
+    """Batches of (query_id, combined, original) -> (query_id, gate, key) of the terms (gate, own, key, needle) in them."""
+
+    def run(batches):
+        machines = {}
+        for column, own in (("combined", False), ("original", True)):
+            needles: dict[str, list] = {}
+            for gate, of, key, text in terms:
+                if of == own:
+                    needles.setdefault(text, []).append((gate, key))
+            machines[column] = machine({n: (n, tags) for n, tags in needles.items()})
+        for batch in batches:
+            at, gates, keys = [], [], []
+            for column, made in machines.items():
+                if made is None:
+                    continue
+                for i, text in enumerate(batch.column(column).to_pylist()):
+                    for tags in dict(value for _, value in made.iter(text or "")).values():
+                        for gate, key in tags:
+                            at.append(i)
+                            gates.append(gate)
+                            keys.append(key)
+            yield pa.RecordBatch.from_arrays([batch.column("query_id").take(pa.array(at, pa.int64())), pa.array(gates, pa.string()), pa.array(keys, pa.string())], names=["query_id", "gate", "key"])
+
+    return run
 
 
 def hits(queries: DataFrame, terms: DataFrame, column: str, keys: list[str]) -> DataFrame:

@@ -82,6 +82,16 @@ def glossary_apply(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", A.apply_glossary(F.col("text"), GLOSSARY).alias("text"))
 
 
+_COMMON = "the of and to in is it for le la les et de un une die der und das ist el los que con por para".split()
+#: Longer than ``SHORT_GLOSSARY``: pairs of neighbours, then single words.
+LONG_GLOSSARY = [(f"{a} {b}", f"{a}_{b}") for a, b in zip(_COMMON, _COMMON[1:])] + [(w, f"{w.upper()}_1") for w in _COMMON]
+
+
+@query("glossary_long", f"SELECT conv_id, turn, {_glossary('text', LONG_GLOSSARY)} AS text FROM conversations")
+def glossary_long(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", A.apply_glossary(F.col("text"), LONG_GLOSSARY).alias("text"))
+
+
 @query("history_window", "SELECT conv_id, turn, role, back FROM (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC))::INTEGER AS back FROM conversations) WHERE back <= 6")
 def history_window(spark, sf_dir):
     return A.history_window(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "role", "back")
