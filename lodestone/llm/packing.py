@@ -48,7 +48,7 @@ PARTITION_BYTES, PARTITIONS, COPIES = 256 << 20, 65_536, 1000
 #: Keys of such rows (8 bytes each) up to which they are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Entries of a worker's cache; it is emptied when full.
-CACHE = 500_000
+CACHE = 200_000
 #: Fixed value: the public byte-level BPE pre-tokeniser's pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 

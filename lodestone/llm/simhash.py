@@ -21,6 +21,8 @@ emits a spanning forest and not the pairs.
 independent, so more of the near copies lie within the radius in one of them; texts are linked if they do in any. The
 spaces of the fingerprints are searched apart, each by the same tables, and their links carried back to the first one.
 
+``confirmed_duplicates`` takes such links as candidates only: it compares the shingles of the linked texts exactly.
+
 Edge cases: null or blank text has fingerprint zero, linked like any other; fewer than three
 words: one shingle of them all; repeated rows each come back; a null doc_id takes its
 class's least id, which is null if no row has one (``root`` tells such classes apart); an empty table gives an empty result; other columns are ignored.
@@ -37,6 +39,8 @@ from .common import cut, key128
 from .components import components
 
 RADIUS, SHINGLE, SEED, BUCKET = 3, 3, 42, 2048
+#: Confirmation: least similarity of sets of shingles of so many words; up to so many fingerprints or texts, all pairs are candidates.
+SIMILARITY, WORDS, WHOLE = 0.8, 5, 128
 #: Row keys (16 bytes each) up to which they are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -94,17 +98,18 @@ def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, prints: int = 1) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, fp (the fingerprint as a signed long), more (the further ones), a and b (which tell rows apart)."""
+    """docs (doc_id, text) -> doc_id, fp (the fingerprint as a signed long), more (the further ones), a and b (which tell rows apart), t1 and t2 (texts)."""
 
     def run(batches):
         for batch in batches:
             sets = [fingerprint_set(t, shingle, seed, prints) for t in batch.column("text").to_pylist()]
             flat = np.array(sets, dtype=np.uint64).reshape(len(sets), prints).view(np.int64)
             more = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * (prints - 1)), pa.array(flat[:, 1:].ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.ascontiguousarray(flat[:, 0])), more, batch.column("a"), batch.column("b")], names=["doc_id", "fp", "more", "a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.ascontiguousarray(flat[:, 0])), more, *[batch.column(c) for c in keys]], names=["doc_id", "fp", "more", *keys])
 
-    a, b = key128(F.col("doc_id"), F.col("text"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", a.alias("a"), b.alias("b")).mapInArrow(run, "doc_id long, fp long, more array<long>, a long, b long")
+    keys = ["a", "b", "t1", "t2"]
+    of = dict(zip(keys, [*key128(F.col("doc_id"), F.col("text")), *key128(F.col("text"))]))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[c.alias(k) for k, c in of.items()]).mapInArrow(run, "doc_id long, fp long, more array<long>, a long, b long, t1 long, t2 long")
 
 
 def forest(values: np.ndarray, radius: int) -> np.ndarray:
@@ -123,7 +128,14 @@ def forest(values: np.ndarray, radius: int) -> np.ndarray:
     return np.concatenate(links).view(np.int64) if links else np.empty((0, 2), np.int64)
 
 
-def _linked(radius: int):
+def pairs_within(values: np.ndarray, radius: int) -> np.ndarray:
+    """All pairs of the values (distinct, int64) within the radius."""
+    plain = values.view(np.uint64)
+    i, j = np.nonzero(np.triu(np.bitwise_count(plain[:, None] ^ plain[None, :]) <= radius, 1))
+    return np.stack([values[i], values[j]], axis=1)
+
+
+def _linked(radius: int, whole: int = 0):
     def run(batches):
         for batch in batches:
             lists = batch.column("fps")
@@ -135,7 +147,8 @@ def _linked(radius: int):
             near = np.bitwise_count((a ^ b).view(np.uint64)) <= radius
             links = [np.stack([a[near], b[near]], axis=1)]
             for k in np.flatnonzero(sizes > 2):
-                links.append(forest(flat[offsets[k] : offsets[k + 1]], radius))
+                members = flat[offsets[k] : offsets[k + 1]]
+                links.append(pairs_within(members, radius) if len(members) <= whole else forest(members, radius))
             links = np.concatenate(links)
             yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["u", "v"])
 
@@ -158,8 +171,8 @@ def _split(members: DataFrame, masks: list[int], space: list[str]) -> DataFrame:
     return members.select(*space, "fp", F.explode(tables).alias("t")).select(*space, "t.table", "t.kept", "fp")
 
 
-def link(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """fps (fp, distinct) -> (u, v): links within the radius that join all that belong together.
+def link(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, whole: int = 0) -> DataFrame:
+    """fps (fp, distinct) -> (u, v): links within the radius that join all that belong together; all of them in buckets of up to ``whole``.
 
     With a column ``space`` only fingerprints of the same space are compared.
     """
@@ -173,7 +186,7 @@ def link(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFram
         hot = not large.isEmpty() and max(64 - (m & (1 << 64) - 1).bit_count() for m in masks) > bucket.bit_length()
         small = level.join(large, keys, "left_anti") if hot else level
         lists = small.groupBy(*keys).agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-        links = lists.select("fps").mapInArrow(_linked(radius), "u long, v long")
+        links = lists.select("fps").mapInArrow(_linked(radius, whole), "u long, v long")
         found = links if found is None else found.unionByName(links)
         if not hot:
             return found
@@ -210,9 +223,64 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "a", "b", "root")
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs without the rows whose class has a row with a smaller doc_id (equal rows: one stays)."""
-    classes = cut(near_duplicates(docs, **options))
+def _grams(rows: DataFrame, words: int, seed: int) -> DataFrame:
+    """rows (node, text) -> node, grams: the sorted different hashes of the text's shingles of ``words`` words."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, words, seed)).view(np.int64) for t in batch.column("text").to_pylist()]
+            ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+            grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), grams], names=["node", "grams"])
+
+    return rows.mapInArrow(run, "node long, grams array<long>")
+
+
+def _candidates(texts: DataFrame, radius: int, bucket: int) -> DataFrame:
+    """texts (node, fp, more) -> (u, v), nodes with a fingerprint within the radius of each other: all such pairs where at most ``WHOLE`` fingerprints (or texts of one) meet, a spanning forest beyond."""
+    members = cut(texts.select("node", F.posexplode(F.concat(F.array("fp"), "more")).alias("space", "value")))
+    heads = cut(members.groupBy("space", "value").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")))
+    crowded = members.join(heads.where(F.col("n") > WHOLE), ["space", "value"]).where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v"))
+    few = members.join(heads.where((F.col("n") > 1) & (F.col("n") <= WHOLE)), ["space", "value"]).groupBy("space", "value").agg(F.collect_list("node").alias("nodes"))
+    both = F.flatten(F.transform("nodes", lambda x: F.transform(F.filter("nodes", lambda y: y < x), lambda y: F.struct(x.alias("u"), y.alias("v")))))
+    equal = few.select(F.explode(both).alias("e")).select("e.u", "e.v")
+    found = link(heads.select("space", F.col("value").alias("fp")), radius, bucket, WHOLE)
+    of = lambda end: heads.groupBy(F.col("value").alias(end)).agg(F.min("head").alias(f"{end}_head"))
+    near = found.join(of("u"), "u").join(of("v"), "v").select(F.col("u_head").alias("u"), F.col("v_head").alias("v"))
+    each = near.unionByName(crowded).unionByName(equal).where("u <> v")
+    return each.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
+def confirmed_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, bucket: int = BUCKET, prints: int = 1) -> DataFrame:
+    """As ``near_duplicates``, but different texts are linked only if their sets of ``words``-word shingles have that Jaccard similarity.
+
+    The covering tables give candidate pairs of texts, equal texts counting once; the shingles of the texts in such pairs, and of
+    no others, are joined to the pairs and compared exactly. Two texts without words are alike.
+    """
+    marked = cut(fingerprints(docs, shingle, seed, prints)).withColumn("row", F.monotonically_increasing_id())
+    texts = cut(marked.groupBy("t1", "t2").agg(F.min(F.struct("row", "a", "b")).alias("r"), F.first("fp").alias("fp"), F.first("more").alias("more")).select("t1", "t2", F.col("r.row").alias("node"), "r.a", "r.b", "fp", "more"))
+    edges = cut(_candidates(texts, radius, bucket))
+    linked = texts.join(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi").select("node", F.col("a").alias("__a"), F.col("b").alias("__b"))
+    a, b = key128(F.col("doc_id"), F.col("text"))
+    rows = docs.select("text", a.alias("__a"), b.alias("__b")).join(_keyed(linked), ["__a", "__b"]).select("node", "text")
+    grams = cut(_grams(rows, words, seed).dropDuplicates(["node"]))
+    compared = edges.join(grams.select(F.col("node").alias("u"), F.col("grams").alias("x")), "u").join(grams.select(F.col("node").alias("v"), F.col("grams").alias("y")), "v")
+    shared = F.size(F.array_intersect("x", "y"))
+    alike = compared.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("u", "v")
+    roots = components(alike)
+    labelled = texts.join(roots, "node", "left").select("t1", "t2", F.coalesce("root", "node").alias("root"))
+    named = marked.join(labelled, ["t1", "t2"])
+    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return named.join(least, "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "a", "b", "root")
+
+
+def _keyed(keys: DataFrame) -> DataFrame:
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
+def one_of_each(docs: DataFrame, similarity: float | None = None, **options) -> DataFrame:
+    """docs without the rows whose class has a row with a smaller doc_id (equal rows: one stays). With ``similarity`` links are confirmed by it."""
+    classes = cut(near_duplicates(docs, **options) if similarity is None else confirmed_duplicates(docs, similarity, **options))
     stay = classes.groupBy("root").agg(F.min(F.struct("doc_id", "a", "b")).alias("s")).select("s.a", "s.b")
     gone = cut(classes.select("a", "b").distinct().join(stay, ["a", "b"], "left_anti"))
     again = cut(classes.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b").join(stay, ["a", "b"], "left_semi"))
@@ -220,8 +288,7 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     rows = docs.withColumns({"__a": a, "__b": b})
 
     def keyed(keys):
-        keys = keys.select(F.col("a").alias("__a"), F.col("b").alias("__b"))
-        return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+        return _keyed(keys.select(F.col("a").alias("__a"), F.col("b").alias("__b")))
 
     left = rows.join(keyed(gone), ["__a", "__b"], "left_anti")
     if not again.isEmpty():

@@ -8,8 +8,8 @@ input of the next.
 * reported speech marks those after a verb of saying or a quotation mark, until the clause ends;
 * target marks those up to ``TARGET_SCOPE`` words after a person is addressed or named;
 * threat matches a threat with its target, before or after it (within that scope);
-* insult matches an insult with its target, before or after it, a second insult in the same clause, and an insult in a
-  clause after one that had another (a harangue).
+* insult matches an insult with its target, before or after it, and an insult within ``PAIR_SCOPE`` words of the one before it: in the same
+  clause, or up to ``PAIR_CLAUSES`` clauses on (a harangue). So insults that stand alone, however many, match nothing.
 
 The cascade is composed to one machine over tuples of states, whose table is filled as states are met. A
 single insult or threat without any of these patterns matches nothing and scores nothing, whatever the word.
@@ -18,18 +18,19 @@ a logistic function of the matches of all clauses gives the document's score.
 
 Learning, on at most about ``SAMPLE`` labelled rows whose crc32(doc_id) mod 5 is not 0, dealt by a
 hash of the id; only the text is an input. The words that are insults (whole words, or word beginnings that stand for all words
-they begin) are those far likelier in toxic texts, and in at least ``LEAST_SHARE`` of these; copies of a text count once; they carry no weights. The weights belong
-to the matches of the grammar, at most ``len(NAMES)`` of them, and are fitted by logistic regression, from 0 up and near those of ``DEFAULT`` where texts show few such matches.
+they begin) are those far likelier in toxic texts, and in at least ``LEAST_ROWS`` and the share ``LEAST_SHARE`` of these; copies of a text count once; they carry no weights. The weights belong
+to the matches of the grammar, at most ``len(NAMES)`` of them, and are fitted by logistic regression, from 0 up and near those of ``DEFAULT`` where texts show few such matches;
+a pattern's negated or reported matches never weigh more than its plain ones.
 
 Plan: the labelled sample is bounded by its parameter, so it is broadcast to find its
 texts; the word beginnings are counted in the tasks and summed in one aggregation. The grammar
 (``LEXICON`` entries at most) goes to the tasks, and documents are scored in one pass
 without a shuffle.
 
-Edge cases: null and empty texts score as texts without matches; repeated rows each come
+Edge cases: null and empty texts score as texts without matches; null doc_ids are scored and, as the remainder of the empty text is 0, never learnt from; repeated rows each come
 back; conflicting labels of an id count as toxic; null labels teach nothing; without
 labels of both kinds only the fixed word lists below and default weights are used; an
-empty table gives an empty result; very long texts are read whole; other columns pass through.
+empty table gives an empty result; very long texts are read whole; other columns pass through (one named __score is replaced).
 """
 
 import re
@@ -43,10 +44,12 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-SAMPLE, LEXICON, LEAST_ODDS, LEAST_ROWS, LEAST_SHARE = 20_000, 400, 2.0, 5, 0.02
+SAMPLE, LEXICON, LEAST_ODDS, LEAST_ROWS, LEAST_SHARE = 20_000, 400, 2.0, 5, 0.005
 NEGATION_SCOPE, TARGET_SCOPE = 3, 6
+#: A second insult counts with the one before within so many words, and so many clauses on.
+PAIR_SCOPE, PAIR_CLAUSES = 64, 4
 PREFIXES = (4, 5, 6, 7, 8)
-CACHE = 500_000
+CACHE = 100_000
 
 # Word lists of the grammar.
 INSULTS = "idiot idiots moron morons stupid loser losers scum trash clown pathetic worthless disgusting dumb fool jerk garbage vermin".split()
@@ -129,24 +132,25 @@ class Threats:
 
 
 class Insults:
-    """Transducer: adds the matches of insults. States: (insults in this clause, in an earlier one, one that waits for its target)."""
+    """Transducer: adds the matches of insults. States: (words for which the last insult counts, clauses ended since, an insult that waits for its target)."""
 
-    start = (False, False, None)
+    start = (0, 0, None)
 
     def step(self, state, sign: tuple) -> tuple:
-        here, before, waits = state
+        left, ended, waits = state
         kind, negated, reported, targeted, matches = sign
-        waits_on = waits and _later(waits)
+        near, left, waits_on = left > 0, max(0, left - 1), waits and _later(waits)
         if kind == INSULT:
-            if targeted or here or before:
-                pattern = AT_TARGET if targeted else REPEATED if here else HARANGUE
-                return (True, before, waits_on), (*sign[:4], (*matches, (pattern, negated, reported)))
-            return (True, before, (TARGET_SCOPE, negated, reported)), sign
+            if targeted or near:
+                pattern = AT_TARGET if targeted else HARANGUE if ended else REPEATED
+                return (PAIR_SCOPE, 0, waits_on), (*sign[:4], (*matches, (pattern, negated, reported)))
+            return (PAIR_SCOPE, 0, (TARGET_SCOPE, negated, reported)), sign
         if kind == TARGET and waits:
-            return (here, before, None), (*sign[:4], (*matches, (AT_TARGET, *waits[1:])))
+            return (left, ended, None), (*sign[:4], (*matches, (AT_TARGET, *waits[1:])))
         if kind == END:
-            return (False, before or here, None), sign
-        return (here, before, waits_on), sign
+            ended += bool(left)
+            return ((left, ended) if ended <= PAIR_CLAUSES else (0, 0)) + (None,), sign
+        return (left, ended if left else 0, waits_on), sign
 
 
 def _later(waits: tuple):
@@ -175,7 +179,7 @@ class Composed:
         self.numbers: dict[tuple, int] = {}
         self.states: list[tuple] = []
         self.table: list[list] = []
-        self.skips: list[dict] = []
+        self.skips: list[list] = []
         self.start = self._number(tuple(t.start for t in CASCADE))
 
     def _number(self, states: tuple) -> int:
@@ -183,7 +187,7 @@ class Composed:
             self.numbers[states] = len(self.states)
             self.states.append(states)
             self.table.append([None] * 7)
-            self.skips.append({0: len(self.states) - 1})
+            self.skips.append([len(self.states) - 1])
         return self.numbers[states]
 
     def step(self, state: int, kind: int) -> tuple:
@@ -198,14 +202,10 @@ class Composed:
 
     def skip(self, state: int, words: int) -> int:
         """The state after so many other words: all scopes have ended after the longest."""
-        words = min(words, max(NEGATION_SCOPE, TARGET_SCOPE) + 1)
-        found = self.skips[state].get(words)
-        if found is None:
-            found = state
-            for _ in range(words):
-                found, _none = self.step(found, OTHER)
-            self.skips[state][words] = found
-        return found
+        words, after = min(words, max(NEGATION_SCOPE, TARGET_SCOPE, PAIR_SCOPE) + 1), self.skips[state]
+        while len(after) <= words:
+            after.append(self.step(after[-1], OTHER)[0])
+        return after[words]
 
 
 class Grammar(dict):
@@ -297,6 +297,21 @@ def logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float = 1.0
     return np.concatenate(([w[0] - inner @ mean], inner))
 
 
+def bounds() -> np.ndarray:
+    """Weights as sums of free ones: a pattern's plain weight is at least those of its negated and reported matches."""
+    out = np.eye(len(NAMES))
+    for p in range(len(PATTERNS)):
+        out[4 * p, 4 * p + 1 : 4 * p + 4] = 1
+    return out
+
+
+def fitted(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The intercept and the weights of NAMES, near those of ``DEFAULT``."""
+    shape = bounds()
+    free = logistic(x @ shape, y, np.concatenate((DEFAULT[:1], np.linalg.solve(shape, DEFAULT[1:]))))
+    return np.concatenate((free[:1], shape @ free[1:]))
+
+
 def remainder(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5
 
@@ -348,7 +363,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lexicon: int
             yield pd.DataFrame({"f": [grammar.features(t) for t in batch["text"]], "y": batch["y"]})
 
     told = rows.mapInPandas(describe, "f array<double>, y int").collect()
-    return Model(found, logistic(np.array([r["f"] for r in told]), np.array([r["y"] for r in told], dtype=float), DEFAULT))
+    return Model(found, fitted(np.array([r["f"] for r in told]), np.array([r["y"] for r in told], dtype=float)))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

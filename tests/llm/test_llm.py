@@ -83,10 +83,10 @@ def test_covering_masks_miss_no_pair(radius):
         assert any(not bits & m for m in masks)
 
 
-def brute_prints(text, n):
+def brute_prints(text, n, shingle=3):
     """The fingerprint and n - 1 further ones, of hashes mixed anew."""
     words, m, out = re.findall(r"[^\x20\t-\r]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")), (1 << 64) - 1, []
-    hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + 3]).encode("utf-8", "surrogatepass"), 42) for i in range(max(1, len(words) - 2))] if words else []
+    hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + shingle]).encode("utf-8", "surrogatepass"), 42) for i in range(max(1, len(words) - shingle + 1))] if words else []
     for k in range(n):
         mix = []
         for h in hashes:
@@ -596,7 +596,7 @@ def matched(g, text):
         ("i will kill you", [["threat with target"]]), ("you i will hurt", [["threat with target"]]), ("du wirst sehen, wir kill", [["threat with target"]]),
         ("you are not a zork", [["insult with target negated"]]), ("no zork are you", [["insult with target negated"]]),
         ('it was said you are a zork', [["insult with target reported"]]), ('"zork" you', [["insult with target reported"]]), ("i never said kill him", [["threat with target negated reported"]]),
-        ("zork and a blargh", [["insults in a clause"]]), ("a zork. a blargh", [["harangue"]]), ("zork\nfine words\nzork! zork zork", [["harangue"], ["harangue", "insults in a clause"]]),
+        ("zork and a blargh", [["insults in a clause"]]), ("a zork. a blargh", [["harangue"]]), ("zork\nfine words\nzork! zork zork", [["harangue"], ["harangue", "insults in a clause"]]),  # two clauses on
         ("zork a b c d e you", [["insult with target"]]), ("zork a b c d e f you", []), ("you a b c d e zork", [["insult with target"]]), ("you a b c d e f zork", []), ("you. zork", []), ("zork. you", []),
     ],
 )
@@ -623,6 +623,26 @@ def test_the_composed_machine_equals_the_transducers_in_sequence(kinds):
     assert skipping == [m for m, k in zip(got, kinds) if k != toxicity.OTHER]
 
 
+def test_insults_that_stand_alone_match_nothing():
+    g, plain = toxicity.Grammar({"=zork"}), " ".join(["plain word here"] * 500)
+    alone = " ".join([f"the weather was zork. {plain}"] * 5)
+    assert g.features(alone) == g.features("") == [0.0] * len(toxicity.NAMES)
+    for gap in (toxicity.PAIR_SCOPE, toxicity.PAIR_SCOPE + 1, 10 * toxicity.PAIR_SCOPE):
+        assert matched(g, "zork " + "x " * (gap - 1) + "zork") == ([["insults in a clause"]] if gap <= toxicity.PAIR_SCOPE else [])
+    assert matched(g, "zork" + ". a" * toxicity.PAIR_CLAUSES + " zork") == [["harangue"]]
+    assert matched(g, "zork" + ". a" * (toxicity.PAIR_CLAUSES + 1) + " zork") == []
+
+
+def test_negated_and_reported_matches_never_weigh_more():
+    rng = np.random.default_rng(3)
+    x = rng.poisson(0.6, (600, len(toxicity.NAMES))).astype(float)
+    y = (x[:, 2] + x[:, 5] - x[:, 0] + rng.normal(size=600) > 1).astype(float)  # negated and reported ones speak for it
+    w = toxicity.fitted(x, y)[1:]
+    for p in range(len(toxicity.PATTERNS)):
+        assert all(w[4 * p] >= w[4 * p + k] - 1e-9 >= -1e-9 for k in (1, 2, 3))
+    assert np.allclose(toxicity.bounds() @ np.linalg.solve(toxicity.bounds(), toxicity.DEFAULT[1:]), toxicity.DEFAULT[1:])
+
+
 def test_weights_stay_above_zero_and_near_their_prior_unseen():
     rng = np.random.default_rng(4)
     x = np.column_stack([rng.integers(0, 3, 400), rng.integers(0, 3, 400), np.zeros(400)]).astype(float)

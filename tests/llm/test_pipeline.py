@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 pytest.importorskip("lodestone.llm")
 
 import corpus_pipeline  # noqa: E402
-from lodestone.llm import mixing, toxicity  # noqa: E402
+from lodestone.llm import mixing, simhash, toxicity  # noqa: E402
 from lodestone.llm import queries as Q  # noqa: E402
 
-from .test_llm import VOCABULARY, brute_any, brute_prints, brute_repeats  # noqa: E402
+from .test_llm import VOCABULARY, brute_prints, brute_repeats  # noqa: E402
 
 
 @pytest.mark.parametrize("name", sorted(Q.ORACLES))
@@ -48,8 +48,20 @@ def drop_lines(rows, ratio):
     return out
 
 
+def alike(a, b):
+    """Whether two texts have a similarity of 0.8 or more in five-word shingles."""
+    shingles = lambda t: (lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()))(re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)))
+    a, b = shingles(a), shingles(b)
+    return len(a & b) >= 0.8 * len(a | b)
+
+
 def one_of_each(rows):
-    label = brute_any([brute_prints(r["text"], 6) for r in rows], 3)
+    prints = [brute_prints(r["text"], 6, 2) for r in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if label[i] != label[j] and any((x ^ y).bit_count() <= 3 for x, y in zip(prints[i], prints[j])) and alike(rows[i]["text"], rows[j]["text"]):
+                label = [label[j] if k == label[i] else k for k in label]
     best = {}
     for r, k in zip(rows, label):
         best[k] = min(best.get(k, r["doc_id"]), r["doc_id"])
@@ -149,6 +161,30 @@ def test_stages_keep_columns(spark, sf):
         assert out.columns == docs.columns and out.dtypes == docs.dtypes
 
 
+def test_texts_below_the_similarity_stay(spark):
+    """Near copies of 0.6 to 0.8 stay though their fingerprints are near; those of 0.8 or more go, also through others."""
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in rng.integers(0, 3000, 300)]
+    rows = [(i, " ".join(base[:j] + ["changed"] * (i > 0) + base[j + (i > 0) :])) for i, j in enumerate(range(0, 290, 17))]
+    far = []
+    for i in range(12):  # as many changes as leave 0.6 to 0.8
+        at = set(rng.choice(300, 8 + i % 4, replace=False).tolist())
+        far.append((100 + i, " ".join(f"x{i}" if k in at else w for k, w in enumerate(base))))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows + far], "doc_id long, text string, lang string, source string, n_chars long")
+    near = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs.select("doc_id", "text"), shingle=2, prints=6).collect()}
+    assert any(near[i] == 0 for i, _ in far)  # the fingerprints alone would take some of them
+    classes = {r.doc_id: r.component_id for r in simhash.confirmed_duplicates(docs.select("doc_id", "text"), shingle=2, prints=6).collect()}
+    for i, t in far:
+        assert alike(t, base_text(rows)) == (classes[i] == 0) or any(alike(t, u) for j, u in rows + far if j != i)
+    stay = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert stay == set(classes.values()) and sum(i in stay for i, _ in far) >= 8
+    assert len(stay & {i for i, _ in rows}) < len(rows) / 2
+
+
+def base_text(rows):
+    return rows[0][1]
+
+
 def test_substrings_of_the_tables(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in Q.QUERIES["op9_substring_dedup"](spark, sf).collect()) == brute_repeats(rows, 35)
