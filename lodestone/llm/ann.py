@@ -23,7 +23,7 @@ order for equal vectors, so ties are exact and go to the smaller id.
 
 Edge cases: null, zero and empty vectors and those with null or non-finite components take
 no part, nor do null ids; vectors only meet others of their length, and those of another
-length than the most common in the sample are searched whole; a query's own id
+length than the most common in the sample are searched whole; very long vectors only make the sample smaller; other columns are ignored, whatever their names; a query's own id
 is no candidate; a repeated query row (same id and vector) is asked once; an empty table gives an empty result.
 """
 
@@ -41,6 +41,8 @@ from .exact_topk import BROADCAST_BYTES, best, least_copies, pack_blocks, valid
 
 K, SAMPLE, SAMPLE_MOST, BRANCH, LEAF_SAMPLE, RECALL, TRIALS, BLOCK, QUERY_BLOCK = 20, 16384, 262_144, 16, 64, 0.95, 200, 16384, 1024
 MERGE_ROWS = 400_000
+#: Bytes of sampled vectors that the driver fits the tree on.
+SAMPLE_BYTES = 128 << 20
 #: Numbers that are multiplied at once when finds are scored exactly.
 PAIR_VALUES = 1 << 22
 #: One of so many rows of a block gives a query's first floor.
@@ -277,9 +279,9 @@ def _scored(k: int, leaves: int):
 
 
 def fit(vectors: DataFrame, k: int, sample: int, branch: int, leaf_rows: int, recall: float, trials: int):
-    """(tree, visits, rows in all) from about ``sample`` rows, or up to ``SAMPLE_MOST`` as the table grows."""
-    n = vectors.count()
-    sample = max(sample, min(SAMPLE_MOST, int(16 * n**0.5)))
+    """(tree, visits, rows in all) from about ``sample`` rows, or up to ``SAMPLE_MOST`` as the table grows, and about ``SAMPLE_BYTES`` of vectors at most."""
+    n, longest = vectors.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    sample = min(max(sample, min(SAMPLE_MOST, int(16 * n**0.5))), max(1000, SAMPLE_BYTES // (8 * (longest or 1))))
     share = min(1.0, sample / max(1, n))
     picked = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).limit(2 * sample)
     blocks = pack_blocks(picked, 1 << 20, None).collect()

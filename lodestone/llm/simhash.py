@@ -40,7 +40,7 @@ from .components import components
 
 RADIUS, SHINGLE, SEED, BUCKET = 3, 3, 42, 2048
 #: Confirmation: least similarity of sets of shingles of so many words; up to so many fingerprints or texts, all pairs are candidates.
-SIMILARITY, WORDS, WHOLE = 0.8, 5, 128
+SIMILARITY, WORDS, WHOLE = 0.8, 5, 6
 #: Row keys (16 bytes each) up to which they are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
