@@ -81,6 +81,7 @@ def language(text: Column, detector: Column | None = None) -> Column:
 
 def intent(text: Column) -> Column:
     """struct(kind, confidence, source) by the first rule that fits."""
+    # The patterns of a spacing, of a table and of a value asked about.
     q = F.trim(F.lower(F.coalesce(text, F.lit(""))))
     num = q.rlike(ASSIGNMENT)
     imperative = q.rlike(_either(IMPERATIVES_EN)) | q.rlike(_either(IMPERATIVES_ID, end=""))
@@ -152,6 +153,7 @@ def apply_glossary(text: Column, glossary: list[tuple[str, str]]) -> Column:
 
 def fix_place(original: Column, english: Column) -> Column:
     """If the original pins the forward deck, wrong places of the English text are mended."""
+    # What pins the place, and the wrong places.
     pinned = original.rlike(r"(?i)\bgeladak\s+depan\b")
     front_forward, front, dock, forward = (
         r"(?i)\bin\s+front\s+of\s+(?:the\s+)?forward\s+deck\b",
@@ -185,6 +187,7 @@ def fix_direction(original: Column, english: Column) -> Column:
             out = F.when(hit, made) if out is None else out.when(hit, made)
         return out.otherwise(text)
 
+    # What pins a direction.
     aft = original.rlike(r"(?i)\bburitan\b|bagian\s+buritan|di\s+buritan")
     forward = original.rlike(r"(?i)\bhaluan\b|bagian\s+haluan|di\s+haluan|geladak\s+depan")
     turned = F.when(aft, swap(english, FORWARD_PHRASES, "aft")).otherwise(english)
@@ -196,6 +199,7 @@ FOLLOW_UP = (
     r"(?i)\b(?:kalau|jika|bila|yang\s+tadi|sebelumnya|tersebut|yang\s+sama|bagaimana\s+dengan|bagaimana\s+kalau|what\s+about|how\s+about|the\s+previous|the\s+same|above|also\s+for)\b"
     r"|\b(?:ini|itu)\b\s*(?:berlaku|juga|sama)|^(?:dan|lalu|kemudian)\b"
 )
+#: Fixed value: a bare assignment.
 BARE_VALUE = r"(?i)^[A-Za-z][A-Za-z0-9_ ]{0,20}\s*[=:]\s*[-+]?[0-9]+(?:[.,][0-9]+)?\s*(?:m|mm|kN|MPa|%)?$"
 
 

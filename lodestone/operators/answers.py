@@ -22,6 +22,27 @@ def answer_prompt(query: Column, language: Column, mode: Column, calculation: Co
     return F.concat_ws("\n\n", source, F.concat(F.lit("Question: "), query), F.concat(F.lit("Answer in "), name, F.lit(".")), style)
 
 
+#: What every answer is told; a document's own rules are added by the caller.
+SYSTEM = (
+    "You answer questions about one document. Use the given context, rule or calculation only; if it does not hold the answer, say so. "
+    "Name the section, paragraph and page of everything you state, as the context's tags give them, and no other. Copy numbers and units as they stand; do not calculate."
+)
+
+
+def answer_messages(user: Column, history: Column | None = None, system: str = SYSTEM, keep: int = 6) -> Column:
+    """array(struct(role, content)): the system message, the last ``keep`` turns of the history, then the user message.
+
+    history: array(struct(turn, role, text)) in any order; turns without text, or of other roles than user and assistant, are left out.
+    """
+    message = lambda role, content: F.struct(role.alias("role"), content.alias("content"))
+    first, last = F.array(message(F.lit("system"), F.lit(system))), F.array(message(F.lit("user"), F.coalesce(user, F.lit(""))))
+    if history is None:
+        return F.concat(first, last)
+    said = F.filter(F.array_sort(F.coalesce(history, F.array().cast("array<struct<turn:bigint,role:string,text:string>>"))), lambda t: t["role"].isin("user", "assistant") & (F.coalesce(F.trim(t["text"]), F.lit("")) != ""))
+    window = F.slice(said, F.greatest(F.size(said) - F.lit(keep - 1), F.lit(1)), F.lit(keep))
+    return F.concat(first, F.transform(window, lambda t: message(t["role"], t["text"])), last)
+
+
 def answer_events(messages: list[dict], chat, fallback: str = "No answer could be made.") -> Iterator[tuple[str, object]]:
     """(kind, payload): ``status`` events, then ``token`` events, then one ``done`` with the answer.
 

@@ -118,9 +118,9 @@ def assignments(query: Column) -> Column:
     rest = F.when(some, cut).otherwise(query)
 
     def named(text):
-        p = F.lit(_ASSIGNED)
-        zipped = F.arrays_zip(*[F.regexp_extract_all(text, p, F.lit(g)).alias(n) for g, n in ((1, "n"), (2, "v"), (3, "u"))])
-        return F.transform(zipped, lambda x: F.struct(x["n"].alias("name"), _number(x["v"]).alias("value"), x["u"].alias("unit")))
+        # one pass over the text; the parts are taken from the short matches
+        part = lambda m, g: F.regexp_extract(m, _ASSIGNED, g)
+        return F.transform(F.regexp_extract_all(text, F.lit(_ASSIGNED), F.lit(0)), lambda m: F.struct(part(m, 1).alias("name"), _number(part(m, 2)).alias("value"), part(m, 3).alias("unit")))
 
     return F.concat(phrases, bind(rest, named))
 

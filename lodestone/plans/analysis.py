@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import analysis as A
-from .base import query, table
+from ..operators import detection as D
+from ..sources.stored import shared_folder
+from ..streaming import conversations as memory
+from .base import ORACLES, query, table
 
 GLOSSARY = [("la les", "the the"), ("ing", "hull"), ("pelat alas", "bottom plate"), ("ther", "plate"), ("le", "girder"), ("que", "tank")]
 #: A question made of a turn, so that all branches of the ladders are met.
@@ -97,6 +100,36 @@ def history_window(spark, sf_dir):
     return A.history_window(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "role", "back")
 
 
+@query("stream_history_window", ORACLES["history_window"])
+def stream_history_window(spark, sf_dir):
+    """The same from a stream of the table's files, by keyed state."""
+    folder = shared_folder(spark, "stream")
+    memory.start(spark, f"{sf_dir}/conversations.parque[t]", f"{folder}/out", f"{folder}/state", files_per_trigger=4).awaitTermination()
+    turns = memory.states(spark, f"{folder}/out").select("conv_id", F.posexplode(F.reverse("turns")).alias("at", "t"))
+    return turns.select("conv_id", "t.turn", "t.role", (F.col("at") + 1).alias("back"))
+
+
+_TRIGRAMS = "list_transform(range(1, greatest(length({c}) - 1, 1)), lambda i: substr({c}, i, 3))"
+_LETTERS = r"regexp_replace(lower(coalesce(text, '')), '[^\p{L}]+', ' ', 'g')"
+
+
+@query(
+    "language_trigrams",
+    f"""WITH t AS (SELECT doc_id, lang, {_LETTERS} AS x FROM documents),
+        g AS (SELECT doc_id, lang, unnest({_TRIGRAMS.format(c="x")}) AS gram FROM t WHERE length(x) >= 3),
+        c AS (SELECT lang, gram, count(*) AS n FROM g WHERE doc_id % 5 <> 0 AND lang IS NOT NULL GROUP BY ALL),
+        k AS (SELECT DISTINCT gram FROM (SELECT gram, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS place FROM c) WHERE place <= {D.GRAMS}),
+        z AS (SELECT lang, sum(n) AS total FROM c JOIN k USING (gram) GROUP BY lang),
+        q AS (SELECT doc_id, gram, count(*) AS n FROM g JOIN k USING (gram) WHERE doc_id % 5 = 0 GROUP BY ALL),
+        s AS (SELECT doc_id, z.lang, sum(q.n * ln((coalesce(c.n, 0) + 0.5::DOUBLE) / (total + 0.5::DOUBLE * {D.GRAMS}))) AS score FROM q JOIN z ON true LEFT JOIN c ON c.lang = z.lang AND c.gram = q.gram GROUP BY ALL)
+        SELECT doc_id, arg_max(lang, score) AS language FROM s GROUP BY doc_id""",
+)
+def language_trigrams(spark, sf_dir):
+    """A model of four fifths of the documents, the languages of the rest."""
+    docs = table(spark, sf_dir, "documents")
+    return D.detect(docs.where("doc_id % 5 = 0").select("doc_id", "text"), D.fit(docs.where("doc_id % 5 <> 0")), ["doc_id"]).select("doc_id", "language")
+
+
 _FACTS = "'L=' || (100 + conv_id % 50) || ' m and b: ' || turn || ',5mm T=' || (turn % 3) || ' ' || role"
 _ALL = r"regexp_extract_all(x, '(?:^|[^A-Za-z0-9_])([LHBbTtatKknfQ][A-Za-z0-9_]{0,4})\s*[=:]\s*([0-9]+[.,]?[0-9]*)\s*(m|mm|kN|MPa|N/mm2|%|t)?', GROUP)"
 

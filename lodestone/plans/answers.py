@@ -74,11 +74,32 @@ def analyse_batch(spark, sf_dir):
     return analysed(table(spark, sf_dir, "conversations"), GLOSSARY)
 
 
-@query("boost_metadata", "SELECT * FROM (VALUES ('en', 'tanker', 3, 2.0::DOUBLE), ('fr', 'liquefied gas', 8, 2.0), ('es', 'pontoon', 2, 2.0)) t(query_id, ship_type, section_no, boost)")
+@query(
+    "boost_metadata",
+    """SELECT p_partkey AS query_id, ship_type, section_no, boost FROM part JOIN (VALUES (0, 'tanker', 24, 2.0::DOUBLE), (1, 'bulk carrier', 23, 2.0), (2, 'liquefied gas', 26, 2.0)) t(k, ship_type, section_no, boost) ON p_size % 5 = k""",
+)
 def boost_metadata(spark, sf_dir):
     from ..operators import scoring as S
-    from .scoring import TYPES
 
-    small = spark.createDataFrame(TYPES, "ship_type string, section_no int, boost double")
-    found = questions(spark).select("query_id", S.first_keyword(F.col("query"), [t[0] for t in TYPES]).alias("ship_type"))
+    small = spark.createDataFrame(S.SHIP_TYPES, "ship_type string, section_no int, boost double")
+    query_of = F.expr("p_name || CASE p_size % 5 WHEN 0 THEN ' of a Tanker' WHEN 1 THEN ' of a bulk carrier' WHEN 2 THEN ' for liquefied gas or a tug' ELSE ' deck' END")
+    found = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), S.first_keyword(query_of, [t[0] for t in S.SHIP_TYPES]).alias("ship_type"))
     return found.join(F.broadcast(small), "ship_type").select("query_id", "ship_type", "section_no", "boost")
+
+
+@query(
+    "answer_messages",
+    f"""WITH t AS (SELECT conv_id, max(turn) AS latest FROM conversations WHERE role = 'user' GROUP BY conv_id),
+        h AS (SELECT c.conv_id, c.turn, c.role, c.text, row_number() OVER (PARTITION BY c.conv_id ORDER BY c.turn DESC) AS back FROM conversations c JOIN t ON c.conv_id = t.conv_id AND c.turn < latest WHERE trim(coalesce(c.text, '')) <> '' AND c.role IN ('user', 'assistant')),
+        m AS (SELECT conv_id, -1 AS turn, 'system' AS role, {values([(A.SYSTEM,)])} AS content FROM t
+              UNION ALL SELECT conv_id, turn, role, text FROM h WHERE back <= 6
+              UNION ALL SELECT t.conv_id, latest, 'user', coalesce(text, '') FROM t JOIN conversations c ON c.conv_id = t.conv_id AND c.turn = latest)
+        SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS place, role, content FROM m""",
+)
+def answer_messages(spark, sf_dir):
+    """The messages for the latest user turn of each conversation, with what was said before it."""
+    said = table(spark, sf_dir, "conversations")
+    latest = said.where("role = 'user'").groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("q"))
+    before = said.join(latest, "conv_id").where(F.col("turn") < F.col("q.turn")).groupBy("conv_id").agg(F.collect_list(F.struct("turn", "role", "text")).alias("history"))
+    rows = latest.join(before, "conv_id", "left").select("conv_id", A.answer_messages(F.col("q.text"), F.col("history")).alias("messages"))
+    return rows.select("conv_id", F.posexplode("messages").alias("place", "m")).select("conv_id", "place", "m.role", "m.content")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.stemming import stem_sql, with_stem
+from ..operators import expansion as X
 from ..operators import fulltext as T
+from ..operators.retrieval import RRF_K
 from ..sources.stored import shared_folder
 from .base import query, table, values
 
@@ -25,8 +27,8 @@ _STOPS = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 _POSITIONS = f"SELECT * FROM (SELECT doc_id AS id, unnest({_TOKENS}) AS word, unnest(range(1, len({_TOKENS}) + 1)) AS pos FROM documents) WHERE word NOT IN ({_STOPS})"
 
 
-def _search_sql(k: int) -> str:
-    rows = [(q, len(found), a, u, b, w, o) for q, text in SEARCHES.items() for found in [T.parse_search(text)] for a, units in enumerate(found) for u, (b, words) in enumerate(units) for w, o in words]
+def _search_sql(k: int, searches: dict[int, str] = SEARCHES) -> str:
+    rows = [(q, len(found), a, u, b, w, o) for q, text in searches.items() for found in [T.parse_search(text)] for a, units in enumerate(found) for u, (b, words) in enumerate(units) for w, o in words]
     rows = [tuple(int(x) if isinstance(x, bool) else x for x in r) for r in rows]
     chance = f"{T.WEIGHT} * sqrt(1 / (1.005 + 0.05 * exp(abs(b.pos - a.pos) / 1.5::DOUBLE - 2)))"
     return f"""
@@ -77,3 +79,23 @@ def positional_postings(spark, sf_dir):
 def stemmed_words(spark, sf_dir):
     words = table(spark, sf_dir, "documents").select(F.explode(T.tokens(F.col("text"))).alias("word")).where(~F.col("word").isin(*T.STOP_WORDS)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     return with_stem(words).groupBy("stem").agg(F.count(F.lit(1)).alias("n_words"), F.sum("n").cast("decimal(38,0)").alias("n_occurrences"))
+
+
+#: What the stand-in model answers: a numbered line a paraphrase, in odd shapes.
+PARAPHRASES = {0: "1. ers tions\n2) 'erings or ereds'\n- ER\n3. ers tions", 2: "tions\n\n4. ing -ble", 4: "", 7: None}
+_VARIANTS = {0: ["ered tion", "ers tions", "erings or ereds"], 2: [SEARCHES[2], "tions", "ing -ble"], 4: [SEARCHES[4]], 7: [SEARCHES[7]]}
+
+
+@query(
+    "expansion_fused",
+    f"""WITH f AS ({_search_sql(40, {10 * q + v: text for q, texts in _VARIANTS.items() for v, text in enumerate(texts)})}),
+        s AS (SELECT query_id // 10 AS query_id, id, round(sum(1.0::DOUBLE / ({RRF_K} + rank)), 9) AS score, count(*) AS variants FROM f GROUP BY ALL)
+        SELECT query_id::INTEGER AS query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INTEGER AS rank, id, score, variants FROM s QUALIFY rank <= 20""",
+)
+def expansion_fused(spark, sf_dir):
+    """Each search, its paraphrases by a stand-in model, all of them searched and fused by rank."""
+    index = T.store_index(table(spark, sf_dir, "documents"), shared_folder(spark, "fulltext"), buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    asked = spark.createDataFrame([(q, SEARCHES[q]) for q in PARAPHRASES], "query_id int, query string")
+    said = F.create_map(*[F.lit(x) for q, text in PARAPHRASES.items() for x in (SEARCHES[q], text)])
+    found = X.expanded_search(asked, lambda text: F.try_element_at(said, text), lambda searches, k: T.search(index, searches, k), 20)
+    return found.select("query_id", "rank", "id", "score", "variants")

@@ -55,8 +55,10 @@ def newest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def upsert(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """table with its rows of the same key replaced; of several new rows of a key one stays."""
-    new = rows.select(*table.columns).dropDuplicates(keys)
+    """table with its rows of the same key replaced; of several new rows of a key the greatest by its other columns stays. ``keyed.KeyedTable`` edits in place."""
+    rest = [c for c in table.columns if c not in keys]
+    new = rows.select(*table.columns)
+    new = new.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("r")).select(*keys, "r.*").select(*table.columns) if rest else new.distinct()
     return table.join(new.select(*keys), keys, "left_anti").unionByName(new)
 
 
