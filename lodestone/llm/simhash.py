@@ -25,7 +25,7 @@ spaces of the fingerprints are searched apart, each by the same tables, and thei
 
 Edge cases: null or blank text has fingerprint zero, linked like any other; fewer than three
 words: one shingle of them all; repeated rows each come back; a null doc_id takes its
-class's least id, which is null if no row has one (``root`` tells such classes apart); an empty table gives an empty result; other columns are ignored.
+class's least id, which is null if no row has one (``root`` tells such classes apart); an empty table gives an empty result; very long texts are read whole; other columns are ignored.
 """
 
 from __future__ import annotations
