@@ -47,6 +47,15 @@ def test_interval_join_is_the_exact_test(spark):
     assert intervals.interval_join(value.limit(0), cell, ["key"]).collect() == []
 
 
+def test_interval_join_broadcasts_no_bins(spark):
+    """The files' size says nothing of the rows after the bins: 16 a value, up to 32 an interval."""
+    value = spark.range(50).selectExpr("id", "id % 2 AS key", "double(id) AS value")
+    cell = spark.range(20).selectExpr("id AS cell", "id % 2 AS key", "'< ' || id AS text").select("cell", "key", O.row_predicate(F.col("text")).alias("p"))
+    joined = intervals.interval_join(value, cell, ["key"])
+    assert len(joined.collect()) == sum(v % 2 == c % 2 and v < c for v in range(50) for c in range(20))
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
 def test_covers_are_small_and_whole(spark):
     rng = random.Random(5)
     last = (1 << (intervals.LEVELS - 1)) - 1
