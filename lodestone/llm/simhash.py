@@ -21,7 +21,8 @@ emits a spanning forest and not the pairs.
 independent, so more of the near copies lie within the radius in one of them; texts are linked if they do in any. The
 spaces of the fingerprints are searched apart, each by the same tables, and their links carried back to the first one.
 
-``confirmed_duplicates`` takes such links as candidates only: it compares the shingles of the linked texts exactly.
+``confirmed_duplicates`` takes such links as first candidates: it compares the shingles of the linked texts exactly, and finds all other links
+of that similarity by prefix filtering: a set that holds most of another one holds one of its rarest members.
 
 Edge cases: null or blank text has fingerprint zero, linked like any other; fewer than three
 words: one shingle of them all; repeated rows each come back; a null doc_id takes its
@@ -41,6 +42,8 @@ from .components import components
 RADIUS, SHINGLE, SEED, BUCKET = 3, 3, 42, 2048
 #: Confirmation: least similarity of sets of shingles of so many words; up to so many fingerprints or texts, all pairs are candidates.
 SIMILARITY, WORDS, WHOLE = 0.8, 5, 6
+#: Search of all links: the part (one in so many) of a text's shingles by which the prefix is longer; rounds with one head a shingle while there are over ``FEW`` pairs a row.
+SPARE, HEAD_ROUNDS, FEW = 20, 6, 16
 #: Row keys (16 bytes each) up to which they are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -251,23 +254,98 @@ def _candidates(texts: DataFrame, radius: int, bucket: int) -> DataFrame:
     return each.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
+def _overlap(n, similarity: float):
+    """The fewest shingles that a set of n shares with any set of that similarity to it."""
+    return np.maximum(np.ceil(similarity * n - 1e-9), 1).astype(np.int64)
+
+
+def _in_question(docs: DataFrame, similarity: float, words: int, seed: int) -> DataFrame:
+    """docs (doc_id, text) -> t1, a hash of each text that can have a partner of that similarity, or has no words.
+
+    Two such texts share all but a few of their shingles, so of a text's least hashes (its prefix, ``SPARE`` of the set longer than one common hash takes) that share
+    stands in another text's prefix too. Only prefixes are shuffled.
+    """
+    spare = lambda n: np.maximum(n // SPARE, 1)
+
+    def run(batches):
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, words, seed)) for t in batch.column("text").to_pylist()]
+            n = np.array([len(x) for x in sets], dtype=np.int64)
+            # as long as the largest partner's test asks for
+            take = np.minimum(n, n - _overlap(n, similarity) + spare((n / similarity + 1e-9).astype(np.int64) + 1))
+            parts = [x[:k].view(np.int64) for x, k in zip(sets, take)]
+            grams = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)], dtype=np.int32)), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("t1"), pa.array(np.where(n > 0, np.minimum(spare(n), n), 0)), grams], names=["t1", "least", "grams"])
+
+    lists = cut(docs.select(key128(F.col("text"))[0].alias("t1"), "text").mapInArrow(run, "t1 long, least long, grams array<long>"))
+    each = lists.select("t1", "least", F.explode("grams").alias("gram"))
+    shared = each.groupBy("gram").agg(F.min("t1").alias("x"), F.max("t1").alias("y")).where("x <> y").select("gram")
+    found = each.join(shared, "gram").groupBy("t1").agg(F.count(F.lit(1)).alias("n"), F.max("least").alias("least")).where("n >= least").select("t1")
+    return found.unionByName(lists.where("least = 0").select("t1").distinct())
+
+
+def _prefixes(grams: DataFrame, similarity: float) -> DataFrame:
+    """grams (node, grams) -> gram, node, n, place: each set's rarest shingles, as many as hold one of any partner's, with their places in the order (rarest first)."""
+    each = grams.select("node", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    often = each.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    ordered = each.join(often, "gram").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("g"))
+    length = F.col("n") - F.greatest(F.ceil(F.lit(similarity) * F.col("n") - 1e-9), F.lit(1)) + 1
+    alone = F.col("n") - F.size("g")
+    held = ordered.where(length > alone).select("node", "n", alone.alias("alone"), F.posexplode(F.slice("g", F.lit(1), (length - alone).cast("int"))).alias("at", "e"))
+    return held.select("e.gram", "node", "n", (F.col("alone") + F.col("at") + 1).alias("place"))
+
+
+def _alike(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
+    """pairs (u, v) of that similarity, compared exactly."""
+    compared = pairs.join(grams.select(F.col("node").alias("u"), F.col("grams").alias("x")), "u").join(grams.select(F.col("node").alias("v"), F.col("grams").alias("y")), "v")
+    shared = F.size(F.array_intersect("x", "y"))
+    return compared.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("u", "v")
+
+
+def _all_links(grams: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): links of that similarity that join all that belong together. ``known``: some links, already compared.
+
+    Candidates share a shingle of their prefixes. While these are many, nodes are first compared with one node of each shingle only; a pair in one class needs no comparison, all other pairs get one.
+    """
+    prefixes = cut(_prefixes(grams, similarity))
+    links = known
+    for k in range(HEAD_ROUNDS + 1):
+        roots = components(links)
+        rows = prefixes.join(roots, "node", "left").select("gram", "node", "n", "place", F.coalesce("root", "node").alias("root"))
+        sizes = rows.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("n_root")).groupBy("gram").agg(F.sum("n_root").alias("members"), F.max(F.struct("n_root", "root")).alias("most"))
+        mixed_grams = sizes.where(F.col("members") > F.col("most.n_root"))
+        open_rows = cut(rows.join(mixed_grams.select("gram", F.col("most.root").alias("main"), (F.col("members") - F.col("most.n_root")).alias("others"), "members"), "gram"))
+        pairs, nodes = open_rows.where("root <> main").agg(F.sum("members"), F.count(F.lit(1))).first()
+        if not nodes:
+            return links
+        last = k == HEAD_ROUNDS or pairs <= FEW * nodes
+        right = open_rows if last else open_rows.groupBy("gram").agg(F.min_by(F.struct("node", "n", "place", "root"), F.xxhash64("node", F.lit(k))).alias("h")).select("gram", "h.*")
+        left = open_rows.where("root <> main") if last else open_rows
+        met = left.alias("l").join(right.alias("r"), F.expr("l.gram = r.gram AND l.root <> r.root"))
+        near = (F.least("l.n", "r.n") >= similarity * F.greatest("l.n", "r.n") - 1e-9) & (
+            1 + F.least(F.col("l.n") - F.col("l.place"), F.col("r.n") - F.col("r.place")) >= similarity / (1 + similarity) * (F.col("l.n") + F.col("r.n")) - 1e-9
+        )
+        new = met.where(near).select(F.greatest("l.node", "r.node").alias("u"), F.least("l.node", "r.node").alias("v")).distinct()
+        links = cut(links.unionByName(_alike(new, grams, similarity)))
+        if last:
+            return links
+
+
 def confirmed_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, bucket: int = BUCKET, prints: int = 1) -> DataFrame:
-    """As ``near_duplicates``, but different texts are linked only if their sets of ``words``-word shingles have that Jaccard similarity.
+    """As ``near_duplicates``, but different texts are linked if, and only if, their sets of ``words``-word shingles have that Jaccard similarity.
 
-    The covering tables give candidate pairs of texts, equal texts counting once; the shingles of the texts in such pairs, and of
-    no others, are joined to the pairs and compared exactly. Two texts without words are alike.
+    Equal texts count once. The covering tables give pairs of texts whose shingles are compared exactly; a join of the rarest shingles of each text then gives every further
+    pair of that similarity whose texts are not in one class yet (``_all_links``). Two texts without words are alike.
     """
     marked = cut(fingerprints(docs, shingle, seed, prints)).withColumn("row", F.monotonically_increasing_id())
     texts = cut(marked.groupBy("t1", "t2").agg(F.min(F.struct("row", "a", "b")).alias("r"), F.first("fp").alias("fp"), F.first("more").alias("more")).select("t1", "t2", F.col("r.row").alias("node"), "r.a", "r.b", "fp", "more"))
-    edges = cut(_candidates(texts, radius, bucket))
-    linked = texts.join(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi").select("node", F.col("a").alias("__a"), F.col("b").alias("__b"))
+    asked = cut(texts.join(_in_question(docs, similarity, words, seed), "t1", "left_semi"))
     a, b = key128(F.col("doc_id"), F.col("text"))
-    rows = docs.select("text", a.alias("__a"), b.alias("__b")).join(_keyed(linked), ["__a", "__b"]).select("node", "text")
+    rows = docs.select("text", a.alias("__a"), b.alias("__b")).join(_keyed(asked.select("node", F.col("a").alias("__a"), F.col("b").alias("__b"))), ["__a", "__b"]).select("node", "text")
     grams = cut(_grams(rows, words, seed).dropDuplicates(["node"]))
-    compared = edges.join(grams.select(F.col("node").alias("u"), F.col("grams").alias("x")), "u").join(grams.select(F.col("node").alias("v"), F.col("grams").alias("y")), "v")
-    shared = F.size(F.array_intersect("x", "y"))
-    alike = compared.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("u", "v")
-    roots = components(alike)
+    blank = grams.where(F.size("grams") == 0).select(F.col("node").alias("u"))
+    known = _alike(_candidates(asked, radius, bucket), grams, similarity).unionByName(blank.crossJoin(F.broadcast(blank.agg(F.min("u").alias("v")))).where("u <> v"))
+    roots = components(_all_links(grams, cut(known), similarity))
     labelled = texts.join(roots, "node", "left").select("t1", "t2", F.coalesce("root", "node").alias("root"))
     named = marked.join(labelled, ["t1", "t2"])
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
