@@ -25,10 +25,22 @@ def first_keyword(text: Column, keywords: list[str]) -> Column:
     return F.coalesce(*[F.when(low.contains(k), F.lit(k)) for k in sorted(keywords, key=len, reverse=True)])
 
 
+def placed(hits: DataFrame, ties: str) -> DataFrame:
+    """``pos`` of each row among those of its query by score, ties by the column.
+
+    A query may have any number of hits: rows are dealt by (query, score), and their places start behind the counted rows of higher scores.
+    """
+    key = F.struct("query_id", "score").alias("__k")  # equal where both are null
+    counted = hits.groupBy("query_id", "score").agg(F.count(F.lit(1)).alias("n"))
+    higher = Window.partitionBy("query_id").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counted.select(key, F.coalesce(F.sum("n").over(higher), F.lit(0)).alias("__start"))
+    own = Window.partitionBy("__k").orderBy(ties)
+    return hits.select("*", key).join(starts, "__k").withColumn("pos", (F.row_number().over(own) + F.col("__start")).cast("int")).drop("__k", "__start")
+
+
 def resorted(hits: DataFrame) -> DataFrame:
     """New ``pos`` by score, ties in the order they had."""
-    window = Window.partitionBy("query_id").orderBy(F.desc("score"), "pos")
-    return hits.withColumn("pos", F.row_number().over(window))
+    return placed(hits, "pos")
 
 
 def section_boost(hits: DataFrame, queries: DataFrame, types=SHIP_TYPES) -> DataFrame:
@@ -69,8 +81,10 @@ def phrase_boost(hits: DataFrame, queries: DataFrame, rules: list[tuple[str, lis
 
 def unique_table_boost(hits: DataFrame, boost: float = 3.0) -> DataFrame:
     """If exactly one of a query's table candidates selected a row (``selected``), boosts it."""
-    n = F.sum(F.col("selected").cast("int")).over(Window.partitionBy("query_id"))
-    return resorted(hits.withColumn("score", F.col("score") + F.when(F.col("selected") & (n == 1), F.lit(float(boost))).otherwise(F.lit(0.0))))
+    only = hits.where("selected").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("id")).where("n = 1")
+    one = only.select(F.struct("query_id", "id").alias("__one"), F.lit(True).alias("__alone"))
+    marked = hits.withColumn("__one", F.struct("query_id", "id")).join(one, "__one", "left")
+    return resorted(marked.withColumn("score", F.col("score") + F.when(F.col("selected") & F.col("__alone"), F.lit(float(boost))).otherwise(F.lit(0.0))).drop("__one", "__alone"))
 
 
 def cross_check(rules: DataFrame, hits: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ def hits(spark, sf_dir):
         F.col("text").alias("content"),
         F.round((F.col("n_chars") % 97) / 16.0 - 4.0, 6).alias("score"),
     )
-    return docs.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
+    return S.placed(docs, "id")
 
 
 def questions(spark):
