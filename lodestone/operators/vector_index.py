@@ -26,6 +26,8 @@ from .retrieval import ranked
 SAMPLE_BYTES, SAMPLE_ROWS, DIMENSIONS, CODES, BLOCK, ROUNDS, CALIBRATION = 64 << 20, 50_000, 4, 256, 4096, 12, 200
 #: Vectors of a cell in one file, and queries in a block.
 FILE_ROWS, QUERY_BLOCK = 1 << 20, 256
+#: Candidates that a task holds.
+HELD = 4_000_000
 #: Measured bytes of probes up to which they are broadcast; beyond, they are dealt by cell.
 BROADCAST_BYTES = 64 << 20
 
@@ -207,20 +209,29 @@ def candidates(blocks: DataFrame, made: Quantisers, queries: DataFrame, probes:
 
     def run(batches):
         best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def given():
+            while best:
+                query_id, (s, i) = best.popitem()
+                yield pa.RecordBatch.from_arrays([pa.array([query_id] * len(i), pa.int64()), pa.array(i), pa.array(s)], names=["query_id", "id", "score"])
+
         for batch in batches:
-            for ids, codes, cell, queries_of in zip(*(batch.column(c).to_pylist() for c in ("ids", "codes", "cell", "asked"))):
-                ids = np.array(ids, dtype=np.int64)
-                decoded = made.decode(np.full(len(ids), cell), np.frombuffer(codes, np.uint8).reshape(len(ids), -1))
-                scores = np.array([q["vector"] for q in queries_of]) @ decoded.T
-                for q, row in zip(queries_of, scores):
-                    at = np.argpartition(-row, keep)[:keep] if len(row) > keep else slice(None)
-                    s, i = row[at], ids[at]
-                    if q["query_id"] in best:
-                        s, i = np.concatenate([best[q["query_id"]][0], s]), np.concatenate([best[q["query_id"]][1], i])
-                    first = np.lexsort((i, -s))[:keep]
-                    best[q["query_id"]] = s[first], i[first]
-        for query_id, (s, i) in best.items():
-            yield pa.RecordBatch.from_arrays([pa.array([query_id] * len(i), pa.int64()), pa.array(i), pa.array(s)], names=["query_id", "id", "score"])
+            for at_row in range(batch.num_rows):  # a row is a block of vectors and one of queries; as Python objects a whole batch would be many times its size
+                ids, asked_of = (batch.column(c)[at_row].values for c in ("ids", "asked"))
+                ids, codes = ids.to_numpy(zero_copy_only=False), np.frombuffer(batch.column("codes")[at_row].as_buffer(), np.uint8).reshape(len(ids), -1)
+                decoded = made.decode(np.full(len(ids), batch.column("cell")[at_row].as_py()), codes)
+                vectors_of = asked_of.field("vector").flatten().to_numpy(zero_copy_only=False).reshape(len(asked_of), -1)
+                for a in range(0, len(vectors_of), QUERY_BLOCK):
+                    for query_id, row in zip(asked_of.field("query_id")[a : a + QUERY_BLOCK].to_pylist(), vectors_of[a : a + QUERY_BLOCK] @ decoded.T):
+                        at = np.argpartition(-row, keep)[:keep] if len(row) > keep else slice(None)
+                        s, i = row[at], ids[at]
+                        if query_id in best:
+                            s, i = np.concatenate([best[query_id][0], s]), np.concatenate([best[query_id][1], i])
+                        first = np.lexsort((i, -s))[:keep]
+                        best[query_id] = s[first], i[first]
+                if len(best) * keep > HELD:  # what is given early meets the rest in the ranking
+                    yield from given()
+        yield from given()
 
     found = blocks.join(packed, "cell").select("ids", "codes", "cell", "asked").mapInArrow(run, "query_id long, id long, score double")
     return ranked(found, "score", keep).drop("rank")
