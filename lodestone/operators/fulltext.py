@@ -21,13 +21,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stemming import with_stem
-from ..sources.stored import open_bucketed, save_bucketed
+from ..sources.stored import open_bucketed, save_bucketed, shared_folder
 from .retrieval import ranked
 
 WEIGHT, REACH, SUM_OF_SQUARES = 0.1, 100, 1.64493406685
 PARTS = 8
 #: Measured rows of (search, stem) up to which searches are broadcast; beyond, they are dealt to the index's buckets.
 BROADCAST_ROWS = 100_000
+#: Measured different words up to which their stems are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_WORDS = 1_000_000
 INDEX = "stem string, part int, id long, positions array<int>"
 
 # English stop words of the full-text configuration.
@@ -47,11 +49,17 @@ def tokens(text: Column) -> Column:
 
 
 def postings(chunks: DataFrame, id_column: str = "doc_id", text_column: str = "text", stop_words=STOP_WORDS) -> DataFrame:
-    """INDEX of the chunks. Words meet by (id, word) first, so the stemmer sees a word of a document once."""
-    each = chunks.select(F.col(id_column).cast("long").alias("id"), F.posexplode(tokens(F.col(text_column))).alias("at", "word"))
-    each = each.where(~F.col("word").isin(*stop_words)) if stop_words else each
-    words = each.groupBy("id", "word").agg(F.collect_list(F.col("at") + 1).alias("positions"))
-    stems = with_stem(words).groupBy("id", "stem").agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
+    """INDEX of the chunks. The stemmer sees each different word once; texts are dealt by id, and their words are grouped where they are."""
+    texts = chunks.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
+    plain = lambda df: df.where(~F.col("word").isin(*stop_words)) if stop_words else df
+    path = shared_folder(chunks.sparkSession, "stems")
+    with_stem(plain(texts.select(F.explode(tokens(F.col("text"))).alias("word"))).distinct()).write.parquet(path)
+    vocabulary = chunks.sparkSession.read.parquet(path)
+    if vocabulary.count() <= BROADCAST_WORDS:
+        vocabulary = F.broadcast(vocabulary)
+    each = plain(texts.repartition("id").select("id", F.posexplode(tokens(F.col("text"))).alias("at", "word")))
+    words = each.groupBy("id", "word").agg(F.collect_list(F.col("at") + 1).alias("positions")).join(vocabulary, "word")
+    stems = words.groupBy("id", "stem").agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
     return stems.select("stem", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int").alias("part"), "id", "positions")
 
 

@@ -137,3 +137,12 @@ def test_the_index_is_not_shuffled(spark, index, monkeypatch):
 def test_a_frequent_stem_is_dealt_to_parts(spark):
     docs = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("same words").alias("text"))
     assert {r.part for r in T.postings(docs).where("stem = 'word'").collect()} == set(range(T.PARTS))
+
+
+def test_postings_shuffle_texts_and_not_words(spark):
+    """The stemmer is no part of the rows' plan, and words are grouped where their texts are."""
+    docs = spark.createDataFrame([(1, "Running runs ran"), (1, "the runs"), (None, "runner")], "doc_id long, text string")
+    index = __import__("lodestone.operators.fulltext", fromlist=["postings"]).postings(docs)
+    assert sorted((r.id or 0, r.stem, r.positions) for r in index.collect()) == [(0, "runner", [1]), (1, "ran", [3]), (1, "run", [1, 2, 2])]
+    plan = index._jdf.queryExecution().sparkPlan().toString()
+    assert "Porter" not in plan and "regexp_extract(" not in plan
