@@ -33,7 +33,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, key128
@@ -278,21 +278,27 @@ def _in_question(docs: DataFrame, similarity: float, words: int, seed: int) -> D
             yield pa.RecordBatch.from_arrays([batch.column("t1"), pa.array(np.where(n > 0, np.minimum(spare(n), n), 0)), grams], names=["t1", "least", "grams"])
 
     lists = cut(docs.select(key128(F.col("text"))[0].alias("t1"), "text").mapInArrow(run, "t1 long, least long, grams array<long>"))
-    each = lists.select("t1", "least", F.explode("grams").alias("gram"))
-    shared = each.groupBy("gram").agg(F.min("t1").alias("x"), F.max("t1").alias("y")).where("x <> y").select("gram")
-    found = each.join(shared, "gram").groupBy("t1").agg(F.count(F.lit(1)).alias("n"), F.max("least").alias("least")).where("n >= least").select("t1")
+    # the one shuffle of prefixes deals them by hash; what leaves it are the shared ones
+    same = Window.partitionBy("gram")
+    each = lists.select("t1", "least", F.explode("grams").alias("gram")).withColumns({"x": F.min("t1").over(same), "y": F.max("t1").over(same)})
+    found = each.where("x <> y").groupBy("t1").agg(F.count(F.lit(1)).alias("n"), F.max("least").alias("least")).where("n >= least").select("t1")
     return found.unionByName(lists.where("least = 0").select("t1").distinct())
 
 
+def _past(n, similarity: float):
+    """The shingles of a set of n that stand behind its prefix."""
+    return F.greatest(F.ceil(F.lit(similarity) * n - 1e-9), F.lit(1)) - 1
+
+
 def _prefixes(grams: DataFrame, similarity: float) -> DataFrame:
-    """grams (node, grams) -> gram, node, n, place: each set's rarest shingles, as many as hold one of any partner's, with their places in the order (rarest first)."""
+    """grams (node, grams) -> gram, node, n, alone, place: each set's rarest shingles, as many as hold one of any partner's, with their places in the order (rarest first). ``alone``: the shingles that no other set has."""
     each = grams.select("node", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
     often = each.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     ordered = each.join(often, "gram").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("g"))
-    length = F.col("n") - F.greatest(F.ceil(F.lit(similarity) * F.col("n") - 1e-9), F.lit(1)) + 1
+    length = F.col("n") - _past(F.col("n"), similarity)
     alone = F.col("n") - F.size("g")
     held = ordered.where(length > alone).select("node", "n", alone.alias("alone"), F.posexplode(F.slice("g", F.lit(1), (length - alone).cast("int"))).alias("at", "e"))
-    return held.select("e.gram", "node", "n", (F.col("alone") + F.col("at") + 1).alias("place"))
+    return held.select("e.gram", "node", "n", "alone", (F.col("alone") + F.col("at") + 1).alias("place"))
 
 
 def _alike(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
@@ -305,30 +311,37 @@ def _alike(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
 def _all_links(grams: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
     """(u, v): links of that similarity that join all that belong together. ``known``: some links, already compared.
 
-    Candidates share a shingle of their prefixes. While these are many, nodes are first compared with one node of each shingle only; a pair in one class needs no comparison, all other pairs get one.
+    Candidates share a shingle of their prefixes. Nodes are first compared with one node of each shingle only, in the first round the one with the least part of shingles of its own: near copies of one
+    text have it in common and often little else. A pair in one class needs no comparison, and shingles of one class leave the rounds. These end when few pairs are left or a round no longer helps;
+    all other pairs are then counted out by the shingles that their prefixes share, and those that may have the similarity are compared.
     """
-    prefixes = cut(_prefixes(grams, similarity))
-    links = known
+    rows, links, before = cut(_prefixes(grams, similarity)), known, None
+    sizes = F.least("l.n", "r.n") >= similarity * F.greatest("l.n", "r.n") - 1e-9
+    least = similarity / (1 + similarity) * (F.col("l.n") + F.col("r.n")) - 1e-9
     for k in range(HEAD_ROUNDS + 1):
-        roots = components(links)
-        rows = prefixes.join(roots, "node", "left").select("gram", "node", "n", "place", F.coalesce("root", "node").alias("root"))
-        sizes = rows.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("n_root")).groupBy("gram").agg(F.sum("n_root").alias("members"), F.max(F.struct("n_root", "root")).alias("most"))
-        mixed_grams = sizes.where(F.col("members") > F.col("most.n_root"))
-        open_rows = cut(rows.join(mixed_grams.select("gram", F.col("most.root").alias("main"), (F.col("members") - F.col("most.n_root")).alias("others"), "members"), "gram"))
-        pairs, nodes = open_rows.where("root <> main").agg(F.sum("members"), F.count(F.lit(1))).first()
+        named = rows.select("gram", "node", "n", "alone", "place").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        each = named.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("n_root")).groupBy("gram").agg(F.sum("n_root").alias("members"), F.max(F.struct("n_root", "root")).alias("most"))
+        mixed_grams = each.where(F.col("members") > F.col("most.n_root")).select("gram", F.col("most.root").alias("main"), "members")
+        rows = cut(named.join(mixed_grams, "gram"))
+        pairs, nodes = rows.where("root <> main").agg(F.sum("members"), F.count(F.lit(1))).first()
         if not nodes:
             return links
-        last = k == HEAD_ROUNDS or pairs <= FEW * nodes
-        right = open_rows if last else open_rows.groupBy("gram").agg(F.min_by(F.struct("node", "n", "place", "root"), F.xxhash64("node", F.lit(k))).alias("h")).select("gram", "h.*")
-        left = open_rows.where("root <> main") if last else open_rows
-        met = left.alias("l").join(right.alias("r"), F.expr("l.gram = r.gram AND l.root <> r.root"))
-        near = (F.least("l.n", "r.n") >= similarity * F.greatest("l.n", "r.n") - 1e-9) & (
-            1 + F.least(F.col("l.n") - F.col("l.place"), F.col("r.n") - F.col("r.place")) >= similarity / (1 + similarity) * (F.col("l.n") + F.col("r.n")) - 1e-9
-        )
+        if k == HEAD_ROUNDS or pairs <= FEW * nodes or (FEW and before and 2 * pairs > before):
+            break
+        before = pairs
+        order = F.struct(F.col("alone") / F.col("n"), "node") if not k else F.xxhash64("node", F.lit(k))
+        heads = rows.groupBy("gram").agg(F.min_by(F.struct("node", "n", "place", "root"), order).alias("h")).select("gram", "h.*")
+        met = rows.alias("l").join(heads.alias("r"), F.expr("l.gram = r.gram AND l.root <> r.root"))
+        near = sizes & (1 + F.least(F.col("l.n") - F.col("l.place"), F.col("r.n") - F.col("r.place")) >= least)
         new = met.where(near).select(F.greatest("l.node", "r.node").alias("u"), F.least("l.node", "r.node").alias("v")).distinct()
         links = cut(links.unionByName(_alike(new, grams, similarity)))
-        if last:
-            return links
+    # each pair once a shared shingle; the bounds are of the sets, so that none is left out of the count
+    once = F.expr("l.gram = r.gram AND l.root <> r.root AND (r.root = r.main OR l.node < r.node)")
+    met = rows.where("root <> main").alias("l").join(rows.alias("r"), once & sizes & (F.least(F.col("l.n") - F.col("l.alone"), F.col("r.n") - F.col("r.alone")) >= least))
+    # of the set whose prefix ends first, what lies before that end is counted
+    lacks = F.ceil(least - F.greatest(_past(F.col("l.n"), similarity), _past(F.col("r.n"), similarity)))
+    counted = met.select(F.greatest("l.node", "r.node").alias("u"), F.least("l.node", "r.node").alias("v"), lacks.alias("lacks")).groupBy("u", "v", "lacks").agg(F.count(F.lit(1)).alias("shared"))
+    return cut(links.unionByName(_alike(counted.where("shared >= lacks").select("u", "v"), grams, similarity)))
 
 
 def confirmed_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, bucket: int = BUCKET, prints: int = 1) -> DataFrame:

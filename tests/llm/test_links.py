@@ -39,3 +39,24 @@ def test_no_link_of_the_similarity_is_left_out(spark, monkeypatch, few):
     got = {r.doc_id: r.component_id for r in simhash.confirmed_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2, prints=1).collect()}
     want = classes_of_all_pairs([(i, t or "") for i, t in rows])
     assert got == want and len(set(want.values())) < len(rows) - 20
+
+
+def test_a_group_of_near_copies_is_compared_with_its_centre(spark, monkeypatch):
+    """Copies on either side of the similarity: rounds and compared pairs grow with the group, not with its square."""
+    rng, alike_pairs, rounds = np.random.default_rng(7), simhash._alike, []
+    base = [f"w{i}" for i in range(200)]
+    rows = [" ".join(base)]
+    for i in range(100):
+        at = set(rng.choice(196, 1 + i % 7, replace=False).tolist())
+        rows.append(" ".join(f"x{i}_{k}" if k in at else w for k, w in enumerate(base)))
+
+    def counted(pairs, *args):
+        pairs = simhash.cut(pairs)
+        rounds.append(pairs.count())
+        return alike_pairs(pairs, *args)
+
+    monkeypatch.setattr(simhash, "_alike", counted)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.confirmed_duplicates(docs, shingle=2, prints=1).collect()}
+    assert got == classes_of_all_pairs(list(enumerate(rows))) and 10 < len(set(got.values())) < 60
+    assert len(rounds) <= 4 and sum(rounds[1:]) < 4 * len(rows)
