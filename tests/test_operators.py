@@ -242,3 +242,18 @@ def test_cached_questions_are_not_asked(spark):
     assert (got[1].english, got[1].origin, got[1].store) == ("tebal bottom plate 7 mm", "cache", False)
     assert (got[2].reason, got[2].origin) == ("validation_skipped", "model")
     assert (got[3].english, got[3].reason, got[3].query_hash, got[3].store) == ("bottom plate 8 mm plating", "unchecked", None, False)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_each_different_question_is_settled_once(spark):
+    """The parsing of questions stands above a grouping by table and question; repeated, null and empty rows all come back."""
+    text = "Gap [mm] | Spring rate\n0 < x ≤ 10 | 1\n10 < x ≤ 20 | 2"
+    rows = [(i, text, "spring rate for gap 5 mm", ["en", None][i % 2]) for i in range(6)] + [(6, text, "spring rate for gap 15 mm", "en"), (7, None, None, None), (8, "", "", "id"), (9, text, None, "en")]
+    picked = tables.select_rows(spark.createDataFrame(rows, "id long, table_text string, query string, language string"))
+    got = {r.id: (r.selected, r.value_text) for r in picked.collect()}
+    assert got == {i: (True, "1") for i in range(6)} | {6: (True, "2"), 7: (False, ""), 8: (False, ""), 9: (False, "")}
+    grouped = next(x for x in plan_of(picked).split("\n") if "Aggregate [" in x)
+    assert "__query" in grouped
