@@ -257,3 +257,18 @@ def test_each_different_question_is_settled_once(spark):
     assert got == {i: (True, "1") for i in range(6)} | {6: (True, "2"), 7: (False, ""), 8: (False, ""), 9: (False, "")}
     grouped = next(x for x in plan_of(picked).split("\n") if "Aggregate [" in x)
     assert "__query" in grouped
+
+
+def test_patterns_of_a_short_glossary_are_fixed(spark):
+    """A pattern that changes from call to call would be compiled anew each time."""
+    words = [("a b", "c"), ("c d", "$1\\x"), ("É", "e")]
+    df = spark.createDataFrame([("A B d",), ("aa b",), ("é a b",), (None,)], "t string").select(analysis.apply_glossary(F.col("t"), words).alias("t"))
+    assert [r.t for r in df.collect()] == ["$1\\x", "aa b", "e c", None]
+    assert "aggregate(" not in plan_of(df)
+
+
+def test_fidelity_cuts_each_text_once(spark):
+    """A column used twice inside a lambda is computed twice, so the tokens are bound."""
+    df = spark.createDataFrame([("L=5 m hull", "hull L=5 m"), ("hull", None), (None, "hull"), ("tank 7", "tank")], "q string, e string").select(analysis.fidelity(F.col("q"), F.col("e"), [("tank", "cargo tank")]).alias("f"))
+    assert [tuple(r.f) for r in df.collect()] == [(True, "ok"), (False, "empty_condensed_query"), (True, "no_fidelity_tokens"), (False, "missing_parameters:7")]
+    assert plan_of(df).count("array_distinct(") == 2
