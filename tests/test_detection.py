@@ -69,3 +69,23 @@ def test_covers_are_small_and_whole(spark):
             assert a == at
             at = b + 1
         assert at == max(r.hi + 1, r.lo)
+
+
+def test_trigrams_are_counted_where_the_texts_are(spark, monkeypatch):
+    """Against a plain count: short, empty, null and repeated texts, letters of many scripts, parts that are cut; no row a trigram is made."""
+    import re
+    from collections import Counter
+
+    rows = [(1, "Ab abc"), (1, "abc"), (2, None), (2, ""), (3, "é1ß\U0001F600x\U00010400 Ωmega"), (4, "日本語日本語"), (None, "ab cd"), (5, "x" * 50), (6, "a")]
+    want = Counter()
+    for k, t in rows:
+        x = re.sub(r"([\U00010000-\U0010FFFF]|[\W\d_])+", " ", (t or "").lower())
+        want.update((k, x[i : i + 3]) for i in range(len(x) - 2))
+    df = spark.createDataFrame(rows, "k long, text string").coalesce(1)
+    for letters, counters in ((1_000_000, 1 << 23), (10, 1 << 23), (10, 0)):
+        monkeypatch.setattr(detection, "LETTERS", letters)
+        monkeypatch.setattr(detection, "COUNTERS", counters)
+        assert {(r.k, r.gram): r.n for r in detection.trigram_counts(df, ["k"]).collect()} == want
+        pooled = detection.trigram_counts(df.where("k is not null"), ["k"], pooled=True)
+        assert {(r.k, r.gram): r.n for r in pooled.collect()} == {k: n for k, n in want.items() if k[0] is not None}
+    assert "Generate" not in pooled._jdf.queryExecution().optimizedPlan().toString()
