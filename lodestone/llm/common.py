@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a few numbers that a task takes of a frame whose rows are counted.
+ROWS_A_TASK = 50_000
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -34,6 +39,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in no more partitions than so many counted rows need, a task of each core at least."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_A_TASK)))
+
+
+def cut_few(df: DataFrame) -> tuple[DataFrame, int]:
+    """As ``cut``, in ``few`` partitions, and the number of its rows, counted as they are written."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    rows = seen.get["rows"]
+    return few(out, rows), rows
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries made and run inside go as each ends, and not when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def ascii_lower(col):
     return F.translate(col, UPPER, LOWER)
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, key128
+from .common import cut, cut_few, few, key128, shuffles_freed
 from .components import components
 
 RADIUS, SHINGLE, SEED, BUCKET = 3, 3, 42, 2048
@@ -44,6 +44,8 @@ RADIUS, SHINGLE, SEED, BUCKET = 3, 3, 42, 2048
 SIMILARITY, WORDS, WHOLE = 0.8, 5, 6
 #: Search of all links: the part (one in so many) of a text's shingles by which the prefix is longer; rounds with one head a shingle while there are over ``FEW`` pairs a row.
 SPARE, HEAD_ROUNDS, FEW = 20, 6, 16
+#: Texts whose shingles a Python worker holds at a time.
+TEXTS = 512
 #: Row keys (16 bytes each) up to which they are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -100,11 +102,18 @@ def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
+def _slices(batches):
+    """The same rows in small batches, so that few texts' shingles are held at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS):
+            yield batch.slice(at, TEXTS)
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, prints: int = 1) -> DataFrame:
     """docs (doc_id, text) -> doc_id, fp (the fingerprint as a signed long), more (the further ones), a and b (which tell rows apart), t1 and t2 (texts)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             sets = [fingerprint_set(t, shingle, seed, prints) for t in batch.column("text").to_pylist()]
             flat = np.array(sets, dtype=np.uint64).reshape(len(sets), prints).view(np.int64)
             more = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * (prints - 1)), pa.array(flat[:, 1:].ravel()))
@@ -230,7 +239,7 @@ def _grams(rows: DataFrame, words: int, seed: int) -> DataFrame:
     """rows (node, text) -> node, grams: the sorted different hashes of the text's shingles of ``words`` words."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             sets = [np.unique(shingle_hashes(t, words, seed)).view(np.int64) for t in batch.column("text").to_pylist()]
             ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
             grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
@@ -268,7 +277,7 @@ def _in_question(docs: DataFrame, similarity: float, words: int, seed: int) -> D
     spare = lambda n: np.maximum(n // SPARE, 1)
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             sets = [np.unique(shingle_hashes(t, words, seed)) for t in batch.column("text").to_pylist()]
             n = np.array([len(x) for x in sets], dtype=np.int64)
             # as long as the largest partner's test asks for
@@ -315,14 +324,15 @@ def _all_links(grams: DataFrame, known: DataFrame, similarity: float) -> DataFra
     text have it in common and often little else. A pair in one class needs no comparison, and shingles of one class leave the rounds. These end when few pairs are left or a round no longer helps;
     all other pairs are then counted out by the shingles that their prefixes share, and those that may have the similarity are compared.
     """
-    rows, links, before = cut(_prefixes(grams, similarity)), known, None
+    rows, total = cut_few(_prefixes(grams, similarity))
+    links, before = known, None
     sizes = F.least("l.n", "r.n") >= similarity * F.greatest("l.n", "r.n") - 1e-9
     least = similarity / (1 + similarity) * (F.col("l.n") + F.col("r.n")) - 1e-9
     for k in range(HEAD_ROUNDS + 1):
-        named = rows.select("gram", "node", "n", "alone", "place").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        each = named.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("n_root")).groupBy("gram").agg(F.sum("n_root").alias("members"), F.max(F.struct("n_root", "root")).alias("most"))
+        named = few(rows.select("gram", "node", "n", "alone", "place").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")), total)
+        each = few(named.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("n_root")), total).groupBy("gram").agg(F.sum("n_root").alias("members"), F.max(F.struct("n_root", "root")).alias("most"))
         mixed_grams = each.where(F.col("members") > F.col("most.n_root")).select("gram", F.col("most.root").alias("main"), "members")
-        rows = cut(named.join(mixed_grams, "gram"))
+        rows, total = cut_few(few(named.join(mixed_grams, "gram"), total))
         pairs, nodes = rows.where("root <> main").agg(F.sum("members"), F.count(F.lit(1))).first()
         if not nodes:
             return links
@@ -333,15 +343,16 @@ def _all_links(grams: DataFrame, known: DataFrame, similarity: float) -> DataFra
         heads = rows.groupBy("gram").agg(F.min_by(F.struct("node", "n", "place", "root"), order).alias("h")).select("gram", "h.*")
         met = rows.alias("l").join(heads.alias("r"), F.expr("l.gram = r.gram AND l.root <> r.root"))
         near = sizes & (1 + F.least(F.col("l.n") - F.col("l.place"), F.col("r.n") - F.col("r.place")) >= least)
-        new = met.where(near).select(F.greatest("l.node", "r.node").alias("u"), F.least("l.node", "r.node").alias("v")).distinct()
-        links = cut(links.unionByName(_alike(new, grams, similarity)))
+        new, n_new = cut_few(few(met.where(near).select(F.greatest("l.node", "r.node").alias("u"), F.least("l.node", "r.node").alias("v")), total).distinct())
+        links = cut_few(links.unionByName(few(_alike(new, grams, similarity), n_new)))[0]
     # each pair once a shared shingle; the bounds are of the sets, so that none is left out of the count
     once = F.expr("l.gram = r.gram AND l.root <> r.root AND (r.root = r.main OR l.node < r.node)")
     met = rows.where("root <> main").alias("l").join(rows.alias("r"), once & sizes & (F.least(F.col("l.n") - F.col("l.alone"), F.col("r.n") - F.col("r.alone")) >= least))
     # of the set whose prefix ends first, what lies before that end is counted
     lacks = F.ceil(least - F.greatest(_past(F.col("l.n"), similarity), _past(F.col("r.n"), similarity)))
     counted = met.select(F.greatest("l.node", "r.node").alias("u"), F.least("l.node", "r.node").alias("v"), lacks.alias("lacks")).groupBy("u", "v", "lacks").agg(F.count(F.lit(1)).alias("shared"))
-    return cut(links.unionByName(_alike(counted.where("shared >= lacks").select("u", "v"), grams, similarity)))
+    left, n_left = cut_few(counted.where("shared >= lacks").select("u", "v"))
+    return cut_few(links.unionByName(few(_alike(left, grams, similarity), n_left)))[0]
 
 
 def confirmed_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, bucket: int = BUCKET, prints: int = 1) -> DataFrame:
@@ -358,7 +369,7 @@ def confirmed_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words:
     grams = cut(_grams(rows, words, seed).dropDuplicates(["node"]))
     blank = grams.where(F.size("grams") == 0).select(F.col("node").alias("u"))
     known = _alike(_candidates(asked, radius, bucket), grams, similarity).unionByName(blank.crossJoin(F.broadcast(blank.agg(F.min("u").alias("v")))).where("u <> v"))
-    roots = components(_all_links(grams, cut(known), similarity))
+    roots = components(_all_links(grams, cut_few(known)[0], similarity))
     labelled = texts.join(roots, "node", "left").select("t1", "t2", F.coalesce("root", "node").alias("root"))
     named = marked.join(labelled, ["t1", "t2"])
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -371,6 +382,11 @@ def _keyed(keys: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame, similarity: float | None = None, **options) -> DataFrame:
     """docs without the rows whose class has a row with a smaller doc_id (equal rows: one stays). With ``similarity`` links are confirmed by it."""
+    with shuffles_freed(docs.sparkSession):
+        return _one_of_each(docs, similarity, options)
+
+
+def _one_of_each(docs: DataFrame, similarity: float | None, options: dict) -> DataFrame:
     classes = cut(near_duplicates(docs, **options) if similarity is None else confirmed_duplicates(docs, similarity, **options))
     stay = classes.groupBy("root").agg(F.min(F.struct("doc_id", "a", "b")).alias("s")).select("s.a", "s.b")
     gone = cut(classes.select("a", "b").distinct().join(stay, ["a", "b"], "left_anti"))
