@@ -16,20 +16,22 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stemming import with_stem
-from ..sources.stored import open_bucketed, save_bucketed, shared_folder
+from ..functions.stemming import stem_of, with_stem
+from ..sources.stored import open_bucketed, save_bucketed
 from .retrieval import ranked
 
 WEIGHT, REACH, SUM_OF_SQUARES = 0.1, 100, 1.64493406685
 PARTS = 8
 #: Measured rows of (search, stem) up to which searches are broadcast; beyond, they are dealt to the index's buckets.
 BROADCAST_ROWS = 100_000
-#: Measured different words up to which their stems are broadcast; beyond, they are joined by a shuffle.
-BROADCAST_WORDS = 1_000_000
+#: Words that a task packs at a time (one document may have more), and stems that it remembers.
+WORDS, REMEMBERED = 2_000_000, 500_000
 INDEX = "stem string, part int, id long, positions array<int>"
 
 # English stop words of the full-text configuration.
@@ -48,24 +50,89 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_WORD), F.lit(0))
 
 
-def postings(chunks: DataFrame, id_column: str = "doc_id", text_column: str = "text", stop_words=STOP_WORDS) -> DataFrame:
-    """INDEX of the chunks. The stemmer sees each different word once; texts are dealt by id, and their words are grouped where they are."""
+def _held(pieces: list[pa.RecordBatch], remembered: dict[str, str], stop_words: frozenset[str]):
+    """Batches (id, part, words) -> batches of INDEX, sorted by stem and part."""
+    ids, parts, lists = (pa.concat_arrays([p.column(i) for p in pieces]) for i in range(3))
+    sizes, coded = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten().dictionary_encode()
+    if len(remembered) > REMEMBERED:
+        remembered.clear()
+    names: dict[str, int] = {}
+    code_of = np.empty(len(coded.dictionary), np.int64)
+    for i, word in enumerate(coded.dictionary.to_pylist()):
+        if word in stop_words:
+            code_of[i] = -1
+            continue
+        if (stem := remembered.get(word)) is None:
+            stem = remembered[word] = stem_of(word)
+        code_of[i] = names.setdefault(stem, len(names))
+    code = code_of[coded.indices.to_numpy(zero_copy_only=False)]
+    kept = np.flatnonzero(code >= 0)
+    if not len(kept):
+        return
+    document = np.repeat(np.arange(len(sizes)), sizes)
+    at = (np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1)[kept].astype(np.int32)
+    code, document = code[kept], document[kept]
+    key = (code * PARTS + parts.to_numpy(zero_copy_only=False)[document]) * len(sizes) + document
+    order = np.argsort(key, kind="stable")  # positions keep their order
+    key = key[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))  # of each stem of a document
+    row, document = np.divmod(key[first], len(sizes))
+    columns = [
+        pa.array(list(names), pa.string()).take(pa.array(row // PARTS)),
+        pa.array((row % PARTS).astype(np.int32)),
+        ids.take(pa.array(document)),
+        pa.ListArray.from_arrays(pa.array(np.append(first, len(key)).astype(np.int32)), pa.array(at[order])),
+    ]
+    yield from pa.table(columns, names=["stem", "part", "id", "positions"]).to_batches(max_chunksize=100_000)
+
+
+def _each(texts: DataFrame, stop_words) -> DataFrame:
+    """texts (id, text) -> INDEX of each text, made where it is read: nothing is shuffled, and a different word is stemmed once a run of texts at most."""
+    stops = frozenset(stop_words or ())
+
+    def run(batches):
+        remembered, pieces, size = {}, [], 0
+        for batch in batches:
+            ends = np.cumsum(batch.column(2).value_lengths().to_numpy(zero_copy_only=False))
+            a = 0
+            while a < batch.num_rows:
+                done = int(ends[a - 1]) if a else 0
+                b = max(a + 1, int(np.searchsorted(ends, done + WORDS - size, "right")))
+                pieces.append(batch.slice(a, b - a))
+                size += int(ends[b - 1]) - done
+                if size >= WORDS or b < batch.num_rows:
+                    yield from _held(pieces, remembered, stops)
+                    pieces, size = [], 0
+                a = b
+        if pieces:
+            yield from _held(pieces, remembered, stops)
+
+    part = F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int")
+    return texts.select("id", part.alias("part"), tokens(F.col("text")).alias("words")).mapInArrow(run, INDEX)
+
+
+def _merged(each: DataFrame) -> DataFrame:
+    """Rows of one id are one document."""
+    return each.groupBy("stem", "part", "id").agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
+
+
+def _texts(chunks: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, bool]:
+    """(id, text) of the chunks, and whether an id repeats; only ids are shuffled for that."""
     texts = chunks.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    plain = lambda df: df.where(~F.col("word").isin(*stop_words)) if stop_words else df
-    path = shared_folder(chunks.sparkSession, "stems")
-    with_stem(plain(texts.select(F.explode(tokens(F.col("text"))).alias("word"))).distinct()).write.parquet(path)
-    vocabulary = chunks.sparkSession.read.parquet(path)
-    if vocabulary.count() <= BROADCAST_WORDS:
-        vocabulary = F.broadcast(vocabulary)
-    each = plain(texts.repartition("id").select("id", F.posexplode(tokens(F.col("text"))).alias("at", "word")))
-    words = each.groupBy("id", "word").agg(F.collect_list(F.col("at") + 1).alias("positions")).join(vocabulary, "word")
-    stems = words.groupBy("id", "stem").agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
-    return stems.select("stem", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int").alias("part"), "id", "positions")
-
-
-def store_index(chunks: DataFrame, path: str, buckets: int = 64, **columns) -> DataFrame:
-    """Write the index of the chunks to a folder; the stored table."""
-    return save_bucketed(postings(chunks, **columns), path, ["stem", "part"], buckets)
+    return texts, not texts.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+
+
+def postings(chunks: DataFrame, id_column: str = "doc_id", text_column: str = "text", stop_words=STOP_WORDS) -> DataFrame:
+    """INDEX of the chunks. Nothing is shuffled but ids, and the rows if ids repeat."""
+    texts, repeats = _texts(chunks, id_column, text_column)
+    each = _each(texts, stop_words)
+    return _merged(each).select("stem", "part", "id", "positions") if repeats else each
+
+
+def store_index(chunks: DataFrame, path: str, buckets: int = 64, id_column: str = "doc_id", text_column: str = "text", stop_words=STOP_WORDS) -> DataFrame:
+    """Write the index of the chunks to a folder; the stored table. Its rows are shuffled once, to their buckets, packed unless ids repeat."""
+    texts, repeats = _texts(chunks, id_column, text_column)
+    return save_bucketed(_each(texts, stop_words), path, ["stem", "part"], buckets, _merged if repeats else None)
 
 
 def open_index(spark, path: str, buckets: int = 64) -> DataFrame:
