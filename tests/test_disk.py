@@ -8,11 +8,26 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import stemming
 from lodestone.operators import fulltext as T
+from lodestone.operators import intervals
+from lodestone.operators import tables as O
 from lodestone.sources.stored import deal, save_bucketed
 
 from .test_plans import plan
 
 
+def shuffled(spark, act):
+    """Bytes and rows that ``act`` writes for shuffles."""
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def total():
+        stages = store.stageList(None, False, False, none, None)
+        return [sum(f(stages.apply(i)) for i in range(stages.size())) for f in (lambda s: s.shuffleWriteBytes(), lambda s: s.shuffleWriteRecords())]
+
+    before = total()
+    act()
+    return [b - a for a, b in zip(before, total())]
+
+
 def test_one_word_is_stemmed_as_the_columns_do(spark, sf):
     rng = random.Random(4)
     ends = [*stemming.SECOND, *stemming.THIRD, *stemming.FOURTH, "sses", "ied", "ies", "us", "s", "eedly", "eed", "ingly", "edly", "ing", "ed", "e", "ll", "y", "logi", "sion", "tion"]
@@ -56,19 +71,33 @@ def test_packed_rows_come_to_their_buckets(spark, tmp_path, monkeypatch):
 
 def test_the_stored_index_is_shuffled_packed(spark, sf, tmp_path):
     """Bytes shuffled for the index, against its rows one by one (before: these, and the texts)."""
-
-    def written(act):
-        store = spark.sparkContext._jsc.sc().statusStore()
-        stages = lambda: store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
-        total = lambda s: sum(s.apply(i).shuffleWriteBytes() for i in range(s.size()))
-        before = total(stages())
-        act()
-        return total(stages()) - before
-
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = T.postings(docs).cache()
     rows.count()
-    plain = written(lambda: rows.repartition(4, "stem", "part").write.format("noop").mode("overwrite").save())
-    packed = written(lambda: T.store_index(docs, str(tmp_path / "i"), buckets=4))
+    plain = shuffled(spark, lambda: rows.repartition(4, "stem", "part").write.format("noop").mode("overwrite").save())[0]
+    packed = shuffled(spark, lambda: T.store_index(docs, str(tmp_path / "i"), buckets=4))[0]
     rows.unpersist()
     assert 0 < packed < plain / 1.7
+
+
+def test_equal_values_and_intervals_are_joined_as_packs(spark, monkeypatch):
+    value = spark.range(3000).selectExpr("if(id % 9 = 0, null, id) AS id", "if(id % 500 = 7, null, id % 2) AS key", "if(id % 13 = 0, null, double(id % 11)) AS value", "'x' || id AS name")
+    text = "CASE id % 5 WHEN 0 THEN '< ' || id % 7 WHEN 1 THEN id % 7 || ' < x <= 9' WHEN 2 THEN '= ' || id % 7 WHEN 3 THEN '>= ' || id % 7 ELSE 'words' END"
+    cell = spark.range(400).selectExpr("if(id % 8 = 0, null, id) AS cell", "if(id % 100 = 3, null, id % 2) AS key", f"{text} AS text").withColumn("p", O.row_predicate(F.col("text")))
+    exact = lambda v, c: v.join(c, "key").where(O.contains(F.col("p"), F.col("value")))
+    ordered = lambda df: sorted((tuple(map(str, r)) for r in df.collect()))
+    few, some = value.where("length(name) < 4"), cell.where("cell < 90 or cell is null")
+    want = ordered(exact(few, some))
+    assert len(want) > 500 and exact(few, some).columns == intervals.interval_join(few, some, ["key"]).columns
+    for pack, grouped in ((1024, 1 << 20), (3, 1 << 20), (2, 10)):
+        monkeypatch.setattr(intervals, "PACK", pack)
+        monkeypatch.setattr(intervals, "GROUPED", grouped)
+        assert ordered(intervals.interval_join(few, some, ["key"])) == want
+    assert intervals.interval_join(few.select("key", "value"), some.select("key", "p"), ["key"]).count() == len(want)
+    monkeypatch.undo()
+    v, c = value.select("id", "key", "value").localCheckpoint(), cell.select("cell", "key", "p").localCheckpoint()
+    n = exact(v, c).count()
+    joined = []
+    _, rows = shuffled(spark, lambda: joined.append(intervals.interval_join(v, c, ["key"]).count()))
+    # before, 16 rows a value
+    assert joined == [n] and n > 100_000 and rows < 3000
